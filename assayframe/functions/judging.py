@@ -28,7 +28,7 @@ def _words(text: Column) -> Column:
 
 def verify_quote(answer: Column, quote: Column) -> Column:
     """Whether a quotation, with at most four parts around ellipses, is in an answer: parts in order, without overlaps, none too short."""
-    body, parts = normalise(answer), F.filter(F.transform(F.split(normalise(quote), r"\.\.\."), F.trim), lambda p: p != "")
+    body, parts = normalise(answer), F.filter(F.transform(F.split(normalise(quote), r"\.\.\."), lambda s: F.trim(s)), lambda p: p != "")
     content = F.array_join(parts, " ")
     long_enough = (F.length(content) >= MIN_QUOTE_CHARS) & (_words(content) >= MIN_QUOTE_WORDS) & F.size(parts).between(1, MAX_FRAGMENTS)
     each = F.forall(parts, lambda p: (F.length(p) >= MIN_FRAGMENT_CHARS) & (_words(p) >= MIN_FRAGMENT_WORDS))

@@ -1 +1,254 @@
-"""stub"""
+"""Queries over texts: checks, verifiers, quotations, similarities and contamination."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayframe.functions import checks as K
+from assayframe.functions import hashing as H
+from assayframe.functions import judging as J
+from assayframe.functions import text as X
+from assayframe.operators import similarity as S
+from assayframe.plans.registry import query
+from assayframe.sources.adapters import table
+
+#: normalise in SQL.
+NORMAL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(lower(coalesce(text, '')), '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '—', '-'), '…', '...'), '\\s+', ' ', 'g'))"
+ENDINGS = "|".join(sorted(X.STEM_ENDINGS, key=len, reverse=True)).replace("'", "''")
+FORBIDDEN, MENTIONED, OPTIONS = ("than", "sch", "queaux"), ("the", "of"), ("that", "dass", "pour")
+
+
+def _term(term: str, stemmed: bool = False) -> str:
+    end = f"(?:{ENDINGS})?" if stemmed else ""
+    return f"regexp_matches(s, '(^|[^\\p{{L}}\\p{{N}}_]){term}{end}([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+CHECKS = (
+    ("forbidden_terms", {"terms": FORBIDDEN}),
+    ("must_mention_all", {"terms": MENTIONED}),
+    ("must_choose_one_of", {"options": OPTIONS}),
+    ("max_words", {"limit": 300}),
+    ("min_words", {"limit": 50}),
+    ("max_words", {"limit": 1000}),
+)
+_N = f"len(regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿豈-﫿]|\\p{{L}}+(?:[''’\\-]\\p{{L}}+)*|[0-9][0-9,.]*'))"
+
+
+def _rows(cells: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS \"check\", {c} AS passed, false AS error FROM n" for n, c in cells)
+
+
+@query(
+    f"WITH n AS (SELECT doc_id, {NORMAL} AS s, {_N} AS words FROM documents) "
+    + _rows(
+        [
+            ("forbidden_terms", "NOT (" + " OR ".join(_term(t, True) for t in FORBIDDEN) + ")"),
+            ("must_mention_all", " AND ".join(_term(t) for t in MENTIONED)),
+            ("must_choose_one_of", " + ".join(f"({_term(t)})::INT" for t in OPTIONS) + " = 1"),
+            ("max_words", "words <= 300"),
+            ("min_words", "words >= 50"),
+            ("max_words#2", "words <= 1000"),
+        ]
+    )
+)
+def answer_checks(spark: SparkSession, d: str) -> DataFrame:
+    return K.run_checks(table(spark, d, "documents"), CHECKS)
+
+
+@query(None)
+def refusal_checks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", X.refusal(F.col("text")).alias("refusal"))
+
+
+@query(
+    f"WITH n AS (SELECT lang, doc_id, {NORMAL} AS s, {_N} AS words FROM documents), c AS ("
+    + " UNION ALL ".join(f"SELECT lang, '{n}' AS \"check\", {c} AS passed FROM n" for n, c in (("max_words", "words <= 300"), ("min_words", "words >= 50")))
+    + ') SELECT lang, "check", count(*) AS n, count(*) FILTER (passed) AS passed_n, round(count(*) FILTER (passed) / count(*)::DOUBLE, 6) AS rate FROM c GROUP BY ALL'
+)
+def deterministic_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = K.run_checks(table(spark, d, "documents"), [CHECKS[3], CHECKS[4]], keys=["lang"])
+    return rows.groupBy("lang", "check").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed_n"), F.round(F.count_if("passed") / F.count("*"), 6).alias("rate"))
+
+
+VERIFIED = {
+    "max_words": ("max_words", {"count": 200}, "w <= 200"),
+    "min_words": ("min_words", {"count": 20}, "w >= 20"),
+    "all_lowercase": ("all_lowercase", {}, "NOT regexp_matches(t, '\\p{Lu}')"),
+    "no_punctuation": ("no_punctuation", {}, "NOT regexp_matches(t, '[!-/:-@\\[-`{-~—–‘’“”…]')"),
+    "forbidden_letter": ("forbidden_letter", {"letter": "q"}, "NOT contains(lower(t), 'q')"),
+    "forbidden_substrings": ("forbidden_substrings", {"substrings": ["License", "copyright"], "word_boundary": False}, "NOT regexp_matches(t, '(?i)license') AND NOT regexp_matches(t, '(?i)copyright')"),
+    "contains_all": ("contains_all", {"substrings": ["the", "and"]}, "regexp_matches(t, '(?i)(^|[^\\p{L}\\p{N}_])the([^\\p{L}\\p{N}_]|$)') AND regexp_matches(t, '(?i)(^|[^\\p{L}\\p{N}_])and([^\\p{L}\\p{N}_]|$)')"),
+    "starts_with": ("starts_with", {"text": "the", "case_sensitive": False}, "starts_with(lower(b), 'the')"),
+    "ends_with": ("ends_with", {"text": "."}, "ends_with(b, '.')"),
+    "regex_full_match": ("regex_full_match", {"pattern": "[A-Za-z .,\\n]+"}, "regexp_full_match(b, '[A-Za-z .,\\n]+')"),
+    "line_count": ("line_count", {"count": 1}, "len(ls) = 1"),
+    "line_ends_with": ("line_ends_with", {"text": "the"}, "coalesce(regexp_matches(regexp_replace(ls[1], '(?:[!-/:-@\\[-`{-~—–‘’“”…]|[ \\t])+$', ''), '(?i)(^|[^\\p{L}\\p{N}_])the$'), false)"),
+    "no_list_markers": ("no_list_markers", {}, "NOT regexp_matches(t, '(?m)^\\s*(?:[-*•+–—]\\s+|[0-9]+[.)]\\s+)')"),
+    "single_word": ("single_word", {}, "regexp_matches(tok, '^\\S+$')"),
+    "code_fence_wrapped": ("code_fence_wrapped", {}, "starts_with(b, '```') AND ends_with(b, '```') AND length(b) >= 7"),
+}
+_VIEW = (
+    "n AS (SELECT doc_id, text AS t, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b, "
+    "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) AS w, "
+    "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls, "
+    "regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[.,!?;:]+$', '') AS tok FROM documents)"
+)
+
+
+@query(f"WITH {_VIEW} SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, _, sql) in VERIFIED.items())} FROM n")
+def verifiers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", *(K.verify(kind, F.col("text"), p).alias(name) for name, (kind, p, _) in VERIFIED.items()))
+
+
+@query("WITH p AS (SELECT event_id, '1. ' || event_type || chr(10) || CASE WHEN event_id % 3 = 0 THEN '2) ' ELSE '3. ' END || 'x' AS t FROM events) SELECT event_id, event_id % 3 = 0 AS passed FROM p")
+def numbered_list(spark: SparkSession, d: str) -> DataFrame:
+    answer = F.concat(F.lit("1. "), F.col("event_type"), F.lit("\n"), F.when(F.col("event_id") % 3 == 0, "2) ").otherwise("3. "), F.lit("x"))
+    return table(spark, d, "events").select("event_id", K.verify("numbered_list", answer, {"count": 2}).alias("passed"))
+
+
+@query("SELECT event_id, props IS NOT NULL AND json_valid(props) AND json_type(props) = 'OBJECT' AS is_object FROM events")
+def json_object_check(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", K.verify("json_object", F.col("props"), {}).alias("is_object"))
+
+
+@query("SELECT event_id, true AS passed, round(value, 2) AS number FROM events")
+def numeric_answers(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("It is 1 or 2.\nThe answer is **$"), F.format_number(F.round("value", 2), 2), F.lit("**"))
+    number = K.final_number(said)
+    return table(spark, d, "events").select("event_id", (F.abs(number - F.round("value", 2)) < 1e-6).alias("passed"), F.round(number, 2).alias("number"))
+
+
+@query(None)
+def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+
+
+_QUOTE = "substr(text, 11, 40) || ' ... ' || substr(text, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 61 END, 30)"
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, {NORMAL} AS h, {NORMAL.replace("coalesce(text, '')", f"({_QUOTE})")} AS q FROM benchmark),
+p AS (SELECT item_id, h, list_filter(list_transform(string_split(q, '...'), lambda x: trim(x)), lambda x: x <> '') AS f FROM q),
+l AS (SELECT *, len(f) BETWEEN 1 AND 4 AND length(array_to_string(f, ' ')) >= 12 AND len(list_filter(f, lambda x: length(x) < 8 OR len(string_split(x, ' ')) < 2)) = 0 AND len(string_split(array_to_string(f, ' '), ' ')) >= 3 AS long FROM p)
+SELECT item_id, long AND instr(h, f[1]) > 0 AND (len(f) < 2 OR instr(substr(h, instr(h, f[1]) + length(f[1])), f[2]) > 0) AS verified FROM l"""
+)
+def quote_verify(spark: SparkSession, d: str) -> DataFrame:
+    start = F.when(F.col("item_id") % 3 == 0, 1).otherwise(61)
+    quote = F.concat(F.substring("text", 11, 40), F.lit(" ... "), F.substr("text", start, F.lit(30)))
+    return table(spark, d, "benchmark").select("item_id", J.verify_quote(F.col("text"), quote).alias("verified"))
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 8 AS i, ['No.', 'N/A.', '0', 'cut off by the limit', 'yes', 'hm', 'none of these apply', NULL][(o_orderkey % 8) + 1] AS raw FROM orders)
+SELECT o_orderkey, CASE WHEN i IN (0, 1, 2, 6, 7) THEN 'scorable' WHEN i IN (3, 4) THEN 'unscorable' ELSE 'unrecognised' END AS verdict FROM k""")
+def unscorable_classes(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.array(*(F.lit(x) for x in ("No.", "N/A.", "0", "cut off by the limit", "yes", "hm", "none of these apply", None)))
+    return table(spark, d, "orders").select("o_orderkey", J.unscorable_verdict(F.get(raw, F.col("o_orderkey") % 8)).alias("verdict"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'keep the promise' WHEN 1 THEN 'tell the truth' WHEN 2 THEN 'ask first' WHEN 3 THEN NULL ELSE 'keep the promise' END AS item FROM part""")
+def rubric_items(spark: SparkSession, d: str) -> DataFrame:
+    said = F.array(*map(F.lit, ("Keep the  promise", "2", "they should ask first, then act", "something else", "promise")))
+    allowed = F.array(*map(F.lit, ("keep the promise", "tell the truth", "ask first")))
+    return table(spark, d, "part").select("p_partkey", J.rubric_item(F.get(said, F.col("p_partkey") % 5), allowed).alias("item"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey % 6 AS i, l_partkey FROM lineitem)
+SELECT CASE i WHEN 0 THEN 'omitted' WHEN 1 THEN 'inapplicable' WHEN 2 THEN 'bad_score' WHEN 3 THEN 'absence' WHEN 4 THEN 'quote_missing' ELSE 'quote_not_found' END AS outcome, count(*) AS n FROM s GROUP BY 1""")
+def score_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("l_suppkey") % 6
+    raw = F.when(i == 2, "7").when(i == 3, "0").otherwise("2")
+    quote = F.when(i == 5, "a quotation that is not there at all").otherwise("")
+    outcome = J.score_outcome(i != 0, i != 1, raw, quote, F.lit("quote"), F.lit("An answer about something else."))
+    return table(spark, d, "lineitem").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+TOKENS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"
+LEXICAL = f"""a AS (SELECT doc_id AS case_id, {TOKENS} AS t FROM documents), b AS (SELECT item_id AS best_id, {TOKENS} AS t FROM benchmark),
+x AS (SELECT case_id, len(t) AS na, unnest(t) AS token FROM a), y AS (SELECT best_id, len(t) AS nb, unnest(t) AS token FROM b),
+s AS (SELECT case_id, best_id, count(*) / (any_value(na) + any_value(nb) - count(*))::DOUBLE AS s FROM x JOIN y USING (token) GROUP BY case_id, best_id),
+m AS (SELECT case_id, max(s) AS s, arg_max(best_id, (s, -best_id)) AS best_id FROM s GROUP BY case_id),
+r AS (SELECT case_id, coalesce(m.best_id, -1) AS best_id, coalesce(m.s, 0) AS similarity FROM a LEFT JOIN m USING (case_id))"""
+
+
+def _lexical(spark: SparkSession, d: str) -> DataFrame:
+    return S.best_jaccard(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
+
+
+@query(f"WITH {LEXICAL} SELECT case_id, best_id, round(similarity, 6) AS similarity, similarity >= 0.45 AS over_threshold FROM r")
+def lexical_contamination(spark: SparkSession, d: str) -> DataFrame:
+    return _lexical(spark, d).select("case_id", "best_id", F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= S.LEXICAL_THRESHOLD).alias("over_threshold"))
+
+
+@query(f"WITH {LEXICAL}, q AS (SELECT round(similarity, 6) AS z FROM r) SELECT count(*) AS n, max(z) AS max, round(quantile_disc(z, 0.5 ORDER BY z DESC), 6) AS upper_median, round(avg(z), 4) AS mean, count(*) FILTER (z >= 0.45) AS flagged FROM q".replace("quantile_disc(z, 0.5 ORDER BY z DESC)", "(SELECT list_sort(list(z))[count(*) // 2 + 1] FROM q)"))
+def contamination_summary(spark: SparkSession, d: str) -> DataFrame:
+    from assayframe.functions.stats import upper_median
+
+    z = _lexical(spark, d).select(F.round("similarity", 6).alias("z"))
+    return z.agg(F.count("*").alias("n"), F.max("z").alias("max"), F.round(upper_median("z"), 6).alias("upper_median"), F.round(F.avg("z"), 4).alias("mean"), F.count_if(F.col("z") >= S.LEXICAL_THRESHOLD).alias("flagged"))
+
+
+@query(f"WITH {LEXICAL}, c AS (SELECT greatest(0.35, avg(similarity) + 3 * stddev_pop(similarity)) AS cut FROM r) SELECT round(cut, 6) AS cut, count(*) FILTER (similarity >= cut) AS over FROM r, c GROUP BY cut")
+def calibrated_cut(spark: SparkSession, d: str) -> DataFrame:
+    report = S.annotated(_lexical(spark, d))
+    return report.groupBy(F.round("calibrated_threshold", 6).alias("cut")).agg(F.count_if("over_calibrated").alias("over"))
+
+
+@query("""WITH a AS (SELECT vec_id AS case_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT vec_id AS best_id, embedding AS w FROM embeddings WHERE vec_id % 50 <> 0),
+s AS (SELECT case_id, best_id, greatest(0, round(list_cosine_similarity(v::DOUBLE[], w::DOUBLE[]), 9)) AS s FROM a, b)
+SELECT case_id, arg_max(best_id, (s, -best_id)) AS best_id, round(max(s), 5) AS similarity FROM s GROUP BY case_id""")
+def cosine_best(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every fiftieth vector against all others."""
+    e = table(spark, d, "embeddings")
+    found = S.best_cosine(e.where("vec_id % 50 = 0"), e.where("vec_id % 50 <> 0"), "vec_id", "embedding")
+    return found.select("case_id", "best_id", F.round("similarity", 5).alias("similarity"))
+
+
+_SETS = f"WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark), t AS (SELECT item_id, {TOKENS} AS x, {TOKENS.replace('text', 'other')} AS y FROM b WHERE other IS NOT NULL) "
+
+
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark")
+    ranked = b.groupBy("item_id").agg(F.min("text").alias("text"))
+    other = ranked.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return ranked.join(other, "item_id").select("item_id", X.token_set(F.col("text")).alias("x"), X.token_set(F.col("other")).alias("y"))
+
+
+@query(_SETS + "SELECT item_id, round(len(list_intersect(x, y)) / least(len(x), len(y))::DOUBLE, 6) AS overlap FROM t")
+def overlap_coefficient(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).select("item_id", F.round(X.overlap_coefficient(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+@query(_SETS + ", v AS (SELECT item_id, round(1 - len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS z FROM t) SELECT count(*) AS n, min(z) AS min, list_sort(list(z))[count(*) // 2 + 1] AS upper_median, max(z) AS max, count(*) FILTER (z < 0.35) AS low, count(*) FILTER (z = 0) AS identical FROM v")
+def divergence_summary(spark: SparkSession, d: str) -> DataFrame:
+    from assayframe.functions.stats import upper_median
+
+    z = _neighbours(spark, d).select(F.round(1 - X.jaccard(F.col("x"), F.col("y")), 6).alias("z"))
+    return z.agg(F.count("*").alias("n"), F.min("z").alias("min"), upper_median("z").alias("upper_median"), F.max("z").alias("max"), F.count_if(F.col("z") < 0.35).alias("low"), F.count_if(F.col("z") == 0).alias("identical"))
+
+
+@query("SELECT conv_id, trim(arg_min(text, turn)) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id HAVING trim(arg_min(text, turn)) <> ''")
+def training_prompts(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.trim(F.min_by("text", "turn")).alias("prompt"))
+    return first.where("prompt <> ''")
+
+
+@query("SELECT p_partkey, regexp_replace(trim(regexp_replace(lower('The ' || p_name), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') AS key, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS loose FROM part")
+def situation_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", X.key_part(F.concat(F.lit("The "), "p_name")).alias("key"), X.loose_id(F.col("p_name")).alias("loose"))
+
+
+@query("SELECT p_partkey, ('0x' || substr(sha256('13:' || p_partkey), 1, 8))::BIGINT AS seed, ('0x' || substr(sha256(p_partkey || ':1'), 1, 8))::BIGINT % 2 = 1 AS flip FROM part")
+def case_seed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", H.case_seed(F.col("p_partkey"), 13).alias("seed"), H.flip(F.col("p_partkey"), "1").alias("flip"))
+
+
+@query("SELECT item_id, substr(sha256('judge:' || text), 1, 10) AS nonce, substr(sha256(text), 1, 12) AS version FROM benchmark")
+def fence_nonce(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", H.fence_nonce(F.col("text"), "judge").alias("nonce"), H.content_hash(F.col("text")).alias("version"))
+
+
+@query("""SELECT count(DISTINCT h) AS settings, count(*) AS n FROM (SELECT substr(sha256('{"label":' || label || ',"part":' || vec_id % 3 || '}'), 1, 12) AS h FROM embeddings)""")
+def settings_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    h = H.record_hash(part=F.col("vec_id") % 3, label=F.col("label"))
+    return table(spark, d, "embeddings").agg(F.countDistinct(h).alias("settings"), F.count("*").alias("n"))
