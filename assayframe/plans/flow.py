@@ -1 +1,104 @@
-"""stub"""
+"""Queries of sampling, settings, sources and ordering."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from assayframe.operators import comparison as C
+from assayframe.operators import sampling as P
+from assayframe.plans.registry import query
+from assayframe.session import scratch
+from assayframe.sources import records as I
+from assayframe.sources.adapters import table
+
+
+@query("SELECT p_partkey, p_brand FROM part ORDER BY sha256('7:' || p_partkey), p_partkey LIMIT 40")
+def hash_sample(spark: SparkSession, d: str) -> DataFrame:
+    return P.hash_sample(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey", 7, count=40)
+
+
+@query("SELECT p_partkey FROM part ORDER BY sha256('11:' || p_partkey), p_partkey LIMIT (SELECT round_even(count(*) * 0.1, 0)::BIGINT FROM part)")
+def hash_sample_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return P.hash_sample(table(spark, d, "part").select("p_partkey"), "p_partkey", 11, fraction=0.1)
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT p_partkey, p_brand FROM r WHERE ((rn - 1 - 3) % n + n) % n < least(n, greatest(2, round_even(n * 0.25, 0)::BIGINT))""")
+def stratified_rotation(spark: SparkSession, d: str) -> DataFrame:
+    return P.rotated(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 3, 0.25, 2)
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, min(p_partkey) OVER (PARTITION BY p_brand) AS f FROM part)
+SELECT p_partkey, p_brand FROM r ORDER BY rn, f LIMIT 30""")
+def round_robin(spark: SparkSession, d: str) -> DataFrame:
+    return P.round_robin(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 30)
+
+
+@query("""WITH a AS (SELECT label, min(vec_id) AS first, min(vec_id) % 3 AS temperature, max(vec_id) % 2 AS seed FROM embeddings GROUP BY label), f AS (SELECT * FROM a ORDER BY first LIMIT 1)
+SELECT a.label, a.temperature IS DISTINCT FROM f.temperature AS temperature_differs, a.seed IS DISTINCT FROM f.seed AS seed_differs FROM a, f""")
+def settings_match(spark: SparkSession, d: str) -> DataFrame:
+    """Each arm's settings against the first arm's; there are as many rows as arms."""
+    arms = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first"), (F.min("vec_id") % 3).alias("temperature"), (F.max("vec_id") % 2).alias("seed"))
+    w = Window.orderBy("first")
+    return arms.select("label", *((~F.first(c).over(w).eqNullSafe(F.col(c))).alias(f"{c}_differs") for c in ("temperature", "seed")))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as JSON lines, with a field that the reading schema doesn't know, and read again."""
+    path = scratch(spark, "jsonl")
+    I.write_records(table(spark, d, "events").select("event_id", "user_id", "event_type", F.lit("x").alias("unknown")), path)
+    return I.read_records(spark, path, "event_id bigint, user_id bigint, event_type string")
+
+
+@query("SELECT l_returnflag AS arm, l_linestatus AS standard, count(*) AS n FROM lineitem GROUP BY ALL")
+def partition_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Results in partitions by arm and standard: what is there is found from the partitions, and standards can't be pooled by mistake."""
+    path = scratch(spark, "results")
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("arm"), F.col("l_linestatus").alias("standard"), "l_orderkey")
+    I.write_records(rows, path, ["arm", "standard"])
+    return spark.read.schema("l_orderkey bigint, arm string, standard string").json(path).groupBy("arm", "standard").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT doc_id % 300 AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, doc_id AS row_idx FROM documents), l AS (SELECT * FROM r WHERE length(text) >= 80),
+i AS (SELECT id, min(row_idx) AS row_idx, arg_min(text, row_idx) AS text FROM l GROUP BY id) SELECT arg_min(id, row_idx) AS id, text, min(row_idx) AS row_idx FROM i GROUP BY text""")
+def public_dataset_rows(spark: SparkSession, d: str) -> DataFrame:
+    return I.public_rows(table(spark, d, "documents").select((F.col("doc_id") % 300).alias("id"), "text", F.col("doc_id").alias("row_idx")))
+
+
+@query("SELECT split_part(o_orderpriority, '-', 1) AS prefix, count(*) AS n FROM orders GROUP BY 1")
+def provenance_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event, arg_min(event_type, (ts, event_id)) AS first_type FROM events GROUP BY user_id")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return C.first_per_key(rows, ["user_id"], ["ts", "event_id"]).select("user_id", F.col("event_id").alias("first_event"), F.col("event_type").alias("first_type"))
+
+
+@query("SELECT c.c_custkey, coalesce(n.n_name, 'unknown') AS label FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 5 <> 0")
+def label_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A label by key, never guessed: unknown where there is none. The lookup is a vocabulary, so it is broadcast."""
+    known = table(spark, d, "nation").where("n_nationkey % 5 <> 0").select("n_nationkey", "n_name")
+    return table(spark, d, "customer").join(F.broadcast(known), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("label"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'replaced' ELSE 'kept' END AS state, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def replace_by_key(spark: SparkSession, d: str) -> DataFrame:
+    docs, new = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("is_new"))
+    out = docs.join(new, "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("is_new"), "replaced").otherwise("kept").alias("state"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d ANTI JOIN (SELECT * FROM labels WHERE toxic = 1) l USING (doc_id)")
+def reviewed_drop(spark: SparkSession, d: str) -> DataFrame:
+    """Cases without those that a review blocks."""
+    blocked = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").select("doc_id", "source").join(blocked, "doc_id", "left_anti")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY event_type")
+def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seq"))

@@ -1 +1,110 @@
-"""stub"""
+"""Queries over suites: validation, coverage and summaries, with conversations as suites (a conversation a family, its turns the cases)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayframe.operators import graph as G
+from assayframe.operators import validate as R
+from assayframe.plans.registry import query
+from assayframe.sources.adapters import table
+
+CASES_SQL = """SELECT conv_id * 1000 + turn AS case_id, conv_id AS group_id, CASE WHEN turn = 0 AND conv_id % 7 <> 0 THEN 'original' WHEN turn % 3 = 0 THEN 'paraphrase' WHEN turn % 3 = 1 THEN 'pressure' ELSE 'correction' END AS variant,
+CASE WHEN turn > 0 AND turn % 3 <> 0 THEN conv_id * 1000 + turn - CASE WHEN conv_id % 11 = 0 THEN 400 ELSE 1 END END AS parent_id, role, text FROM conversations"""
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    t, c = F.col("turn"), F.col("conv_id")
+    back = F.when(c % 11 == 0, 400).otherwise(1)
+    return table(spark, d, "conversations").select(
+        (c * 1000 + t).alias("case_id"), c.alias("group_id"),
+        F.when((t == 0) & (c % 7 != 0), "original").when(t % 3 == 0, "paraphrase").when(t % 3 == 1, "pressure").otherwise("correction").alias("variant"),
+        F.when((t > 0) & (t % 3 != 0), c * 1000 + t - back).alias("parent_id"), "role", "text",
+    )
+
+
+@query(f"""WITH c AS ({CASES_SQL})
+SELECT case_id::VARCHAR AS entity_id, 'has_text' AS rule, '' AS detail FROM c WHERE text IS NULL OR trim(text) = ''
+UNION ALL SELECT case_id::VARCHAR, 'known_role', '' FROM c WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+UNION ALL SELECT case_id::VARCHAR, 'unique_id', count(*)::VARCHAR FROM c GROUP BY case_id HAVING count(*) > 1
+UNION ALL SELECT case_id::VARCHAR, 'parent_exists', parent_id::VARCHAR FROM c WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT case_id FROM c)
+UNION ALL SELECT case_id::VARCHAR, 'has_original', variant FROM c WHERE variant <> 'original' AND group_id NOT IN (SELECT group_id FROM c WHERE variant = 'original')""")
+def suite_validation(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d)
+    return R.union(
+        R.violations(c, "case_id", {"has_text": F.trim("text") != "", "known_role": F.col("role").isin("user", "assistant")}),
+        R.duplicates(c, "case_id"),
+        R.missing_keys(c, "case_id", "parent_id", c, "case_id", "parent_exists"),
+        R.without_original(c, ["group_id"]),
+    )
+
+
+@query(None)
+def rubric_validation(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    words = F.split("p_name", " ")
+    rules = R.rubric_rules(words, F.array_append(words, "x"), F.slice(words, 1, 4), words, F.filter(words, lambda w: F.length(w) > 3))
+    return R.violations(p, "p_partkey", rules, F.col("p_name"))
+
+
+@query(f"WITH RECURSIVE c AS ({CASES_SQL}), k AS (SELECT DISTINCT case_id, parent_id FROM c), l AS (SELECT case_id, 0 AS level FROM k WHERE parent_id IS NULL OR parent_id NOT IN (SELECT case_id FROM k) UNION ALL SELECT k.case_id, l.level + 1 FROM k JOIN l ON k.parent_id = l.case_id) SELECT case_id, level FROM l")
+def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
+    return G.levels(cases(spark, d).select("case_id", "parent_id").distinct())
+
+
+def _prune_sql(rounds: int = 10) -> str:
+    steps = [f"c AS ({CASES_SQL})", "p0 AS (SELECT * FROM c)"]
+    for i in range(rounds):
+        steps.append(f"p{i + 1} AS (SELECT * FROM p{i} WHERE group_id IN (SELECT group_id FROM p{i} WHERE variant = 'original') AND (parent_id IS NULL OR parent_id IN (SELECT case_id FROM p{i} WHERE group_id IN (SELECT group_id FROM p{i} WHERE variant = 'original'))))")
+    return f"WITH {', '.join(steps)} SELECT case_id, variant FROM p{rounds}"
+
+
+@query(_prune_sql())
+def prune_unsupported(spark: SparkSession, d: str) -> DataFrame:
+    return G.prune(cases(spark, d).select("case_id", "group_id", "variant", "parent_id")).select("case_id", "variant")
+
+
+@query(f"WITH RECURSIVE c AS ({CASES_SQL}), w AS (SELECT case_id FROM c WHERE case_id % 1000 >= 5 UNION SELECT c.parent_id FROM c JOIN w ON c.case_id = w.case_id WHERE c.parent_id IS NOT NULL) SELECT case_id FROM w")
+def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d)
+    return G.closure(c.where("case_id % 1000 >= 5"), c)
+
+
+@query(f"WITH c AS ({CASES_SQL}) SELECT variant, count(*) AS cases, count(DISTINCT group_id) AS families, count(parent_id) AS continuations, count(*) FILTER (role = 'user') AS user_turns FROM c GROUP BY variant")
+def suite_summary(spark: SparkSession, d: str) -> DataFrame:
+    return cases(spark, d).groupBy("variant").agg(F.count("*").alias("cases"), F.countDistinct("group_id").alias("families"), F.count("parent_id").alias("continuations"), F.count_if(F.col("role") == "user").alias("user_turns"))
+
+
+@query(f"WITH c AS ({CASES_SQL}) SELECT v.case_id AS variant_case, o.case_id AS original_case, v.variant FROM c v JOIN c o ON o.group_id = v.group_id AND o.variant = 'original' WHERE v.variant <> 'original'")
+def variant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d)
+    originals = c.where("variant = 'original'").select("group_id", F.col("case_id").alias("original_case"))
+    return c.where("variant <> 'original'").join(originals, "group_id").select(F.col("case_id").alias("variant_case"), "original_case", "variant")
+
+
+@query(f"WITH c AS ({CASES_SQL}) SELECT a.case_id, CASE WHEN a.parent_id IS NULL THEN 'fresh' WHEN b.case_id IS NULL THEN 'unexpected' ELSE 'continuation' END AS isolation FROM c a LEFT JOIN (SELECT DISTINCT case_id FROM c) b ON b.case_id = a.parent_id")
+def isolation_classes(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d)
+    known = c.select(F.col("case_id").alias("p")).distinct()
+    return c.join(known, F.col("parent_id") == F.col("p"), "left").select("case_id", F.when(F.col("parent_id").isNull(), "fresh").when(F.col("p").isNull(), "unexpected").otherwise("continuation").alias("isolation"))
+
+
+@query(f"WITH c AS ({CASES_SQL}) SELECT a.case_id, coalesce(b.text || chr(10), '') || a.text AS text FROM c a LEFT JOIN c b ON b.case_id = a.parent_id")
+def comparable_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A continuation's text behind its parent's."""
+    c = cases(spark, d)
+    parents = c.select(F.col("case_id").alias("p"), F.col("text").alias("before"))
+    return c.join(parents, F.col("parent_id") == F.col("p"), "left").select("case_id", F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), "text").alias("text"))
+
+
+@query("""SELECT dimension, reachable, CASE WHEN NOT reachable THEN 'unreachable' WHEN selected = 0 THEN 'not selected' WHEN scored = 0 THEN 'never scored' WHEN scored < selected THEN 'partly scored' ELSE 'scored' END AS status, selected, scored
+FROM (SELECT d.dimension, d.dimension <= 9 AS reachable, count(l_linenumber) AS selected, count(*) FILTER (l_linenumber IS NOT NULL AND round(l_tax * 100) <> 8) AS scored
+      FROM range(1, 11) d(dimension) LEFT JOIN lineitem ON l_linenumber = d.dimension GROUP BY d.dimension)""")
+def dimension_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The ten dimensions, those without rows too."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("dimension")).agg(F.count("*").alias("selected"), F.count_if(F.round(F.col("l_tax") * 100) != 8).alias("scored"))
+    full = spark.range(1, 11).withColumnRenamed("id", "dimension").join(F.broadcast(rows), "dimension", "left").fillna(0, ["selected", "scored"])
+    reach = F.col("dimension") <= 9
+    status = F.when(~reach, "unreachable").when(F.col("selected") == 0, "not selected").when(F.col("scored") == 0, "never scored").when(F.col("scored") < F.col("selected"), "partly scored").otherwise("scored")
+    return full.select("dimension", reach.alias("reachable"), status.alias("status"), "selected", "scored")
