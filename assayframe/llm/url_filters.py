@@ -75,7 +75,7 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """a, b: nodes that a page equates by a canonical link or a redirect (meta refresh).
+    """a_url, b_url: URLs that a page equates by a canonical link or a redirect (meta refresh).
 
     Relative targets are resolved against the scheme and host of the page.
     """
@@ -97,8 +97,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
         pages.where(may)
         .select(F.col(url).alias("_url"), F.explode(wanted).alias("tag"))
         .select("_url", target.alias("target"))
-        .select(node_of(F.col("_url")).alias("a"), node_of(whole).alias("b"))
-        .where("a is not null and b is not null and a <> b")
+        .select(F.col("_url").alias("a_url"), whole.alias("b_url"))
     )
 
 
@@ -110,14 +109,19 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, u
     judged = with_rules(pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in RESULTS)).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}), rules)
     links = alias_edges(pages, url, html) if html else None
     if edges is not None:
-        given = edges.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
+        given = edges.select(F.col("a").alias("a_url"), F.col("b").alias("b_url"))
         links = given if links is None else links.union(given)
-    roots = components(links) if links is not None else None
+    roots = None
+    if links is not None:
+        links = links.withColumns({"a": node_of(F.col("a_url")), "b": node_of(F.col("b_url"))}).where("a is not null and b is not null")
+        roots = components(links.select("a", "b"))
     if roots is None or roots.isEmpty():
         decided = judged.withColumn("_said", F.lit(None).cast("string"))
     else:
         members = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
-        of_urls = with_rules(members.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
+        # Rules judge the URLs as they are named, not the nodes they fall into.
+        named = links.select(F.col("a").alias("node"), F.col("a_url").alias("url")).union(links.select("b", "b_url")).distinct()
+        of_urls = with_rules(members.join(named, "node").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
         # allow < block: the least of the actions is an allow wherever there is one
         said = of_urls.groupBy("root").agg(F.min("_rule.action").alias("_said")).where("_said is not null")
         by_node = members.join(said, "root").select(F.col("node").alias("_node"), "_said")
