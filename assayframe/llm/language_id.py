@@ -51,17 +51,20 @@ def is_training(doc_id: Column, folds: int = 5) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language, the one with most labelled rows first.
 
-    The sample is `docs` rows a language, bounded, whatever the table's size; the
-    ranking is cut to it before the shuffle, so no language's rows meet in one task.
+    The sample is `docs` rows a language at most, whatever the table's size.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).cast("string").alias("lang"), F.substring(F.col(text), 1, SHARE_BYTES).alias("text"), F.xxhash64(F.col(order).cast("string")).alias("key")
     )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("rank") <= docs)
-    parts: dict[str, dict[str, None]] = {}
-    for r in ranked.orderBy("lang", "rank").limit(docs * MAX_LANGUAGES).toLocalIterator():
-        parts.setdefault(r["lang"], {})[r["text"]] = None  # copies count once
     weights = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    parts: dict[str, dict[str, None]] = {}
+    if weights:
+        # About twice the wanted rows of each language pass, by their hash, so the ranking is small whatever the table's size.
+        share = rows.sparkSession.createDataFrame([(k, min(1.0, 2 * docs / n)) for k, n in weights.items()], "lang string, share double")
+        some = rows.join(F.broadcast(share), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("rank") <= docs)
+        for r in ranked.select("lang", "rank", "text").orderBy("lang", "rank").toLocalIterator():
+            parts.setdefault(r["lang"], {})[r["text"]] = None  # copies count once
     out = {}
     for k in sorted(weights, key=lambda k: (-weights[k], k)):
         body, room = [], size
