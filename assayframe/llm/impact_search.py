@@ -15,7 +15,8 @@ to k a query joins the blocks.
 Defined results: vectors null, empty, or holding null or non-finite components take no
 part, neither as queries nor as candidates; vectors are compared with those of equal
 length; ties go to the smaller id; rows that share the query's id are not its
-candidates; other rows of one id are ranked each; a query without candidates has no row.
+candidates, and the least of their vectors is the query; other rows of one id are
+ranked each; a query without candidates has no row.
 """
 
 from __future__ import annotations
@@ -159,6 +160,7 @@ def _search(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of vectors for each row of queries (both as of quantised)."""
     index, n = build_index(vectors, block)
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     parts = max(1, math.ceil(queries.count() / query_block))
     # Queries are dealt evenly too; each block of them is sent to each block of vectors by an equi-join.
     dealt = queries.repartition(parts).groupBy(F.spark_partition_id().alias("part"), F.size("v").alias("width")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
