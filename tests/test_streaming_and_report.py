@@ -1,5 +1,6 @@
 import datetime
 import json
+import uuid
 
 from pyspark.sql import Row
 
@@ -13,7 +14,8 @@ def test_stream_drops_repeats_and_goes_on(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1).isoformat()
     row = {"arm": "a", "case_id": 1, "family_id": "f", "dimension": "d", "score": 1, "judge_pass": 0, "graded_at": at}
     (source / "1.json").write_text("\n".join(json.dumps(r) for r in (row, {**row, "score": 2}, {**row, "case_id": 2}, {**row, "judge_pass": 1})))
-    run = lambda: S.append_parquet(S.first_gradings(S.score_stream(spark, str(source))), out, tmp_path.name).awaitTermination(60)
+    name = uuid.uuid4().hex
+    run = lambda: S.append_parquet(S.first_gradings(S.score_stream(spark, str(source))), out, name).awaitTermination(60)
     run()
     assert spark.read.parquet(out).count() == 2
     (source / "2.json").write_text("\n".join(json.dumps(r) for r in (row, {**row, "case_id": 3})))
