@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers, and those that go into one query.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 700_000
 QUERY_PIECES = 20_000
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000
+#: Characters of texts whose pieces are coded together.
+PART_CHARS = 4_000_000
 
 #: Bytes from which a piece counts as long.
 LONG_BYTES = 64
@@ -166,28 +168,44 @@ class PieceCoder:
             if part:
                 self._code(part, sql)
 
-    def code(self, text: str) -> Iterator[tuple[list[str], list[int], list[bytes]]]:
-        """ids (joined by commas), counts and bytes of the pieces of text, span by span."""
-        found, part, size = self.pattern.finditer(text), [], 0
+    def spans(self, text: str) -> Iterator[list[str]]:
+        """The pieces of text, in lists of a bounded size."""
         if len(text) <= SPAN_CHARS:
-            yield self._known(self.pattern.findall(text))
+            yield self.pattern.findall(text)
             return
-        for m in found:
+        part, size = [], 0
+        for m in self.pattern.finditer(text):
             part.append(m.group())
             size += len(part[-1])
             if size >= SPAN_CHARS:
-                yield self._known(part)
+                yield part
                 part, size = [], 0
-        yield self._known(part)
+        yield part
 
-    def _known(self, pieces: list[str]) -> tuple[list[str], list[int], list[bytes]]:
-        known = self.known
+    def code(self, pieces: list[str]) -> list[tuple[str, int, bytes]]:
+        """ids (joined by commas), count and bytes of each piece."""
         try:
-            rows = [known[p] for p in pieces]
+            known = self.known
+            return [known[p] for p in pieces]
         except KeyError:
             self.learn(set(pieces))
-            rows = [self.known[p] for p in pieces]
-        return ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) if rows else ([], [], [])
+            return [self.known[p] for p in pieces]
+
+    def texts(self, texts: list[str]) -> Iterator[Iterator[list[tuple[str, int, bytes]]]]:
+        """For each text the codes of its pieces, span by span. The pieces of many texts are coded together."""
+        part, size = [], 0
+        for t in texts:
+            part.append(next(self.spans(t)) if len(t) <= SPAN_CHARS else t)
+            size += min(len(t), SPAN_CHARS)
+            if size >= PART_CHARS:
+                yield from self._together(part)
+                part, size = [], 0
+        yield from self._together(part)
+
+    def _together(self, part: list[list[str] | str]) -> Iterator[Iterator[list[tuple[str, int, bytes]]]]:
+        self.learn(set().union(*(x for x in part if isinstance(x, list))))
+        for x in part:
+            yield map(self.code, [x] if isinstance(x, list) else self.spans(x))
 
 
 @lru_cache(maxsize=2)
@@ -195,41 +213,24 @@ def coder_of(path: str, pattern: str) -> PieceCoder:
     return PieceCoder(path, pattern)
 
 
-def digest(coder: PieceCoder, text: str) -> tuple[int, str, str]:
-    """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes)."""
+def digest(spans: Iterator[list[tuple[str, int, bytes]]]) -> tuple[int, str, str]:
+    """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes) of a text's codes."""
     ids, plain, n = hashlib.sha256(), hashlib.sha256(), 0
-    for some, counts, parts in coder.code(text):
-        if some:
+    for codes in spans:
+        if codes:
+            some, counts, parts = zip(*codes, strict=True)
             ids.update((("," if n else "") + ",".join(some)).encode())
             plain.update(b"".join(parts))
             n += sum(counts)
     return n, ids.hexdigest(), plain.hexdigest()
 
 
-def _warm(coder: PieceCoder, texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
-    """texts in parts of a bounded size, each after its pieces have been coded together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= chars:
-            yield coder_part(coder, part)
-            part, size = [], 0
-    if part:
-        yield coder_part(coder, part)
-
-
-def coder_part(coder: PieceCoder, part: list[str]) -> list[str]:
-    coder.learn({p for t in part if len(t) <= SPAN_CHARS for p in coder.pattern.findall(t)})
-    return part
-
-
 def _digests(path: str, pattern: str):
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = coder_of(path, pattern)
         for texts in batches:
-            rows = [digest(coder, t) for part in _warm(coder, [x or "" for x in texts]) for t in part]
+            rows = [digest(spans) for spans in coder.texts([x or "" for x in texts])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -240,7 +241,7 @@ def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = coder_of(path, pattern)
         for texts in batches:
-            rows = [[int(i) for some, _, _ in coder.code(t) for p in some for i in p.split(",")] for part in _warm(coder, [x or "" for x in texts]) for t in part]
+            rows = [[int(i) for codes in spans for c in codes for i in c[0].split(",")] for spans in coder.texts([x or "" for x in texts])]
             yield pd.Series(rows)
 
     return run
