@@ -15,6 +15,7 @@ that has the name of a result is replaced.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +44,29 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
+def load_bare(path: str):
+    """The same tokenizer without its normaliser, for texts that lower() alone normalises; None if the normaliser does anything else."""
+    import json
+
+    from tokenizers import normalizers
+
+    with open(path, encoding="utf-8") as f:
+        steps = json.load(f).get("normalizer") or {}
+    kinds = [x.get("type") for x in steps.get("normalizers", [steps])]
+    known = kinds == ["NFC", "Replace", "Lowercase"] and steps["normalizers"][1].get("content") == " " and steps["normalizers"][1].get("pattern") == {"Regex": "\\s+"}
+    if not known:
+        return None
+    tokenizer = load_tokenizer.__wrapped__(path)
+    tokenizer.normalizer = normalizers.Sequence([])
+    return tokenizer
+
+
+#: What keeps a text from being normalised by lower() alone: characters beyond Latin, which may compose or have a case of more
+#: than one character, and marks that could become special tokens.
+_NOT_BARE = re.compile("[^\x00-\u012f\u0131-\u0148\u014a-\u017e]|<\\|")
+
+
 def stable(text: str, at: int) -> bool:
     """Whether nothing left of `at` can change how the text from `at` on is encoded, nor the other way.
 
@@ -107,36 +131,33 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OV
     return total + len(current) - skip
 
 
-def count_texts(tokenizer, texts: list[str], chunk: int = CHUNK_CHARS) -> list[int]:
-    """Tokens of each text, in calls of a bounded size."""
-    out, batch, size = [0] * len(texts), [], 0
-
-    def flush() -> None:
-        for k, e in zip(batch, tokenizer.encode_batch_fast([texts[k] for k in batch], add_special_tokens=False), strict=True):
-            out[k] = len(e)
-        batch.clear()
-
+def count_texts(tokenizer, texts: list[str], chunk: int = CHUNK_CHARS, bare=None) -> list[int]:
+    """Tokens of each text, in calls of a bounded size. bare: as of load_bare."""
+    out = [0] * len(texts)
     for k, text in enumerate(texts):
-        if not text:
-            continue
         if len(text) > chunk:
             out[k] = count_huge(tokenizer, text, chunk)
-            continue
-        batch.append(k)
-        size += len(text)
-        if size >= BATCH_CHARS:
-            flush()
-            size = 0
-    flush()
+    short = [k for k, text in enumerate(texts) if 0 < len(text) <= chunk]
+    simple = [k for k in short if bare is not None and not _NOT_BARE.search(texts[k])]
+    other = sorted(set(short) - set(simple))
+    for keys, by, form in ((simple, bare, str.lower), (other, tokenizer, str)):
+        batch, size = [], 0
+        for at, k in enumerate(keys):
+            batch.append(k)
+            size += len(texts[k])
+            if size >= BATCH_CHARS or at == len(keys) - 1:
+                for i, e in zip(batch, by.encode_batch_fast([form(texts[i]) for i in batch], add_special_tokens=False), strict=True):
+                    out[i] = len(e)
+                batch, size = [], 0
     return out
 
 
 def counter(path: str, chunk: int = CHUNK_CHARS):
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = load_tokenizer(path)
+        tokenizer, bare = load_tokenizer(path), load_bare(path)
         for texts in batches:
-            yield pd.Series(count_texts(tokenizer, [x or "" for x in texts], chunk), dtype="int64")
+            yield pd.Series(count_texts(tokenizer, [x or "" for x in texts], chunk, bare), dtype="int64")
 
     return tokens
 

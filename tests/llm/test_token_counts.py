@@ -48,3 +48,13 @@ def test_operator(spark, library):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((t or "").encode()), n, n > 2048)
     assert T.token_counts(df.limit(0), PATH).count() == 0
     _ = F
+
+
+def test_texts_that_lower_alone_normalises(library):
+    """Every character for which the normaliser is left out, beside others, in words and alone."""
+    tokenizer, bare = T.load_tokenizer(PATH), T.load_bare(PATH)
+    assert bare is not None
+    rng = random.Random(9)
+    latin = [chr(c) for c in range(0x17F) if c not in (0x130, 0x149)]
+    rows = [f"A{c}b {c} {c}{c}\t{c}'s" for c in latin] + ["".join(rng.choices(latin, k=80)) for _ in range(2000)] + ["İ", "ŉ", "ſ", "Áb", "<|ENDOFTEXT|> x", "ΑΣ Σ"]
+    assert T.count_texts(tokenizer, rows, bare=bare) == [len(library.encode(t, add_special_tokens=False)) for t in rows]
