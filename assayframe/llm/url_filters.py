@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.components import components
+from assayframe.session import cut
 
 #: Beyond this number, rules are joined as a table instead of being part of the expression.
 INLINE_RULES = 64
@@ -79,7 +80,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
     Relative targets are resolved against the scheme and host of the page.
     """
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     wanted = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
     may = F.col(html).rlike(r"(?i)canonical|http-equiv")
     target = F.coalesce(
@@ -113,7 +114,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, u
         links = given if links is None else links.union(given)
     roots = None
     if links is not None:
-        links = links.withColumns({"a": node_of(F.col("a_url")), "b": node_of(F.col("b_url"))}).where("a is not null and b is not null")
+        # Few rows beside the pages, and read twice below.
+        links = cut(links.where("a_url is not null and b_url is not null"))
+        links = cut(links.withColumns({"a": node_of(F.col("a_url")), "b": node_of(F.col("b_url"))}).where("a is not null and b is not null"))
         roots = components(links.select("a", "b"))
     if roots is None or roots.isEmpty():
         decided = judged.withColumn("_said", F.lit(None).cast("string"))
