@@ -96,7 +96,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**OPERATORS, "pipeline": corpus_pipeline.run}
 
 
+_RULE_CASES = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'action': '{a}'}}" for h, p, a in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+)
+_HOST = "coalesce(translate(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+_NODE = "CASE WHEN regexp_matches({0}, '^[^:/?#]+://') THEN regexp_replace(lower(regexp_extract({0}, '^([^:/?#]+://[^/?#]*)', 1)) || regexp_extract({0}, '^[^:/?#]+://[^/?#]*([^#]*)', 1), '/+$', '') END"
+
 ORACLE_SQL = {
+    "op1_url_filters": f"""
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
+wanted AS (SELECT url, coalesce(nullif(regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '')) AS target
+           FROM tags WHERE regexp_matches(tag, '(?i)rel\\s*=\\s*["'']?canonical\\b|http-equiv\\s*=\\s*["'']?refresh\\b')),
+whole AS (SELECT url AS a_url, CASE WHEN regexp_matches(target, '^[^:/?#]+://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '^([^:/?#]+):', 1) || ':' || target
+                 WHEN starts_with(target, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || target END AS b_url FROM wanted),
+edges AS (SELECT a_url, b_url, {_NODE.format("a_url")} AS a, {_NODE.format("b_url")} AS b FROM whole),
+named AS (SELECT a AS node, a_url AS u FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, b_url FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
+step AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(node, other) AS (SELECT node, node FROM named UNION SELECT r.node, s.b FROM reach r JOIN step s ON s.a = r.other),
+judged AS (SELECT node, (CASE {_RULE_CASES} END).action AS action FROM (SELECT node, {_HOST.format("u")} AS host, {_PATH.format("u")} AS path FROM named)),
+said AS (SELECT r.node, min(j.action) AS action FROM reach r JOIN judged j ON j.node = r.other GROUP BY r.node),
+p AS (SELECT page_id, host, path, CASE {_RULE_CASES} END AS r, {_NODE.format("url")} AS node FROM (SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages))
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, said.action, 'allow') AS verdict FROM p LEFT JOIN said ON said.node = p.node
+""",
+    "op4_sharding": f"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+c AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, crc_table),
+d AS (SELECT *, (('0x' || substr(md5(doc_id || ':' || text_crc32), 1, 8))::BIGINT % {virtual_slots.N_SLOTS})::INT AS virtual_slot FROM c),
+s AS (SELECT virtual_slot, sum(size)::BIGINT AS n_bytes, count(*) AS n_rows, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS rn FROM d GROUP BY virtual_slot),
+p(rn, loads, shard, virtual_slot) AS (
+    SELECT 0::BIGINT, list_transform(range({SHARDS}), lambda x: 0::BIGINT), -1, -1
+    UNION ALL
+    SELECT s.rn, list_transform(p.loads, lambda v, i: CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN v + s.n_bytes ELSE v END), list_position(p.loads, list_min(p.loads)) - 1, s.virtual_slot FROM p JOIN s ON s.rn = p.rn + 1
+),
+m AS (SELECT p.virtual_slot, p.shard, coalesce(sum(s.n_rows) OVER (PARTITION BY p.shard ORDER BY p.virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p JOIN s USING (virtual_slot))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, (start + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32) - 1)::BIGINT AS slot, NULL::INT AS grown_shard,
+       virtual_slot, 1 AS map_version FROM d JOIN m USING (virtual_slot)
+""",
     "op6_exact_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
