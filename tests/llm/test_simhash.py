@@ -107,17 +107,75 @@ def test_components_of_a_chain_a_star_loops_and_nulls(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_one_of_each_group_stays(spark):
-    rows = texts()
+def shingles(t):
+    w = (t or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)}
+
+
+def plain_groups(rows, similarity=0.8):
+    """The rows that stay, by brute force over all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(root(k), []).append((i is None, i or 0))
+    return sorted(str(None if last else i) for last, i in map(min, groups.values()))
+
+
+def copies():
+    """Texts with copies edited to similarities on either side of the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(25):
+        base = [f"t{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 500))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.randint(0, 8)):
+            w = list(base)
+            for _ in range(int(len(w) * rng.choice((0.004, 0.01, 0.015, 0.05, 0.1)))):
+                w[rng.randrange(len(w))] = f"new{rng.randint(0, 99)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_one_of_each_group_stays(spark, monkeypatch):
+    rows = copies() + [(900 + i, t) for i, t in enumerate([None, "", " \t", "one", "One", "one two three four five", "ONE two  three four five"])] + [(None, "null id only here"), (3, copies()[3][1])]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, fp string")
-    out = S.keep_one(df)
-    assert out.columns == df.columns
-    want = {c for _, _, c in plain_components(rows)}
-    kept = [str(r["doc_id"]) for r in out.collect()]
-    assert sorted(kept) == sorted(want)
+    for tile, shingle_tile in ((2048, 150_000), (10, 900)):
+        monkeypatch.setattr(S, "TILE_SHINGLES", shingle_tile)
+        out = S.keep_one(df, tile=tile)
+        assert out.columns == df.columns
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == plain_groups(rows)
     assert S.keep_one(df.limit(0)).count() == 0
 
 
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 300, size=rng.integers(0, 80))) for _ in range(n)] for n in (7, 5))
+    monkeypatch.setattr(S, "COLUMNS", 16)
+    assert np.array_equal(S.shared_counts(a, b), [[len(np.intersect1d(x, y)) for y in b] for x in a])
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(300)]
+    rows = []
+    for k in range(600):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    assert [r["doc_id"] for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), tile=128).collect()] == [0]
+
+
 def test_repeated_ids_with_other_texts_stay(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "something else entirely here"), (2, "alpha beta gamma delta")], "doc_id long, text string")
     assert sorted(r["text"] for r in S.keep_one(df).collect()) == ["alpha beta gamma delta", "something else entirely here"]
