@@ -77,13 +77,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     span = max(map(len, masks))
     items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("h")).where(F.size("h") >= span)
     items = items.groupBy("h").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("h"))
-    seeds = cut(_windows(items, masks).groupBy("seed", "item").agg(F.min("item_id").alias("item_id"), F.min("at").alias("item_at"), F.first("h").alias("item_h")))
+    seeds = cut(_windows(items, masks).groupBy("seed", "item").agg(F.min("item_id").alias("item_id"), F.min("at").alias("item_at")))
+    whole = cut(items.select("item", F.col("h").alias("item_h")))
     blocks = max(1, math.ceil(seeds.count() / SEED_ROWS))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), word_hashes(F.col(text)).alias("h"))
     found = None
     for b in range(blocks):
-        part = seeds.where(F.pmod("item", F.lit(blocks)) == b) if blocks > 1 else seeds
-        hits = _windows(rows, masks).join(F.broadcast(part), "seed")
+        # Seeds are few bytes each; the items' words, about half as many as seeds, are only looked up for hits.
+        mine = F.pmod("item", F.lit(blocks)) == b
+        hits = _windows(rows, masks).join(F.broadcast(seeds.where(mine)), "seed").join(F.broadcast(whole.where(mine)), "item")
         # One row a document, item and diagonal goes on, with the agreement of all the item's words.
         shift = F.col("at") - F.col("item_at")
         lines = hits.select("doc_id", content_key(F.col("_text")).alias("key"), "item", "item_id", shift.alias("shift"), _flags(F.col("h"), F.col("item_h"), shift).alias("flags"))
