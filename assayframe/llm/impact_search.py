@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from assayframe.session import cut
 
 SCALE = 1024
-BLOCK = 8_192
+#: Components of a block's vectors together: 4 MB in each of the index's three arrays.
+BLOCK_VALUES = 524_288
 QUERY_BLOCK = 256
 LEVELS = 16
 #: Possible members up to which the search stops and rescores.
@@ -66,9 +67,10 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def build_index(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """(the index, number of blocks) of vectors (as of quantised), stored by a checkpoint."""
-    n = max(1, math.ceil(vectors.count() / block))
+def build_index(vectors: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:
+    """(the index, number of blocks) of vectors (as of quantised), stored by a checkpoint. block: vectors of a block, by default as BLOCK_VALUES allows."""
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    n = max(1, math.ceil(size["n"] / (block or max(1, BLOCK_VALUES // (size["width"] or 1)))))
     return cut(vectors.repartition(n).withColumn("block", F.spark_partition_id()).mapInPandas(_index, INDEX)), n
 
 
@@ -157,7 +159,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of vectors for each row of queries (both as of quantised)."""
     index, n = build_index(vectors, block)
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
