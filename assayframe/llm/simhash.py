@@ -123,20 +123,34 @@ def _compare(radius: int):
     return run
 
 
+def _tiles(rows: DataFrame, cell: str, parts: Column, row: Column) -> DataFrame:
+    """rows (with key) of each cell dealt by the key into so many tiles, which come out near equal: cell, part, parts, rows."""
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    return cut(dealt.groupBy(cell, "part").agg(F.collect_list(row).alias("rows"), F.max("parts").alias("parts")))
+
+
+def _tile_pairs(tiles: DataFrame, cell: str, steps: tuple[int, ...]) -> DataFrame:
+    """left, right, same: each pair of tiles of one cell (step 0) and of cells apart by the other steps, once.
+
+    A tile is sent to its partners by cell and part, so the pairs of a cell with many tiles spread over many tasks.
+    """
+    sizes = tiles.groupBy(cell).agg(F.max("parts").alias("other_parts")).withColumnRenamed(cell, "other")
+    start = tiles.withColumn("step", F.explode(F.array(*map(F.lit, steps))))
+    start = start.withColumn("other", F.col(cell) + F.col("step") if len(steps) > 1 else F.col(cell))
+    first = F.when(F.col("step") == 0, F.col("part")).otherwise(0)
+    sent = start.join(sizes, "other").where(first < F.col("other_parts")).withColumn("other_part", F.explode(F.sequence(first, F.col("other_parts") - 1)))
+    right = tiles.select(F.col(cell).alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("right"))
+    same = (F.col("step") == 0) & (F.col("part") == F.col("other_part"))
+    return sent.join(right, ["other", "other_part"]).select(F.col("rows").alias("left"), "right", same.alias("same"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all that lie within the radius."""
-    cells = distinct.select("fp", _counts(F.col("fp")).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    # A fingerprint's tile follows from its hash, in as many parts as the cell needs; parts are of about the tile's size.
-    parts = F.ceil(F.col("n") / (tile * 3 // 4)).cast("int")
-    tiled = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    tiles = cut(tiled.groupBy("cell", "part").agg(F.sort_array(F.collect_list("fp")).alias("fps")))
-    offsets = F.array(*(F.lit(sum(d * 17 ** (QUARTERS - 1 - i) for i, d in enumerate(x))) for x in _near_cells(radius)))
-    right = tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("right"))
-    left = tiles.select("cell", "part", F.col("fps").alias("left"), F.explode(offsets).alias("offset")).withColumn("other", F.col("cell") + F.col("offset"))
-    pairs = left.join(right, "other").where((F.col("offset") != 0) | (F.col("part") <= F.col("other_part")))
-    same = (F.col("offset") == 0) & (F.col("part") == F.col("other_part"))
-    return pairs.select("left", "right", same.alias("same")).mapInPandas(_compare(radius), "a long, b long")
+    cells = distinct.select(F.col("fp").alias("key"), _counts(F.col("fp")).alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
+    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), F.col("key"))
+    steps = tuple(sum(d * 17 ** (QUARTERS - 1 - i) for i, d in enumerate(x)) for x in _near_cells(radius))
+    return _tile_pairs(tiles, "cell", steps).mapInPandas(_compare(radius), "a long, b long")
 
 
 def _members(df: DataFrame, doc_id: str, text: str, radius: int, tile: int) -> DataFrame:
@@ -278,24 +292,6 @@ def _verify(similarity: float):
     return run
 
 
-def _tile_pairs(tiles: DataFrame, cell: str, steps: tuple[int, ...]) -> DataFrame:
-    """left, right, same: pairs of tiles (cell, part, parts, rows), each once, of one cell and of cells apart by the steps."""
-    sizes = tiles.groupBy(cell).agg(F.max("parts").alias("other_parts")).withColumnRenamed(cell, "other")
-    start = tiles if steps == (0,) else tiles.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("other", F.col(cell) + F.col("step"))
-    start = start.withColumns({"step": F.lit(0), "other": F.col(cell)}) if steps == (0,) else start
-    first = F.when(F.col("step") == 0, F.col("part")).otherwise(0)
-    sent = start.join(sizes, "other").where(first < F.col("other_parts")).withColumn("other_part", F.explode(F.sequence(first, F.col("other_parts") - 1)))
-    right = tiles.select(F.col(cell).alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("right"))
-    same = (F.col("step") == 0) & (F.col("part") == F.col("other_part"))
-    return sent.join(right, ["other", "other_part"]).select(F.col("rows").alias("left"), "right", same.alias("same"))
-
-
-def _tiles(rows: DataFrame, cell: str, parts: Column, row: Column) -> DataFrame:
-    """rows (with key) of each cell dealt into so many tiles by the key."""
-    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-    return cut(dealt.groupBy(cell, "part").agg(F.collect_list(row).alias("rows"), F.max("parts").alias("parts")))
-
-
 def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
     """key, root: for the MD5 of each text that isn't the first of its group, and that of the first, the group's name."""
     keyed = df.select(F.col(text).alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
