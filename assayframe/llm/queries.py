@@ -103,7 +103,52 @@ _HOST = "coalesce(translate(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), 'AB
 _PATH = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 _NODE = "CASE WHEN regexp_matches({0}, '^[^:/?#]+://') THEN regexp_replace(lower(regexp_extract({0}, '^([^:/?#]+://[^/?#]*)', 1)) || regexp_extract({0}, '^[^:/?#]+://[^/?#]*([^#]*)', 1), '/+$', '') END"
 
+#: The base findings' plain patterns, as the contract has them.
+_PII = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
+    "ip": "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)",
+    "card": "[0-9](?:[\\x20-]?[0-9])+",
+    "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+}
+_TERM = "\\p{L}{3,}"
+
+
+def _located_sql(kind: str, pattern: str, source: str) -> str:
+    """doc_id, key, kind, value, s (start), e (end), b and a (the gaps around) of every match."""
+    return f"""SELECT doc_id, key, '{kind}' AS kind, value, e - length(value) AS s, e, b, a FROM (
+    SELECT doc_id, key, value, b, a, sum(length(b) + length(value)) OVER (PARTITION BY doc_id, key ORDER BY i) AS e FROM (
+        SELECT doc_id, key, unnest(m) AS value, unnest(g[:len(m)]) AS b, unnest(g[2:]) AS a, unnest(range(len(m))) AS i
+        FROM (SELECT doc_id, key, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM {source}) WHERE len(m) > 0))"""
+
+
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END * {_DIGITS}[length({_DIGITS}) - i]::INT + CASE WHEN i % 2 = 1 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{_DIGITS}[length({_DIGITS}) - i]::INT + 1] ELSE 0 END)) % 10 = 0"
+_PII_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS key FROM documents),
+f AS (SELECT * FROM ({" UNION ALL ".join(_located_sql(k, p, "d") for k, p in _PII.items())})
+      WHERE kind = 'email' OR (kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: x::HUGEINT > 255)) = 0)
+         OR (kind = 'card' AND length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}) OR (kind = 'phone' AND length({_DIGITS}) BETWEEN 8 AND 15)),
+n AS (SELECT doc_id, key, kind || ':' || lower(value) AS entity,
+             CASE WHEN length(b) > {sanitisation.NEAR_CHARS} THEN regexp_replace(right(b, {sanitisation.NEAR_CHARS}), '^\\p{{L}}+', '') ELSE b END || ' | ' ||
+             CASE WHEN length(a) > {sanitisation.NEAR_CHARS} THEN regexp_replace(left(a, {sanitisation.NEAR_CHARS}), '\\p{{L}}+$', '') ELSE a END AS near FROM f),
+c AS (SELECT DISTINCT doc_id, key, entity, unnest(regexp_extract_all(lower(near), '{_TERM}')) AS term FROM n),
+ent AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM n GROUP BY entity),
+joint AS (SELECT entity, term, count(*) AS n_joint FROM c GROUP BY entity, term HAVING count(DISTINCT key) >= {sanitisation.MIN_TEXTS}),
+words AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM d) WHERE term IN (SELECT term FROM joint) GROUP BY term),
+told AS (SELECT entity, term, ln(n_joint * t.n / (n_entity * n_term)) / ln(t.n / n_entity) AS share FROM joint JOIN ent USING (entity) JOIN words USING (term), (SELECT count(*)::DOUBLE AS n FROM documents) t WHERE n_entity < t.n),
+bad AS (SELECT key, term, max(share) AS share FROM (SELECT DISTINCT key, entity, term FROM c) JOIN told USING (entity, term) WHERE share >= {sanitisation.GENERALISE} GROUP BY key, term),
+w AS ({_located_sql("term", _TERM, "(SELECT * FROM d WHERE key IN (SELECT key FROM bad))")}),
+t AS (SELECT w.doc_id, CASE WHEN share >= {sanitisation.REMOVE} THEN 'term_removed' ELSE 'term_generalised' END AS kind, w.s, w.e FROM w JOIN bad ON bad.key = w.key AND bad.term = lower(w.value)
+      WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = w.doc_id AND f.s < w.e AND w.s < f.e)),
+k AS (SELECT * FROM (VALUES ('email', 1), ('ip', 2), ('card', 3), ('phone', 4), ('term_generalised', 5), ('term_removed', 6)) v(kind, o)),
+x AS (SELECT doc_id, kind, s, e, true AS base FROM f UNION ALL SELECT doc_id, kind, s, e, false FROM t),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in sanitisation.KINDS)},
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (base) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans FROM x JOIN k USING (kind) GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in sanitisation.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op3_pii": _PII_SQL,
     "op1_url_filters": f"""
 WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
 wanted AS (SELECT url, coalesce(nullif(regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '')) AS target
