@@ -10,8 +10,9 @@ n(e,t) holding t near e, the term discloses
 
 of the entity's information content: 1 where the term alone names the entity, 0 where
 both are independent. From GENERALISE on a term is generalised and from REMOVE on it is
-removed, in all texts where it stands near that entity, at all its places there. Joint
-counts need MIN_TEXTS different texts, so copies are no evidence.
+removed, in all texts where it stands near that entity, at all its places there. Where
+single sightings are too weak an evidence, min_texts asks for a joint count from more
+different texts, of which copies are one.
 
 All counts cover all documents. Counts are combined before every shuffle; no group is
 collected but the terms of one text.
@@ -47,7 +48,7 @@ TERM = r"\p{L}{3,}"
 NEAR_CHARS = 80
 GENERALISE = 0.8
 REMOVE = 0.95
-MIN_TEXTS = 2
+MIN_TEXTS = 1
 #: Up to so many texts with terms their keys are broadcast, else joined by a shuffle.
 BROADCAST_KEYS = 100_000
 BROADCAST_TERMS = 1_000_000
@@ -118,9 +119,10 @@ def disclosures(docs: DataFrame, near: DataFrame, text: str = "text", generalise
     entities = counted.where("term is null").select("entity", F.col("n").alias("n_entity"))
     joint = counted.where((F.col("term").isNotNull()) & (F.col("texts") >= min_texts))
     terms = cut(joint.select("term").distinct())
-    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Few terms are looked up before words are counted; beyond the bound all words are, each task's counts being summed first.
+    looked_up = words.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= BROADCAST_TERMS else words
+    spread = looked_up.groupBy("term").agg(F.count("*").alias("n_term"))
     content = F.ln(F.lit(float(max(total, 1))) / F.col("n_entity"))
     share = F.ln(F.col("n") * float(total) / (F.col("n_entity") * F.col("n_term"))) / content
     return (

@@ -73,22 +73,27 @@ def disclosure(docs, entity, term):
     return math.log(joint * n / (ne * nt)) / math.log(n / ne), len(set(near))
 
 
-def test_disclosures_as_by_hand(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_disclosures_as_by_hand(spark, monkeypatch, few):
+    monkeypatch.setattr(P, "BROADCAST_TERMS", few)
     docs = corpus()
     rows = spark.createDataFrame(docs, "doc_id int, text string, kind string")
-    got = {(r["entity"], r["term"]): r["disclosure"] for r in P.disclosures(rows, P.contexts(rows)).collect()}
+    single = {(r["entity"], r["term"]): r["disclosure"] for r in P.disclosures(rows, P.contexts(rows)).collect()}
+    assert single["email:a.b@c.org", "alpha"] == pytest.approx(disclosure(docs, "a.b@c.org", "alpha")[0]) and ("email:u@v.org", "unicornword") in single
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in P.disclosures(rows, P.contexts(rows), min_texts=2).collect()}
     for term in ("zebrafish", "surgeon", "gardens", "about", "wrote", "from", "report", "the"):
         want, texts = disclosure(docs, "a.b@c.org", term)
         assert ((("email:a.b@c.org", term) in got) and got["email:a.b@c.org", term] == pytest.approx(want)) if want >= P.GENERALISE and texts >= 2 else ("email:a.b@c.org", term) not in got
     assert ("email:a.b@c.org", "surgeon") in got and ("email:a.b@c.org", "gardens") not in got
     assert not any(t == "unicornword" for _, t in got)  # two copies are one text
+    assert set(got) <= set(single)
 
 
 def test_sanitised_text(spark, monkeypatch):
     rows = spark.createDataFrame(corpus() + [(9, "plain é text", "k")] * 2, "doc_id int, text string, kind string")
     for limit in (1000, 0):
         monkeypatch.setattr(P, "BROADCAST_KEYS", limit)
-        out = P.sanitise(rows)
+        out = P.sanitise(rows, min_texts=2)
         assert out.columns == rows.columns and out.count() == rows.count()
         got = {r["doc_id"]: r["text"] for r in out.collect()}
         assert got[300] is None and got[9] == "plain é text" and got[301] == "zebrafish alone" and got[5] == "Meeting notes number 5 with agenda about gardens"
@@ -96,6 +101,15 @@ def test_sanitised_text(spark, monkeypatch):
         assert "unicornword" in got[200] and "u@v.org" not in got[200]
 
 
+def test_single_sightings_count_by_default(spark):
+    rows = spark.createDataFrame(corpus(), "doc_id int, text string, kind string")
+    got = {r["doc_id"]: r["text"] for r in P.sanitise(rows).collect()}
+    assert "unicornword" not in got[200] and "gardens" in got[100] and got[5] == "Meeting notes number 5 with agenda about gardens"
+    spans = {r["doc_id"]: r["all_spans"] for r in P.inspect(rows).collect()}
+    text = dict((i, t) for i, t, _ in corpus())[200]
+    assert ("unicornword", True) in {(text[s["start"] : s["end"]], s["kind"].startswith("term_")) for s in spans[200]}
+
+
 def test_masks_every_kind_and_only_valid_ones(spark):
     text = "a@b.co 10.0.0.1 999.1.1.1, 4111 1111 1111 1111, 4111111111111112, +1 (724) 555-7058 +12"
     got = spark.createDataFrame([(text,)], "text string").select(P.masked(F.col("text"))).first()[0]
