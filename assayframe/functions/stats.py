@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayframe.session import cut
+
 
 def log_factorial(n: Column) -> Column:
     """By summing logarithms up to 256 and, beyond, by Stirling's series, which is exact to double precision there."""
@@ -51,12 +53,27 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((n >= 3) & (vx > 1e-18) & (vy > 1e-18), F.try_divide(cov, F.sqrt(vx * vy)))
 
 
+def placed(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with _part, _before and _total: dealt in ranges of the order within each group, with the rows before the range and in the group.
+
+    Numbering rows within ranges takes no task over a whole group; equal keys share a range. The ranges are kept by a
+    checkpoint, since another run could draw other bounds.
+    """
+    parts = cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    # A row a group and range: as many as partitions.
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_total"))
+    return parts.join(F.broadcast(before), [*by, "_part"])
+
+
 def with_ranks(df: DataFrame, by: Sequence[str], **columns: str) -> DataFrame:
     """df with a rank from 1 for each named column, ties sharing the mean of their ranks; rank column = source column."""
     for out, source in columns.items():
-        first = F.rank().over(Window.partitionBy(*by).orderBy(source))
-        ties = F.count("*").over(Window.partitionBy(*by, source))
-        df = df.withColumn(out, first + (ties - 1) / F.lit(2.0))
+        df = placed(df, by, [source])
+        first = F.col("_before") + F.rank().over(Window.partitionBy(*by, "_part").orderBy(source))
+        ties = F.count("*").over(Window.partitionBy(*by, "_part", source))
+        df = df.withColumn(out, first + (ties - 1) / F.lit(2.0)).drop("_part", "_before", "_total")
     return df
 
 
@@ -66,14 +83,19 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "spear
     return with_ranks(rows, by, _rx=x, _ry=y).groupBy(*by).agg(pearson(F.col("_rx"), F.col("_ry")).alias(out))
 
 
-def upper_median(column: str) -> Column:
-    """The middle value of a column, of an even number the higher one: percentile_disc takes the lower, unless the order is turned."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+def medians(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """by, median (interpolated) and upper_median (of an even number the higher middle value), over the values that aren't null."""
+    rows = placed(df.where(F.col(column).isNotNull()).select(*by, column), by, [column])
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(column))
+    half = F.floor(F.col("_total") / 2)
+    middle = rows.withColumns({"_low": at == F.floor((F.col("_total") + 1) / 2), "_high": at == half + 1}).where("_low or _high")
+    low, high = (F.max(F.when(F.col(c), F.col(column))) for c in ("_low", "_high"))
+    return middle.groupBy(*by).agg(((low + high) / 2).alias("median"), high.alias("upper_median"))
 
 
 def terciles(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with tercile: short, middle or long; both ends hold a third of a group's rows, cut to a whole number, at least one; null below three rows."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = placed(df, by, order)
+    at, n = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)), F.col("_total")
     third = F.greatest(F.lit(1), F.floor(n / 3))
-    return df.withColumn("tercile", F.when(n < 3, F.lit(None)).when(rank <= third, "short").when(rank > n - third, "long").otherwise("middle"))
+    return rows.withColumn("tercile", F.when(n < 3, F.lit(None)).when(at <= third, "short").when(at > n - third, "long").otherwise("middle")).drop("_part", "_before", "_total")

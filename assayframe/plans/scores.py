@@ -246,11 +246,10 @@ def _lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views(LENGTH_SQL + "SELECT arm, count(*) AS n, round(avg(len), 4) AS mean_length, round(median(len), 4) AS median_length, round(covar_pop(len, score) / sqrt(var_pop(len) * var_pop(score)), 6) AS pearson FROM l GROUP BY arm", "primary_scores"))
 def verbosity_pearson(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        _lengths(spark, d)
-        .groupBy("arm")
-        .agg(F.count("*").alias("n"), F.round(F.avg("len"), 4).alias("mean_length"), F.round(F.median("len"), 4).alias("median_length"), F.round(stats.pearson(F.col("len"), F.col("score")), 6).alias("pearson"))
-    )
+    rows = _lengths(spark, d)
+    found = rows.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("len"), 4).alias("mean_length"), F.round(stats.pearson(F.col("len"), F.col("score")), 6).alias("pearson"))
+    middle = stats.medians(rows, ["arm"], "len").select("arm", F.round("median", 4).alias("median_length"))
+    return found.join(F.broadcast(middle), "arm")
 
 
 @query(

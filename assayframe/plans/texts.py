@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from assayframe.functions import checks as K
 from assayframe.functions import hashing as H
 from assayframe.functions import judging as J
+from assayframe.functions import stats
 from assayframe.functions import text as X
 from assayframe.operators import similarity as S
 from assayframe.plans.registry import query
+from assayframe.session import cut
 from assayframe.sources.adapters import table
 
 #: normalise in SQL.
@@ -182,10 +184,9 @@ def lexical_contamination(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LEXICAL}, q AS (SELECT round(similarity, 6) AS z FROM r) SELECT count(*) AS n, max(z) AS max, round(quantile_disc(z, 0.5 ORDER BY z DESC), 6) AS upper_median, round(avg(z), 4) AS mean, count(*) FILTER (z >= 0.45) AS flagged FROM q".replace("quantile_disc(z, 0.5 ORDER BY z DESC)", "(SELECT list_sort(list(z))[count(*) // 2 + 1] FROM q)"))
 def contamination_summary(spark: SparkSession, d: str) -> DataFrame:
-    from assayframe.functions.stats import upper_median
-
-    z = _lexical(spark, d).select(F.round("similarity", 6).alias("z"))
-    return z.agg(F.count("*").alias("n"), F.max("z").alias("max"), F.round(upper_median("z"), 6).alias("upper_median"), F.round(F.avg("z"), 4).alias("mean"), F.count_if(F.col("z") >= S.LEXICAL_THRESHOLD).alias("flagged"))
+    z = cut(_lexical(spark, d).select(F.round("similarity", 6).alias("z")))
+    found = z.agg(F.count("*").alias("n"), F.max("z").alias("max"), F.round(F.avg("z"), 4).alias("mean"), F.count_if(F.col("z") >= S.LEXICAL_THRESHOLD).alias("flagged"))
+    return found.withColumn("upper_median", F.lit(stats.medians(z, [], "z").first()["upper_median"]))
 
 
 @query(f"WITH {LEXICAL}, c AS (SELECT greatest(0.35, avg(similarity) + 3 * stddev_pop(similarity)) AS cut FROM r) SELECT round(cut, 6) AS cut, count(*) FILTER (similarity >= cut) AS over FROM r, c GROUP BY cut")
@@ -221,10 +222,9 @@ def overlap_coefficient(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SETS + ", v AS (SELECT item_id, round(1 - len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS z FROM t) SELECT count(*) AS n, min(z) AS min, list_sort(list(z))[count(*) // 2 + 1] AS upper_median, max(z) AS max, count(*) FILTER (z < 0.35) AS low, count(*) FILTER (z = 0) AS identical FROM v")
 def divergence_summary(spark: SparkSession, d: str) -> DataFrame:
-    from assayframe.functions.stats import upper_median
-
-    z = _neighbours(spark, d).select(F.round(1 - X.jaccard(F.col("x"), F.col("y")), 6).alias("z"))
-    return z.agg(F.count("*").alias("n"), F.min("z").alias("min"), upper_median("z").alias("upper_median"), F.max("z").alias("max"), F.count_if(F.col("z") < 0.35).alias("low"), F.count_if(F.col("z") == 0).alias("identical"))
+    z = cut(_neighbours(spark, d).select(F.round(1 - X.jaccard(F.col("x"), F.col("y")), 6).alias("z")))
+    found = z.agg(F.count("*").alias("n"), F.min("z").alias("min"), F.max("z").alias("max"), F.count_if(F.col("z") < 0.35).alias("low"), F.count_if(F.col("z") == 0).alias("identical"))
+    return found.withColumn("upper_median", F.lit(stats.medians(z, [], "z").first()["upper_median"]))
 
 
 @query("SELECT conv_id, trim(arg_min(text, turn)) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id HAVING trim(arg_min(text, turn)) <> ''")

@@ -152,9 +152,22 @@ def test_correlations(spark):
     assert {r["g"]: r["spearman"] for r in S.spearman(rows, ["g"], "x", "y").collect()} == {"a": pytest.approx(1), "b": None, "c": None}
 
 
-def test_upper_median(spark):
-    rows = spark.createDataFrame([(x,) for x in (1, 2, 3, 10)], "x int")
-    assert rows.agg(S.upper_median("x")).first()[0] == 3
+def test_medians(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 10), ("b", 5), ("b", None), ("c", 1), ("c", 1), ("c", 9)], "g string, x int")
+    assert {r["g"]: (r["median"], r["upper_median"]) for r in S.medians(rows, ["g"], "x").collect()} == {"a": (2.5, 3), "b": (5.0, 5), "c": (1.0, 1)}
+    assert S.medians(rows, [], "x").first()["upper_median"] == 3
+
+
+def test_ranks_over_many_ranges(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.col("id") % 37).alias("x"), "id").repartition(7)
+    got = S.with_ranks(rows, ["g"], r="x").groupBy("g", "x").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("n")).orderBy("g", "x").collect()
+    for g in (0, 1):
+        before = 0
+        for r in (r for r in got if r["g"] == g):
+            assert r["a"] == r["b"] == before + (r["n"] + 1) / 2
+            before += r["n"]
+    thirds = {r["tercile"]: r["n"] for r in S.terciles(rows.where("g = 0"), ["g"], ["x", "id"]).groupBy("tercile").agg(F.count("*").alias("n")).collect()}
+    assert thirds == {"short": 333, "middle": 334, "long": 333}
 
 
 def test_words_and_lines(spark):
