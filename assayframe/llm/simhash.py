@@ -49,8 +49,10 @@ COPY_WORDS = 5
 SIMILARITY = 0.8
 WIDE_RADIUS = 32
 #: Shingle hashes of a tile in the exact comparison, and columns of its incidence matrix at once.
-TILE_SHINGLES = 150_000
+TILE_SHINGLES = 100_000
 COLUMNS = 8_192
+#: Up to so many texts in groups of candidates their keys are broadcast, else joined by a shuffle.
+BROADCAST_MEMBERS = 300_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -115,7 +117,7 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
 def _compare(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for x, y, same in zip(pdf["left"], pdf["right"], pdf["same"], strict=True):
+            for x, y, same in zip(pdf["l_key"], pdf["r_key"], pdf["same"], strict=True):
                 a, b = forest(np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64), radius, bool(same))
                 if len(a):
                     yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
@@ -123,32 +125,35 @@ def _compare(radius: int):
     return run
 
 
-def _tiles(rows: DataFrame, cell: str, parts: Column, row: Column) -> DataFrame:
-    """rows (with key) of each cell dealt by the key into so many tiles, which come out near equal: cell, part, parts, rows."""
+def _tiles(rows: DataFrame, cell: str, parts: Column, payload: Sequence[str]) -> DataFrame:
+    """rows (with key) of each cell dealt by the key into so many tiles, which come out near equal: cell, part, parts and the payload's columns as arrays."""
     dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-    return cut(dealt.groupBy(cell, "part").agg(F.collect_list(row).alias("rows"), F.max("parts").alias("parts")))
+    tiles = dealt.groupBy(cell, "part").agg(F.collect_list(F.struct(*payload)).alias("r"), F.max("parts").alias("parts"))
+    return cut(tiles.select(cell, "part", "parts", *(F.col(f"r.{c}").alias(c) for c in payload)))
 
 
 def _tile_pairs(tiles: DataFrame, cell: str, steps: tuple[int, ...]) -> DataFrame:
-    """left, right, same: each pair of tiles of one cell (step 0) and of cells apart by the other steps, once.
+    """same, and l_ and r_ with the payload's names: each pair of tiles of one cell (step 0) and of cells apart by the other steps, once.
 
     A tile is sent to its partners by cell and part, so the pairs of a cell with many tiles spread over many tasks.
     """
+    payload = [c for c in tiles.columns if c not in (cell, "part", "parts")]
     sizes = tiles.groupBy(cell).agg(F.max("parts").alias("other_parts")).withColumnRenamed(cell, "other")
     start = tiles.withColumn("step", F.explode(F.array(*map(F.lit, steps))))
     start = start.withColumn("other", F.col(cell) + F.col("step") if len(steps) > 1 else F.col(cell))
     first = F.when(F.col("step") == 0, F.col("part")).otherwise(0)
     sent = start.join(sizes, "other").where(first < F.col("other_parts")).withColumn("other_part", F.explode(F.sequence(first, F.col("other_parts") - 1)))
-    right = tiles.select(F.col(cell).alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("right"))
+    left = sent.select("other", "other_part", "step", "part", *(F.col(c).alias(f"l_{c}") for c in payload))
+    right = tiles.select(F.col(cell).alias("other"), F.col("part").alias("other_part"), *(F.col(c).alias(f"r_{c}") for c in payload))
     same = (F.col("step") == 0) & (F.col("part") == F.col("other_part"))
-    return sent.join(right, ["other", "other_part"]).select(F.col("rows").alias("left"), "right", same.alias("same"))
+    return left.join(right, ["other", "other_part"]).select(same.alias("same"), *(f"{side}_{c}" for side in "lr" for c in payload))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all that lie within the radius."""
     cells = distinct.select(F.col("fp").alias("key"), _counts(F.col("fp")).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), F.col("key"))
+    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), ["key"])
     steps = tuple(sum(d * 17 ** (QUARTERS - 1 - i) for i, d in enumerate(x)) for x in _near_cells(radius))
     return _tile_pairs(tiles, "cell", steps).mapInPandas(_compare(radius), "a long, b long")
 
@@ -226,31 +231,28 @@ def _spanning(left: np.ndarray, right: np.ndarray, n: int) -> list[int]:
     return kept
 
 
-def _frame(rows: Sequence, *names: str) -> pd.DataFrame:
-    return pd.DataFrame([[r[n] for n in names] for r in rows], columns=names)
-
-
-def _linked(left: pd.DataFrame, right: pd.DataFrame, near: np.ndarray, same: bool) -> pd.DataFrame:
+def _linked(left: np.ndarray, right: np.ndarray, near: np.ndarray, same: bool) -> pd.DataFrame:
+    """The names of a spanning forest's links over the pairs marked in near."""
     x, y = np.nonzero(np.triu(near, 1) if same else near)
     kept = _spanning(x, y if same else y + len(left), len(left) + (0 if same else len(right)))
-    return pd.DataFrame({"a": left["key"].to_numpy()[x[kept]], "b": right["key"].to_numpy()[y[kept]]})
+    return pd.DataFrame({"a": left[x[kept]], "b": right[y[kept]]})
 
 
 def _compare_wide(radius: int, similarity: float):
-    """Candidates among the texts of two tiles, as the links of a forest."""
+    """Candidates among the texts of two tiles, as the links of a forest over their first 64 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for x, y, same in zip(pdf["left"], pdf["right"], pdf["same"], strict=True):
-                a, b = (_frame(t, "key", "n", "f1", "f2") for t in (x, y))
-                ones = [np.bitwise_count(t[["f1", "f2"]].to_numpy(np.int64).view(np.uint64)).sum(axis=1, dtype=np.int64) for t in (a, b)]
+            for r in pdf.itertuples(index=False):
+                prints = [np.stack([np.asarray(f1, dtype=np.int64), np.asarray(f2, dtype=np.int64)]).view(np.uint64) for f1, f2 in ((r.l_key, r.l_f2), (r.r_key, r.r_f2))]
+                ones = [np.bitwise_count(p).sum(axis=0, dtype=np.int64) for p in prints]
+                sizes = [np.asarray(n, dtype=np.float64) for n in (r.l_n, r.r_n)]
                 if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
                     continue
-                sizes = [t["n"].to_numpy(np.float64) for t in (a, b)]
                 if sizes[0].max() < similarity * sizes[1].min() or sizes[1].max() < similarity * sizes[0].min():
                     continue
-                apart = sum(np.bitwise_count(a[f].to_numpy(np.int64).view(np.uint64)[:, None] ^ b[f].to_numpy(np.int64).view(np.uint64)[None, :]) for f in ("f1", "f2"))
-                found = _linked(a, b, apart <= radius, bool(same))
+                apart = sum(np.bitwise_count(a[:, None] ^ b[None, :]) for a, b in zip(*prints, strict=True))
+                found = _linked(prints[0][0].view(np.int64), prints[1][0].view(np.int64), apart <= radius, bool(r.same))
                 if len(found):
                     yield found
 
@@ -278,14 +280,15 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _verify(similarity: float):
+    """Links between texts of two tiles that are as similar as asked for, as those of a forest."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for x, y, same in zip(pdf["left"], pdf["right"], pdf["same"], strict=True):
-                a, b = (_frame(t, "key", "h") for t in (x, y))
-                ha, hb = ([np.asarray(h, dtype=np.int64) for h in t["h"]] for t in (a, b))
-                shared = shared_counts(ha, hb)
-                union = np.array([len(h) for h in ha])[:, None] + np.array([len(h) for h in hb])[None, :] - shared
-                found = _linked(a, b, shared >= similarity * union - 1e-4, bool(same))
+            for r in pdf.itertuples(index=False):
+                left, right = ([np.asarray(h, dtype=np.int64) for h in t] for t in (r.l_h, r.r_h))
+                shared = shared_counts(left, right)
+                union = np.array([len(h) for h in left])[:, None] + np.array([len(h) for h in right])[None, :] - shared
+                found = _linked(np.asarray(r.l_key, dtype=object), np.asarray(r.r_key, dtype=object), shared >= similarity * union - 1e-4, bool(r.same))
                 if len(found):
                     yield found
 
@@ -295,17 +298,21 @@ def _verify(similarity: float):
 def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
     """key, root: for the MD5 of each text that isn't the first of its group, and that of the first, the group's name."""
     keyed = df.select(F.col(text).alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    prints = keyed.select("key", _wide(words)(F.col("text")).alias("p")).select("key", "p.*")
-    prints = cut(prints.groupBy("key").agg(F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2")))
-    cells = prints.withColumn("cell", F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9).cast("int"))
+    prints = keyed.select(F.col("key").alias("text_key"), _wide(words)(F.col("text")).alias("p")).select("text_key", "p.*")
+    prints = cut(prints.groupBy("text_key").agg(F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2")))
+    # Candidates are named by their first 64 bits; texts that share these belong together as candidates, whatever else.
+    log = F.ln(F.col("n").cast("double")) / F.lit(float(-np.log(similarity)))
+    cells = prints.select(F.col("f1").alias("key"), "f2", "n", F.floor(log + 1e-9).cast("int").alias("cell")).distinct()
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), F.struct("key", "n", "f1", "f2"))
-    candidates = components(_tile_pairs(tiles, "cell", (0, 1)).mapInPandas(_compare_wide(radius, similarity), "a string, b string"))
-    members = candidates.union(candidates.select(F.col("root").alias("node"), "root")).distinct().select(F.col("node").alias("key"), F.col("root").alias("cell"))
-    texts = keyed.join(members, "key").groupBy("key", "cell").agg(F.first("text").alias("text"))
+    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), ["key", "f2", "n"])
+    candidates = components(_tile_pairs(tiles, "cell", (0, 1)).mapInPandas(_compare_wide(radius, similarity), "a long, b long"))
+    grouped = prints.join(candidates, prints["f1"] == candidates["node"], "left").select(F.col("text_key").alias("key"), F.coalesce("root", "f1").alias("cell"))
+    several = grouped.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    members = cut(grouped.join(several, "cell"))
+    texts = keyed.join(F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members, "key").groupBy("key", "cell").agg(F.first("text").alias("text"))
     hashed = cut(texts.select("key", "cell", _hashes(words)(F.col("text")).alias("h")))
     totals = hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"))
-    exact = _tiles(hashed.join(totals, "cell"), "cell", F.ceil(F.col("total") / TILE_SHINGLES).cast("int"), F.struct("key", "h"))
+    exact = _tiles(hashed.join(totals, "cell"), "cell", F.ceil(F.col("total") / TILE_SHINGLES).cast("int"), ["key", "h"])
     found = components(_tile_pairs(exact, "cell", (0,)).mapInPandas(_verify(similarity), "a string, b string"))
     return found.select(F.col("node").alias("key"), "root")
 

@@ -152,6 +152,7 @@ def test_one_of_each_group_stays(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, fp string")
     for tile, shingle_tile in ((2048, 150_000), (10, 900)):
         monkeypatch.setattr(S, "TILE_SHINGLES", shingle_tile)
+        monkeypatch.setattr(S, "BROADCAST_MEMBERS", tile - 10)
         out = S.keep_one(df, tile=tile)
         assert out.columns == df.columns
         assert sorted(str(r["doc_id"]) for r in out.collect()) == plain_groups(rows)
