@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every graded dimension of every result, one row each, repeats included (judge_pass > 0)."""
-    lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    order = ["l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    rows = lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"])
+#: The order in which a cell's gradings came; (l_orderkey, l_linenumber) alone has ties.
+ORDER = ("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+CELL = ("l_returnflag", "l_partkey", "l_linenumber", "l_linestatus")
+
+
+def _scores(rows: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
+    """Gradings with their case's family, from rows of lineitem's columns."""
     code = F.ascii("l_returnflag")
-    return rows.select(
+    return rows.join(parts.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_returnflag").alias("arm"),
         F.col("l_partkey").alias("case_id"),
         F.col("p_brand").alias("family_id"),
@@ -39,10 +41,16 @@ def scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((7 * F.col("l_partkey") + code) % 13 == 0).alias("unscorable"),
         (F.col("l_extendedprice").cast("long") % 4 == 0).alias("flagged"),
         F.col("l_extendedprice").alias("answer_length"),
-        (F.row_number().over(Window.partitionBy("l_returnflag", "l_partkey", "l_linenumber", "l_linestatus").orderBy(*order)) - 1).alias("judge_pass"),
+        *more,
     )
 
 
+def scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every graded dimension of every result, one row each, repeats included (judge_pass > 0)."""
+    numbered = table(spark, sf_dir, "lineitem").withColumn("judge_pass", F.row_number().over(Window.partitionBy(*CELL).orderBy(*ORDER)) - 1)
+    return _scores(numbered, table(spark, sf_dir, "part"), "judge_pass")
+
+
 def verdicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change verdicts, repeats included."""
     e = table(spark, sf_dir, "events")
@@ -113,7 +121,11 @@ def with_views(sql: str, *names: str) -> str:
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores_all(spark, sf_dir).where("judge_pass = 0 and not technical and not unscorable")
+    """Primary gradings of results that could be graded: the first of each cell by a minimum, which combines before the shuffle."""
+    rows, code = table(spark, sf_dir, "lineitem"), F.ascii("l_returnflag")
+    fair = rows.where(((F.col("l_partkey") + code) % 11 != 0) & ((7 * F.col("l_partkey") + code) % 13 != 0))
+    first = fair.groupBy(*CELL).agg(F.min(F.struct(*ORDER)).alias("r")).select(*CELL, "r.*")
+    return _scores(first, table(spark, sf_dir, "part")).withColumn("judge_pass", F.lit(0))
 
 
 def primary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
