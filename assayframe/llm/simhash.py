@@ -22,7 +22,7 @@ is missed, and fewer the more alike the texts are.
 Defined results: null, empty and wordless texts have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle has one shingle, its whole word
 sequence; repeated rows share a component; a component's id is the least non-null id
-in it (null if all are null).
+in it (null if all are null). As near copies, null, empty and wordless texts are copies of each other.
 """
 
 from __future__ import annotations

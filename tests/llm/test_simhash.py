@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from assayframe.llm import simhash as S
 from assayframe.llm.components import components
@@ -185,4 +184,3 @@ def test_repeated_ids_with_other_texts_stay(spark):
 def test_layout_covers_neighbours():
     assert len(S._near_cells(2)) == 21 and (0, 0, 0, 0) in S._near_cells(2)
     assert S._near_cells(0) == [(0, 0, 0, 0)]
-    _ = F

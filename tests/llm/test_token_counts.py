@@ -2,7 +2,6 @@ import random
 
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from assayframe.llm import token_counts as T
@@ -47,7 +46,6 @@ def test_operator(spark, library):
         n = len(library.encode(t or "", add_special_tokens=False))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((t or "").encode()), n, n > 2048)
     assert T.token_counts(df.limit(0), PATH).count() == 0
-    _ = F
 
 
 def test_texts_that_lower_alone_normalises(library):
