@@ -27,13 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a task remembers, and those that go into one query.
-CACHE_PIECES = 300_000
+#: Pieces that a task remembers, about, once over for those met lately, and pieces that go into one query.
+CACHE_PIECES = 350_000
 QUERY_PIECES = 20_000
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000
 #: Characters of texts whose pieces are coded together.
-PART_CHARS = 4_000_000
+PART_CHARS = 1_000_000
 
 #: Bytes from which a piece counts as long.
 LONG_BYTES = 64
@@ -116,8 +116,10 @@ class PieceCoder:
         self.ranks = read_ranks(path)
         # White space as Unicode has it, which is what the vocabulary's pattern means by \s and \S.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        # Pieces met lately, and those from before, from which the ones met again are taken over.
         self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False, "allocator_background_threads": False})
+        self.before: dict[str, tuple[str, int, bytes]] = {}
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "allocator_background_threads": False})
         vocabulary = pd.DataFrame({"id": list(self.ranks.values()), "hex": [k.hex() for k in self.ranks]}).astype({"id": "int32"})
         made = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pd.DataFrame(made, columns=["l", "r", "merged"], dtype="int32")
@@ -152,9 +154,10 @@ class PieceCoder:
         """Codes pieces not known yet, in queries of a bounded size."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list(pieces)
-        # A piece counts for its length, as long ones make many rows.
+            self.before, self.known, new = self.known, {}, list(pieces)
+        again = {p: c for p in new if (c := self.before.get(p)) is not None}
+        self.known.update(again)
+        new = [p for p in new if p not in again] if again else new
         long = [p for p in new if len(p) > LONG_BYTES // 4 and len(p.encode()) > LONG_BYTES]
         apart = set(long)
         for some, sql in (([p for p in new if p not in apart] if long else new, ENCODE), (long, ENCODE_LONG)):

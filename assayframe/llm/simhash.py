@@ -106,12 +106,8 @@ def _near_cells(radius: int) -> list[tuple[int, ...]]:
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over the pairs of a and b within the radius."""
-    left, right = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-    if same:
-        keep = left < right
-        left, right = left[keep], right[keep]
-    kept = _spanning(left, right if same else right + len(a), len(a) + (0 if same else len(b)))
-    return a[left[kept]], b[right[kept]]
+    left, right = spanning(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius, same)
+    return a[left], b[right]
 
 
 def _compare(radius: int):
@@ -203,39 +199,51 @@ def _wide(words: int):
 
 
 def _hashes(words: int):
-    @F.pandas_udf("array<long>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """key, cell and h, the sorted hashes of the text's shingle set; in small batches, since hashes are larger than the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for batch in texts:
-            yield pd.Series([np.sort(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingle_set(t, words)), dtype=np.uint64)).view(np.int64) for t in batch])
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                h = [np.sort(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingle_set(t, words)), dtype=np.uint64)).view(np.int64) for t in part["text"]]
+                yield pd.DataFrame({"key": part["key"], "cell": part["cell"], "h": h})
 
     return run
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, n: int) -> list[int]:
-    """Which of the links (left, right) over n nodes make a spanning forest."""
-    parent, kept = list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return kept
+def spanning(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the links of a spanning forest over the pairs marked in near. same: rows and columns are the same nodes."""
+    rows_left, columns_left = near.any(axis=1), near.any(axis=0)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in np.flatnonzero(rows_left):
+        if not rows_left[start]:
+            continue
+        rows_left[start] = False
+        if same:
+            columns_left[start] = False
+        queue = [(True, start)]
+        while queue:
+            by_row, at = queue.pop()
+            reached = np.flatnonzero(near[at] & columns_left if by_row else near[:, at] & rows_left)
+            if not len(reached):
+                continue
+            (columns_left if by_row else rows_left)[reached] = False
+            if same:
+                rows_left[reached] = columns_left[reached] = False
+            here = np.full(len(reached), at)
+            found.append((here, reached) if by_row else (reached, here))
+            queue += [(same or not by_row, k) for k in reached.tolist()]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _linked(left: np.ndarray, right: np.ndarray, near: np.ndarray, same: bool) -> pd.DataFrame:
     """The names of a spanning forest's links over the pairs marked in near."""
-    x, y = np.nonzero(np.triu(near, 1) if same else near)
-    kept = _spanning(x, y if same else y + len(left), len(left) + (0 if same else len(right)))
-    return pd.DataFrame({"a": left[x[kept]], "b": right[y[kept]]})
+    x, y = spanning(near, same)
+    return pd.DataFrame({"a": left[x], "b": right[y]})
 
 
 def _compare_wide(radius: int, similarity: float):
@@ -310,7 +318,7 @@ def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, simi
     several = grouped.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     members = cut(grouped.join(several, "cell"))
     texts = keyed.join(F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members, "key").groupBy("key", "cell").agg(F.first("text").alias("text"))
-    hashed = cut(texts.select("key", "cell", _hashes(words)(F.col("text")).alias("h")))
+    hashed = cut(texts.mapInPandas(_hashes(words), "key string, cell long, h array<long>"))
     totals = hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"))
     exact = _tiles(hashed.join(totals, "cell"), "cell", F.ceil(F.col("total") / TILE_SHINGLES).cast("int"), ["key", "h"])
     found = components(_tile_pairs(exact, "cell", (0,)).mapInPandas(_verify(similarity), "a string, b string"))
