@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a task remembers, about, once over for those met lately, and pieces that go into one query.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 250_000
 QUERY_PIECES = 20_000
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000
@@ -171,6 +171,13 @@ class PieceCoder:
             if part:
                 self._code(part, sql)
 
+    def rest(self) -> None:
+        """Lets go of what a task leaves behind beside the pieces met lately: the worker goes on to other work."""
+        import pyarrow
+
+        self.before = {}
+        pyarrow.default_memory_pool().release_unused()
+
     def spans(self, text: str) -> Iterator[list[str]]:
         """The pieces of text, in lists of a bounded size."""
         if len(text) <= SPAN_CHARS:
@@ -235,6 +242,7 @@ def _digests(path: str, pattern: str):
         for texts in batches:
             rows = [digest(spans) for spans in coder.texts([x or "" for x in texts])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.rest()
 
     return run
 
