@@ -332,10 +332,19 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: f
     """
     roots = near_copies(df, text, **how)
     keyed = df.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    rows = keyed.select(F.col(doc_id).alias("doc_id"), F.col("_md5").alias("key"))
+    pairs = keyed.groupBy(F.col(doc_id).alias("doc_id"), F.col("_md5").alias("key")).agg(F.count("*").alias("n"))
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     # The first row of each text, then that of each group.
-    by_text = rows.groupBy("key").agg(F.min(row).alias("r")).join(roots, "key", "left")
+    by_text = pairs.groupBy("key").agg(F.min(row).alias("r")).join(roots, "key", "left")
     firsts = by_text.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
-    chosen = keyed.join(firsts, (F.col("_md5") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return chosen.dropDuplicates([doc_id, "_md5"]).drop("_md5")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    odd = cut(pairs.join(firsts, same, "left").where("_key is null or n > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("_key").isNotNull().alias("kept")))
+    here = (F.col("_md5") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id"))
+    count = odd.agg(F.count("*").alias("all"), F.count_if("kept").alias("kept")).first()
+    if count["all"] > BROADCAST_MEMBERS:
+        return keyed.join(firsts, here, "left_semi").dropDuplicates([doc_id, "_md5"]).drop("_md5")
+    # What goes, and what is repeated, is little: the other texts stay where they are.
+    out = keyed.join(F.broadcast(odd), here, "left_anti")
+    if count["kept"]:
+        out = out.unionByName(keyed.join(F.broadcast(odd.where("kept")), here, "left_semi").dropDuplicates([doc_id, "_md5"]))
+    return out.drop("_md5")
