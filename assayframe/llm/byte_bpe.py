@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm.expressions import small_batches
+
 #: Pieces that a task remembers, about, once over for those met lately, and pieces that go into one query.
 CACHE_PIECES = 250_000
 QUERY_PIECES = 20_000
@@ -273,7 +275,7 @@ def _decoder(path: str, pattern: str):
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of text as an array."""
-    return df.withColumn(out, _encoder(ranks_path, pattern)(F.col(text)))
+    return small_batches(df).withColumn(out, _encoder(ranks_path, pattern)(F.col(text)))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -284,4 +286,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256."""
     names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "_coded")]
-    return df.withColumn("_coded", _digests(ranks_path, pattern)(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_coded.*")
+    return small_batches(df).withColumn("_coded", _digests(ranks_path, pattern)(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_coded.*")

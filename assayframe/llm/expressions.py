@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of whole texts that a Python worker is given at once, against Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once: a column named in a lambda would be worked out for every element."""
@@ -53,3 +57,14 @@ def rewritten(text: Column, pattern: str, replace: Callable[[Column], Column]) -
 
 def content_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on gives Python workers batches of BATCH_BYTES; a size that the session has set itself stays.
+
+    A row larger than that is a batch of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df

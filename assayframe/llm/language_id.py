@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayframe.llm.expressions import small_batches
+
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 65_536
 #: Bytes that one document adds to a dictionary at most.
@@ -118,7 +120,7 @@ def classifier(model: dict[str, bytes]):
 def identify(df: DataFrame, model: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """df with lang_pred, score (0 to 1, the margin) and rejected."""
     names = [c for c in df.columns if c not in ("lang_pred", "score", "rejected", "_guess")]
-    return df.withColumn("_guess", classifier(model)(F.col(text))).select(
+    return small_batches(df).withColumn("_guess", classifier(model)(F.col(text))).select(
         *(F.col(f"`{c}`") for c in names),
         F.col("_guess.lang_pred").alias("lang_pred"),
         F.col("_guess.score").alias("score"),

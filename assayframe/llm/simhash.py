@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayframe.llm.components import components
+from assayframe.llm.expressions import small_batches
 from assayframe.session import cut
 
 SHINGLE_WORDS = 3
@@ -81,7 +82,7 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """df with fp, the fingerprint as a signed long."""
-    return df.withColumn("fp", _fingerprints(F.col(text)))
+    return small_batches(df).withColumn("fp", _fingerprints(F.col(text)))
 
 
 def as_hex(fp: Column) -> Column:
@@ -305,7 +306,7 @@ def _verify(similarity: float):
 
 def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
     """key, root: for the MD5 of each text that isn't the first of its group, and that of the first, the group's name."""
-    keyed = df.select(F.col(text).alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = small_batches(df).select(F.col(text).alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     prints = keyed.select(F.col("key").alias("text_key"), _wide(words)(F.col("text")).alias("p")).select("text_key", "p.*")
     prints = cut(prints.groupBy("text_key").agg(F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2")))
     # Candidates are named by their first 64 bits; texts that share these belong together as candidates, whatever else.
