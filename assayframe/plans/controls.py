@@ -109,14 +109,14 @@ def situation_collisions(spark: SparkSession, d: str) -> DataFrame:
     return shared.withColumn("s", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where("s > 0.4").select("item_id", "earlier", F.round("s", 6).alias("similarity"))
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'a' || l_linenumber ELSE 'b' || l_linenumber END AS label FROM w WHERE l_orderkey % 10 = 1),
-p AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, 'a' || l_linenumber AS label, s AS payload FROM w WHERE l_orderkey % 10 = 1),
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'a' || l_linenumber ELSE 'b' || l_linenumber END AS label FROM w),
+p AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, 'a' || l_linenumber AS label, s AS payload FROM w),
 m AS (SELECT g.*, p.payload FROM g JOIN p ON g.group_id = p.group_id AND g.label = p.label),
 l AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS k FROM g ANTI JOIN m USING (group_id, label)), q AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS k FROM p ANTI JOIN m USING (group_id, label))
 SELECT group_id, label, payload, 'label' AS matched_by FROM m UNION ALL SELECT l.group_id, l.label, q.payload, 'position' FROM l LEFT JOIN q ON l.group_id = q.group_id AND l.k = q.k""")
 def aligned_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Payloads matched to what was asked for by label, and those left over by position; groups are single orders."""
-    w = table(spark, d, "lineitem").where("l_orderkey % 10 = 1").groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").alias("payload"))
+    w = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").alias("payload"))
     wanted = w.select("group_id", "pos", F.concat(F.when(F.col("pos") % 2 == 0, "a").otherwise("b"), F.col("pos").cast("string")).alias("label"))
     given = w.select("group_id", "pos", F.concat(F.lit("a"), F.col("pos").cast("string")).alias("label"), "payload")
     return M.aligned(wanted, given).select("group_id", "label", "payload", "matched_by")
