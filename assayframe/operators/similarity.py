@@ -49,13 +49,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def best_cosine(cases: DataFrame, corpus: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:
-    """key, best_id, similarity: the corpus vector of the largest cosine, at least 0, the first of equals.
+    """key, best_id, similarity: the corpus vector of the largest cosine, at least 0, the first of equals; never that of the case's own key.
 
     The cases are a stated query set; corpus blocks are sent to each case by an equi-join on the block, the
     maximum being taken block by block with partial aggregation.
     """
     left = cases.select(F.col(key).alias("case_id"), unit(F.col(vector)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = corpus.select(F.col(key).alias("best_id"), unit(F.col(vector)).alias("w"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    scored = left.join(right, "block").select("case_id", F.greatest(F.lit(0.0), F.round(dot(F.col("v"), F.col("w")), 9)).alias("s"), "best_id")
+    scored = left.join(right, "block").where("case_id <> best_id").select("case_id", F.greatest(F.lit(0.0), F.round(dot(F.col("v"), F.col("w")), 9)).alias("s"), "best_id")
     best = scored.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b"))
     return best.select("case_id", (-F.col("b.order")).alias("best_id"), F.col("b.s").alias("similarity"))
