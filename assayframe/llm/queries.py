@@ -125,12 +125,14 @@ _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END * {_DIGITS}[length({_DIGITS}) - i]::INT + CASE WHEN i % 2 = 1 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{_DIGITS}[length({_DIGITS}) - i]::INT + 1] ELSE 0 END)) % 10 = 0"
 _PII_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS key FROM documents),
+o AS (SELECT doc_id, key, coalesce(array_to_string(list_transform(g, lambda x, i: x || coalesce(repeat('.', length(m[i])), '')), ''), '') AS other
+      FROM (SELECT doc_id, key, regexp_extract_all(text, '{_PII["email"]}') AS m, regexp_split_to_array(text, '{_PII["email"]}') AS g FROM d)),
 f AS (SELECT * FROM ({" UNION ALL ".join(_located_sql(k, p, "d") for k, p in _PII.items())})
       WHERE kind = 'email' OR (kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda x: x::HUGEINT > 255)) = 0)
          OR (kind = 'card' AND length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}) OR (kind = 'phone' AND length({_DIGITS}) BETWEEN 8 AND 15)),
 n AS (SELECT doc_id, key, kind || ':' || lower(value) AS entity,
-             CASE WHEN length(b) > {sanitisation.NEAR_CHARS} THEN regexp_replace(right(b, {sanitisation.NEAR_CHARS}), '^\\p{{L}}+', '') ELSE b END || ' | ' ||
-             CASE WHEN length(a) > {sanitisation.NEAR_CHARS} THEN regexp_replace(left(a, {sanitisation.NEAR_CHARS}), '\\p{{L}}+$', '') ELSE a END AS near FROM f),
+             CASE WHEN s > {sanitisation.NEAR_CHARS} THEN regexp_replace(substr(other, (s - {sanitisation.NEAR_CHARS})::BIGINT, {sanitisation.NEAR_CHARS + 1}), '^\\p{{L}}+', '') ELSE left(other, s::BIGINT) END || ' | ' ||
+             CASE WHEN length(other) - e > {sanitisation.NEAR_CHARS} THEN regexp_replace(substr(other, (e + 1)::BIGINT, {sanitisation.NEAR_CHARS + 1}), '\\p{{L}}+$', '') ELSE substr(other, (e + 1)::BIGINT) END AS near FROM f JOIN o USING (doc_id, key)),
 c AS (SELECT DISTINCT doc_id, key, entity, unnest(regexp_extract_all(lower(near), '{_TERM}')) AS term FROM n),
 ent AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM n GROUP BY entity),
 joint AS (SELECT entity, term, count(*) AS n_joint FROM c GROUP BY entity, term HAVING count(DISTINCT key) >= {sanitisation.MIN_TEXTS}),

@@ -83,19 +83,43 @@ def may_hold(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _near(text: Column, found: Column) -> Column:
+    """found, each with near: the whole words up to NEAR_CHARS characters before and after it in text, letters of emails left out.
+
+    Only emails hold letters, so no word of any finding counts. The text is looked up in pieces, so that the work doesn't
+    grow with its length times the findings.
+    """
+    width = max(4096, NEAR_CHARS + 1)
+    without = F.when(text.rlike(HINTS["email"]), rewritten(text, PATTERNS["email"], lambda m: F.repeat(F.lit("."), F.length(m)))).otherwise(text)
+
+    def cut_out(pieces: Column, start: Column, length: Column) -> Column:
+        first = F.floor(start / width).cast("int")
+        two = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+        return F.substr(two, (start % width + 1).cast("int"), length.cast("int"))
+
+    def add(pieces: Column, m: Column) -> Column:
+        start = F.greatest(m["start"] - NEAR_CHARS - 1, F.lit(0).cast("long"))
+        # One character more than counts shows whether a word goes on beyond.
+        before = let(cut_out(pieces, start, m["start"] - start), lambda b: F.when(F.length(b) > NEAR_CHARS, F.regexp_replace(b, r"^\p{L}+", "")).otherwise(b))
+        after = let(cut_out(pieces, m["end"], F.lit(NEAR_CHARS + 1)), lambda a: F.when(F.length(a) > NEAR_CHARS, F.regexp_replace(a, r"\p{L}+$", "")).otherwise(a))
+        return F.struct(m["kind"].alias("kind"), m["value"].alias("value"), m["start"].alias("start"), m["end"].alias("end"), F.concat_ws(" | ", before, after).alias("near"))
+
+    return let(F.regexp_extract_all(without, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), lambda pieces: F.transform(found, lambda m: add(pieces, m)))
+
+
 def findings(text: Column) -> Column:
     """The valid base findings, by kind and start: array of struct(kind, value, start, end, near), near being the text around."""
 
     def of(kind: str) -> Column:
-        def build(value: Column, start: Column, end: Column, before: Column, after: Column) -> Column:
-            whole_words = F.when(F.length(before) > NEAR_CHARS, F.regexp_replace(F.right(before, F.lit(NEAR_CHARS)), r"^\p{L}+", "")).otherwise(before)
-            until = F.when(F.length(after) > NEAR_CHARS, F.regexp_replace(F.left(after, F.lit(NEAR_CHARS)), r"\p{L}+$", "")).otherwise(after)
-            return F.struct(F.lit(kind).alias("kind"), value.alias("value"), start.alias("start"), end.alias("end"), F.concat_ws(" | ", whole_words, until).alias("near"))
+        def build(value: Column, start: Column, end: Column, *_: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), value.alias("value"), start.alias("start"), end.alias("end"))
 
         return F.when(text.rlike(HINTS[kind]), F.filter(located(text, PATTERNS[kind], build), lambda m: valid(kind, m["value"])))
 
+    none = F.array().cast("array<struct<kind:string,value:string,start:bigint,end:bigint>>")
     empty = F.array().cast("array<struct<kind:string,value:string,start:bigint,end:bigint,near:string>>")
-    return F.when(may_hold(text), F.concat(*(F.coalesce(of(kind), empty) for kind in KINDS))).otherwise(empty)
+    every = F.concat(*(F.coalesce(of(kind), none) for kind in KINDS))
+    return F.when(may_hold(text), let(every, lambda found: F.when(F.size(found) > 0, _near(text, found)).otherwise(empty))).otherwise(empty)
 
 
 def _entity(found: Column) -> Column:
