@@ -103,6 +103,21 @@ _HOST = "coalesce(translate(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), 'AB
 _PATH = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 _NODE = "CASE WHEN regexp_matches({0}, '^[^:/?#]+://') THEN regexp_replace(lower(regexp_extract({0}, '^([^:/?#]+://[^/?#]*)', 1)) || regexp_extract({0}, '^[^:/?#]+://[^/?#]*([^#]*)', 1), '/+$', '') END"
 
+
+def _attribute_sql(tag: str, name: str) -> str:
+    return f"""replace(nullif(regexp_extract({tag}, '(?i)\\b{name}\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''), '&amp;', '&')"""
+
+
+def _resolved_sql(target: str, page: str) -> str:
+    site, path = f"regexp_extract({page}, '^([^:/?#]+://[^/?#]*)', 1)", f"regexp_extract({page}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+    own = f"regexp_extract({target}, '^[^?#]*')"
+    names = f"string_split(CASE WHEN starts_with({own}, '/') THEN {own} ELSE coalesce(nullif(regexp_replace({path}, '[^/]*$', ''), ''), '/') || {own} END, '/')"
+    clean = f"array_to_string(list_reduce(list_transform({names}, lambda x: [x]), lambda kept, x: CASE x[1] WHEN '..' THEN kept[:greatest(len(kept) - 1, 1)] WHEN '.' THEN kept ELSE kept || x END), '/')"
+    return f"""CASE WHEN regexp_matches({target}, '^[^:/?#]+://') THEN {target} WHEN starts_with({target}, '//') THEN regexp_extract({page}, '^([^:/?#]+):', 1) || ':' || {target}
+        WHEN starts_with({target}, '?') THEN {site} || {path} || {target}
+        WHEN NOT regexp_matches({target}, '^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN {site} || {clean} || substr({target}, length({own}) + 1) END"""
+
+
 #: The base findings' plain patterns, as the contract has them.
 _PII = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
@@ -152,11 +167,10 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind
 ORACLE_SQL = {
     "op3_pii": _PII_SQL,
     "op1_url_filters": f"""
-WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
-wanted AS (SELECT url, coalesce(nullif(regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '')) AS target
+WITH RECURSIVE tags AS (SELECT url, {_attribute_sql("regexp_extract(html, '(?i)<base\\b[^>]*>')", "href")} AS base, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
+wanted AS (SELECT url, coalesce({_resolved_sql("base", "url")}, url) AS page, coalesce({_attribute_sql("tag", "href")}, {_attribute_sql("tag", "url")}) AS target
            FROM tags WHERE regexp_matches(tag, '(?i)rel\\s*=\\s*["'']?canonical\\b|http-equiv\\s*=\\s*["'']?refresh\\b')),
-whole AS (SELECT url AS a_url, CASE WHEN regexp_matches(target, '^[^:/?#]+://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '^([^:/?#]+):', 1) || ':' || target
-                 WHEN starts_with(target, '/') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || target END AS b_url FROM wanted),
+whole AS (SELECT url AS a_url, {_resolved_sql("target", "page")} AS b_url FROM wanted),
 edges AS (SELECT a_url, b_url, {_NODE.format("a_url")} AS a, {_NODE.format("b_url")} AS b FROM whole),
 named AS (SELECT a AS node, a_url AS u FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, b_url FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
 step AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),

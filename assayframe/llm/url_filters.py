@@ -75,30 +75,46 @@ def with_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFram
     return urls.join(best, ["host", "path"], "left")
 
 
+def resolved(target: Column, page: Column) -> Column:
+    """The URL that target names on a page: whole, or relative to its scheme, host, folder or path. Null for other schemes and bare fragments."""
+    site = F.regexp_extract(page, r"^([^:/?#]+://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_replace(path, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    own = F.regexp_extract(target, "^[^?#]*", 0)
+
+    def step(kept: Column, name: Column) -> Column:
+        return F.when(name == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(name == ".", kept).otherwise(F.concat(kept, F.array(name)))
+
+    names = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own)), "/")
+    clean = F.array_join(F.aggregate(names, F.array().cast("array<string>"), step), "/")
+    return (
+        F.when(target.rlike(r"^[^:/?#]+://"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(page, r"^([^:/?#]+):", 1), F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(~target.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.concat(site, clean, F.substring(target, F.length(own) + 1, F.length(target))))
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value without white space, null if there is none."""
+    value = F.nullif(F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
+    return F.replace(value, F.lit("&amp;"), F.lit("&"))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """a_url, b_url: URLs that a page equates by a canonical link or a redirect (meta refresh).
 
-    Relative targets are resolved against the scheme and host of the page.
+    Relative targets are resolved against the page, or its base element if there is one.
     """
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     wanted = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
     may = F.col(html).rlike(r"(?i)canonical|http-equiv")
-    target = F.coalesce(
-        F.nullif(F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
-    )
-    base = F.regexp_extract("_url", r"^([^:/?#]+://[^/?#]*)", 1)
-    scheme = F.regexp_extract("_url", r"^([^:/?#]+):", 1)
-    whole = (
-        F.when(F.col("target").rlike(r"^[^:/?#]+://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(base, F.col("target")))
-    )
+    base = _attribute(F.regexp_extract(F.col(html), r"(?i)<base\b[^>]*>", 0), "href")
     return (
         pages.where(may)
-        .select(F.col(url).alias("_url"), F.explode(wanted).alias("tag"))
-        .select("_url", target.alias("target"))
-        .select(F.col("_url").alias("a_url"), whole.alias("b_url"))
+        .select(F.col(url).alias("_url"), base.alias("base"), F.explode(wanted).alias("tag"))
+        .select("_url", F.coalesce(resolved(F.col("base"), F.col("_url")), F.col("_url")).alias("page"), F.coalesce(_attribute(F.col("tag"), "href"), _attribute(F.col("tag"), "url")).alias("target"))
+        .select(F.col("_url").alias("a_url"), resolved(F.col("target"), F.col("page")).alias("b_url"))
     )
 
 

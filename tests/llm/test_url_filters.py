@@ -70,3 +70,38 @@ def test_edges_given_as_a_table_repeats_extra_columns_and_empty_tables(spark):
     assert [(r["verdict"], r["note"]) for r in got] == [("block", "mine")] * 2
     assert U.judge(rows.limit(0), URL_RULES, html=None, edges=edges).count() == 0
     assert {r["verdict"] for r in U.judge(rows, [], html=None).collect()} == {"allow"}
+
+
+PAGES = ["http://a.org/x/y/z.html?q=1#f", "https://a.org", "http://a.org/", "http://a.org/x/"]
+TARGETS = ["http://b.org/1", "//b.org/2", "/3/./4", "page2.html", "../up", "../../../far", "./here", "sub/../other?id=5&k=../6", "?id=5", "a/b#frag", "HTTP://C.org/d", "..", "x:y/z"]
+
+
+def test_relative_targets_as_by_the_library(spark):
+    from urllib.parse import urljoin
+
+    rows = spark.createDataFrame([(p, t) for p in PAGES for t in TARGETS], "page string, target string")
+    tidy = lambda u: u.split("#")[0].rstrip("/")
+    for r in rows.withColumn("got", U.resolved(F.col("target"), F.col("page"))).collect():
+        if r["target"] == "x:y/z":
+            assert r["got"] is None
+        else:
+            assert tidy(r["got"]).lower() == tidy(urljoin(r["page"], r["target"])).lower(), r
+
+
+def test_query_and_sql_agree_on_pages_with_links(spark, tmp_path):
+    from compare import difference
+
+    from assayframe.llm.queries import ORACLE_SQL, op1_url_filters
+
+    rows = [(i, f"http://h{i % 7}.info/p/{i}", link(TARGETS[i % len(TARGETS)])) for i in range(60)]
+    rows += [(100, "http://h1.info/p/q", '<base href="http://b.org/es/"><link rel=canonical href=one?a=1&amp;b=2>'), (101, "http://b.org/es/one?a=1&b=2", None), (102, "http://h2.info/", link("mailto:x@y.org"))]
+    rows += [(103, "http://www.com/en/1", link("../../allow")), (104, "http://www.com/allow", link("http://m.example.com/en/7")), (105, "http://h3.info/r", "<meta http-equiv=refresh content='1;url=../en/7'>"), (106, None, link("/x"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in op1_url_filters(spark, str(tmp_path)).collect()}
+    assert got[100] == "block" and got[102] == "allow" and got[103] == "block"
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert difference(op1_url_filters(spark, str(tmp_path)), con, ORACLE_SQL["op1_url_filters"]) == ""
