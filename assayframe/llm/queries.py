@@ -76,7 +76,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     found = warc.captures_of(warc.assemble(warc.read_records(spark, path)))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "request")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,11 +208,12 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op9_warc": """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                  'GET ' || regexp_replace(coalesce(url, ''), '[\r\n]', '%20', 'g') || ' HTTP/1.1' AS request FROM pages),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first > page_id THEN first END AS refers_to
+       CASE WHEN first > page_id THEN first END AS refers_to, request
 FROM m
 """,
 }

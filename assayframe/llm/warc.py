@@ -6,9 +6,13 @@ with the separator that ends WARC records (two CRLF) and gzip, so archives land
 any file system that Spark writes to.
 
 Reading: archive files are read whole as binary rows, files being kept to a bounded
-size at writing, and cut into records by Content-Length. The records, without their
-payloads, are then joined through WARC-Concurrent-To into one nested row a capture,
-and revisits are joined to the response they refer to.
+size at writing, and cut into records by Content-Length, once: the records' fields,
+without payloads, are kept by a checkpoint. They are then joined through
+WARC-Concurrent-To into one nested row a capture, and revisits are joined to the
+response they refer to. Only revisits take part in that join, and those of one response
+are spread over SALTS keys, since one response may have a third of all revisits.
+Payloads are never shuffled where the repeated ones are few (REPEATED): only their
+digests are.
 
 Defined results: null html is an empty payload; a null url or id is an empty field and
 a null id comes back as null; equal rows write equal records, which come back as
@@ -27,7 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayframe.session import cut
+
 MIN_REVISIT = 1_000
+#: Up to so many repeated payloads their digests, of about 150 bytes, are broadcast to the pages, else joined by a shuffle.
+REPEATED = 200_000
+#: Keys over which the revisits of a response are spread.
+SALTS = 32
 #: Bytes of payload that go to an archive file, about.
 FILE_BYTES = 24_000_000
 CRLF = "\r\n"
@@ -57,7 +67,7 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", "%20").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("body"))
     rows = rows.withColumns({"digest": F.sha1(F.col("body").cast("binary")), "bytes": F.octet_length("body").cast("long")})
     rows = rows.withColumn("capture", F.sha1(F.concat_ws("\n", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "url", "digest").cast("binary")))
-    first = (
+    first = cut(
         rows.where((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull())
         .groupBy("digest")
         .agg(F.max(F.struct("page_id", "capture")).alias("first"), F.count("*").alias("copies"))
@@ -65,7 +75,7 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         .select("digest", "first")
     )
     older = (F.col("page_id") < F.col("first.page_id")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
-    return rows.join(first, "digest", "left").withColumn("refers", F.when(older, F.col("first.capture"))).drop("first")
+    return rows.join(F.broadcast(first) if first.count() <= REPEATED else first, "digest", "left").withColumn("refers", F.when(older, F.col("first.capture"))).drop("first")
 
 
 def records(found: DataFrame) -> DataFrame:
@@ -139,9 +149,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records' fields, without payloads; intact says whether a response's payload has the recorded digest and length."""
+    """The records' fields, without payloads; intact says whether a response's payload has the recorded digest and length. Kept by a checkpoint."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
-    return files.mapInPandas(_parse, RECORD)
+    return cut(files.mapInPandas(_parse, RECORD))
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -163,11 +173,16 @@ def page_id_of(metadata: Column) -> Column:
     return F.nullif(F.regexp_extract(metadata["fields"], r"(?m)^page-id: (\d*)", 1), F.lit("")).try_cast("long")
 
 
-def captures_of(assembled: DataFrame) -> DataFrame:
-    """One flat row a capture: page_id, payload_bytes, payload_digest, record_type, refers_to (page id), url, intact."""
-    rows = assembled.withColumn("page_id", page_id_of(F.col("metadata")))
-    named = rows.where("answer.record_type = 'response'").select(F.col("record_id").alias("_to"), F.col("page_id").alias("refers_to"))
-    linked = rows.join(named, F.col("answer.refers_to") == F.col("_to"), "left")
+def captures_of(assembled: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One flat row a capture: page_id, payload_bytes, payload_digest, record_type, refers_to (page id), url, request (its first line), intact."""
+    rows = cut(assembled.withColumn("page_id", page_id_of(F.col("metadata"))))
+    revisit = F.coalesce(F.col("answer.record_type") == "revisit", F.lit(False))
+    targets = rows.where(revisit).select(F.col("answer.refers_to").alias("record_id")).distinct()
+    named = rows.where(~revisit).select("record_id", F.col("page_id").alias("refers_to")).join(targets, "record_id")
+    spread = named.select(F.col("record_id").alias("_to"), "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = rows.where(revisit).withColumns({"_to": F.col("answer.refers_to"), "_salt": F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")})
+    revisits = salted.join(spread, ["_to", "_salt"], "left").select(*rows.columns, "refers_to")
+    linked = rows.where(~revisit).withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
     return linked.select(
         "page_id",
         "answer.payload_bytes",
@@ -175,6 +190,7 @@ def captures_of(assembled: DataFrame) -> DataFrame:
         "answer.record_type",
         "refers_to",
         F.col("answer.target_uri").alias("url"),
+        F.regexp_extract(F.col("request.fields"), "^[^\r\n]*", 0).alias("request"),
         "answer.intact",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
