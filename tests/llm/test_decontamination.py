@@ -15,12 +15,12 @@ def brute(docs, items):
         a = words(text)
         for i, item in items:
             b = words(item)
-            if len(b) < 9:
+            if len(b) < 5:
                 continue
-            n = min(D.VERIFY_WORDS, len(b))
+            n, share = min(D.VERIFY_WORDS, len(b)), 1 if len(b) < 9 else D.SIMILARITY
             for x in range(len(a) - n + 1):
                 for y in range(len(b) - n + 1):
-                    if sum(p == q for p, q in zip(a[x : x + n], b[y : y + n], strict=True)) >= D.SIMILARITY * n:
+                    if sum(p == q for p, q in zip(a[x : x + n], b[y : y + n], strict=True)) >= share * n:
                         out.add((d, i))
     return out
 
@@ -30,6 +30,36 @@ def test_masks_miss_no_two_substitutions():
         assert any(all(m[b - o] == "0" for b in bad if 0 <= b - o < len(m)) for m in D.MASKS for o in range(D.VERIFY_WORDS - len(m) + 1))
 
 
+def test_short_masks_miss_nothing_within_the_similarity():
+    for n in range(9, D.VERIFY_WORDS):
+        for bad in combinations(range(n), next(k for k in range(n) if n - k - 1 < D.SIMILARITY * n)):
+            assert any(all(m[b - o] == "0" for b in bad if 0 <= b - o < len(m)) for m in D.CLASSES[1].masks for o in range(n - len(m) + 1))
+
+
+def test_short_items_as_by_brute_force(spark):
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randint(0, 40)}" for _ in range(n)]
+    items = [(i, " ".join(make(3 + i % 12))) for i in range(60)]
+    docs = []
+    for k in range(150):
+        body, part = make(rng.randint(0, 30)), items[k % 60][1].split()
+        for j in rng.sample(range(len(part)), min(len(part), k % 4)):
+            part[j] = "zz"
+        at = rng.randint(0, len(body))
+        docs.append((k, " ".join(body[:at] + part + body[at:])))
+    found = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert {r["doc_id"]: r["n_items"] for r in found} == {d: sum(x == d for x, _ in want) for d in {d for d, _ in want}} and len(found) > 40
+
+
+def test_every_place_of_a_repeated_window_counts(spark):
+    seed = [f"s{i}" for i in range(9)]
+    item = seed + [f"a{i}" for i in range(20)] + seed + [f"b{i}" for i in range(4)]
+    doc = [f"x{i}" for i in range(9)] + seed + [f"b{i}" for i in range(4)]
+    found = D.overlaps(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched"], r["start"]) for r in found] == [(1, 7, 13, 9)]
+
+
 def fixture():
     rng = random.Random(3)
     vocabulary = ["w%d" % i for i in range(60)]
