@@ -6,9 +6,10 @@ component of either sign the postings come in order of impact from one end. Impa
 counted from the least possible in the block, are quantised into levels, and the
 segments of all components are processed level by level from the highest. After a
 level, a vector's score is at least what it has gathered and at most that plus the
-level's bound for each component not met yet. The search stops only when few vectors
-can still be among the k best by these bounds, and those are rescored exactly; where
-the bounds never part them, all segments are processed and the sums are the scores.
+level's bound for each component not met yet. The search stops when these bounds prove
+that so few vectors can still be among the k best that rescoring them exactly reads
+fewer components than the postings left, which is never so while all are possible;
+where the bounds never part them, all segments are processed and the sums are the scores.
 Each pair of a query block and a vector block gives its own k best, and a ranking cut
 to k a query joins the blocks.
 
@@ -35,9 +36,7 @@ SCALE = 1024
 #: Components of a block's vectors together: 4 MB in each of the index's three arrays.
 BLOCK_VALUES = 524_288
 QUERY_BLOCK = 256
-LEVELS = 16
-#: Possible members up to which the search stops and rescores.
-RESCORE = 2_048
+LEVELS = 32
 
 INDEX = "block int, width int, ids binary, matrix binary, places binary, sorted binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -67,15 +66,15 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def build_index(vectors: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:
-    """(the index, number of blocks) of vectors (as of quantised), stored by a checkpoint. block: vectors of a block, by default as BLOCK_VALUES allows."""
+def build_index(vectors: DataFrame, block: int | None = None) -> DataFrame:
+    """The index of vectors (as of quantised), stored by a checkpoint; blocks count from 0. block: vectors of a block, by default as BLOCK_VALUES allows."""
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n = max(1, math.ceil(size["n"] / (block or max(1, BLOCK_VALUES // (size["width"] or 1)))))
-    return cut(vectors.repartition(n).withColumn("block", F.spark_partition_id()).mapInPandas(_index, INDEX)), n
+    return cut(vectors.repartition(n).withColumn("block", F.spark_partition_id()).mapInPandas(_index, INDEX))
 
 
-def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarray, values: np.ndarray, k: int, own: int, levels: int = LEVELS, rescore: int = RESCORE, room: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best of a block for a query; ids are sorted, so positions break ties. room: arrays to work in."""
+def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarray, values: np.ndarray, k: int, own: int, levels: int = LEVELS, room: tuple[np.ndarray, np.ndarray] | None = None, told: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best of a block for a query; ids are sorted, so positions break ties. room: arrays to work in. told: gets levels, done and rescored."""
     n = len(ids)
     used = np.flatnonzero(q)
     exact, q = q, q.astype(np.float64)  # exact, as long as the sums below are
@@ -84,7 +83,7 @@ def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarra
     # k best are sought among others: rows of the query's own id may be in the way, so the bound asks for that many more
     lo, hi = np.searchsorted(ids, [own, own + 1])
     want = k + int(hi - lo)
-    first = levels // 3
+    first = levels // 2
     top = int((high - low).max(initial=0))
     step = max(1, -(-(top + 1) // levels))
     edges = step * np.arange(-(-(top + 1) // step) - 1, -1, -1, dtype=np.float64)  # the lower edge of each level, falling
@@ -102,7 +101,7 @@ def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarra
     if unit * (len(used) + 1) > 2.0**53:
         return _plain(exact, ids, matrix, k, lo, hi)
     where, impact = room or (np.empty(places.size, np.int64), np.empty(places.size))
-    total, may = np.zeros(n), np.arange(n)
+    total, may, left = np.zeros(n), np.arange(n), n * len(used)
     for i, edge in enumerate(edges):
         size = 0
         for d, least, at in zip(used, low, cuts, strict=True):
@@ -114,7 +113,8 @@ def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarra
                 part += unit - least
         if size:
             total += np.bincount(where[:size], impact[:size], n)
-        if edge == 0 or n <= want:
+            left -= size
+        if n <= want:
             break
         # Components whose whole span lies below the edge are unmet by all, and add their spans to the bound.
         below = spans < edge
@@ -125,8 +125,11 @@ def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarra
         rest = spans[below].sum() + (len(used) - below.sum() - met) * (edge - 1)
         kth = np.partition(gathered, n - want)[n - want]
         may = np.flatnonzero(gathered + rest >= kth)
-        if len(may) <= max(rescore, 2 * want):
+        # Proven, and cheaper than the rest: rescoring a vector reads all its components.
+        if len(may) * len(q) < left:
             break
+    if told is not None:
+        told |= {"levels": len(edges), "done": i + 1, "rescored": len(may)}
     may = may[(may < lo) | (may >= hi)]
     scores = matrix[may] @ exact
     best = np.lexsort((may, -scores))[:k]
@@ -161,12 +164,13 @@ def _search(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of vectors for each row of queries (both as of quantised)."""
-    index, n = build_index(vectors, block)
+    index = build_index(vectors, block)
+    last = index.agg(F.max("block")).first()[0]
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     parts = max(1, math.ceil(queries.count() / query_block))
     # Queries are dealt evenly too; each block of them is sent to each block of vectors by an equi-join.
     dealt = queries.repartition(parts).groupBy(F.spark_partition_id().alias("part"), F.size("v").alias("width")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    sent = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sent = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
     found = index.join(sent, ["block", "width"]).mapInPandas(_search(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -54,8 +54,24 @@ def test_bounds_are_proofs():
         places = np.argsort(m, axis=0, kind="stable").T.copy()
         values = np.take_along_axis(m.T, places, axis=1).astype(float)
         for q in (m[0], m[1] * 0, -m[2], m[3] * (rng.random(d) < 0.3)):
-            for levels, rescore in ((2, 0), (8, 5), (32, 20)):
-                got, scores = I.search(q, ids, m, places, values, 10, int(ids[0]), levels, rescore)
+            for levels in (2, 8, 32):
+                got, scores = I.search(q, ids, m, places, values, 10, int(ids[0]), levels)
                 s = m @ q
                 order = [i for i in np.lexsort((ids, -s)) if i != 0][:10]
                 assert np.array_equal(got, ids[order]) and np.array_equal(scores, s[order])
+
+
+def test_stops_before_the_last_level_and_rescores_few():
+    rng = np.random.default_rng(9)
+    for n in (2_000, 20_000):
+        m = rng.normal(size=(n, 64))
+        m = np.floor(1024 * m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.int64)
+        places = np.argsort(m, axis=0, kind="stable").T.copy()
+        values = np.take_along_axis(m.T, places, axis=1).astype(float)
+        for q in range(0, n, n // 4):
+            told = {}
+            got, scores = I.search(m[q], np.arange(n), m, places, values, 10, q, told=told)
+            s = m @ m[q]
+            order = [i for i in np.lexsort((np.arange(n), -s)) if i != q][:10]
+            assert np.array_equal(got, order) and np.array_equal(scores, s[order])
+            assert told["done"] < told["levels"] and told["rescored"] < n // 3
