@@ -54,7 +54,7 @@ def test_labels_are_not_inputs(spark):
 def test_sample_is_bounded_and_copies_count_once(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same text " * 100).alias("text"), F.lit("aa").alias("lang"))
     model = L.learn(df, docs=20, size=5000)
-    assert len(model["aa"]) == L.SHARE_BYTES
+    assert len(model["aa"]) == L.SHARE_CHARS
 
 
 def test_edges(spark):
@@ -70,6 +70,33 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in L.identify(df, {}).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    model = L.learn(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    rows = [(1, "²³ ½ ① Ⅷ 12"), (2, "① a"), (3, "ª"), (4, "語")]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == "und" and all(got[i] in model for i in (2, 3, 4))
+
+
+def test_every_label_is_learnt_within_the_model_size(spark, monkeypatch):
+    rows = [(i, f"word{i % 40} " * 30, f"l{i % 40}") for i in range(200)]
+    monkeypatch.setattr(L, "MODEL_BYTES", 40 * 50)
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model) == 40 and all(0 < len(b) <= 50 for b in model.values())
+
+
+def test_excerpts_come_from_all_over_the_texts(spark):
+    rows = [(i, "header " * 200 + f"mid{i} " * 200, "aa") for i in range(40)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["aa"].count(b"header") < model["aa"].count(b"mid") * 3
+
+
+def test_narrow_margins_are_rejected(spark):
+    body = b"tion ing the ed er tioning thed ering edtion " * 20
+    docs = spark.createDataFrame([(1, "tion ing the ed er"), (2, "tion ing the ed er tioning thed " * 5)], "doc_id long, text string")
+    near, far = ({r["doc_id"]: r["rejected"] for r in L.identify(docs, {"aa": body, "bb": other}).collect()} for other in (body, b"0123456789" * 40))
+    assert near == {1: True, 2: True} and far == {1: False, 2: False}
+
+
 def test_long_text_in_capitals(spark):
     rows = corpus(60)
     model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
