@@ -49,9 +49,10 @@ NEAR_CHARS = 80
 GENERALISE = 0.8
 REMOVE = 0.95
 MIN_TEXTS = 1
-#: Up to so many texts with terms their keys are broadcast, else joined by a shuffle.
-BROADCAST_KEYS = 100_000
-BROADCAST_TERMS = 1_000_000
+#: Up to so many bytes a table is broadcast, else joined by a shuffle; bytes that a row or a term takes beside its characters.
+BROADCAST_BYTES = 32_000_000
+ROW_BYTES = 100
+TERM_BYTES = 24
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -145,7 +146,8 @@ def disclosures(docs: DataFrame, near: DataFrame, text: str = "text", generalise
     terms = cut(joint.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
     # Few terms are looked up before words are counted; beyond the bound all words are, each task's counts being summed first.
-    looked_up = words.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= BROADCAST_TERMS else words
+    size = terms.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    looked_up = words.join(F.broadcast(terms), "term", "left_semi") if size <= BROADCAST_BYTES else words
     spread = looked_up.groupBy("term").agg(F.count("*").alias("n_term"))
     content = F.ln(F.lit(float(max(total, 1))) / F.col("n_entity"))
     share = F.ln(F.col("n") * float(total) / (F.col("n_entity") * F.col("n_term"))) / content
@@ -165,11 +167,15 @@ def terms_by_text(docs: DataFrame, text: str = "text", generalise: float = GENER
 def _with_terms(docs: DataFrame, text: str, **thresholds: float) -> DataFrame:
     """docs with _general and _removed."""
     terms = cut(terms_by_text(docs, text, **thresholds))
-    small = terms.count() <= BROADCAST_KEYS
-    # Texts without a finding have no terms; where the join shuffles, their keys still spread.
-    key = F.when(may_hold(F.col(text)), content_key(F.col(text))).otherwise(F.lit("-") if small else F.concat(F.lit("-"), F.xxhash64(text).cast("string")))
+    listed = F.aggregate(F.concat("general", "removed"), F.lit(ROW_BYTES).cast("long"), lambda n, t: n + F.octet_length(t) + TERM_BYTES)
+    size = terms.agg(F.sum(listed)).first()[0] or 0
     right = terms.select(F.col("key").alias("_key"), F.col("general").alias("_general"), F.col("removed").alias("_removed"))
-    return docs.withColumn("_of", key).join(F.broadcast(right) if small else right, F.col("_of") == F.col("_key"), "left").drop("_of", "_key")
+    may, same = may_hold(F.col(text)), content_key(F.col(text)) == F.col("_key")
+    if size <= BROADCAST_BYTES:
+        return docs.withColumn("_of", F.when(may, content_key(F.col(text)))).join(F.broadcast(right), F.col("_of") == F.col("_key"), "left").drop("_of", "_key")
+    # Texts without a finding have no terms and stay where they are.
+    none = F.lit(None).cast("array<string>")
+    return docs.where(may).join(right, same, "left").drop("_key").unionByName(docs.where(~may).withColumns({"_general": none, "_removed": none}))
 
 
 def term_spans(text: Column, general: Column, removed: Column, base: Column) -> Column:

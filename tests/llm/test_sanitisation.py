@@ -73,9 +73,9 @@ def disclosure(docs, entity, term):
     return math.log(joint * n / (ne * nt)) / math.log(n / ne), len(set(near))
 
 
-@pytest.mark.parametrize("few", [1000, 0])
+@pytest.mark.parametrize("few", [1_000_000, 0])
 def test_disclosures_as_by_hand(spark, monkeypatch, few):
-    monkeypatch.setattr(P, "BROADCAST_TERMS", few)
+    monkeypatch.setattr(P, "BROADCAST_BYTES", few)
     docs = corpus()
     rows = spark.createDataFrame(docs, "doc_id int, text string, kind string")
     single = {(r["entity"], r["term"]): r["disclosure"] for r in P.disclosures(rows, P.contexts(rows)).collect()}
@@ -91,8 +91,8 @@ def test_disclosures_as_by_hand(spark, monkeypatch, few):
 
 def test_sanitised_text(spark, monkeypatch):
     rows = spark.createDataFrame(corpus() + [(9, "plain é text", "k")] * 2, "doc_id int, text string, kind string")
-    for limit in (1000, 0):
-        monkeypatch.setattr(P, "BROADCAST_KEYS", limit)
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(P, "BROADCAST_BYTES", limit)
         out = P.sanitise(rows, min_texts=2)
         assert out.columns == rows.columns and out.count() == rows.count()
         got = {r["doc_id"]: r["text"] for r in out.collect()}
