@@ -3,7 +3,9 @@
 Texts are cut by the vocabulary's pattern, and the distinct pieces that a task hasn't
 met yet are encoded together: their token-position rows are joined with the merge
 table, each round contracts every piece's leftmost pair of minimum rank, and pieces
-leave when no pair merges any more. Ordered aggregation gives a piece's ids and decodes
+leave when no pair merges any more. Pieces of more than LONG_BYTES bytes, whose rounds
+would be as many as their tokens, contract all pairs in a round that are proven not to
+depend on each other, by one query a round, so that no round's rows stay. Ordered aggregation gives a piece's ids and decodes
 them to bytes by the vocabulary. Texts are then put together from pieces.
 
 The merge table has a row for every way in which a vocabulary entry is made of two
@@ -12,7 +14,7 @@ an entry is encoded as that.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows
 get the same result each; other columns stay, a column with the name of a result is
-replaced. Memory is bounded by the pieces of a batch and CACHE_PIECES.
+replaced. Memory is bounded by CACHE_BYTES, a batch's pieces and the longest piece.
 """
 
 from __future__ import annotations
@@ -21,63 +23,39 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.expressions import small_batches
+from assayframe.llm.expressions import give_back, small_batches
 
-#: Pieces that a task remembers, about, once over for those met lately, and pieces that go into one query.
-CACHE_PIECES = 250_000
-QUERY_PIECES = 20_000
+#: Bytes of pieces that a task remembers, about, once over for those met lately; what a piece takes beside its ids and bytes;
+#: characters of pieces that go into one query, and what a query may take.
+CACHE_BYTES = 64_000_000
+PIECE_BYTES = 300
+QUERY_CHARS = 640_000
+QUERY_MB = 300
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000
 #: Characters of texts whose pieces are coded together.
-PART_CHARS = 1_000_000
+PART_CHARS = 2_000_000
 
 #: Bytes from which a piece counts as long.
 LONG_BYTES = 64
 
 #: One pair a round: the leftmost of minimum rank.
-STEP = """
-        SELECT p.word, p.pos, CASE WHEN p.pos = b.first_pos THEN b.merged ELSE p.tok END, b.merged IS NULL
-        FROM pairs p JOIN best b ON p.word = b.word
-        WHERE b.merged IS NULL OR p.pos <> b.gone
-"""
-#: For long pieces all that the steps above would contract next, from left to right: every pair of the minimum rank, of
-#: overlapping ones each second. It is the same as one by one unless a new token makes a pair of a lower rank with a
-#: neighbour (falls); then only the leftmost is contracted.
-STEP_LONG = """
-        SELECT word, pos, CASE WHEN cut THEN best ELSE tok END, best IS NULL
-        FROM (
-            SELECT *, coalesce(lag(cut) OVER (PARTITION BY word ORDER BY pos), false) AS gone
-            FROM (
-                SELECT *, hit AND (first_pos = pos OR row_number() OVER (PARTITION BY word, hit, rn - rh ORDER BY pos) % 2 = 1
-                                   AND NOT bool_or(hit AND falls) OVER (PARTITION BY word)) AS cut
-                FROM (
-                    SELECT p.*, b.merged AS best, b.first_pos, coalesce(p.merged = b.merged, false) AS hit,
-                           f1.l IS NOT NULL OR f2.l IS NOT NULL OR f3.l IS NOT NULL AS falls,
-                           row_number() OVER (PARTITION BY p.word, coalesce(p.merged = b.merged, false) ORDER BY p.pos) AS rh
-                    FROM pairs p JOIN best b ON p.word = b.word
-                    LEFT JOIN falls f1 ON f1.l = b.merged AND f1.r = p.third_tok
-                    LEFT JOIN falls f2 ON f2.l = p.prev_tok AND f2.r = b.merged
-                    LEFT JOIN falls f3 ON f3.l = b.merged AND f3.r = b.merged
-                )
-            )
-        )
-        WHERE NOT gone
-"""
-CODE = """
+ENCODE = """
 WITH RECURSIVE step(word, pos, tok, done) AS (
     SELECT word, pos, tok, false FROM start
     UNION ALL
     (
         WITH pairs AS (
-            SELECT s.word, s.pos, s.tok, s.next_pos, m.merged{more}
+            SELECT s.word, s.pos, s.tok, s.next_pos, m.merged
             FROM (
-                SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos{windows}
+                SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
                 FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)
             ) s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next_tok
         ),
@@ -86,16 +64,55 @@ WITH RECURSIVE step(word, pos, tok, done) AS (
                    arg_min(next_pos, merged::BIGINT * 4294967296 + pos) AS gone
             FROM pairs GROUP BY word
         )
-        {step}
+        SELECT p.word, p.pos, CASE WHEN p.pos = b.first_pos THEN b.merged ELSE p.tok END, b.merged IS NULL
+        FROM pairs p JOIN best b ON p.word = b.word
+        WHERE b.merged IS NULL OR p.pos <> b.gone
     )
 )
 SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*)::INTEGER AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex
 FROM step s JOIN vocabulary v ON v.id = s.tok WHERE s.done GROUP BY s.word
 """
-ENCODE = CODE.format(more="", windows="", step=STEP)
-ENCODE_LONG = CODE.format(
-    more=", s.rn, s.third_tok, s.prev_tok", windows=", row_number() OVER w AS rn, lead(tok, 2) OVER w AS third_tok, lag(tok) OVER w AS prev_tok", step=STEP_LONG
+#: For long pieces a step of the same fixpoint that contracts many pairs at once, each proven to come before all that could
+#: touch it. A pair of rank r can lose a token to a neighbour first only by entries of a rank up to r, which are of at most
+#: reach(r) bytes, so only pairs no further away than that matter (calm: none of these has a lower rank). Pairs of one rank
+#: in reach of each other are a run, which goes from left to right: if all of it is calm and no new token makes a pair of a
+#: lower rank with what stands beside it (falls), the whole run is contracted, of overlapping pairs each second; otherwise
+#: its first pair alone, if calm.
+STEP_LONG = """
+SELECT word, pos, CASE WHEN cut THEN merged ELSE tok END AS tok
+FROM (
+    SELECT *, coalesce(lag(cut) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+    FROM (
+        SELECT word, pos, tok, merged,
+               coalesce(calm AND (row_number() OVER u = 1 OR bool_and(calm AND NOT falls) OVER (PARTITION BY word, merged, run)
+                                  AND row_number() OVER (PARTITION BY word, merged, run, rn - rh ORDER BY pos) % 2 = 1), false) AS cut
+        FROM (
+            SELECT *, sum(CASE WHEN pos - before <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY word, merged ORDER BY pos) AS run
+            FROM (
+                SELECT p.*, lag(p.pos) OVER r AS before, row_number() OVER r AS rh, f1.l IS NOT NULL OR f2.l IS NOT NULL OR f3.l IS NOT NULL AS falls
+                FROM (
+                    SELECT s.*, m.merged, m.reach,
+                           m.merged <= min(m.merged) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN coalesce(m.reach, 0) PRECEDING AND coalesce(next_pos - pos + m.reach, 0) FOLLOWING) AS calm
+                    FROM (
+                        SELECT word, pos, tok, row_number() OVER w AS rn, lead(pos) OVER w AS next_pos, lead(tok) OVER w AS next_tok, lead(tok, 2) OVER w AS third_tok, lag(tok) OVER w AS prev_tok
+                        FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
+                    ) s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next_tok
+                ) p
+                LEFT JOIN falls f1 ON f1.l = p.merged AND f1.r = p.third_tok
+                LEFT JOIN falls f2 ON f2.l = p.prev_tok AND f2.r = p.merged
+                LEFT JOIN falls f3 ON f3.l = p.merged AND f3.r = p.merged
+                WINDOW r AS (PARTITION BY p.word, p.merged ORDER BY p.pos)
+            )
+        )
+        WINDOW u AS (PARTITION BY word, merged, run ORDER BY pos)
+    )
 )
+WHERE NOT gone
+"""
+CODED_LONG = """
+SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*)::INTEGER AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+FROM state s JOIN vocabulary v ON v.id = s.tok GROUP BY s.word
+"""
 DECODE = """
 SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex
 FROM (SELECT word, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) t JOIN vocabulary v ON v.id = t.id
@@ -103,36 +120,66 @@ GROUP BY t.word
 """
 
 
+class Vocabulary(NamedTuple):
+    """ranks: the id of each entry's bytes; merges: l, r, merged, reach; falls: the merges whose entry has a lower rank than a part."""
+
+    ranks: dict[bytes, int]
+    merges: pd.DataFrame
+    falls: pd.DataFrame
+    single: np.ndarray
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(maxsize=2)
+def read_vocabulary(path: str) -> Vocabulary:
+    ranks = read_ranks(path)
+    made = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    merges = pd.DataFrame(made, columns=["l", "r", "merged"], dtype="int32")
+    longest = np.zeros(max(ranks.values()) + 1, dtype=np.int32)
+    longest[list(ranks.values())] = list(map(len, ranks))
+    merges["reach"] = np.maximum.accumulate(longest)[merges["merged"]]
+    falls = merges[(merges["merged"] < merges["l"]) | (merges["merged"] < merges["r"])]
+    return Vocabulary(ranks, merges, falls, np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32))
+
+
 class PieceCoder:
-    """Encodes and decodes pieces in a DuckDB database of its own."""
+    """Encodes and decodes pieces in a DuckDB database of its own, which a task opens and closes."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
         import regex
 
-        self.ranks = read_ranks(path)
+        vocabulary = read_vocabulary(path)
+        self.ranks, self.single = vocabulary.ranks, vocabulary.single
         # White space as Unicode has it, which is what the vocabulary's pattern means by \s and \S.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         # Pieces met lately, and those from before, from which the ones met again are taken over.
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.before: dict[str, tuple[str, int, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "allocator_background_threads": False})
-        vocabulary = pd.DataFrame({"id": list(self.ranks.values()), "hex": [k.hex() for k in self.ranks]}).astype({"id": "int32"})
-        made = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        merges = pd.DataFrame(made, columns=["l", "r", "merged"], dtype="int32")
-        falls = merges[(merges["merged"] < merges["l"]) | (merges["merged"] < merges["r"])]
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        for name, table in (("vocabulary", vocabulary), ("merges", merges), ("falls", falls)):
+        self.held = 0
+        # No folder for spilling: an executor's own disk takes no files.
+        config = {"threads": 1, "memory_limit": f"{QUERY_MB}MB", "temp_directory": "", "preserve_insertion_order": False, "allocator_background_threads": False}
+        self.db = duckdb.connect(":memory:", config=config)
+        entries = pd.DataFrame({"id": list(self.ranks.values()), "hex": [k.hex() for k in self.ranks]}).astype({"id": "int32"})
+        for name, table in (("vocabulary", entries), ("merges", vocabulary.merges), ("falls", vocabulary.falls)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _rows(self, sql: str, **tables: pd.DataFrame) -> pd.DataFrame:
+    def __enter__(self) -> PieceCoder:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """Lets go of all that a task holds: its worker goes on to other work."""
+        self.known, self.before = {}, {}
+        self.db.close()
+        give_back()
+
+    def rows(self, sql: str, **tables: pd.DataFrame) -> pd.DataFrame:
         for name, table in tables.items():
             self.db.register(name, table)
         out = self.db.execute(sql).df()
@@ -140,45 +187,58 @@ class PieceCoder:
             self.db.unregister(name)
         return out
 
-    def _code(self, pieces: list[str], sql: str) -> None:
+    def _fixpoint(self, start: pd.DataFrame) -> pd.DataFrame:
+        """Contracts long pieces step by step, of which only the last is kept."""
+        self.db.execute(f"SET memory_limit = '{QUERY_MB + len(start) // 1000}MB'")
+        self.db.register("start", start)
+        self.db.execute("CREATE OR REPLACE TABLE state AS SELECT * FROM start")
+        self.db.unregister("start")
+        left, before = len(start), -1
+        while left != before:
+            self.db.execute(f"CREATE OR REPLACE TABLE state AS {STEP_LONG}")
+            before, left = left, self.db.execute("SELECT count(*) FROM state").fetchone()[0]
+        out = self.db.execute(CODED_LONG).df()
+        self.db.execute("DROP TABLE state")
+        self.db.execute(f"SET memory_limit = '{QUERY_MB}MB'")
+        return out
+
+    def _code(self, pieces: list[str], long: bool) -> None:
         data = [p.encode() for p in pieces]
-        whole = np.fromiter((self.ranks.get(b, -1) for b in data), np.int32, len(data))
-        size = np.where(whole >= 0, 1, np.fromiter(map(len, data), np.int64, len(data)))
+        size = np.fromiter(map(len, data), np.int64, len(data))
         word = np.repeat(np.arange(len(data), dtype=np.int32), size)
-        tok = np.repeat(whole, size)
-        tok[tok < 0] = self.single[np.frombuffer(b"".join(b for b, w in zip(data, whole, strict=True) if w < 0), np.uint8)]
+        tok = self.single[np.frombuffer(b"".join(data), np.uint8)]
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-        coded = self._rows(sql, start=pd.DataFrame({"word": word, "pos": pos.astype(np.int32), "tok": tok}))
+        start = pd.DataFrame({"word": word, "pos": pos.astype(np.int32), "tok": tok})
+        coded = self._fixpoint(start) if long else self.rows(ENCODE, start=start)
         for k, ids, n, h in zip(coded["word"].tolist(), coded["ids"].tolist(), coded["n"].tolist(), coded["hex"].tolist(), strict=True):
             self.known[pieces[k]] = (ids, n, bytes.fromhex(h))
+            self.held += PIECE_BYTES + len(ids) + len(h)
 
     def learn(self, pieces: set[str]) -> None:
         """Codes pieces not known yet, in queries of a bounded size."""
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.before, self.known, new = self.known, {}, list(pieces)
+        if self.held > CACHE_BYTES:
+            self.before, self.known, self.held, new = self.known, {}, 0, list(pieces)
         again = {p: c for p in new if (c := self.before.get(p)) is not None}
         self.known.update(again)
-        new = [p for p in new if p not in again] if again else new
+        self.held += sum(PIECE_BYTES + len(c[0]) + 2 * len(c[2]) for c in again.values())
+        # A piece that is an entry itself is encoded as that.
+        entries = {p: (str(i), 1, b) for p in new if p not in again and (i := self.ranks.get(b := p.encode())) is not None}
+        self.known.update(entries)
+        self.held += PIECE_BYTES * len(entries)
+        new = [p for p in new if p not in again and p not in entries]
         long = [p for p in new if len(p) > LONG_BYTES // 4 and len(p.encode()) > LONG_BYTES]
         apart = set(long)
-        for some, sql in (([p for p in new if p not in apart] if long else new, ENCODE), (long, ENCODE_LONG)):
+        for some in ([p for p in new if p not in apart] if long else new, long):
             part, size = [], 0
             for p in some:
                 part.append(p)
                 size += 8 + len(p)
-                if size >= 16 * QUERY_PIECES:
-                    self._code(part, sql)
+                if size >= QUERY_CHARS:
+                    self._code(part, some is long)
                     part, size = [], 0
             if part:
-                self._code(part, sql)
-
-    def rest(self) -> None:
-        """Lets go of what a task leaves behind beside the pieces met lately: the worker goes on to other work."""
-        import pyarrow
-
-        self.before = {}
-        pyarrow.default_memory_pool().release_unused()
+                self._code(part, some is long)
 
     def spans(self, text: str) -> Iterator[list[str]]:
         """The pieces of text, in lists of a bounded size."""
@@ -220,11 +280,6 @@ class PieceCoder:
             yield map(self.code, [x] if isinstance(x, list) else self.spans(x))
 
 
-@lru_cache(maxsize=2)
-def coder_of(path: str, pattern: str) -> PieceCoder:
-    return PieceCoder(path, pattern)
-
-
 def digest(spans: Iterator[list[tuple[str, int, bytes]]]) -> tuple[int, str, str]:
     """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes) of a text's codes."""
     ids, plain, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -240,11 +295,10 @@ def digest(spans: Iterator[list[tuple[str, int, bytes]]]) -> tuple[int, str, str
 def _digests(path: str, pattern: str):
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = coder_of(path, pattern)
-        for texts in batches:
-            rows = [digest(spans) for spans in coder.texts([x or "" for x in texts])]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        coder.rest()
+        with PieceCoder(path, pattern) as coder:
+            for texts in batches:
+                rows = [digest(spans) for spans in coder.texts([x or "" for x in texts])]
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -252,10 +306,10 @@ def _digests(path: str, pattern: str):
 def _encoder(path: str, pattern: str):
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = coder_of(path, pattern)
-        for texts in batches:
-            rows = [[int(i) for codes in spans for c in codes for i in c[0].split(",")] for spans in coder.texts([x or "" for x in texts])]
-            yield pd.Series(rows)
+        with PieceCoder(path, pattern) as coder:
+            for texts in batches:
+                rows = [[int(i) for codes in spans for c in codes for i in c[0].split(",")] for spans in coder.texts([x or "" for x in texts])]
+                yield pd.Series(rows)
 
     return run
 
@@ -263,12 +317,12 @@ def _encoder(path: str, pattern: str):
 def _decoder(path: str, pattern: str):
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = coder_of(path, pattern)
-        for ids in batches:
-            given = pd.DataFrame({"word": range(len(ids)), "ids": [[] if x is None else list(map(int, x)) for x in ids]})
-            plain = coder._rows(DECODE, coded=given) if len(given) else given  # noqa: SLF001
-            by_row = dict(zip(plain["word"], plain["hex"], strict=True)) if len(given) else {}
-            yield pd.Series([bytes.fromhex(by_row.get(k, "")) for k in range(len(ids))])
+        with PieceCoder(path, pattern) as coder:
+            for ids in batches:
+                given = pd.DataFrame({"word": range(len(ids)), "ids": [[] if x is None else list(map(int, x)) for x in ids]})
+                plain = coder.rows(DECODE, coded=given) if len(given) else given
+                by_row = dict(zip(plain["word"], plain["hex"], strict=True)) if len(given) else {}
+                yield pd.Series([bytes.fromhex(by_row.get(k, "")) for k in range(len(ids))])
 
     return run
 

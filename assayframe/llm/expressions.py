@@ -68,3 +68,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
         conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the machine: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

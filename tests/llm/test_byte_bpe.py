@@ -38,8 +38,8 @@ def test_as_the_library(spark, library):
 
 
 def test_small_cache_and_spans_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(B, "CACHE_PIECES", 50)
-    monkeypatch.setattr(B, "QUERY_PIECES", 7)
+    monkeypatch.setattr(B, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(B, "QUERY_CHARS", 112)
     monkeypatch.setattr(B, "SPAN_CHARS", 40)
     monkeypatch.setattr(B, "PART_CHARS", 100)
     coder = B.PieceCoder(PATH, public_tokenizers.PATTERN)
@@ -47,6 +47,33 @@ def test_small_cache_and_spans_change_nothing(library, monkeypatch):
     assert [B.digest(s) for s in coder.texts(rows)] == [expected(library, t) for t in rows]
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "aab", "tehinrosa", "áéñç", "0123456789", "-=", "ACGT"])
+def test_long_pieces_of_varied_letters(library, alphabet):
+    rng = random.Random(len(alphabet))
+    pieces = {"".join(rng.choice(alphabet) for _ in range(rng.randint(17, 400))) for _ in range(120)}
+    with B.PieceCoder(PATH, public_tokenizers.PATTERN) as coder:
+        coder.learn(pieces)
+        for p in pieces:
+            assert coder.known[p][0] == ",".join(map(str, library.encode_ordinary(p)))
+
+
+def test_long_pieces_of_joined_words(library):
+    rng = random.Random(4)
+    words = ["the", "tion", "house", "wonder", "ing", "queue", "aux", "ähnlich", "ness", "re"]
+    pieces = {"".join(rng.choice(words) for _ in range(rng.randint(10, 90))) for _ in range(150)} | {w * 150 for w in words}
+    with B.PieceCoder(PATH, public_tokenizers.PATTERN) as coder:
+        coder.learn(pieces)
+        for p in pieces:
+            assert coder.known[p][0] == ",".join(map(str, library.encode_ordinary(p)))
+
+
+def test_one_very_long_piece(library):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(60_000))
+    with B.PieceCoder(PATH, public_tokenizers.PATTERN) as coder:
+        assert [B.digest(s) for s in coder.texts([text])] == [expected(library, text)]
+
+
 def test_ids_and_decoding(spark, library):
     df = spark.createDataFrame([(1, "Hello, 語 wörld"), (2, None), (3, "")], "doc_id int, text string")
     rows = B.decode(B.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()
