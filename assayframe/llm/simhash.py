@@ -11,13 +11,19 @@ connection and bounds the rows by the fingerprints read; components are then joi
 over all tiles.
 
 near_copies is the form for corpora, by similarity instead of bits: texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more. It compares fingerprints of
-128 bits within WIDE_RADIUS, laid out by the number of shingles, since sets whose sizes
-differ by more than the similarity allows can't reach it; what lies near by chance or by
-less similarity than asked for is then told apart exactly, by tiles of shingle hashes
-within each group of candidates. A pair at the very threshold differs in 19 of the 128
-bits on average, with a standard deviation of 4, so about one such pair in a thousand
-is missed, and fewer the more alike the texts are.
+five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets share one of
+their LEAST smallest shingle hashes: always if both have fewer than 40 shingles, as the
+sets would otherwise differ in too many, and else but for a chance of 0.2 to the power
+LEAST (three pairs in a million at the very threshold, fewer above). So the tiles are
+laid out by these hashes: fingerprints of 128 bits are compared within a cell of texts
+that have such a hash in common, cells with the same texts only once, and a cell with
+more texts than a tile also by the number of shingles, since sets whose sizes differ by
+more than the similarity allows can't reach it. Work and shuffle therefore grow with the
+texts and with the cells' own copies, not with the square of the corpus. Fingerprints
+within the radius (radius_of: none is asked of short texts, whose bits say little; 44 or
+40 bits beyond, five standard deviations above what a pair at the threshold has) are
+candidates, which are then told apart exactly, by tiles of shingle hashes within each
+group of candidates.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked
 like any other; a text of fewer words than a shingle has one shingle, its whole word
@@ -48,7 +54,10 @@ QUARTERS = 4
 BLOCK = 16_384
 COPY_WORDS = 5
 SIMILARITY = 0.8
-WIDE_RADIUS = 32
+#: Least hashes of a text by which its cells are named.
+LEAST = 8
+#: Cells of so few texts are compared many at once, all their links being kept.
+FEW = 4
 #: Shingle hashes of a tile in the exact comparison, and columns of its incidence matrix at once.
 TILE_SHINGLES = 100_000
 COLUMNS = 8_192
@@ -122,37 +131,45 @@ def _compare(radius: int):
     return run
 
 
-def _tiles(rows: DataFrame, cell: str, parts: Column, payload: Sequence[str]) -> DataFrame:
-    """rows (with key) of each cell dealt by the key into so many tiles, which come out near equal: cell, part, parts and the payload's columns as arrays."""
+def _tiles(rows: DataFrame, cell: Sequence[str], parts: Column, payload: Sequence[str]) -> DataFrame:
+    """rows (with key) of each cell dealt by the key into so many tiles, which come out near equal: the cell's columns, part, parts and the payload's as arrays."""
     dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-    tiles = dealt.groupBy(cell, "part").agg(F.collect_list(F.struct(*payload)).alias("r"), F.max("parts").alias("parts"))
-    return cut(tiles.select(cell, "part", "parts", *(F.col(f"r.{c}").alias(c) for c in payload)))
+    tiles = dealt.groupBy(*cell, "part").agg(F.collect_list(F.struct(*payload)).alias("r"), F.max("parts").alias("parts"))
+    return cut(tiles.select(*cell, "part", "parts", *(F.col(f"r.{c}").alias(c) for c in payload)))
 
 
-def _tile_pairs(tiles: DataFrame, cell: str, steps: tuple[int, ...]) -> DataFrame:
-    """same, and l_ and r_ with the payload's names: each pair of tiles of one cell (step 0) and of cells apart by the other steps, once.
+def _tile_pairs(tiles: DataFrame, cell: Sequence[str], steps: tuple[int, ...]) -> DataFrame:
+    """same, and l_ and r_ with the payload's names: each pair of tiles of one cell (step 0) and of cells whose last column is apart by the other steps, once.
 
     A tile is sent to its partners by cell and part, so the pairs of a cell with many tiles spread over many tasks.
+    A tile alone in its cell, and without another step, meets itself where it is.
     """
-    payload = [c for c in tiles.columns if c not in (cell, "part", "parts")]
-    sizes = tiles.groupBy(cell).agg(F.max("parts").alias("other_parts")).withColumnRenamed(cell, "other")
+    *within, last = cell
+    payload = [c for c in tiles.columns if c not in (*cell, "part", "parts")]
+    pair = lambda left, right: (*(F.col(c).alias(f"l_{c}") for c in left), *(F.col(c).alias(f"r_{c}") for c in right))
+    alone = None
+    if len(steps) == 1:
+        alone = tiles.where("parts = 1").select(F.lit(True).alias("same"), *pair(payload, payload))
+        tiles = tiles.where("parts > 1")
+    sizes = tiles.groupBy(*cell).agg(F.max("parts").alias("other_parts")).withColumnRenamed(last, "other")
     start = tiles.withColumn("step", F.explode(F.array(*map(F.lit, steps))))
-    start = start.withColumn("other", F.col(cell) + F.col("step") if len(steps) > 1 else F.col(cell))
+    start = start.withColumn("other", F.col(last) + F.col("step") if len(steps) > 1 else F.col(last))
     first = F.when(F.col("step") == 0, F.col("part")).otherwise(0)
-    sent = start.join(sizes, "other").where(first < F.col("other_parts")).withColumn("other_part", F.explode(F.sequence(first, F.col("other_parts") - 1)))
-    left = sent.select("other", "other_part", "step", "part", *(F.col(c).alias(f"l_{c}") for c in payload))
-    right = tiles.select(F.col(cell).alias("other"), F.col("part").alias("other_part"), *(F.col(c).alias(f"r_{c}") for c in payload))
+    sent = start.join(sizes, [*within, "other"]).where(first < F.col("other_parts")).withColumn("other_part", F.explode(F.sequence(first, F.col("other_parts") - 1)))
+    left = sent.select(*within, "other", "other_part", "step", "part", *pair(payload, ()))
+    right = tiles.select(*within, F.col(last).alias("other"), F.col("part").alias("other_part"), *pair((), payload))
     same = (F.col("step") == 0) & (F.col("part") == F.col("other_part"))
-    return left.join(right, ["other", "other_part"]).select(same.alias("same"), *(f"{side}_{c}" for side in "lr" for c in payload))
+    met = left.join(right, [*within, "other", "other_part"]).select(same.alias("same"), *(f"{side}_{c}" for side in "lr" for c in payload))
+    return met if alone is None else alone.union(met)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all that lie within the radius."""
     cells = distinct.select(F.col("fp").alias("key"), _counts(F.col("fp")).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), ["key"])
+    tiles = _tiles(cells.join(sizes, "cell"), ["cell"], F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), ["key"])
     steps = tuple(sum(d * 17 ** (QUARTERS - 1 - i) for i, d in enumerate(x)) for x in _near_cells(radius))
-    return _tile_pairs(tiles, "cell", steps).mapInPandas(_compare(radius), "a long, b long")
+    return _tile_pairs(tiles, ["cell"], steps).mapInPandas(_compare(radius), "a long, b long")
 
 
 def _members(df: DataFrame, doc_id: str, text: str, radius: int, tile: int) -> DataFrame:
@@ -179,22 +196,27 @@ def shingle_set(text: str | None, words: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
 
 
-def wide_fingerprint(text: str | None, words: int) -> tuple[int, np.ndarray]:
-    """(number of distinct shingles, SimHash of 128 bits as two words) over a text's shingle set."""
+def wide_fingerprint(text: str | None, words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of distinct shingles, SimHash of 128 bits as two words, the LEAST smallest hashes) of a text's shingle set."""
     import xxhash
 
     shingles = shingle_set(text, words)
     digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), dtype=np.uint8).reshape(-1, 16)
     ones = sum(np.unpackbits(digests[i : i + BLOCK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(digests), BLOCK))
-    return len(shingles), np.packbits(ones * 2 > len(digests), bitorder="little").view(np.int64)
+    low = digests.view(np.int64)[:, 0]
+    low = np.partition(low, LEAST)[:LEAST] if len(low) > LEAST else low
+    return len(shingles), np.packbits(ones * 2 > len(digests), bitorder="little").view(np.int64), low
 
 
 def _wide(words: int):
-    @F.pandas_udf("n int, f1 long, f2 long")
+    @F.pandas_udf("n int, f1 long, f2 long, low array<long>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = [wide_fingerprint(t, words) for t in batch]
-            yield pd.DataFrame({"n": [n for n, _ in rows], "f1": [int(f[0]) for _, f in rows], "f2": [int(f[1]) for _, f in rows]}).astype({"n": "int32", "f1": "int64", "f2": "int64"})
+            yield pd.DataFrame({
+                "n": np.array([n for n, _, _ in rows], dtype=np.int32), "f1": np.array([f[0] for _, f, _ in rows], dtype=np.int64),
+                "f2": np.array([f[1] for _, f, _ in rows], dtype=np.int64), "low": [low for _, _, low in rows],
+            })
 
     return run
 
@@ -247,21 +269,44 @@ def _linked(left: np.ndarray, right: np.ndarray, near: np.ndarray, same: bool) -
     return pd.DataFrame({"a": left[x], "b": right[y]})
 
 
-def _compare_wide(radius: int, similarity: float):
+def radius_of(n: np.ndarray) -> np.ndarray:
+    """Bits in which the fingerprint of a set of n shingles may differ from a candidate's."""
+    return np.where(n < 16, 128, np.where(n < 64, 44, 40)).astype(np.int16)
+
+
+def _apart(left: Sequence[np.ndarray], right: Sequence[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of left and right, both (f1, f2, n) along the last axis, are candidates."""
+    bits = sum(np.bitwise_count(a[..., :, None] ^ b[..., None, :]).astype(np.int16) for a, b in zip(left[:2], right[:2], strict=True))
+    n, m = left[2][..., :, None], right[2][..., None, :]
+    return (bits <= np.maximum(radius_of(left[2])[..., :, None], radius_of(right[2])[..., None, :])) & (n >= similarity * m - 1e-6) & (m >= similarity * n - 1e-6)
+
+
+def _compare_wide(similarity: float):
     """Candidates among the texts of two tiles, as the links of a forest over their first 64 bits."""
 
+    def of(keys, f2, n) -> list[np.ndarray]:
+        return [np.asarray(keys, dtype=np.int64).view(np.uint64), np.asarray(f2, dtype=np.int64).view(np.uint64), np.asarray(n, dtype=np.int32)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                prints = [np.stack([np.asarray(f1, dtype=np.int64), np.asarray(f2, dtype=np.int64)]).view(np.uint64) for f1, f2 in ((r.l_key, r.l_f2), (r.r_key, r.r_f2))]
-                ones = [np.bitwise_count(p).sum(axis=0, dtype=np.int64) for p in prints]
-                sizes = [np.asarray(n, dtype=np.float64) for n in (r.l_n, r.r_n)]
-                if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
+            size = np.where(pdf["same"].to_numpy(bool), pdf["l_key"].map(len), 0)
+            for few in range(2, FEW + 1):
+                if (here := pdf[size == few]).empty:
+                    continue
+                side = [x.reshape(-1, few) for x in of(*(np.concatenate(list(here[c])) for c in ("l_key", "l_f2", "l_n")))]
+                near = np.triu(_apart(side, side, similarity), 1)
+                at, x, y = np.nonzero(near)
+                if len(at):
+                    yield pd.DataFrame({"a": side[0][at, x].view(np.int64), "b": side[0][at, y].view(np.int64)})
+            for r in pdf[(size == 0) | (size > FEW)].itertuples(index=False):
+                left, right = of(r.l_key, r.l_f2, r.l_n), of(r.r_key, r.r_f2, r.r_n)
+                if left[2].max() < similarity * right[2].min() or right[2].max() < similarity * left[2].min():
                     continue
-                if sizes[0].max() < similarity * sizes[1].min() or sizes[1].max() < similarity * sizes[0].min():
+                ones = [np.bitwise_count(x[0]).astype(np.int16) + np.bitwise_count(x[1]) for x in (left, right)]
+                radius = max(radius_of(left[2]).max(), radius_of(right[2]).max())
+                if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
                     continue
-                apart = sum(np.bitwise_count(a[:, None] ^ b[None, :]) for a, b in zip(*prints, strict=True))
-                found = _linked(prints[0][0].view(np.int64), prints[1][0].view(np.int64), apart <= radius, bool(r.same))
+                found = _linked(left[0].view(np.int64), right[0].view(np.int64), _apart(left, right, similarity), bool(r.same))
                 if len(found):
                     yield found
 
@@ -304,25 +349,38 @@ def _verify(similarity: float):
     return run
 
 
-def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+def candidates(prints: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """a, b: links between the first 64 bits of texts that may be as similar as asked for. prints: text_key, n, f1, f2 and low, one row a text."""
+    named = prints.select("text_key", "n", F.col("f1").alias("key"), "f2", F.explode("low").alias("hash"))
+    # Cells that hold the same texts, as those of copies do, are compared once: equal in number and in the exclusive-or of the texts' hashes.
+    shared = named.groupBy("hash").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("text_key")).alias("members")).where("size > 1")
+    cells = shared.groupBy("size", "members").agg(F.min("hash").alias("hash")).select("hash", "size")
+    log = F.floor(F.ln(F.col("n").cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9).cast("int")
+    rows = cut(named.join(cells, "hash").select("hash", F.when(F.col("size") > tile, log).otherwise(0).alias("cell"), "size", "key", "f2", "n").distinct())
+    large = F.col("size") > tile
+    small = _tiles(rows.where(~large), ["hash"], F.lit(1), ["key", "f2", "n"]).where(F.size("key") > 1)
+    classes = rows.where(large)
+    counts = classes.groupBy("hash", "cell").agg(F.count("*").alias("rows"))
+    hot = _tiles(classes.join(counts, ["hash", "cell"]), ["hash", "cell"], F.ceil(F.col("rows") / (tile * 3 // 4)).cast("int"), ["key", "f2", "n"])
+    return _tile_pairs(small, ["hash"], (0,)).union(_tile_pairs(hot, ["hash", "cell"], (0, 1))).mapInPandas(_compare_wide(similarity), "a long, b long")
+
+
+def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """key, root: for the MD5 of each text that isn't the first of its group, and that of the first, the group's name."""
     keyed = small_batches(df).select(F.col(text).alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     prints = keyed.select(F.col("key").alias("text_key"), _wide(words)(F.col("text")).alias("p")).select("text_key", "p.*")
-    prints = cut(prints.groupBy("text_key").agg(F.first("n").alias("n"), F.first("f1").alias("f1"), F.first("f2").alias("f2")))
+    prints = cut(prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("n", "f1", "f2", "low"))))
     # Candidates are named by their first 64 bits; texts that share these belong together as candidates, whatever else.
-    log = F.ln(F.col("n").cast("double")) / F.lit(float(-np.log(similarity)))
-    cells = prints.select(F.col("f1").alias("key"), "f2", "n", F.floor(log + 1e-9).cast("int").alias("cell")).distinct()
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    tiles = _tiles(cells.join(sizes, "cell"), "cell", F.ceil(F.col("size") / (tile * 3 // 4)).cast("int"), ["key", "f2", "n"])
-    candidates = components(_tile_pairs(tiles, "cell", (0, 1)).mapInPandas(_compare_wide(radius, similarity), "a long, b long"))
-    grouped = prints.join(candidates, prints["f1"] == candidates["node"], "left").select(F.col("text_key").alias("key"), F.coalesce("root", "f1").alias("cell"))
+    roots = components(candidates(prints, similarity, tile))
+    grouped = prints.join(roots, prints["f1"] == roots["node"], "left").select(F.col("text_key").alias("key"), F.coalesce("root", "f1").alias("cell"))
     several = grouped.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     members = cut(grouped.join(several, "cell"))
     texts = keyed.join(F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members, "key").groupBy("key", "cell").agg(F.first("text").alias("text"))
     hashed = cut(texts.mapInPandas(_hashes(words), "key string, cell long, h array<long>"))
-    totals = hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"))
-    exact = _tiles(hashed.join(totals, "cell"), "cell", F.ceil(F.col("total") / TILE_SHINGLES).cast("int"), ["key", "h"])
-    found = components(_tile_pairs(exact, "cell", (0,)).mapInPandas(_verify(similarity), "a string, b string"))
+    totals = hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"), F.count("*").alias("texts"))
+    parts = F.ceil(F.greatest(F.col("total") / TILE_SHINGLES, F.col("texts") / TILE)).cast("int")
+    exact = _tiles(hashed.join(totals, "cell"), ["cell"], parts, ["key", "h"])
+    found = components(_tile_pairs(exact, ["cell"], (0,)).mapInPandas(_verify(similarity), "a string, b string"))
     return found.select(F.col("node").alias("key"), "root")
 
 
