@@ -1,7 +1,9 @@
 """Checks of answers, as a registry of kinds.
 
-A check is a builder (answer column, parameters) -> boolean column, native throughout.
+A check is a builder (answer, parameters) -> boolean column, native throughout.
 New kinds are added with register; an unknown kind is an error row, never a pass.
+What checks derive from an answer (its normal form, words, lines) they ask of the Answer,
+which over a table gives each a column of its own, worked out once for all checks.
 """
 
 from __future__ import annotations
@@ -15,7 +17,24 @@ from pyspark.sql import functions as F
 
 from assayframe.functions import text as X
 
-Check = Callable[[Column, Mapping[str, Any]], Column]
+
+class Answer:
+    """An answer's text, and what is derived from it by functions of text, each under a name of its own where names are kept."""
+
+    def __init__(self, text: Column, names: dict[str, Column] | None = None) -> None:
+        self.text = text
+        self.names = names
+
+    def of(self, derive: Callable[[Column], Column]) -> Column:
+        if self.names is None:
+            return derive(self.text)
+        name = f"_{derive.__name__}"
+        if name not in self.names:
+            self.names[name] = derive(self.text)
+        return F.col(name)
+
+
+Check = Callable[[Answer | Column, Mapping[str, Any]], Column]
 ANSWER_CHECKS: dict[str, Check] = {}
 VERIFIERS: dict[str, Check] = {}
 
@@ -27,7 +46,7 @@ def register(kind: str, into: dict[str, Check] | None = None) -> Callable[[Check
     def add(check: Check) -> Check:
         if kind in registry:
             raise ValueError(f"check kind {kind!r} is taken")
-        registry[kind] = check
+        registry[kind] = lambda answer, params: check(answer if isinstance(answer, Answer) else Answer(answer), params)
         return check
 
     return add
@@ -48,31 +67,31 @@ def _limit(params: Mapping[str, Any], *names: str) -> int | None:
 
 
 @register("forbidden_terms")
-def forbidden_terms(answer: Column, params: Mapping[str, Any]) -> Column:
-    body = X.masked(X.normalise(answer), _terms(params, "allowed_terms", "allowed"))
+def forbidden_terms(answer: Answer, params: Mapping[str, Any]) -> Column:
+    body = X.masked(answer.of(X.normalise), _terms(params, "allowed_terms", "allowed"))
     return F.size(X.found_terms(body, _terms(params, "terms", "forbidden_terms", "term"), stemmed=True)) == 0
 
 
 @register("max_words")
-def max_words(answer: Column, params: Mapping[str, Any]) -> Column:
+def max_words(answer: Answer, params: Mapping[str, Any]) -> Column:
     limit = _limit(params, "limit", "max_words", "words")
-    return F.lit(False) if limit is None else X.count_words(answer) <= limit
+    return F.lit(False) if limit is None else answer.of(X.count_words) <= limit
 
 
 @register("min_words")
-def min_words(answer: Column, params: Mapping[str, Any]) -> Column:
+def min_words(answer: Answer, params: Mapping[str, Any]) -> Column:
     limit = _limit(params, "limit", "min_words", "words")
-    return F.lit(False) if limit is None else X.count_words(answer) >= limit
+    return F.lit(False) if limit is None else answer.of(X.count_words) >= limit
 
 
 @register("must_mention_all")
-def must_mention_all(answer: Column, params: Mapping[str, Any]) -> Column:
+def must_mention_all(answer: Answer, params: Mapping[str, Any]) -> Column:
     terms = _terms(params, "terms", "phrases", "must_mention")
-    return F.size(X.found_terms(X.normalise(answer), terms)) == len(terms) if terms else F.lit(False)
+    return F.size(X.found_terms(answer.of(X.normalise), terms)) == len(terms) if terms else F.lit(False)
 
 
 @register("must_choose_one_of")
-def must_choose_one_of(answer: Column, params: Mapping[str, Any]) -> Column:
+def must_choose_one_of(answer: Answer, params: Mapping[str, Any]) -> Column:
     """Exactly one option is named, or at least one if several are allowed. An option is a string or has a label and phrases."""
     options = []
     for o in params.get("options") or params.get("choices") or []:
@@ -84,7 +103,7 @@ def must_choose_one_of(answer: Column, params: Mapping[str, Any]) -> Column:
     options = [p for p in options if any(t.strip() for t in p)]
     if not options:
         return F.lit(False)
-    body = X.normalise(answer)
+    body = answer.of(X.normalise)
     chosen = F.lit(0)
     for phrases in options:
         chosen = chosen + (F.size(X.found_terms(body, phrases)) > 0).cast("int")
@@ -92,22 +111,23 @@ def must_choose_one_of(answer: Column, params: Mapping[str, Any]) -> Column:
 
 
 @register("no_refusal")
-def no_refusal(answer: Column, params: Mapping[str, Any]) -> Column:
-    return X.refusal(answer, _limit(params, "window_chars")) == ""
+def no_refusal(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return X.refusal(answer.text, _limit(params, "window_chars")) == ""
 
 
 def run_checks(answers: DataFrame, checks: Sequence[tuple[str, Mapping[str, Any]]], answer: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keys, check, passed, error: a row for each answer and check; a kind's second check is named kind#2 and so on."""
     seen: dict[str, int] = {}
-    cells = []
+    cells, names = [], {}
+    shared = Answer(F.col(answer), names)
     for kind, params in checks:
         name = kind or "unnamed"
         seen[name] = seen.get(name, 0) + 1
         label = name if seen[name] == 1 else f"{name}#{seen[name]}"
         check = ANSWER_CHECKS.get(kind)
-        passed = F.lit(False) if check is None else F.coalesce(check(F.col(answer), params), F.lit(False))
+        passed = F.lit(False) if check is None else F.coalesce(check(shared, params), F.lit(False))
         cells.append(F.struct(F.lit(label).alias("check"), passed.alias("passed"), F.lit(check is None).alias("error")))
-    return answers.select(*keys, F.inline(F.array(*cells)))
+    return answers.select(*keys, answer).withColumns(names).select(*keys, F.inline(F.array(*cells)))
 
 
 def unknown_kinds(checks: DataFrame, kind: str = "kind") -> DataFrame:
@@ -123,15 +143,15 @@ _MARKS = "[!-/:-@\\[-`{-~\u2014\u2013\u2018\u2019\u201c\u201d\u2026]"
 verifier = lambda kind: register(kind, VERIFIERS)
 
 
-def bare_token(answer: Column, trailing: bool = True) -> Column:
+def bare_token(answer: Answer, trailing: bool = True) -> Column:
     """An answer without white space, quotes and, if allowed, punctuation around it."""
-    out = X.collapse_ends(F.regexp_replace(X.collapse_ends(answer), f"^{_QUOTES}|{_QUOTES}$", ""))
+    out = X.collapse_ends(F.regexp_replace(answer.of(X.collapse_ends), f"^{_QUOTES}|{_QUOTES}$", ""))
     return X.collapse_ends(F.regexp_replace(out, f"{_TRAIL}$", "")) if trailing else out
 
 
-def unfenced(answer: Column) -> Column:
+def unfenced(answer: Answer) -> Column:
     """An answer without the code fence around it, if it has one."""
-    body = X.collapse_ends(answer)
+    body = answer.of(X.collapse_ends)
     inner = F.regexp_replace(F.substring(body, 4, 2_000_000_000), r"(?s)```(?!.*```).*$", "")
     return F.when(body.startswith("```"), X.collapse_ends(F.regexp_replace(inner, r"^[ \t]*[A-Za-z0-9_+#.-]{0,12}[ \t]*\n", ""))).otherwise(body)
 
@@ -139,28 +159,28 @@ def unfenced(answer: Column) -> Column:
 for _kind, _op in (("max_words", "__le__"), ("min_words", "__ge__"), ("exact_words", "__eq__")):
 
     @verifier(_kind)
-    def _words(answer: Column, params: Mapping[str, Any], op: str = _op) -> Column:
-        return getattr(X.count_tokens(answer), op)(int(params["count"]))
+    def _words(answer: Answer, params: Mapping[str, Any], op: str = _op) -> Column:
+        return getattr(answer.of(X.count_tokens), op)(int(params["count"]))
 
 
 @verifier("exact_sentences")
-def exact_sentences(answer: Column, params: Mapping[str, Any]) -> Column:
-    return F.size(X.sentences(answer)) == int(params["count"])
+def exact_sentences(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return F.size(answer.of(X.sentences)) == int(params["count"])
 
 
 @verifier("all_lowercase")
-def all_lowercase(answer: Column, params: Mapping[str, Any]) -> Column:
-    return ~answer.rlike(r"\p{Lu}")
+def all_lowercase(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return ~answer.text.rlike(r"\p{Lu}")
 
 
 @verifier("no_punctuation")
-def no_punctuation(answer: Column, params: Mapping[str, Any]) -> Column:
-    return ~answer.rlike(_MARKS)
+def no_punctuation(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return ~answer.text.rlike(_MARKS)
 
 
 @verifier("forbidden_letter")
-def forbidden_letter(answer: Column, params: Mapping[str, Any]) -> Column:
-    return ~F.contains(F.lower(answer), F.lit(str(params["letter"]).lower()))
+def forbidden_letter(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return ~F.contains(answer.of(F.lower), F.lit(str(params["letter"]).lower()))
 
 
 def _pattern(piece: str, params: Mapping[str, Any]) -> str:
@@ -170,79 +190,79 @@ def _pattern(piece: str, params: Mapping[str, Any]) -> str:
 
 
 @verifier("forbidden_substrings")
-def forbidden_substrings(answer: Column, params: Mapping[str, Any]) -> Column:
+def forbidden_substrings(answer: Answer, params: Mapping[str, Any]) -> Column:
     out = F.lit(True)
     for piece in params["substrings"]:
-        out = out & ~answer.rlike(_pattern(str(piece), params))
+        out = out & ~answer.text.rlike(_pattern(str(piece), params))
     return out
 
 
 @verifier("contains_all")
-def contains_all(answer: Column, params: Mapping[str, Any]) -> Column:
+def contains_all(answer: Answer, params: Mapping[str, Any]) -> Column:
     out = F.lit(True)
     for piece in params["substrings"]:
-        out = out & answer.rlike(_pattern(str(piece), params))
+        out = out & answer.text.rlike(_pattern(str(piece), params))
     return out
 
 
 @verifier("no_list_markers")
-def no_list_markers(answer: Column, params: Mapping[str, Any]) -> Column:
-    return ~answer.rlike(r"(?m)^\s*(?:[-*\u2022+\u2013\u2014]\s+|\d+[.)]\s+)")
+def no_list_markers(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return ~answer.text.rlike(r"(?m)^\s*(?:[-*\u2022+\u2013\u2014]\s+|\d+[.)]\s+)")
 
 
-def _cased(answer: Column, params: Mapping[str, Any]) -> tuple[Column, Column]:
-    body, wanted = X.collapse_ends(answer), str(params["text"])
+def _cased(answer: Answer, params: Mapping[str, Any]) -> tuple[Column, Column]:
+    body, wanted = answer.of(X.collapse_ends), str(params["text"])
     return (body, F.lit(wanted)) if params.get("case_sensitive", True) else (F.lower(body), F.lit(wanted.lower()))
 
 
 @verifier("ends_with")
-def ends_with(answer: Column, params: Mapping[str, Any]) -> Column:
+def ends_with(answer: Answer, params: Mapping[str, Any]) -> Column:
     return F.endswith(*_cased(answer, params))
 
 
 @verifier("starts_with")
-def starts_with(answer: Column, params: Mapping[str, Any]) -> Column:
+def starts_with(answer: Answer, params: Mapping[str, Any]) -> Column:
     return F.startswith(*_cased(answer, params))
 
 
 @verifier("code_fence_wrapped")
-def code_fence_wrapped(answer: Column, params: Mapping[str, Any]) -> Column:
-    body = X.collapse_ends(answer)
+def code_fence_wrapped(answer: Answer, params: Mapping[str, Any]) -> Column:
+    body = answer.of(X.collapse_ends)
     inner = F.regexp_replace(F.substring(body, 4, 2_000_000_000), r"```$", "")
     content = F.when(F.contains(inner, F.lit("\n")), F.regexp_replace(inner, r"^[^\n]*\n", "")).otherwise(inner)
     return body.startswith("```") & body.endswith("```") & (F.length(body) >= 7) & (X.collapse_ends(content) != "")
 
 
 @verifier("regex_full_match")
-def regex_full_match(answer: Column, params: Mapping[str, Any]) -> Column:
-    return X.collapse_ends(answer).rlike(f"{'(?i)' if params.get('ignore_case') else ''}^(?:{params['pattern']})\\z")
+def regex_full_match(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return answer.of(X.collapse_ends).rlike(f"{'(?i)' if params.get('ignore_case') else ''}^(?:{params['pattern']})\\z")
 
 
 @verifier("line_count")
-def line_count(answer: Column, params: Mapping[str, Any]) -> Column:
-    return F.size(X.lines(answer)) == int(params["count"])
+def line_count(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return F.size(answer.of(X.lines)) == int(params["count"])
 
 
 @verifier("line_ends_with")
-def line_ends_with(answer: Column, params: Mapping[str, Any]) -> Column:
+def line_ends_with(answer: Answer, params: Mapping[str, Any]) -> Column:
     at = int(params.get("line", 1))
-    line = F.try_element_at(X.lines(answer), F.lit(at if at else 1))
+    line = F.try_element_at(answer.of(X.lines), F.lit(at if at else 1))
     bare = F.regexp_replace(line, f"(?:{_MARKS}|[ \\t])+$", "")
     flags = "(?U)" if params.get("case_sensitive") else "(?iU)"
     return F.coalesce(bare.rlike(rf"{flags}\b{re.escape(str(params['text']))}$"), F.lit(False)) if at else F.lit(False)
 
 
 @verifier("numbered_list")
-def numbered_list(answer: Column, params: Mapping[str, Any]) -> Column:
+def numbered_list(answer: Answer, params: Mapping[str, Any]) -> Column:
     count = int(params["count"])
-    rows = X.lines(answer)
+    rows = answer.of(X.lines)
     numbers = F.filter(F.transform(rows, lambda s: F.regexp_extract(s, r"^(\d+)[.)]\s+\S", 1)), lambda s: s != "")
     right = F.transform(numbers, lambda s: s.try_cast("int")) == F.array(*(F.lit(i) for i in range(1, count + 1)))
     return right if params.get("allow_other_text") else right & (F.size(rows) == count)
 
 
 @verifier("single_word")
-def single_word(answer: Column, params: Mapping[str, Any]) -> Column:
+def single_word(answer: Answer, params: Mapping[str, Any]) -> Column:
     raw = bare_token(answer, trailing=False)
     if params.get("allow_trailing_punctuation", True):
         return (raw != "") & bare_token(answer).rlike(r"^\S+$")
@@ -250,7 +270,7 @@ def single_word(answer: Column, params: Mapping[str, Any]) -> Column:
 
 
 @verifier("one_of")
-def one_of(answer: Column, params: Mapping[str, Any]) -> Column:
+def one_of(answer: Answer, params: Mapping[str, Any]) -> Column:
     token, options = bare_token(answer, params.get("allow_trailing_punctuation", True)), [str(o) for o in params["options"]]
     return token.isin(*options) if params.get("case_sensitive") else F.lower(token).isin(*(o.lower() for o in options))
 
@@ -279,8 +299,8 @@ def final_number(answer: Column) -> Column:
 
 
 @verifier("numeric_answer")
-def numeric_answer(answer: Column, params: Mapping[str, Any]) -> Column:
-    return F.coalesce(F.abs(final_number(answer) - float(params["expected"])) <= float(params.get("tolerance", 1e-6)), F.lit(False))
+def numeric_answer(answer: Answer, params: Mapping[str, Any]) -> Column:
+    return F.coalesce(F.abs(final_number(answer.text) - float(params["expected"])) <= float(params.get("tolerance", 1e-6)), F.lit(False))
 
 
 # What schema_of_variant calls the JSON types.
@@ -288,7 +308,7 @@ _JSON_TYPES = {"string": "STRING", "number": "BIGINT|DOUBLE|DECIMAL|INT|FLOAT|TI
 
 
 @verifier("json_object")
-def json_object(answer: Column, params: Mapping[str, Any]) -> Column:
+def json_object(answer: Answer, params: Mapping[str, Any]) -> Column:
     """A JSON object with the keys, types, values and word limits asked for."""
     body = unfenced(answer)
     whole = F.try_parse_json(body)
@@ -311,26 +331,38 @@ def json_object(answer: Column, params: Mapping[str, Any]) -> Column:
 
 
 @verifier("python_function")
-def python_function(answer: Column, params: Mapping[str, Any]) -> Column:
+def python_function(answer: Answer, params: Mapping[str, Any]) -> Column:
     """A static check only: the answer's code defines the entry point and returns or yields. Answers' code is never run."""
-    code = F.coalesce(F.nullif(F.regexp_extract(answer, r"(?s)```(?:python|py)?\s*\n(.*?)```", 1), F.lit("")), answer)
+    code = F.coalesce(F.nullif(F.regexp_extract(answer.text, r"(?s)```(?:python|py)?\s*\n(.*?)```", 1), F.lit("")), answer.text)
     name = re.escape(str(params["entry_point"]))
     return code.rlike(rf"(?m)^(?:async )?def {name}\s*\(") & code.rlike(r"(?m)^\s+(?:return|yield)\b")
 
 
 @verifier("all_of")
-def all_of(answer: Column, params: Mapping[str, Any]) -> Column:
+def all_of(answer: Answer, params: Mapping[str, Any]) -> Column:
     checks = params.get("checks") or []
     if not checks:
         raise ValueError("all_of has no checks")
     out = F.lit(True)
     for c in checks:
-        out = out & verify(c["kind"], answer, c.get("params") or {})
+        out = out & _verified(c["kind"], answer, c.get("params") or {})
     return out
 
 
-def verify(kind: str, answer: Column, params: Mapping[str, Any]) -> Column:
-    """The verifier of a kind over an answer; null answers count as empty."""
+def _verified(kind: str, answer: Answer, params: Mapping[str, Any]) -> Column:
     if kind not in VERIFIERS:
         raise ValueError(f"unknown verifier {kind!r}")
-    return F.coalesce(VERIFIERS[kind](F.coalesce(answer, F.lit("")), params), F.lit(False))
+    return F.coalesce(VERIFIERS[kind](answer, params), F.lit(False))
+
+
+def verify(kind: str, answer: Column, params: Mapping[str, Any]) -> Column:
+    """The verifier of a kind over an answer; null answers count as empty."""
+    return _verified(kind, Answer(F.coalesce(answer, F.lit(""))), params)
+
+
+def verify_all(answers: DataFrame, wanted: Mapping[str, tuple[str, Mapping[str, Any]]], answer: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys and a column for each verifier wanted, name -> (kind, parameters)."""
+    names: dict[str, Column] = {}
+    shared = Answer(F.col("_answer"), names)
+    cells = [_verified(kind, shared, params).alias(name) for name, (kind, params) in wanted.items()]
+    return answers.select(*keys, F.coalesce(F.col(answer), F.lit("")).alias("_answer")).withColumns(names).select(*keys, *cells)

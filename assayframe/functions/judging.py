@@ -92,6 +92,37 @@ def change_correct(should: Column, did: Column) -> Column:
     return did == should
 
 
+def change_evidence(first: Column, second: Column, original_first: Column, how: Column) -> Column:
+    """What a change verdict rests on: both positions, the original's first whatever the order they were shown in, and how they differ."""
+    a, b = (F.trim(F.coalesce(c, F.lit(""))) for c in (first, second))
+    own, other = F.when(original_first, a).otherwise(b), F.when(original_first, b).otherwise(a)
+    told = [F.when(own != "", F.concat(F.lit("original: "), own)), F.when(other != "", F.concat(F.lit("variant: "), other)), F.nullif(F.trim(F.coalesce(how, F.lit(""))), F.lit(""))]
+    return F.concat_ws(" | ", *told)
+
+
+def change_verdict(moved: Column, undecidable: Column, should: Column) -> tuple[Column, Column]:
+    """(did, correct): both null if the grader could not decide or said nothing."""
+    did = F.when(~F.coalesce(undecidable, F.lit(False)), moved)
+    return did, change_correct(should, did)
+
+
+def technical_failure(answer_error: Column, answer: Column, call_error: Column, kind: Column, unscorable: Column, truncated: Column, failures: Column, dimensions: Column) -> Column:
+    """Why a case could not be graded, null if it could: the first that holds, from the answer to the grader's reply.
+
+    kind: what the grader returned, `object` if as asked for; unscorable: the class that its field reads as; failures: how many of the
+    case's dimensions it failed on. A case that it found unscorable is a technical failure only if the answer was cut off.
+    """
+    said = unscorable == "unscorable"
+    return (
+        F.when(F.coalesce(answer_error, F.lit("")) != "", F.concat(F.lit("no answer was produced: "), answer_error))
+        .when(F.trim(F.coalesce(answer, F.lit(""))) == "", "empty answer")
+        .when(F.coalesce(call_error, F.lit("")) != "", F.concat(F.lit("judge call failed: "), call_error))
+        .when(kind != "object", F.concat(F.lit("judge returned "), kind, F.lit(", not an object")))
+        .when(said & truncated, "answer hit the token limit before reaching a position")
+        .when(~said & (failures > 0) & (failures == dimensions), F.concat(F.lit("judging failed on all "), failures.cast("string"), F.lit(" dimensions")))
+    )
+
+
 def failure_note(note: Column) -> Column:
     """The reason that a null score's note gives: the grader failed, the dimension doesn't apply, or other."""
     return F.when(note.startswith("judging_failure:"), "judging_failure").when(note.startswith("inapplicable:"), "inapplicable").otherwise("other")

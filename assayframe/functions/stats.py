@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from assayframe.session import cut
 
 
+def exact_mean(x: Column) -> Column:
+    """The mean as an aggregate that doesn't depend on the order of the rows: values are added as decimals of nine places. Null without values."""
+    return F.try_divide(F.sum(x.cast("decimal(20,9)")).cast("double"), F.count(x).cast("double"))
+
+
 def log_factorial(n: Column) -> Column:
     """By summing logarithms up to 256 and, beyond, by Stirling's series, which is exact to double precision there."""
     x = n.cast("double")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.functions.stats import sign_test_p
+from assayframe.functions.stats import exact_mean, sign_test_p
 
 SMALL_N = 20
 DEAD_BAND = 1e-9
@@ -44,8 +44,8 @@ def change(paired: DataFrame, by: Sequence[str]) -> DataFrame:
     out = paired.groupBy("arm", *by).agg(
         F.count("*").alias("n"),
         F.countDistinct("family_id").alias("families"),
-        F.avg("before").alias("mean_before"),
-        F.avg("after").alias("mean_after"),
+        exact_mean(F.col("before")).alias("mean_before"),
+        exact_mean(F.col("after")).alias("mean_after"),
         F.count_if(gap > DEAD_BAND).alias("better"),
         F.count_if(gap < -DEAD_BAND).alias("worse"),
     )
@@ -70,9 +70,9 @@ def difference_of_differences(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     first, second = F.col("c01") - F.col("c00"), F.col("c11") - F.col("c10")
     return cells.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.round(F.avg(first), 6).alias("gap_first"),
-        F.round(F.avg(second), 6).alias("gap_second"),
-        F.round(F.avg(second - first), 6).alias("difference"),
+        F.round(exact_mean(first), 6).alias("gap_first"),
+        F.round(exact_mean(second), 6).alias("gap_second"),
+        F.round(exact_mean(second - first), 6).alias("difference"),
         F.count_if(second - first > DEAD_BAND).alias("wider"),
         F.count_if(second - first < -DEAD_BAND).alias("narrower"),
     )

@@ -1,4 +1,4 @@
-"""Forests of continuations: levels, closures and pruning, as bounded loops of joins with checkpoints in the shared folder."""
+"""Forests of continuations: levels, closures and pruning, as loops of joins until nothing changes, with checkpoints in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from assayframe.session import cut
 
-MAX_DEPTH = 64
 
-
-def levels(cases: DataFrame, case: str = "case_id", parent: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """case, level: 0 without a parent among the cases, else one more than the parent's; -1 on or behind a cycle or beyond max_depth.
+def levels(cases: DataFrame, case: str = "case_id", parent: str = "parent_id") -> DataFrame:
+    """case, level: 0 without a parent among the cases, else one more than the parent's; -1 on or behind a cycle.
 
     Pointer doubling: each round joins every case with the ancestor it has reached, so a chain of n takes log2(n) rounds.
+    A chain is no longer than there are cases; what hasn't come to an end then is on or behind a cycle.
     """
     known = cases.select(F.col(case).alias("case_id"), F.col(parent).alias("parent_id"))
     ids = known.select(F.col("case_id").alias("p"))
     linked = known.join(ids, F.col("parent_id") == F.col("p"), "left").select("case_id", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).alias("steps"))
     state, reach = cut(linked), 1
-    while reach < 2 * max_depth and not state.where("up is not null").isEmpty():
+    longest = state.count()
+    while reach <= longest and not state.where("up is not null").isEmpty():
         above = state.select(F.col("case_id").alias("c"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
         joined = state.join(above, F.col("up") == F.col("c"), "left")
         state = cut(joined.select("case_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
@@ -27,13 +27,13 @@ def levels(cases: DataFrame, case: str = "case_id", parent: str = "parent_id", m
     return state.select("case_id", F.when(F.col("up").isNull(), F.col("steps")).otherwise(-1).alias("level"))
 
 
-def prune(cases: DataFrame, original: str = "original", rounds: int = MAX_DEPTH) -> DataFrame:
+def prune(cases: DataFrame, original: str = "original") -> DataFrame:
     """cases without those that lack support: variants whose original is gone and continuations whose parent is gone, until nothing changes.
 
     cases: case_id, group_id, variant, parent_id (null for none). Each round can only remove, so the count tells when it ends.
     """
     current, n = cut(cases), None
-    for _ in range(rounds):
+    while True:
         before, n = n, current.count()
         if n == before:
             return current
@@ -42,17 +42,15 @@ def prune(cases: DataFrame, original: str = "original", rounds: int = MAX_DEPTH)
         parents = kept.select(F.col("case_id").alias("p")).distinct()
         whole = kept.where("parent_id is null").unionByName(kept.where("parent_id is not null").join(parents, F.col("parent_id") == F.col("p"), "left_semi"))
         current = cut(whole)
-    return current
 
 
-def closure(wanted: DataFrame, cases: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(wanted: DataFrame, cases: DataFrame) -> DataFrame:
     """case_id of the wanted cases and of all they depend on, through parent_id."""
     found, new = cut(wanted.select("case_id").distinct()), None
     new = found
-    for _ in range(max_depth):
+    while True:
         up = new.join(cases.select("case_id", "parent_id"), "case_id").where("parent_id is not null").select(F.col("parent_id").alias("case_id")).distinct()
         new = cut(up.join(found, "case_id", "left_anti"))
         if new.isEmpty():
             return found
         found = cut(found.union(new))
-    return found

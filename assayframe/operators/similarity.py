@@ -1,11 +1,22 @@
-"""Similarity of texts to a corpus, over an inverted index instead of a product of both sides."""
+"""Similarity of texts and vectors to a corpus, and similar pairs within one, without a product of all with all."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import token_set
+from assayframe.functions.text import jaccard, token_set
+from assayframe.session import cut
+
+#: Tokens of all texts of a corpus up to which it is sent to the cases.
+SMALL_CORPUS = 2_000_000
+_TOKEN = re.compile("[a-z0-9]+")
 
 LEXICAL_THRESHOLD, LEXICAL_FLOOR = 0.45, 0.35
 EMBEDDING_THRESHOLD, EMBEDDING_FLOOR = 0.85, 0.55
@@ -14,12 +25,19 @@ EMBEDDING_THRESHOLD, EMBEDDING_FLOOR = 0.85, 0.55
 def best_jaccard(cases: DataFrame, corpus: DataFrame, case_id: str, corpus_id: str, text: str = "text") -> DataFrame:
     """case_id, best_id, similarity: the corpus text most like each case, the first of equals; -1 and 0 without a shared token.
 
-    Shared tokens are counted by an equi-join on the token; pairs without one never arise. Tokens are encoded
-    once, and set sizes travel with them, so the pair count is one grouped sum.
+    A corpus of up to SMALL_CORPUS tokens is sent to the cases, which are scored where they are, without a shuffle;
+    beyond that tokens meet over an inverted index.
     """
+    right = corpus.select(F.col(corpus_id).cast("long").alias("best_id"), token_set(F.col(text)).alias("t")).where(F.size("t") > 0)
+    tokens = right.agg(F.sum(F.size("t"))).first()[0] or 0
+    if tokens <= SMALL_CORPUS:
+        held = right.orderBy("best_id").collect()
+        found = F.struct(F.col("_s.best_id"), F.col("_s.similarity"))
+        scored = cases.select(F.col(case_id).alias("case_id"), _scorer([(r["best_id"], r["t"]) for r in held])(F.lower(F.col(text))).alias("_s"))
+        return scored.select("case_id", found["best_id"].alias("best_id"), found["similarity"].alias("similarity"))
     left = cases.select(F.col(case_id).alias("case_id"), token_set(F.col(text)).alias("t")).withColumn("na", F.size("t"))
-    right = corpus.select(F.col(corpus_id).alias("best_id"), token_set(F.col(text)).alias("t")).withColumn("nb", F.size("t"))
-    a, b = left.select("case_id", "na", F.explode("t").alias("token")), right.select("best_id", "nb", F.explode("t").alias("token"))
+    a = left.select("case_id", "na", F.explode("t").alias("token"))
+    b = right.select("best_id", F.size("t").alias("nb"), F.explode("t").alias("token"))
     shared = a.join(b, "token").groupBy("case_id", "best_id").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     scored = shared.select("case_id", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("s"), "best_id")
     best = scored.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b"))
@@ -28,6 +46,75 @@ def best_jaccard(cases: DataFrame, corpus: DataFrame, case_id: str, corpus_id: s
     )
 
 
+def _scorer(corpus: list[tuple[int, list[str]]]):
+    """The best of a small corpus, ordered by id, for each text: shared tokens are counted over the corpus' postings."""
+    ids = np.array([i for i, _ in corpus], dtype=np.int64)
+    sizes = np.array([len(t) for _, t in corpus], dtype=np.int64)
+    lists: dict[str, list[int]] = {}
+    for k, (_, t) in enumerate(corpus):
+        for token in t:
+            lists.setdefault(token, []).append(k)
+    postings = {t: np.array(x, dtype=np.int32) for t, x in lists.items()}
+
+    @F.pandas_udf("best_id long, similarity double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            found = set(_TOKEN.findall(text or ""))
+            shared = [p for t in found if (p := postings.get(t)) is not None]
+            if not shared:
+                out.append((-1, 0.0))
+                continue
+            both = np.bincount(np.concatenate(shared), minlength=len(ids))
+            s = both / (len(found) + sizes - both)
+            k = int(np.argmax(s))
+            out.append((int(ids[k]), float(s[k])))
+        return pd.DataFrame(out, columns=["best_id", "similarity"])
+
+    return run
+
+
+def similar_pairs(df: DataFrame, key: str, text: str, above: float) -> DataFrame:
+    """later, earlier, similarity: pairs of texts whose token sets' Jaccard similarity is over a threshold above 0, by key.
+
+    By prefixes: tokens are ordered by the number of texts that hold them, rarest first, and two sets as similar
+    as asked for share one of their first n - ceil(above n) + 1 tokens, so the commonest tokens of a text pair none.
+    """
+    rows = cut(df.select(F.col(key).alias("k"), token_set(F.col(text)).alias("t")).where(F.size("t") > 0))
+    words = rows.select("k", F.size("t").alias("n"), F.explode("t").alias("token"))
+    spread = words.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = words.join(spread, "token").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))
+    # A hair below the threshold, since a product of floats may come out above.
+    prefix = F.slice("w", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(above) - 1e-9) + 1).cast("int"))
+    heads = ordered.select("k", "n", F.explode(prefix).alias("w")).select("k", "n", F.col("w.token").alias("token"))
+    other = heads.select(F.col("k").alias("earlier"), F.col("n").alias("m"), "token")
+    fits = (F.col("earlier") < F.col("k")) & (F.least("n", "m") >= F.greatest("n", "m") * above - 1e-9)
+    pairs = heads.join(other, "token").where(fits).select("k", "earlier").distinct()
+    sets = rows.select(F.col("k").alias("earlier"), F.col("t").alias("u"))
+    scored = pairs.join(rows, "k").join(sets, "earlier").select(F.col("k").alias("later"), "earlier", jaccard(F.col("t"), F.col("u")).alias("similarity"))
+    return scored.where(F.col("similarity") > above)
+
+
+def accepted(pairs: DataFrame, later: str = "later", earlier: str = "earlier") -> DataFrame:
+    """later: the texts that a greedy pass in the order of keys refuses, each being too like an earlier one that it has accepted.
+
+    A text is refused if one of its earlier neighbours is accepted and accepted if all are refused; each round settles
+    those whose earlier neighbours are settled, so the rounds are as many as the longest chain of pairs.
+    """
+    open_pairs = cut(pairs.select(F.col(later).alias("later"), F.col(earlier).alias("earlier")).distinct())
+    refused = None
+    while not open_pairs.isEmpty():
+        waiting = open_pairs.select(F.col("later").alias("earlier")).distinct()
+        # Earlier texts that wait for none are accepted, and all that are like them refused.
+        sure = open_pairs.join(waiting, "earlier", "left_anti")
+        gone = cut(sure.select("later").distinct())
+        refused = gone if refused is None else refused.union(gone)
+        # Pairs of refused texts, on either side, bind no one any more.
+        rest = open_pairs.join(gone, "later", "left_anti")
+        open_pairs = cut(rest.join(gone.select(F.col("later").alias("earlier")), "earlier", "left_anti"))
+    return refused if refused is not None else open_pairs.select("later")
+
+
 def calibrated(similarity: str, floor: float = LEXICAL_FLOOR, sigmas: float = 3.0) -> Column:
     """An aggregate: the threshold from the scores themselves, their mean and three population deviations, at least the floor."""
     return F.greatest(F.lit(floor), F.avg(similarity) + sigmas * F.stddev_pop(similarity))
@@ -35,8 +122,8 @@ def calibrated(similarity: str, floor: float = LEXICAL_FLOOR, sigmas: float = 3.
 
 def annotated(report: DataFrame, threshold: float = LEXICAL_THRESHOLD, floor: float = LEXICAL_FLOOR) -> DataFrame:
     """A report with over_threshold, the calibrated cut and over_calibrated; the cut is one number, fetched first."""
-    cut = report.agg(calibrated("similarity", floor).alias("c")).first()["c"]
-    return report.withColumns({"over_threshold": F.col("similarity") >= threshold, "calibrated_threshold": F.lit(cut), "over_calibrated": F.col("similarity") >= F.lit(cut)})
+    line = report.agg(calibrated("similarity", floor).alias("c")).first()["c"]
+    return report.withColumns({"over_threshold": F.col("similarity") >= threshold, "calibrated_threshold": F.lit(line), "over_calibrated": F.col("similarity") >= F.lit(line)})
 
 
 def unit(vector: Column) -> Column:
@@ -44,18 +131,43 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+#: Numbers in a block of vectors that a task compares at once.
+BLOCK_VALUES = 262_144
+
+
+def _blocks(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """block, ids, m: about as many unit vectors a block as BLOCK_VALUES allows, one after the other."""
+    n = max(1, math.ceil(df.count() * width / BLOCK_VALUES))
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")
+    rows = df.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v"), block).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return rows.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("m"))
+
+
+def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            cases, corpus = np.asarray(r.case_ids, dtype=np.int64), np.asarray(r.ids, dtype=np.int64)
+            order = np.argsort(corpus, kind="stable")
+            a, b = (np.asarray(m, dtype=np.float64).reshape(len(i), -1) for m, i in ((r.case_m, cases), (r.m, corpus)))
+            s = np.maximum(np.round(a @ b[order].T, 9), 0.0)
+            s[cases[:, None] == corpus[order][None, :]] = -1.0
+            k = s.argmax(axis=1)
+            top = s[np.arange(len(cases)), k]
+            yield pd.DataFrame({"case_id": cases, "best_id": corpus[order][k], "s": top})[top >= 0]
 
 
-def best_cosine(cases: DataFrame, corpus: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:
+def best_cosine(cases: DataFrame, corpus: DataFrame, key: str, vector: str) -> DataFrame:
     """key, best_id, similarity: the corpus vector of the largest cosine, at least 0, the first of equals; never that of the case's own key.
 
-    The cases are a stated query set; corpus blocks are sent to each case by an equi-join on the block, the
-    maximum being taken block by block with partial aggregation.
+    The cases are a stated query set. Both sides are cut into blocks of a bounded size, each block of cases is sent to
+    each of the corpus by an equi-join on the block, and of each pair of blocks only every case's best goes on.
+    Vectors are of one width, none null or zero.
     """
-    left = cases.select(F.col(key).alias("case_id"), unit(F.col(vector)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = corpus.select(F.col(key).alias("best_id"), unit(F.col(vector)).alias("w"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    scored = left.join(right, "block").where("case_id <> best_id").select("case_id", F.greatest(F.lit(0.0), F.round(dot(F.col("v"), F.col("w")), 9)).alias("s"), "best_id")
+    width = corpus.select(F.max(F.size(vector))).first()[0] or 1
+    right = _blocks(corpus, key, vector, width)
+    numbers = right.select("block").distinct().agg(F.sort_array(F.collect_list("block")).alias("all"))
+    left = _blocks(cases, key, vector, width).select(F.col("ids").alias("case_ids"), F.col("m").alias("case_m"))
+    sent = left.join(F.broadcast(numbers), F.lit(True)).withColumn("block", F.explode("all")).drop("all")
+    scored = sent.join(right, "block").mapInPandas(_best, "case_id long, best_id long, s double")
     best = scored.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b"))
     return best.select("case_id", (-F.col("b.order")).alias("best_id"), F.col("b.s").alias("similarity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayframe.plans import controls, flow, scores, suites, texts, verdicts  # noqa: F401  they register their queries
+from assayframe.plans import audits, controls, flow, scores, suites, texts, verdicts  # noqa: F401  they register their queries
 from assayframe.plans.registry import ORACLES, QUERIES, Query
 
 

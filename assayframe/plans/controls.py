@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions import text as X
 from assayframe.operators import arms as M
+from assayframe.operators import similarity as S
 from assayframe.plans.registry import query
 from assayframe.plans.texts import TOKENS
 from assayframe.sources import adapters as V
@@ -102,11 +103,9 @@ def review_report(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT a.item_id AS item_id, b.item_id AS earlier, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS s FROM x a JOIN x b ON a.token = b.token AND b.item_id < a.item_id GROUP BY ALL)
 SELECT item_id, earlier, round(s, 6) AS similarity FROM s WHERE s > 0.4""")
 def situation_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """Situations too like an earlier one, by shared tokens over an inverted index."""
-    a = table(spark, d, "benchmark").select("item_id", X.token_set(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    left, right = a.select("item_id", "n", F.explode("t").alias("token")), a.select(F.col("item_id").alias("earlier"), F.col("n").alias("m"), F.explode("t").alias("token"))
-    shared = left.join(right, "token").where("earlier < item_id").groupBy("item_id", "earlier").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return shared.withColumn("s", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where("s > 0.4").select("item_id", "earlier", F.round("s", 6).alias("similarity"))
+    """Situations too like an earlier one."""
+    found = S.similar_pairs(table(spark, d, "benchmark"), "item_id", "text", 0.4)
+    return found.select(F.col("later").alias("item_id"), "earlier", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH w AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'a' || l_linenumber ELSE 'b' || l_linenumber END AS label FROM w),

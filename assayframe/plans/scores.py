@@ -16,18 +16,25 @@ STATS_SQL = """count(score) AS n, round(avg(score::DOUBLE), 6) AS mean, count(*)
        count(*) FILTER (score = 2) AS n2, count(*) FILTER (score IS NULL) AS unscorable_n, count(DISTINCT case_id) AS cases, count(DISTINCT family_id) AS families"""
 #: The sign test in SQL: log factorials from a table of running sums.
 LF_SQL = "lf AS (SELECT i, sum(CASE WHEN i > 1 THEN ln(i) ELSE 0 END) OVER (ORDER BY i) AS v FROM range(0, 200001) t(i))"
+
+
+def mean_sql(x: str) -> str:
+    """exact_mean in SQL."""
+    return f"sum(({x})::DECIMAL(20, 9))::DOUBLE / count({x})"
+
+
 CHANGE_SQL = """
 SELECT arm, {by}n, families, mean_before, mean_after, round(ma - mb, 6) AS delta, better, worse, n - better - worse AS level,
        round(CASE WHEN better + worse > 0 THEN least(1, 2 * (SELECT sum(exp(a.v - b.v - c.v - (better + worse) * ln(2)))
              FROM range(0, 100000) r(i), lf a, lf b, lf c WHERE r.i <= least(better, worse) AND a.i = better + worse AND b.i = r.i AND c.i = better + worse - r.i)) END, 6) AS sign_p,
        n < 20 AS small
-FROM (SELECT arm, {by}count(*) AS n, count(DISTINCT family_id) AS families, avg(before) AS mb, avg(after) AS ma, round(avg(before), 6) AS mean_before, round(avg(after), 6) AS mean_after,
+FROM (SELECT arm, {by}count(*) AS n, count(DISTINCT family_id) AS families, {mean_before} AS mb, {mean_after} AS ma, round({mean_before}, 6) AS mean_before, round({mean_after}, 6) AS mean_after,
              count(*) FILTER (after - before > 1e-9) AS better, count(*) FILTER (after - before < -1e-9) AS worse FROM pairs GROUP BY arm{group})
 """
 
 
 def _change_sql(pairs: str, by: str = "") -> str:
-    body = CHANGE_SQL.format(by=f"{by}, " if by else "", group=f", {by}" if by else "")
+    body = CHANGE_SQL.format(by=f"{by}, " if by else "", group=f", {by}" if by else "", mean_before=mean_sql("before"), mean_after=mean_sql("after"))
     return f", {LF_SQL}, pairs AS ({pairs}) {body}".strip()
 
 
@@ -121,8 +128,9 @@ def change_dimension_kind(spark: SparkSession, d: str) -> DataFrame:
     return C.change(_dimension_pairs(spark, d), ["dimension", "kind"])
 
 
+GAPS_SQL = {"gap_first": mean_sql("c01 - c00"), "gap_second": mean_sql("c11 - c10"), "gaps": mean_sql("(c11 - c10) - (c01 - c00)")}
 DOD_SQL = """
-SELECT arm, grp, count(*) AS n, round(avg(c01 - c00), 6) AS gap_first, round(avg(c11 - c10), 6) AS gap_second, round(avg((c11 - c10) - (c01 - c00)), 6) AS difference,
+SELECT arm, grp, count(*) AS n, round({gap_first}, 6) AS gap_first, round({gap_second}, 6) AS gap_second, round({gaps}, 6) AS difference,
        count(*) FILTER ((c11 - c10) - (c01 - c00) > 1e-9) AS wider, count(*) FILTER ((c11 - c10) - (c01 - c00) < -1e-9) AS narrower
 FROM (SELECT t.arm, s.case_id, s.grp, avg(s.score::DOUBLE) FILTER ({row} = 0 AND s.arm = 'N') AS c00, avg(s.score::DOUBLE) FILTER ({row} = 0 AND s.arm = t.arm) AS c01,
              avg(s.score::DOUBLE) FILTER ({row} = 1 AND s.arm = 'N') AS c10, avg(s.score::DOUBLE) FILTER ({row} = 1 AND s.arm = t.arm) AS c11
@@ -138,13 +146,13 @@ def _four_cells(values: DataFrame, row) -> DataFrame:
     return C.difference_of_differences(C.four_cells(spread, ["arm", "case_id", "grp"], row, F.col("is_arm")), ["arm", "grp"])
 
 
-@query(with_views(DOD_SQL.format(row="s.judge", source="(SELECT * FROM scores_all WHERE NOT technical AND NOT unscorable AND standard = 'original' AND score IS NOT NULL)"), "scores_all"))
+@query(with_views(DOD_SQL.format(**GAPS_SQL, row="s.judge", source="(SELECT * FROM scores_all WHERE NOT technical AND NOT unscorable AND standard = 'original' AND score IS NOT NULL)"), "scores_all"))
 def judge_divergence(spark: SparkSession, d: str) -> DataFrame:
     rows = V.scores_all(spark, d).where("not technical and not unscorable and standard = 'original'")
     return _four_cells(rows, F.col("judge") == 1)
 
 
-@query(with_views(DOD_SQL.format(row="(s.standard = 'rival')::INT", source="(SELECT * FROM graded WHERE score IS NOT NULL)"), "graded"))
+@query(with_views(DOD_SQL.format(**GAPS_SQL, row="(s.standard = 'rival')::INT", source="(SELECT * FROM graded WHERE score IS NOT NULL)"), "graded"))
 def author_effect(spark: SparkSession, d: str) -> DataFrame:
     return _four_cells(V.graded(spark, d), F.col("standard") == "rival")
 

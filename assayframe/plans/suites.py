@@ -40,7 +40,13 @@ def suite_validation(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(None)
+_RULES = {
+    "three_to_five_dimensions": "len(w) BETWEEN 3 AND 5", "dimensions_allowed": "true", "no_dimension_twice": "len(list_distinct(w)) = len(w)", "all_anchored": "len(list_filter(w, lambda x: NOT list_contains(w[:4], x))) = 0",
+    "must_notice_given": "len(w) > 0", "acceptable_given": "len(list_filter(w, lambda x: length(x) > 3)) > 0",
+}
+
+
+@query("WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part) " + " UNION ALL ".join(f"SELECT p_partkey::VARCHAR AS entity_id, '{r}' AS rule, p_name AS detail FROM p WHERE NOT ({c})" for r, c in _RULES.items()))
 def rubric_validation(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     words = F.split("p_name", " ")

@@ -58,9 +58,23 @@ def answer_checks(spark: SparkSession, d: str) -> DataFrame:
     return K.run_checks(table(spark, d, "documents"), CHECKS)
 
 
-@query(None)
+_REFUSED = "(?i)^" + X.REFUSAL_OPENERS + "(?:" + "|".join(X.REFUSALS) + ")"
+#: refusal in SQL: DuckDB's patterns look at no places before them, so the breaks are marked first.
+_PARTS = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?:;])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' AND NOT regexp_matches(s, '^" + X.QUOTE_OPENERS.replace("'", "''") + "'))"
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN text || ' I''m sorry, but I cannot help with that.' WHEN 2 THEN 'Unfortunately, i won''t be able to answer; ' || text WHEN 3 THEN '"I refuse to answer" he said. ' || text ELSE text || chr(10) || 'As an AI, I do not know.' END AS text FROM conversations)
+SELECT conv_id, turn, coalesce(list_filter(list_transform({_PARTS}, lambda s: regexp_extract(s, '{_REFUSED.replace("'", "''")}')), lambda s: s <> '')[1], '') AS refusal FROM r"""
+)
 def refusal_checks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", X.refusal(F.col("text")).alias("refusal"))
+    """Conversations with refusals in some turns, of which quoted ones don't count."""
+    i, t = F.col("turn") % 5, F.col("text")
+    said = (
+        F.when(i == 0, t).when(i == 1, F.concat(t, F.lit(" I'm sorry, but I cannot help with that."))).when(i == 2, F.concat(F.lit("Unfortunately, i won't be able to answer; "), t))
+        .when(i == 3, F.concat(F.lit('"I refuse to answer" he said. '), t)).otherwise(F.concat(t, F.lit("\nAs an AI, I do not know.")))
+    )
+    return table(spark, d, "conversations").select("conv_id", "turn", X.refusal(said).alias("refusal"))
 
 
 @query(
@@ -100,7 +114,7 @@ _VIEW = (
 
 @query(f"WITH {_VIEW} SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, _, sql) in VERIFIED.items())} FROM n")
 def verifiers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *(K.verify(kind, F.col("text"), p).alias(name) for name, (kind, p, _) in VERIFIED.items()))
+    return K.verify_all(table(spark, d, "documents"), {name: (kind, p) for name, (kind, p, _) in VERIFIED.items()})
 
 
 @query("WITH p AS (SELECT event_id, '1. ' || event_type || chr(10) || CASE WHEN event_id % 3 = 0 THEN '2) ' ELSE '3. ' END || 'x' AS t FROM events) SELECT event_id, event_id % 3 = 0 AS passed FROM p")
@@ -109,19 +123,56 @@ def numbered_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", K.verify("numbered_list", answer, {"count": 2}).alias("passed"))
 
 
-@query("SELECT event_id, props IS NOT NULL AND json_valid(props) AND json_type(props) = 'OBJECT' AS is_object FROM events")
+_JSON = {"required_keys": ["k", "note"], "types": {"k": "number", "note": "string"}, "enums": {"note": ["a", "b c d", "yes"]}, "max_words": {"note": 2}}
+
+
+@query(
+    """WITH j AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": 1, "note": "a"}' WHEN 2 THEN '{"k": true, "note": "a"}' WHEN 3 THEN '{"k": 2.5, "note": "b c d"}' WHEN 4 THEN '```json' || chr(10) || '{"k": ' || event_id || ', "note": "yes"}' || chr(10) || '```' ELSE 'no {json' END AS t FROM events),
+u AS (SELECT event_id, regexp_replace(regexp_replace(t, '^```json\\n', ''), '\\n```$', '') AS t FROM j), v AS (SELECT event_id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM u)
+SELECT event_id, coalesce(json_type(j) = 'OBJECT', false) AS is_object, coalesce(json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'k') AND list_contains(json_keys(j), 'note') AND json_type(j, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(j, '$.note') = 'VARCHAR'
+   AND j->>'$.note' IN ('a', 'b c d', 'yes') AND len(string_split(j->>'$.note', ' ')) <= 2, false) AS fits FROM v"""
+)
 def json_object_check(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", K.verify("json_object", F.col("props"), {}).alias("is_object"))
+    """Answers that should be JSON objects, and whether they have the keys, types, values and lengths asked for."""
+    i = F.col("event_id") % 6
+    said = (
+        F.when(i == 0, F.col("props")).when(i == 1, '{"k": 1, "note": "a"}').when(i == 2, '{"k": true, "note": "a"}').when(i == 3, '{"k": 2.5, "note": "b c d"}')
+        .when(i == 4, F.concat(F.lit('```json\n{"k": '), F.col("event_id").cast("string"), F.lit(', "note": "yes"}\n```'))).otherwise("no {json")
+    )
+    return table(spark, d, "events").select("event_id", K.verify("json_object", said, {}).alias("is_object"), K.verify("json_object", said, _JSON).alias("fits"))
+
 
+_NUM = "'-?[0-9][0-9,]*(?:\\.[0-9]+)?'"
+_MARKED = "'(?is)^.*(?:final answer|the answer is|answer\\s*[:=]|answer is)'"
 
-@query("SELECT event_id, true AS passed, round(value, 2) AS number FROM events")
+
+@query(
+    f"""WITH a AS (SELECT event_id, printf('%,.2f', round(value, 2)) AS v, round(value, 2) AS want FROM events),
+t AS (SELECT *, CASE event_id % 6 WHEN 0 THEN 'It is 1 or 2.' || chr(10) || 'The answer is **$' || v || '**' WHEN 1 THEN 'First 3, then 4.' || chr(10) || 'So \\boxed{{' || v || '}} fits.' || chr(10) || 'Done 7 and 8' WHEN 2 THEN 'Answer: ' || v || ' of 10 cases' || chr(10) || 'and 2 or 3 more'
+   WHEN 3 THEN 'we have 5 and 6' || chr(10) || 'then 9 and ' || v WHEN 4 THEN 'only 12' || chr(10) || 'no numbers here' ELSE 'nothing' END AS said FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(said, '\\*\\*|__', '', 'g'), '[$£€¥]', '', 'g') AS c FROM t),
+l AS (SELECT *, regexp_extract_all(string_split(c, chr(10))[-1], {_NUM}) AS last, list_filter(regexp_extract_all(c, '\\\\boxed\\s*\\{{([^}}]*)\\}}', 1), lambda b: regexp_matches(b, {_NUM})) AS boxes, regexp_extract_all(CASE WHEN regexp_matches(c, {_MARKED}) THEN regexp_replace(c, {_MARKED}, '') ELSE '' END, {_NUM}) AS after, regexp_extract_all(c, {_NUM}) AS every FROM c),
+n AS (SELECT event_id, want, replace(coalesce(CASE WHEN len(last) = 1 THEN last[1] END, regexp_extract_all(boxes[-1], {_NUM})[1], after[1], last[-1], every[-1]), ',', '')::DOUBLE AS number FROM l)
+SELECT event_id, coalesce(abs(number - want) < 1e-6, false) AS passed, round(number, 2) AS number FROM n"""
+)
 def numeric_answers(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("It is 1 or 2.\nThe answer is **$"), F.format_number(F.round("value", 2), 2), F.lit("**"))
+    """The number that an answer offers, in six ways of saying it."""
+    i, v = F.col("event_id") % 6, F.format_number(F.round("value", 2), 2)
+    said = (
+        F.when(i == 0, F.concat(F.lit("It is 1 or 2.\nThe answer is **$"), v, F.lit("**")))
+        .when(i == 1, F.concat(F.lit("First 3, then 4.\nSo \\boxed{"), v, F.lit("} fits.\nDone 7 and 8")))
+        .when(i == 2, F.concat(F.lit("Answer: "), v, F.lit(" of 10 cases\nand 2 or 3 more")))
+        .when(i == 3, F.concat(F.lit("we have 5 and 6\nthen 9 and "), v)).when(i == 4, "only 12\nno numbers here").otherwise("nothing")
+    )
     number = K.final_number(said)
-    return table(spark, d, "events").select("event_id", (F.abs(number - F.round("value", 2)) < 1e-6).alias("passed"), F.round(number, 2).alias("number"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.abs(number - F.round("value", 2)) < 1e-6, F.lit(False)).alias("passed"), F.round(number, 2).alias("number"))
+
+
+#: Sentences in SQL: full stops that end none become another character before the text is cut.
+_KEPT = "regexp_replace(replace(regexp_replace(text, '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '...', chr(1) || chr(1) || chr(1)), '(?i)(^|[^a-z])(" + "|".join(a.replace(".", "\\.") for a in sorted(X.ABBREVIATIONS, key=len, reverse=True)) + ")\\.', '\\1\\2' || chr(1), 'g')"
 
 
-@query(None)
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all({_KEPT}, '[^.!?]+(?:[.!?]+[\"'')\\]]*|$)'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]')))::INT AS sentences FROM documents")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
@@ -141,28 +192,106 @@ def quote_verify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", J.verify_quote(F.col("text"), quote).alias("verified"))
 
 
-@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 8 AS i, ['No.', 'N/A.', '0', 'cut off by the limit', 'yes', 'hm', 'none of these apply', NULL][(o_orderkey % 8) + 1] AS raw FROM orders)
-SELECT o_orderkey, CASE WHEN i IN (0, 1, 2, 6, 7) THEN 'scorable' WHEN i IN (3, 4) THEN 'unscorable' ELSE 'unrecognised' END AS verdict FROM k""")
+_RAW = ("No.", "N/A.", "0", "cut off by the limit", "yes", "hm", "none of these apply", None, "  Unscorable! ", "-", "never", "the answer is empty", "'na'")
+_LISTED = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+#: unscorable_verdict in SQL, of a column raw.
+UNSCORABLE_SQL = f"""CASE WHEN raw IS NULL OR k IN ({_LISTED(J.NEGATIVES)}) THEN 'scorable' WHEN k IN ({_LISTED(J.AFFIRMATIVES)}) THEN 'unscorable' WHEN regexp_matches(k, '^(?:no|none|not|never|nothing|n/?a)\\b') THEN 'scorable'
+ WHEN len(list_filter(string_split(k, ' '), lambda w: w <> '')) >= 2 THEN 'unscorable' ELSE 'unrecognised' END"""
+_KEY_SQL = "regexp_replace(" + NORMAL.replace("coalesce(text, '')", "coalesce(raw, '')") + ", '^[ .!?;:,\\-\"'']+|[ .!?;:,\\-\"'']+$', '', 'g')"
+
+
+@query(f"WITH r AS (SELECT o_orderkey, [{', '.join('NULL' if x is None else _LISTED([x]) for x in _RAW)}][(o_orderkey % {len(_RAW)}) + 1] AS raw FROM orders), n AS (SELECT *, {_KEY_SQL} AS k FROM r) SELECT o_orderkey, {UNSCORABLE_SQL} AS verdict FROM n")
 def unscorable_classes(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.array(*(F.lit(x) for x in ("No.", "N/A.", "0", "cut off by the limit", "yes", "hm", "none of these apply", None)))
-    return table(spark, d, "orders").select("o_orderkey", J.unscorable_verdict(F.get(raw, F.col("o_orderkey") % 8)).alias("verdict"))
+    raw = F.array(*(F.lit(x) for x in _RAW))
+    return table(spark, d, "orders").select("o_orderkey", J.unscorable_verdict(F.get(raw, (F.col("o_orderkey") % len(_RAW)).cast("int"))).alias("verdict"))
+
+
+_SAID = ("Keep the  promise", "2", "they should ask first, then act", "something else", "promise", "", "9", "the")
+_ALLOWED = ("keep the promise", "tell the truth", "ask first")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'keep the promise' WHEN 1 THEN 'tell the truth' WHEN 2 THEN 'ask first' WHEN 3 THEN NULL ELSE 'keep the promise' END AS item FROM part""")
+@query(
+    f"""WITH r AS (SELECT p_partkey, [{_LISTED(_SAID)}][(p_partkey % {len(_SAID)}) + 1] AS text, [{_LISTED(_ALLOWED)}] AS allowed FROM part), n AS (SELECT *, {NORMAL} AS k FROM r),
+h AS (SELECT *, list_filter(allowed, lambda a: contains(k, a) OR contains(a, k)) AS held FROM n)
+SELECT p_partkey, CASE WHEN k = '' THEN NULL WHEN list_contains(allowed, k) THEN k WHEN regexp_full_match(k, '[0-9]+') AND try_cast(k AS INT) BETWEEN 1 AND len(allowed) THEN allowed[try_cast(k AS INT)] WHEN len(held) = 1 THEN held[1] END AS item FROM h"""
+)
 def rubric_items(spark: SparkSession, d: str) -> DataFrame:
-    said = F.array(*map(F.lit, ("Keep the  promise", "2", "they should ask first, then act", "something else", "promise")))
-    allowed = F.array(*map(F.lit, ("keep the promise", "tell the truth", "ask first")))
-    return table(spark, d, "part").select("p_partkey", J.rubric_item(F.get(said, F.col("p_partkey") % 5), allowed).alias("item"))
+    said, allowed = F.array(*map(F.lit, _SAID)), F.array(*map(F.lit, _ALLOWED))
+    return table(spark, d, "part").select("p_partkey", J.rubric_item(F.get(said, (F.col("p_partkey") % len(_SAID)).cast("int")), allowed).alias("item"))
+
 
+# Entries of a grader: whether the dimension is there and applies, the raw score, the quotation, and what it rests on.
+_ANSWER = "An answer about something else, which keeps the promise that was made."
+_QUOTES = ("", "a quotation that is not there at all", "keeps the promise that", "too short", "keeps the ... that was made", "  ", "KEEPS the promise   that")
+_SCORES = ("2", "7", "0", "1.9", "x", " 1 ")
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey % 6 AS i, l_partkey FROM lineitem)
-SELECT CASE i WHEN 0 THEN 'omitted' WHEN 1 THEN 'inapplicable' WHEN 2 THEN 'bad_score' WHEN 3 THEN 'absence' WHEN 4 THEN 'quote_missing' ELSE 'quote_not_found' END AS outcome, count(*) AS n FROM s GROUP BY 1""")
+
+def _verified_sql(q: str, h: str) -> str:
+    """verify_quote in SQL, for quotations of at most two parts."""
+    return f"""(SELECT len(f) BETWEEN 1 AND 4 AND length(c) >= 12 AND len(string_split(c, ' ')) >= 3 AND len(list_filter(f, lambda x: length(x) < 8 OR len(string_split(x, ' ')) < 2)) = 0
+  AND instr({h}, f[1]) > 0 AND (len(f) < 2 OR instr(substr({h}, instr({h}, f[1]) + length(f[1])), f[2]) > 0) FROM (SELECT f, array_to_string(f, ' ') AS c FROM (SELECT list_filter(list_transform(string_split({q}, '...'), lambda x: trim(x)), lambda x: x <> '') AS f)))"""
+
+
+_SCORE_SQL = "CASE WHEN trunc(try_cast(trim(raw) AS DOUBLE))::INT IN (0, 1, 2) THEN trunc(try_cast(trim(raw) AS DOUBLE))::INT END"
+
+
+@query(
+    f"""WITH e AS (SELECT l_orderkey % 9 <> 0 AS found, CASE WHEN l_partkey % 8 > 0 THEN l_partkey % 8 <> 1 END AS applicable, [{_LISTED(_SCORES)}][(l_suppkey % {len(_SCORES)}) + 1] AS raw, [{_LISTED(_QUOTES)}][(l_partkey % {len(_QUOTES)}) + 1] AS text,
+  CASE WHEN l_orderkey % 4 = 0 THEN 'Absence ' ELSE 'quote' END AS basis FROM lineitem), n AS (SELECT *, {NORMAL} AS q, {NORMAL.replace("coalesce(text, '')", f"'{_ANSWER}'")} AS h, {_SCORE_SQL} AS score FROM e)
+SELECT CASE WHEN NOT found THEN 'omitted' WHEN NOT applicable THEN 'inapplicable' WHEN score IS NULL THEN 'bad_score' WHEN score = 0 AND (lower(trim(basis)) = 'absence' OR trim(text) = '') THEN 'absence' WHEN trim(text) = '' THEN 'quote_missing'
+   WHEN {_verified_sql("q", "h")} THEN 'scored' WHEN length(q) < 12 THEN 'quote_too_short' ELSE 'quote_not_found' END AS outcome, score, count(*) AS n FROM n GROUP BY ALL"""
+)
 def score_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("l_suppkey") % 6
-    raw = F.when(i == 2, "7").when(i == 3, "0").otherwise("2")
-    quote = F.when(i == 5, "a quotation that is not there at all").otherwise("")
-    outcome = J.score_outcome(i != 0, i != 1, raw, quote, F.lit("quote"), F.lit("An answer about something else."))
-    return table(spark, d, "lineitem").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """How the entries of graders read, every outcome being there."""
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (F.col(by) % len(values)).cast("int"))
+    applicable = F.when(F.col("l_partkey") % 8 > 0, F.col("l_partkey") % 8 != 1)
+    basis = F.when(F.col("l_orderkey") % 4 == 0, "Absence ").otherwise("quote")
+    raw = pick(_SCORES, "l_suppkey")
+    outcome = J.score_outcome(F.col("l_orderkey") % 9 != 0, applicable, raw, pick(_QUOTES, "l_partkey"), basis, F.lit(_ANSWER))
+    return table(spark, d, "lineitem").groupBy(outcome.alias("outcome"), J.score_of(raw).alias("score")).agg(F.count("*").alias("n"))
+
+
+_ERRORS, _KINDS = (None, "", "timeout"), ("object", "object", "list", "object", "str")
+_FAILED_SQL = f"""WITH e AS (SELECT o_orderkey AS case_id, CASE o_orderkey % 11 WHEN 2 THEN 'timeout' WHEN 5 THEN '' END AS answer_error, CASE o_orderkey % 7 WHEN 3 THEN '  ' WHEN 4 THEN NULL ELSE 'text' END AS answer, CASE WHEN o_orderkey % 13 = 6 THEN 'ValueError' END AS call_error,
+  ['object', 'object', 'list', 'object', 'str'][(o_orderkey % 5) + 1] AS kind, [{', '.join('NULL' if x is None else _LISTED([x]) for x in _RAW)}][(o_orderkey % {len(_RAW)}) + 1] AS raw, o_orderkey % 2 = 0 AS truncated, o_orderkey % 4 AS failures, 3 AS dimensions FROM orders),
+n AS (SELECT *, {_KEY_SQL} AS k FROM e), u AS (SELECT *, {UNSCORABLE_SQL} AS unscorable FROM n)
+SELECT case_id, unscorable, CASE WHEN coalesce(answer_error, '') <> '' THEN 'no answer was produced: ' || answer_error WHEN trim(coalesce(answer, '')) = '' THEN 'empty answer' WHEN call_error IS NOT NULL THEN 'judge call failed: ' || call_error
+  WHEN kind <> 'object' THEN 'judge returned ' || kind || ', not an object' WHEN unscorable = 'unscorable' AND truncated THEN 'answer hit the token limit before reaching a position'
+  WHEN unscorable <> 'unscorable' AND failures = dimensions THEN 'judging failed on all ' || failures || ' dimensions' END AS technical_failure FROM u"""
+
+
+@query(_FAILED_SQL)
+def technical_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Why a case could not be graded, the first reason that holds."""
+    i = F.col("o_orderkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (i % len(values)).cast("int"))
+    unscorable = J.unscorable_verdict(pick(_RAW))
+    why = J.technical_failure(
+        F.when(i % 11 == 2, "timeout").when(i % 11 == 5, ""), F.when(i % 7 == 3, "  ").when(i % 7 != 4, "text"), F.when(i % 13 == 6, "ValueError"), pick(_KINDS), unscorable, i % 2 == 0, i % 4, F.lit(3),
+    )
+    return table(spark, d, "orders").select(i.alias("case_id"), unscorable.alias("unscorable"), why.alias("technical_failure"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_id % 2 = 0 END AS moved, event_id % 7 = 0 AS undecidable, event_id % 3 = 0 AS should, event_id % 4 < 2 AS original_first, CASE WHEN event_id % 6 > 0 THEN ' keeps ' || event_type END AS a, CASE event_id % 9 WHEN 0 THEN '' ELSE 'drops it' END AS b, CASE WHEN event_id % 10 = 0 THEN 'by degree' END AS how FROM events),
+v AS (SELECT *, CASE WHEN NOT undecidable THEN moved END AS did, trim(coalesce(CASE WHEN original_first THEN a ELSE b END, '')) AS o, trim(coalesce(CASE WHEN original_first THEN b ELSE a END, '')) AS w FROM e)
+SELECT event_id, did AS did_change, did = should AS correct, concat_ws(' | ', CASE WHEN o <> '' THEN 'original: ' || o END, CASE WHEN w <> '' THEN 'variant: ' || w END, how) AS evidence FROM v""")
+def change_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on whether a position moved, null if undecided, with their evidence in the original's order."""
+    i = F.col("event_id")
+    did, right = J.change_verdict(F.when(i % 5 > 0, i % 2 == 0), i % 7 == 0, i % 3 == 0)
+    a, b = F.when(i % 6 > 0, F.concat(F.lit(" keeps "), "event_type")), F.when(i % 9 == 0, "").otherwise("drops it")
+    evidence = J.change_evidence(a, b, i % 4 < 2, F.when(i % 10 == 0, "by degree"))
+    return table(spark, d, "events").select("event_id", did.alias("did_change"), right.alias("correct"), evidence.alias("evidence"))
+
+
+@query("""WITH a AS (SELECT event_type AS arm, user_id AS case_id, event_id, event_id % 3 AS repeat_index FROM events), f AS (SELECT arm, case_id, min(event_id) AS first FROM a WHERE repeat_index = 0 GROUP BY ALL)
+SELECT a.arm, a.case_id, a.case_id || '#r' || a.repeat_index || '.' || a.event_id AS answer_id, f.first, f.first IS NULL AS orphan FROM a LEFT JOIN f ON f.arm = a.arm AND f.case_id = a.case_id WHERE repeat_index > 0""")
+def consistency_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each repeat that probes for consistency with its arm's answer of record; orphans have none, and are told instead of compared."""
+    rows = table(spark, d, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("case_id"), "event_id", (F.col("event_id") % 3).alias("repeat_index"))
+    record = rows.where("repeat_index = 0").groupBy("arm", "case_id").agg(F.min("event_id").alias("first"))
+    named = F.concat(F.col("case_id").cast("string"), F.lit("#r"), F.col("repeat_index").cast("string"), F.lit("."), F.col("event_id").cast("string"))
+    return rows.where("repeat_index > 0").join(record, ["arm", "case_id"], "left").select("arm", "case_id", named.alias("answer_id"), "first", F.col("first").isNull().alias("orphan"))
 
 
 TOKENS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"
