@@ -46,27 +46,24 @@ PART_CHARS = 2_000_000
 #: Bytes from which a piece counts as long.
 LONG_BYTES = 64
 
-#: One pair a round: the leftmost of minimum rank.
+#: One pair a round: the leftmost of minimum rank. A pair's key has its rank, its position and the distance to its second
+#: token, each within LONG_BYTES, so that one minimum tells what is contracted and what goes.
 ENCODE = """
 WITH RECURSIVE step(word, pos, tok, done) AS (
     SELECT word, pos, tok, false FROM start
     UNION ALL
     (
         WITH pairs AS (
-            SELECT s.word, s.pos, s.tok, s.next_pos, m.merged
+            SELECT s.word, s.pos, s.tok, m.merged::BIGINT * 4096 + s.pos * 64 + s.next_pos - s.pos AS key
             FROM (
                 SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
                 FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)
             ) s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next_tok
         ),
-        best AS (
-            SELECT word, min(merged) AS merged, min(merged::BIGINT * 4294967296 + pos) % 4294967296 AS first_pos,
-                   arg_min(next_pos, merged::BIGINT * 4294967296 + pos) AS gone
-            FROM pairs GROUP BY word
-        )
-        SELECT p.word, p.pos, CASE WHEN p.pos = b.first_pos THEN b.merged ELSE p.tok END, b.merged IS NULL
+        best AS (SELECT word, min(key) AS key FROM pairs GROUP BY word)
+        SELECT p.word, p.pos, CASE WHEN p.key = b.key THEN (b.key >> 12)::INTEGER ELSE p.tok END, b.key IS NULL
         FROM pairs p JOIN best b ON p.word = b.word
-        WHERE b.merged IS NULL OR p.pos <> b.gone
+        WHERE b.key IS NULL OR p.pos <> ((b.key >> 6) & 63) + (b.key & 63)
     )
 )
 SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*)::INTEGER AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex

@@ -373,8 +373,8 @@ def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, simi
     # Candidates are named by their first 64 bits; texts that share these belong together as candidates, whatever else.
     roots = components(candidates(prints, similarity, tile))
     grouped = prints.join(roots, prints["f1"] == roots["node"], "left").select(F.col("text_key").alias("key"), F.coalesce("root", "f1").alias("cell"))
-    several = grouped.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    members = cut(grouped.join(several, "cell"))
+    several = cut(grouped.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
+    members = cut(grouped.join(F.broadcast(several) if several.count() <= BROADCAST_MEMBERS else several, "cell"))
     texts = keyed.join(F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members, "key").groupBy("key", "cell").agg(F.first("text").alias("text"))
     hashed = cut(texts.mapInPandas(_hashes(words), "key string, cell long, h array<long>"))
     totals = hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"), F.count("*").alias("texts"))
