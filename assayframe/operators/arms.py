@@ -43,17 +43,35 @@ def judge_pairs(primary: Sequence[str], later: Sequence[str], curator: str | Non
     return [(a, b) for a in firsts for b in dict.fromkeys(later) if b != a and (b not in primary or curator)]
 
 
-def plan_problems(coverage: Mapping[str, Mapping[str, int]], reachable: Mapping[str, Sequence[str]], required: Sequence[str], kinds: Sequence[str]) -> list[str]:
-    """What is wrong with a plan of kind -> task -> count: unknown kinds, counts below 0, no control, or dimensions that no planned task reaches."""
+def plan_problems(
+    coverage: Mapping[str, Mapping[str, int]], reachable: Mapping[str, Sequence[str]], required: Sequence[str], kinds: Sequence[str], follows: Mapping[tuple[str, str], str] | None = None, domains: Sequence[str] | None = None
+) -> list[str]:
+    """What is wrong with a plan of kind -> task -> count.
+
+    Unknown kinds, counts below 0, no families at all, no control, dimensions that no planned task reaches, tasks that follow
+    one that their kind doesn't cover (follows: (kind, task) -> task), and no domains, if domains are given.
+    """
     out = [f"unknown kind {k}" for k in coverage if k not in kinds]
     out += [f"negative count for {k}/{t}" for k, tasks in coverage.items() for t, n in tasks.items() if n < 0]
+    if domains is not None and not domains:
+        out.append("no domains")
+    if not any(n > 0 for tasks in coverage.values() for n in tasks.values()):
+        out.append("no families")
     if not sum(coverage.get("negative_control", {}).values()):
         out.append("no negative control")
+    out += [f"{k}/{t} follows {other}, which isn't covered" for (k, t), other in (follows or {}).items() if other not in coverage.get(k, {})]
     planned = {t for tasks in coverage.values() for t, n in tasks.items() if n > 0}
     reached = {d for t in planned for d in reachable.get(t, ())}
     return out + [f"dimension {d} is out of reach" for d in required if d not in reached]
 
 
+def planned_cases(coverage: Mapping[str, Mapping[str, int]], reachable: Mapping[str, Sequence[str]], dimensions: Sequence[str]) -> dict[str, object]:
+    """How many cases a plan asks for, and the dimensions that its tasks can and can't score, in the vocabulary's order."""
+    planned = [t for tasks in coverage.values() for t, n in tasks.items() if n > 0]
+    reached = {d for t in planned for d in reachable.get(t, ())}
+    return {"cases": sum(max(0, n) for tasks in coverage.values() for n in tasks.values()), "reachable": [d for d in dimensions if d in reached], "unreachable": [d for d in dimensions if d not in reached]}
+
+
 def not_self_grading(rewriter: str, grader: str) -> None:
     if rewriter == grader:
         raise ValueError("the grader has written what it would grade")

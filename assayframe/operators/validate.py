@@ -48,10 +48,35 @@ def rubric_rules(dimensions: Column, allowed: Column, anchored: Column, must_not
     }
 
 
+# Words that tell nothing of a particular situation.
+GENERIC_WORDS = tuple(
+    """
+    that this with from have been they them their there then than what when where which while
+    would could should must will been being does doing into onto only also just like about
+    over under after before between during because since such each both same other others
+    more most many much some any all not but and the for its it's who whom whose
+    role roles relationship relationships obligation obligations duty duties responsibility
+    responsibilities harm harms severity urgency urgent serious stake stakes stakeholder
+    stakeholders consideration considerations party parties person people situation situations
+    context factor factors circumstance circumstances involved present important matter matters
+    notice notices noticing recognise recognises recognize recognizes identify identifies
+    acknowledge acknowledges concern concerns interest interests value values principle
+    principles moral morally ethical ethically answer answers reply response model
+    needs need take takes make makes give gives states state name names naming mention mentions
+    """.split()
+)
+MIN_DISTINCTIVE_CHARS = 4
+
+
+def distinctive(text: Column) -> Column:
+    """The tokens of text that can only come from its own situation."""
+    long = F.filter(token_set(text), lambda t: F.length(t) >= MIN_DISTINCTIVE_CHARS)
+    return F.array_except(long, F.array(*map(F.lit, GENERIC_WORDS)))
+
+
 def grounded(entry: Column, situation: Column) -> Column:
-    """Whether an entry shares at least two longer tokens with the situation."""
-    longer = F.filter(token_set(entry), lambda t: F.length(t) > 3)
-    return F.size(F.array_intersect(longer, token_set(situation))) >= MIN_SHARED_TOKENS
+    """Whether an entry shares at least two distinctive tokens with the situation."""
+    return F.size(F.array_intersect(distinctive(entry), token_set(situation))) >= MIN_SHARED_TOKENS
 
 
 def discriminating(low: Column, high: Column) -> Column:
