@@ -54,3 +54,20 @@ def closure(wanted: DataFrame, cases: DataFrame) -> DataFrame:
         if new.isEmpty():
             return found
         found = cut(found.union(new))
+
+
+def replayed(cases: DataFrame, text: str = "text") -> DataFrame:
+    """case_id and texts: the texts of all that a case continues, the first first, and then its own. Cases on or behind a cycle have their own alone.
+
+    One round a level: each joins the ancestors reached last with their parents.
+    """
+    known = cut(cases.select("case_id", "parent_id", F.col(text).alias("text")))
+    parents = known.select(F.col("case_id").alias("up"), F.col("parent_id").alias("next"), F.col("text").alias("before"))
+    found = known.select("case_id", F.lit(0).alias("back"), "text")
+    sure = levels(known).where("level > 0").select("case_id")
+    step, back = cut(known.join(sure, "case_id").select("case_id", F.col("parent_id").alias("up"))), 1
+    while not step.isEmpty():
+        reached = cut(step.join(parents, "up").select("case_id", F.lit(-back).alias("back"), F.col("before").alias("text"), F.col("next").alias("up")))
+        found = found.unionByName(reached.drop("up"))
+        step, back = reached.where("up is not null").select("case_id", "up"), back + 1
+    return found.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("back", "text"))), lambda s: s["text"]).alias("texts"))

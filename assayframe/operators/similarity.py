@@ -95,24 +95,24 @@ def similar_pairs(df: DataFrame, key: str, text: str, above: float) -> DataFrame
     return scored.where(F.col("similarity") > above)
 
 
-def accepted(pairs: DataFrame, later: str = "later", earlier: str = "earlier") -> DataFrame:
+def refused(pairs: DataFrame, later: str = "later", earlier: str = "earlier") -> DataFrame:
     """later: the texts that a greedy pass in the order of keys refuses, each being too like an earlier one that it has accepted.
 
     A text is refused if one of its earlier neighbours is accepted and accepted if all are refused; each round settles
     those whose earlier neighbours are settled, so the rounds are as many as the longest chain of pairs.
     """
     open_pairs = cut(pairs.select(F.col(later).alias("later"), F.col(earlier).alias("earlier")).distinct())
-    refused = None
+    out = None
     while not open_pairs.isEmpty():
         waiting = open_pairs.select(F.col("later").alias("earlier")).distinct()
         # Earlier texts that wait for none are accepted, and all that are like them refused.
         sure = open_pairs.join(waiting, "earlier", "left_anti")
         gone = cut(sure.select("later").distinct())
-        refused = gone if refused is None else refused.union(gone)
+        out = gone if out is None else out.union(gone)
         # Pairs of refused texts, on either side, bind no one any more.
         rest = open_pairs.join(gone, "later", "left_anti")
         open_pairs = cut(rest.join(gone.select(F.col("later").alias("earlier")), "earlier", "left_anti"))
-    return refused if refused is not None else open_pairs.select("later")
+    return out if out is not None else open_pairs.select("later")
 
 
 def calibrated(similarity: str, floor: float = LEXICAL_FLOOR, sigmas: float = 3.0) -> Column:

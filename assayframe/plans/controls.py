@@ -108,6 +108,19 @@ def situation_collisions(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("later").alias("item_id"), "earlier", F.round("similarity", 6).alias("similarity"))
 
 
+_NEAR = 0.2
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT item_id, {TOKENS} AS t FROM benchmark), x AS (SELECT item_id, len(t) AS n, unnest(t) AS token FROM t),
+s AS (SELECT a.item_id AS item_id, b.item_id AS earlier, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS s FROM x a JOIN x b ON a.token = b.token AND b.item_id < a.item_id GROUP BY ALL),
+p AS (SELECT item_id, list(earlier) AS near, row_number() OVER (ORDER BY item_id) AS rn FROM s WHERE s > {_NEAR} GROUP BY item_id),
+g(rn, refused) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT p.rn, CASE WHEN len(list_filter(p.near, lambda e: NOT list_contains(g.refused, e))) > 0 THEN list_append(g.refused, p.item_id) ELSE g.refused END FROM g JOIN p ON p.rn = g.rn + 1)
+SELECT unnest(refused) AS item_id FROM (SELECT refused FROM g ORDER BY rn DESC LIMIT 1)""")
+def refused_situations(spark: SparkSession, d: str) -> DataFrame:
+    """Situations refused in their order, each too like an earlier one that was accepted."""
+    return S.refused(S.similar_pairs(table(spark, d, "benchmark"), "item_id", "text", _NEAR)).select(F.col("later").alias("item_id"))
+
+
 @query("""WITH w AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'a' || l_linenumber ELSE 'b' || l_linenumber END AS label FROM w),
 p AS (SELECT l_orderkey AS group_id, l_linenumber AS pos, 'a' || l_linenumber AS label, s AS payload FROM w),
 m AS (SELECT g.*, p.payload FROM g JOIN p ON g.group_id = p.group_id AND g.label = p.label),

@@ -104,6 +104,14 @@ def comparable_texts(spark: SparkSession, d: str) -> DataFrame:
     return c.join(parents, F.col("parent_id") == F.col("p"), "left").select("case_id", F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), "text").alias("text"))
 
 
+@query(f"""WITH RECURSIVE c AS ({CASES_SQL}), r(case_id, up, texts) AS (SELECT case_id, parent_id, [text] FROM c UNION ALL SELECT r.case_id, c.parent_id, list_prepend(c.text, r.texts) FROM r JOIN c ON c.case_id = r.up)
+SELECT case_id, arg_max(array_to_string(texts, chr(10)), len(texts)) AS messages, max(len(texts)) AS n FROM r GROUP BY case_id""")
+def replayed_turns(spark: SparkSession, d: str) -> DataFrame:
+    """What is sent for a continuation: all that it continues, then its own text."""
+    found = G.replayed(cases(spark, d))
+    return found.select("case_id", F.array_join("texts", "\n").alias("messages"), F.size("texts").cast("long").alias("n"))
+
+
 @query("""SELECT dimension, reachable, CASE WHEN NOT reachable THEN 'unreachable' WHEN selected = 0 THEN 'not selected' WHEN scored = 0 THEN 'never scored' WHEN scored < selected THEN 'partly scored' ELSE 'scored' END AS status, selected, scored
 FROM (SELECT d.dimension, d.dimension <= 9 AS reachable, count(l_linenumber) AS selected, count(*) FILTER (l_linenumber IS NOT NULL AND round(l_tax * 100) <> 8) AS scored
       FROM range(1, 11) d(dimension) LEFT JOIN lineitem ON l_linenumber = d.dimension GROUP BY d.dimension)""")

@@ -87,6 +87,42 @@ def public_rows(pages: DataFrame, min_chars: int = 80) -> DataFrame:
     return by_id.groupBy("text").agg(F.min(F.struct("row_idx", "id")).alias("r")).select("r.id", "text", "r.row_idx")
 
 
+ANSWER_KEYS = ("prompt_id", "text")
+
+
+def read_answers(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """prompt_id, model, text of answers written elsewhere, a JSON object a line; model where the line names none.
+
+    ValueError if there are no answers or a line lacks one of ANSWER_KEYS; the message names its keys.
+    """
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", "map<string,string>").alias("r"))
+    has = F.coalesce(F.forall(F.array(*map(F.lit, ANSWER_KEYS)), lambda k: F.map_contains_key("r", k)), F.lit(False))
+    lost = rows.where(~has).select(F.array_join(F.sort_array(F.coalesce(F.map_keys("r"), F.array().cast("array<string>"))), ", ").alias("keys")).first()
+    if lost is not None:
+        raise ValueError(f"answers need {' and '.join(ANSWER_KEYS)}, a line has: {lost['keys'] or 'none'}")
+    if rows.isEmpty():
+        raise ValueError("no answers")
+    return rows.select(F.col("r")["prompt_id"].alias("prompt_id"), F.coalesce(F.col("r")["model"], F.lit(model)).alias("model"), F.col("r")["text"].alias("text"))
+
+
+def as_json(df: DataFrame, column: str = "record") -> DataFrame:
+    """Every row as one JSON object, however nested; nulls stay as such."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias(column))
+
+
+def record_stage(spark: SparkSession, path: str, run_id: str, stage: str, payload: dict, at: str) -> None:
+    """Adds what a stage of a run says to the stored record; a later entry of the stage takes its place."""
+    import json
+
+    spark.createDataFrame([(run_id, stage, at, json.dumps(payload, sort_keys=True))], "run_id string, stage string, at string, payload string").coalesce(1).write.mode("append").json(path)
+
+
+def run_record(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, stage, at, payload: the latest entry of each stage of each run."""
+    rows = read_records(spark, path, "run_id string, stage string, at string, payload string")
+    return rows.groupBy("run_id", "stage").agg(F.max(F.struct("at", "payload")).alias("r")).select("run_id", "stage", "r.*")
+
+
 def merge_record(record: dict, stage: str, payload: dict) -> dict:
     """A run's record with one stage set; other stages stay."""
     return {**record, "stages": {**record.get("stages", {}), stage: payload}}

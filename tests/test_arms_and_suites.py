@@ -20,7 +20,7 @@ def test_arm_names():
 def test_plan_problems():
     good = {"standard": {"decide": 2}, "negative_control": {"notice": 1}}
     assert A.plan_problems(good, {"decide": ["d1"], "notice": ["d2"]}, ["d1", "d2"], S.KINDS) == []
-    assert len(A.plan_problems({"odd": {"decide": -1}}, {}, ["d1"], S.KINDS)) == 4
+    assert len(A.plan_problems({"odd": {"decide": -1}}, {}, ["d1"], S.KINDS)) == 5
 
 
 def test_alignment_by_label_then_position(spark):
