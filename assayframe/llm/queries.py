@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.llm import byte_bpe, decontamination, impact_search, language_id, sanitisation, simhash, token_counts, url_filters, virtual_slots, warc
-from assayframe.session import scratch
+from assayframe.session import cut, scratch
 
 #: The URL rules as (host, path, action).
 URL_RULES = (
@@ -42,13 +42,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sanitisation.inspect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in sanitisation.KINDS]
-    return rows.select("doc_id", *counts, F.sha2(sanitisation.joined(F.col("base")), 256).alias("base_sha256"), sanitisation.joined(F.col("all_spans")).alias("spans"))
+    found = [F.size("base").cast("long").alias("n_found"), F.size("all_spans").cast("long").alias("n_spans")]
+    return rows.select("doc_id", *counts, F.sha2(sanitisation.joined(F.col("base")), 256).alias("base_sha256"), sanitisation.joined(F.col("all_spans")).alias("spans"), *found)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 1 of the slot map places the documents; version 2, an edit of it for one shard more, says where each would then be."""
     rows = virtual_slots.describe(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    stored = virtual_slots.save_map(virtual_slots.place(virtual_slots.slot_bytes(rows), SHARDS), scratch(spark, "slot-map"))
-    return virtual_slots.assign(rows, stored).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+    path, slots = scratch(spark, "slot-map"), cut(virtual_slots.slot_bytes(rows))
+    first = virtual_slots.save_map(virtual_slots.place(slots, SHARDS), path)
+    second = virtual_slots.save_map(virtual_slots.rebalance(first, slots, SHARDS + 1), path)
+    after = second.select("virtual_slot", F.col("shard").alias("next_shard"), F.col("map_version").alias("next_version"))
+    placed = virtual_slots.assign(rows, virtual_slots.load_map(spark.read.parquet(path), 1)).join(F.broadcast(after), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version", "next_shard", "next_version")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +166,8 @@ t AS (SELECT w.doc_id, CASE WHEN share >= {sanitisation.REMOVE} THEN 'term_remov
 k AS (SELECT * FROM (VALUES ('email', 1), ('ip', 2), ('card', 3), ('phone', 4), ('term_generalised', 5), ('term_removed', 6)) v(kind, o)),
 x AS (SELECT doc_id, kind, s, e, true AS base FROM f UNION ALL SELECT doc_id, kind, s, e, false FROM t),
 g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in sanitisation.KINDS)},
-             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (base) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans FROM x JOIN k USING (kind) GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in sanitisation.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+             count(*) FILTER (base) AS n_found, count(*) AS n_spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (base) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans FROM x JOIN k USING (kind) GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in sanitisation.KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n_spans, 0)::BIGINT AS n_spans FROM d LEFT JOIN g USING (doc_id)
 """
 
 ORACLE_SQL = {
@@ -191,9 +197,17 @@ p(rn, loads, shard, virtual_slot) AS (
     UNION ALL
     SELECT s.rn, list_transform(p.loads, lambda v, i: CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN v + s.n_bytes ELSE v END), list_position(p.loads, list_min(p.loads)) - 1, s.virtual_slot FROM p JOIN s ON s.rn = p.rn + 1
 ),
+u AS (SELECT s.virtual_slot, s.n_bytes, p.shard, sum(s.n_bytes) OVER (PARTITION BY p.shard ORDER BY s.n_bytes DESC, s.virtual_slot) <= (SELECT sum(n_bytes) FROM s) / {SHARDS + 1}.0::DOUBLE AS stays FROM p JOIN s USING (virtual_slot)),
+v AS (SELECT virtual_slot, n_bytes, row_number() OVER (ORDER BY n_bytes DESC, virtual_slot) AS rn FROM u WHERE NOT stays),
+q(rn, loads, shard, virtual_slot) AS (
+    SELECT 0::BIGINT, list(b ORDER BY i), -1, -1 FROM (SELECT i, coalesce(sum(n_bytes) FILTER (stays), 0)::BIGINT AS b FROM range({SHARDS + 1}) t(i) LEFT JOIN u ON u.shard = i GROUP BY i)
+    UNION ALL
+    SELECT v.rn, list_transform(q.loads, lambda w, i: CASE WHEN i = list_position(q.loads, list_min(q.loads)) THEN w + v.n_bytes ELSE w END), list_position(q.loads, list_min(q.loads)) - 1, v.virtual_slot FROM q JOIN v ON v.rn = q.rn + 1
+),
+n AS (SELECT virtual_slot, shard::INT AS next_shard FROM u WHERE stays UNION ALL SELECT virtual_slot, shard::INT FROM q WHERE rn > 0),
 m AS (SELECT p.virtual_slot, p.shard, coalesce(sum(s.n_rows) OVER (PARTITION BY p.shard ORDER BY p.virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p JOIN s USING (virtual_slot))
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, (start + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32) - 1)::BIGINT AS slot, NULL::INT AS grown_shard,
-       virtual_slot, 1 AS map_version FROM d JOIN m USING (virtual_slot)
+       virtual_slot, 1 AS map_version, next_shard, 2 AS next_version FROM d JOIN m USING (virtual_slot) JOIN n USING (virtual_slot)
 """,
     "op6_exact_top_k": """
 WITH v AS (
