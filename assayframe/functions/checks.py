@@ -68,7 +68,7 @@ def _limit(params: Mapping[str, Any], *names: str) -> int | None:
 
 @register("forbidden_terms")
 def forbidden_terms(answer: Answer, params: Mapping[str, Any]) -> Column:
-    body = X.masked(answer.of(X.normalise), _terms(params, "allowed_terms", "allowed"))
+    body = X.masked(answer.of(X.normalise_unicode), _terms(params, "allowed_terms", "allowed"))
     return F.size(X.found_terms(body, _terms(params, "terms", "forbidden_terms", "term"), stemmed=True)) == 0
 
 
@@ -87,7 +87,7 @@ def min_words(answer: Answer, params: Mapping[str, Any]) -> Column:
 @register("must_mention_all")
 def must_mention_all(answer: Answer, params: Mapping[str, Any]) -> Column:
     terms = _terms(params, "terms", "phrases", "must_mention")
-    return F.size(X.found_terms(answer.of(X.normalise), terms)) == len(terms) if terms else F.lit(False)
+    return F.size(X.found_terms(answer.of(X.normalise_unicode), terms)) == len(terms) if terms else F.lit(False)
 
 
 @register("must_choose_one_of")
@@ -103,7 +103,7 @@ def must_choose_one_of(answer: Answer, params: Mapping[str, Any]) -> Column:
     options = [p for p in options if any(t.strip() for t in p)]
     if not options:
         return F.lit(False)
-    body = answer.of(X.normalise)
+    body = answer.of(X.normalise_unicode)
     chosen = F.lit(0)
     for phrases in options:
         chosen = chosen + (F.size(X.found_terms(body, phrases)) > 0).cast("int")

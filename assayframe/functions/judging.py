@@ -62,6 +62,13 @@ def rubric_item(returned: Column, allowed: Column) -> Column:
     return F.when(key != "", F.coalesce(equal, F.when(key.rlike("^[0-9]+$"), by_number), F.when(F.size(held) == 1, held[0])))
 
 
+def rubric_flags(returned: Column, allowed: Column) -> Column:
+    """struct(items, dropped): the items that the entries of an array mean, in order and once each, and the entries that mean none."""
+    pairs = F.transform(F.filter(returned, lambda r: normalise(r) != ""), lambda r: F.struct(rubric_item(r, allowed).alias("item"), r.alias("entry")))
+    items = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["item"].isNotNull()), lambda p: p["item"]))
+    return F.struct(items.alias("items"), F.transform(F.filter(pairs, lambda p: p["item"].isNull()), lambda p: p["entry"]).alias("dropped"))
+
+
 def score_of(raw: Column) -> Column:
     """0, 1 or 2 from a raw score as text, else null; fractions are cut."""
     value = F.trim(raw.cast("string")).try_cast("double").cast("int")

@@ -79,10 +79,10 @@ def grounded(entry: Column, situation: Column) -> Column:
     return F.size(F.array_intersect(distinctive(entry), token_set(situation))) >= MIN_SHARED_TOKENS
 
 
-def discriminating(low: Column, high: Column) -> Column:
+def discriminating(low: Column, high: Column, overlap: float = ANCHOR_OVERLAP) -> Column:
     """Whether two anchors differ enough to tell answers apart."""
     a, b = token_set(low), token_set(high)
-    return (F.least(F.size(a), F.size(b)) < MIN_ANCHOR_TOKENS) | (F.coalesce(overlap_coefficient(a, b), F.lit(0.0)) <= ANCHOR_OVERLAP)
+    return (F.least(F.size(a), F.size(b)) < MIN_ANCHOR_TOKENS) | (F.coalesce(overlap_coefficient(a, b), F.lit(0.0)) <= overlap)
 
 
 def union(*parts: DataFrame) -> DataFrame:

@@ -102,3 +102,35 @@ def reviewed_drop(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY event_type")
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seq"))
+
+
+_META = ('{"hit_token_limit": true, "completion_tokens": 12}', '{"usage": {"output_tokens": 7}}', '{"tokens": 0, "length": "30"}', "no json", None, '{"hit_token_limit": false, "n_tokens": -1, "usage": {"length": 2.5}}')
+_COUNTS = [(f"{p}{n}", n) for p in ("", "usage.") for n in ("completion_tokens", "output_tokens", "tokens", "n_tokens", "length")]
+_FIELDS_SQL = "CASE " + " ".join(f"WHEN try_cast(m->>'$.{p}' AS DOUBLE) > 0 THEN {{{{'l': try_cast(m->>'$.{p}' AS DOUBLE), 's': '{n}'}}}}" for p, n in _COUNTS).replace("{{", "{").replace("}}", "}") + " ELSE {'l': len(list_filter(string_split_regex(answer_text, '\\s+'), lambda w: w <> ''))::DOUBLE, 's': 'words'} END"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, event_type || ' said  this' AS answer_text, [{', '.join('NULL' if x is None else "'" + x + "'" for x in _META)}][(event_id % {len(_META)}) + 1] AS raw, CASE event_id % 7 WHEN 0 THEN 'cut off' WHEN 1 THEN '' END AS technical_failure, CASE WHEN event_id % 5 = 0 THEN 'empty' END AS unscorable FROM events),
+m AS (SELECT *, CASE WHEN json_valid(raw) THEN raw::JSON END AS m FROM e), l AS (SELECT *, {_FIELDS_SQL} AS f FROM m)
+SELECT event_id, coalesce(m->>'$.hit_token_limit' = 'true', false) AS truncated, f.l AS answer_length, f.s AS source, coalesce(technical_failure, '') = '' AND coalesce(unscorable, '') = '' AS graded FROM l"""
+)
+def record_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What a result's metadata says: whether it was cut off, how long it is and by what count, and whether it is graded."""
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        "event_id", F.concat("event_type", F.lit(" said  this")).alias("answer_text"), F.get(F.array(*(F.lit(m) for m in _META)), (i % len(_META)).cast("int")).alias("answer_meta"),
+        F.when(i % 7 == 0, "cut off").when(i % 7 == 1, "").alias("technical_failure"), F.when(i % 5 == 0, "empty").alias("unscorable"),
+    )
+    length = I.answer_length()
+    return rows.select("event_id", I.truncated().alias("truncated"), length["length"].alias("answer_length"), length["source"].alias("source"), I.is_graded().alias("graded"))
+
+
+@query("""WITH s AS (SELECT event_id, unnest([1, 2, 3, 4]) AS pos, unnest(['d1', ' d1 ', ' ', 'd2']) AS dimension, unnest([(event_id % 3)::VARCHAR, CASE WHEN event_id % 2 = 0 THEN '1' ELSE 'two' END, '2', NULL]) AS score FROM events),
+r AS (SELECT event_id, trim(dimension) AS dimension, score, row_number() OVER (PARTITION BY event_id, trim(dimension) ORDER BY pos DESC) AS rn FROM s WHERE trim(dimension) <> '') SELECT event_id, dimension, try_cast(score AS INT) AS score FROM r WHERE rn = 1""")
+def scored_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """A row a result and dimension of nested scores: the last entry of a dimension counts, blank ones are left out, and what is no number is null."""
+    i = F.col("event_id")
+    entry = lambda name, score: F.struct(F.lit(name).alias("dimension"), score.cast("string").alias("score"), F.lit("").alias("quote"), F.lit("").alias("note"))
+    scores = F.array(entry("d1", i % 3), entry(" d1 ", F.when(i % 2 == 0, "1").otherwise("two")), entry(" ", F.lit(2)), entry("d2", F.lit(None)))
+    rows = table(spark, d, "events").select(F.lit("a").alias("arm"), i.alias("case_id"), F.col("user_id").alias("family_id"), F.lit("j").alias("judge_model"), F.lit(0).alias("judge_pass"), F.lit("original").alias("standard"), i.alias("ingest_seq"), scores.alias("scores"))
+    return I.dimension_scores(rows).select(F.col("case_id").alias("event_id"), "dimension", "score")

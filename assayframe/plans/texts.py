@@ -16,7 +16,7 @@ from assayframe.session import cut
 from assayframe.sources.adapters import table
 
 #: normalise in SQL.
-NORMAL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(lower(coalesce(text, '')), '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '—', '-'), '…', '...'), '\\s+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '—', '-'), '…', '...'), '\\s+', ' ', 'g'))"
 ENDINGS = "|".join(sorted(X.STEM_ENDINGS, key=len, reverse=True)).replace("'", "''")
 FORBIDDEN, MENTIONED, OPTIONS = ("than", "sch", "queaux"), ("the", "of"), ("that", "dass", "pour")
 
@@ -26,6 +26,9 @@ def _term(term: str, stemmed: bool = False) -> str:
     return f"regexp_matches(s, '(^|[^\\p{{L}}\\p{{N}}_]){term}{end}([^\\p{{L}}\\p{{N}}_]|$)')"
 
 
+#: Sentences in SQL: full stops that end none become another character before the text is cut.
+_KEPT = "regexp_replace(replace(regexp_replace(text, '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '...', chr(1) || chr(1) || chr(1)), '(?i)(^|[^a-z])(" + "|".join(a.replace(".", "\\.") for a in sorted(X.ABBREVIATIONS, key=len, reverse=True)) + ")\\.', '\\1\\2' || chr(1), 'g')"
+
 CHECKS = (
     ("forbidden_terms", {"terms": FORBIDDEN}),
     ("must_mention_all", {"terms": MENTIONED}),
@@ -168,10 +171,6 @@ def numeric_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.coalesce(F.abs(number - F.round("value", 2)) < 1e-6, F.lit(False)).alias("passed"), F.round(number, 2).alias("number"))
 
 
-#: Sentences in SQL: full stops that end none become another character before the text is cut.
-_KEPT = "regexp_replace(replace(regexp_replace(text, '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '...', chr(1) || chr(1) || chr(1)), '(?i)(^|[^a-z])(" + "|".join(a.replace(".", "\\.") for a in sorted(X.ABBREVIATIONS, key=len, reverse=True)) + ")\\.', '\\1\\2' || chr(1), 'g')"
-
-
 @query(f"SELECT doc_id, len(list_filter(regexp_extract_all({_KEPT}, '[^.!?]+(?:[.!?]+[\"'')\\]]*|$)'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]')))::INT AS sentences FROM documents")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
@@ -220,6 +219,45 @@ def rubric_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", J.rubric_item(F.get(said, (F.col("p_partkey") % len(_SAID)).cast("int")), allowed).alias("item"))
 
 
+@query(
+    f"""WITH r AS (SELECT p_partkey, x AS text, i, [{_LISTED(_ALLOWED)}] AS allowed FROM part, (SELECT unnest([{_LISTED(_SAID)}]) AS x, unnest(range({len(_SAID)})) AS i) WHERE (p_partkey + i) % 3 = 0), n AS (SELECT *, {NORMAL} AS k FROM r),
+h AS (SELECT *, list_filter(allowed, lambda a: contains(k, a) OR contains(a, k)) AS held FROM n WHERE k <> ''),
+m AS (SELECT *, CASE WHEN list_contains(allowed, k) THEN k WHEN regexp_full_match(k, '[0-9]+') AND try_cast(k AS INT) BETWEEN 1 AND len(allowed) THEN allowed[try_cast(k AS INT)] WHEN len(held) = 1 THEN held[1] END AS item FROM h)
+SELECT p.p_partkey, coalesce((SELECT array_to_string(list(item ORDER BY f), ',') FROM (SELECT item, min(i) AS f FROM m WHERE m.p_partkey = p.p_partkey AND item IS NOT NULL GROUP BY item)), '') AS items, (SELECT count(*) FROM m WHERE m.p_partkey = p.p_partkey AND item IS NULL) AS dropped FROM part p"""
+)
+def rubric_flag_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A grader's lists of broken rules as rubric items, with how many entries mean none."""
+    said = F.filter(F.array(*map(F.lit, _SAID)), lambda _, i: (F.col("p_partkey") + i) % 3 == 0)
+    read = J.rubric_flags(said, F.array(*map(F.lit, _ALLOWED)))
+    return table(spark, d, "part").select("p_partkey", F.array_join(read["items"], ",").alias("items"), F.size(read["dropped"]).cast("long").alias("dropped"))
+
+
+_CODE = ("```python\ndef area(a, b):\n    return a * b\n```", "def area(a):\n    print(a)", "def volume(a):\n    return a", "area = 3")
+_MORE = {
+    "exact_words": ("exact_words", {"count": 300}, "w = 300"), "exact_sentences": ("exact_sentences", {"count": 7}, "sentences = 7"), "one_of": ("one_of", {"options": ["Yes", "no"]}, "lower(tok) IN ('yes', 'no')"),
+    "all_of": ("all_of", {"checks": [{"kind": "min_words", "params": {"count": 20}}, {"kind": "forbidden_letter", "params": {"letter": "ß"}}]}, "w >= 20 AND NOT contains(lower(t), 'ß')"),
+}
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '"Yes."' WHEN 1 THEN ' no! ' ELSE text END AS text FROM documents), n AS (SELECT doc_id, text AS t, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS w,
+  len(list_filter(regexp_extract_all({{KEPT}}, '[^.!?]+(?:[.!?]+[\"'')\\]]*|$)'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]'))) AS sentences,
+  trim(regexp_replace(trim(regexp_replace(trim(text), '^["''`‘’“”]+|["''`‘’“”]+$', '', 'g')), '[.,!?;:…]+$', '')) AS tok FROM d) SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, _, sql) in _MORE.items())}, doc_id % 4 = 0 AS python_function FROM n""".replace("{KEPT}", _KEPT)
+)
+def more_verifiers(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id") % 4
+    said = table(spark, d, "documents").select("doc_id", F.when(i == 0, '"Yes."').when(i == 1, " no! ").otherwise(F.col("text")).alias("text"))
+    code = K.verify("python_function", F.get(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 4).cast("int")), {"entry_point": "area"})
+    return K.verify_all(said, {name: (kind, p) for name, (kind, p, _) in _MORE.items()}).withColumn("python_function", code)
+
+
+@query(f"WITH n AS (SELECT doc_id, {NORMAL} AS s FROM documents), m AS (SELECT doc_id, replace(replace(s, 'the than', ' '), 'than the', ' ') AS s FROM n) SELECT doc_id, NOT ({_term('than', True)}) AS passed FROM m")
+def allowed_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A forbidden term that some phrases may hold."""
+    found = K.run_checks(table(spark, d, "documents"), [("forbidden_terms", {"terms": ["than"], "allowed_terms": ["than the", "the than"]})])
+    return found.select("doc_id", "passed")
+
+
 # Entries of a grader: whether the dimension is there and applies, the raw score, the quotation, and what it rests on.
 _ANSWER = "An answer about something else, which keeps the promise that was made."
 _QUOTES = ("", "a quotation that is not there at all", "keeps the promise that", "too short", "keeps the ... that was made", "  ", "KEEPS the promise   that")
@@ -337,10 +375,12 @@ def cosine_best(spark: SparkSession, d: str) -> DataFrame:
 _SETS = f"WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark), t AS (SELECT item_id, {TOKENS} AS x, {TOKENS.replace('text', 'other')} AS y FROM b WHERE other IS NOT NULL) "
 
 
-def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+def _neighbours(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
     b = table(spark, d, "benchmark")
     ranked = b.groupBy("item_id").agg(F.min("text").alias("text"))
     other = ranked.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    if texts:
+        return ranked.join(other, "item_id")
     return ranked.join(other, "item_id").select("item_id", X.token_set(F.col("text")).alias("x"), X.token_set(F.col("other")).alias("y"))
 
 
@@ -349,6 +389,15 @@ def overlap_coefficient(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select("item_id", F.round(X.overlap_coefficient(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
+@query(_SETS + "SELECT item_id, least(len(x), len(y)) < 3 OR len(list_intersect(x, y)) / least(len(x), len(y))::DOUBLE <= 0.3 AS apart FROM t")
+def anchor_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Whether neighbouring anchors can be told apart, at a stricter line than suites have."""
+    from assayframe.operators import validate as R
+
+    both = _neighbours(spark, d, texts=True)
+    return both.select("item_id", R.discriminating(F.col("text"), F.col("other"), 0.3).alias("apart"))
+
+
 @query(_SETS + ", v AS (SELECT item_id, round(1 - len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS z FROM t) SELECT count(*) AS n, min(z) AS min, list_sort(list(z))[count(*) // 2 + 1] AS upper_median, max(z) AS max, count(*) FILTER (z < 0.35) AS low, count(*) FILTER (z = 0) AS identical FROM v")
 def divergence_summary(spark: SparkSession, d: str) -> DataFrame:
     z = cut(_neighbours(spark, d).select(F.round(1 - X.jaccard(F.col("x"), F.col("y")), 6).alias("z")))

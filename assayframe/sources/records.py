@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RESULTS = (
@@ -33,10 +33,12 @@ def unparsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path).where(F.col(CORRUPT).isNotNull()).select(CORRUPT, "case_id" if "case_id" in schema else "arm").select(CORRUPT)
 
 
-def write_records(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """One JSON object a line; results go into partitions by arm and standard, which keeps standards apart."""
-    writer = df.write.mode(mode)
+def write_records(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> int:
+    """One JSON object a line; results go into partitions by arm and standard, which keeps standards apart. Gives the rows written, counted on their way."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     (writer.partitionBy(*by) if by else writer).json(path)
+    return seen.get["rows"]
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:

@@ -59,3 +59,23 @@ def test_wording():
     assert R.divergence_note(far, 3) == "median 0.70, 0.60 to 0.80"
     assert "failed measurement" in R.divergence_note({**far, "upper_median": 0.1}, 3) and "2 near, 1 identical" in R.divergence_note({**far, "low": 2, "identical": 1}, 3)
     assert R.divergence_note(None, 3) == "no divergence was measured" and R.divergence_note(None, 0) == ""
+
+
+def test_writing_counts_the_rows(spark, tmp_path):
+    assert I.write_records(spark.range(17), str(tmp_path / "a")) == 17
+    assert I.write_records(spark.range(0), str(tmp_path / "b")) == 0
+
+
+def test_checks_fold_compatibility_forms(spark):
+    from pyspark.sql import functions as F
+
+    from assayframe.functions import checks as K
+    from assayframe.functions import judging as J
+    from assayframe.functions import text as X
+
+    df = spark.createDataFrame([(1, "Ｓｔｏｉｃｉｓｍ"), (2, "die Straße"), (3, "ﬁne “words”"), (4, "naïve ÀÉ"), (5, None)], "doc_id int, text string")
+    assert [r["n"] for r in df.orderBy("doc_id").select(X.normalise_unicode(F.col("text")).alias("n")).collect()] == ["stoicism", "die strasse", 'fine "words"', "naïve àé", ""]
+    found = K.run_checks(df, [("must_mention_all", {"terms": ["strasse"]}), ("forbidden_terms", {"terms": ["stoic"]})]).collect()
+    assert {(r["doc_id"], r["check"]) for r in found if r["passed"]} == {(2, "must_mention_all"), *((i, "forbidden_terms") for i in (2, 3, 4, 5))}
+    said = spark.createDataFrame([(["2", "tell  the Truth", "odd", "", "1"],)], "r array<string>").select(J.rubric_flags(F.col("r"), F.array(F.lit("keep faith"), F.lit("tell the truth"))).alias("f")).first()["f"]
+    assert list(said["items"]) == ["tell the truth", "keep faith"] and list(said["dropped"]) == ["odd"]
