@@ -35,7 +35,7 @@ from assayframe.llm.expressions import give_back, small_batches
 #: Bytes of pieces that a task remembers, about, once over for those met lately; what a piece takes beside its ids and bytes;
 #: characters of pieces that go into one query, and what a query may take.
 CACHE_BYTES = 64_000_000
-PIECE_BYTES = 300
+PIECE_BYTES = 320
 QUERY_CHARS = 640_000
 QUERY_MB = 300
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
@@ -46,28 +46,29 @@ PART_CHARS = 2_000_000
 #: Bytes from which a piece counts as long.
 LONG_BYTES = 64
 
-#: One pair a round: the leftmost of minimum rank. A pair's key has its rank, its position and the distance to its second
-#: token, each within LONG_BYTES, so that one minimum tells what is contracted and what goes.
+#: One pair a round: the leftmost of minimum rank. A token's place is 64 times its word's number and its position, so that one
+#: sort puts all words in order. A pair's key has its rank, its position and the distance to its second token, each within
+#: LONG_BYTES, so that one minimum tells what is contracted and what goes.
 ENCODE = """
-WITH RECURSIVE step(word, pos, tok, done) AS (
-    SELECT word, pos, tok, false FROM start
+WITH RECURSIVE step(place, tok, done) AS (
+    SELECT place, tok, false FROM start
     UNION ALL
     (
         WITH pairs AS (
-            SELECT s.word, s.pos, s.tok, m.merged::BIGINT * 4096 + s.pos * 64 + s.next_pos - s.pos AS key
+            SELECT s.place, s.tok, m.merged::BIGINT * 4096 + (s.place & 63) * 64 + s.next_place - s.place AS key
             FROM (
-                SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-                FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)
-            ) s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next_tok
+                SELECT place, tok, lead(tok) OVER w AS next_tok, lead(place) OVER w AS next_place
+                FROM step WHERE NOT done WINDOW w AS (ORDER BY place)
+            ) s LEFT JOIN merges m ON m.l = s.tok AND m.r = CASE WHEN s.next_place >> 6 = s.place >> 6 THEN s.next_tok END
         ),
-        best AS (SELECT word, min(key) AS key FROM pairs GROUP BY word)
-        SELECT p.word, p.pos, CASE WHEN p.key = b.key THEN (b.key >> 12)::INTEGER ELSE p.tok END, b.key IS NULL
-        FROM pairs p JOIN best b ON p.word = b.word
-        WHERE b.key IS NULL OR p.pos <> ((b.key >> 6) & 63) + (b.key & 63)
+        best AS (SELECT place >> 6 AS word, min(key) AS key FROM pairs GROUP BY 1)
+        SELECT p.place, CASE WHEN p.key = b.key THEN (b.key >> 12)::INTEGER ELSE p.tok END, b.key IS NULL
+        FROM pairs p JOIN best b ON p.place >> 6 = b.word
+        WHERE b.key IS NULL OR p.place & 63 <> ((b.key >> 6) & 63) + (b.key & 63)
     )
 )
-SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*)::INTEGER AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex
-FROM step s JOIN vocabulary v ON v.id = s.tok WHERE s.done GROUP BY s.word
+SELECT s.place >> 6 AS word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.place) AS ids, string_agg(v.hex, '' ORDER BY s.place) AS hex
+FROM step s JOIN vocabulary v ON v.id = s.tok WHERE s.done GROUP BY 1
 """
 #: For long pieces a step of the same fixpoint that contracts many pairs at once, each proven to come before all that could
 #: touch it. A pair of rank r can lose a token to a neighbour first only by entries of a rank up to r, which are of at most
@@ -107,7 +108,7 @@ FROM (
 WHERE NOT gone
 """
 CODED_LONG = """
-SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*)::INTEGER AS n, string_agg(v.hex, '' ORDER BY s.pos) AS hex
+SELECT s.word, string_agg(s.tok::VARCHAR, ',' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
 FROM state s JOIN vocabulary v ON v.id = s.tok GROUP BY s.word
 """
 DECODE = """
@@ -154,9 +155,10 @@ class PieceCoder:
         self.ranks, self.single = vocabulary.ranks, vocabulary.single
         # White space as Unicode has it, which is what the vocabulary's pattern means by \s and \S.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        # Pieces met lately, and those from before, from which the ones met again are taken over.
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.before: dict[str, tuple[str, int, bytes]] = {}
+        # The ids, joined by commas, and the bytes of pieces met lately; and of those from before, from which the ones met again are taken over.
+        self.known: dict[str, str] = {}
+        self.plain: dict[str, bytes] = {}
+        self.before: tuple[dict[str, str], dict[str, bytes]] = {}, {}
         self.held = 0
         # No folder for spilling: an executor's own disk takes no files.
         config = {"threads": 1, "memory_limit": f"{QUERY_MB}MB", "temp_directory": "", "preserve_insertion_order": False, "allocator_background_threads": False}
@@ -172,7 +174,7 @@ class PieceCoder:
 
     def __exit__(self, *_: object) -> None:
         """Lets go of all that a task holds: its worker goes on to other work."""
-        self.known, self.before = {}, {}
+        self.known, self.plain, self.before = {}, {}, ({}, {})
         self.db.close()
         give_back()
 
@@ -205,25 +207,30 @@ class PieceCoder:
         word = np.repeat(np.arange(len(data), dtype=np.int32), size)
         tok = self.single[np.frombuffer(b"".join(data), np.uint8)]
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-        start = pd.DataFrame({"word": word, "pos": pos.astype(np.int32), "tok": tok})
-        coded = self._fixpoint(start) if long else self.rows(ENCODE, start=start)
-        for k, ids, n, h in zip(coded["word"].tolist(), coded["ids"].tolist(), coded["n"].tolist(), coded["hex"].tolist(), strict=True):
-            self.known[pieces[k]] = (ids, n, bytes.fromhex(h))
-            self.held += PIECE_BYTES + len(ids) + len(h)
+        if long:
+            coded = self._fixpoint(pd.DataFrame({"word": word, "pos": pos.astype(np.int32), "tok": tok}))
+        else:
+            coded = self.rows(ENCODE, start=pd.DataFrame({"place": word * np.int64(LONG_BYTES) + pos, "tok": tok}))
+        names = [pieces[k] for k in coded["word"].tolist()]
+        self.known.update(zip(names, coded["ids"].tolist(), strict=True))
+        self.plain.update(zip(names, map(bytes.fromhex, coded["hex"].tolist()), strict=True))
+        self.held += PIECE_BYTES * len(names) + 3 * len(tok)
 
     def learn(self, pieces: set[str]) -> None:
         """Codes pieces not known yet, in queries of a bounded size."""
         new = [p for p in pieces if p not in self.known]
         if self.held > CACHE_BYTES:
-            self.before, self.known, self.held, new = self.known, {}, 0, list(pieces)
-        again = {p: c for p in new if (c := self.before.get(p)) is not None}
-        self.known.update(again)
-        self.held += sum(PIECE_BYTES + len(c[0]) + 2 * len(c[2]) for c in again.values())
-        # A piece that is an entry itself is encoded as that.
-        entries = {p: (str(i), 1, b) for p in new if p not in again and (i := self.ranks.get(b := p.encode())) is not None}
-        self.known.update(entries)
-        self.held += PIECE_BYTES * len(entries)
-        new = [p for p in new if p not in again and p not in entries]
+            self.before, self.known, self.plain, self.held, new = (self.known, self.plain), {}, {}, 0, list(pieces)
+        rest = []
+        for p in new:
+            if (ids := self.before[0].get(p)) is not None:
+                self.known[p], self.plain[p] = ids, self.before[1][p]
+            elif (i := self.ranks.get(b := p.encode())) is not None:  # a piece that is an entry itself is encoded as that
+                self.known[p], self.plain[p] = str(i), b
+            else:
+                rest.append(p)
+        self.held += PIECE_BYTES * (len(new) - len(rest))
+        new = rest
         long = [p for p in new if len(p) > LONG_BYTES // 4 and len(p.encode()) > LONG_BYTES]
         apart = set(long)
         for some in ([p for p in new if p not in apart] if long else new, long):
@@ -251,17 +258,16 @@ class PieceCoder:
                 part, size = [], 0
         yield part
 
-    def code(self, pieces: list[str]) -> list[tuple[str, int, bytes]]:
-        """ids (joined by commas), count and bytes of each piece."""
+    def code(self, pieces: list[str]) -> tuple[str, bytes]:
+        """The ids of all pieces, joined by commas, and their bytes."""
         try:
-            known = self.known
-            return [known[p] for p in pieces]
+            return ",".join(map(self.known.__getitem__, pieces)), b"".join(map(self.plain.__getitem__, pieces))
         except KeyError:
             self.learn(set(pieces))
-            return [self.known[p] for p in pieces]
+            return self.code(pieces)
 
-    def texts(self, texts: list[str]) -> Iterator[Iterator[list[tuple[str, int, bytes]]]]:
-        """For each text the codes of its pieces, span by span. The pieces of many texts are coded together."""
+    def texts(self, texts: list[str]) -> Iterator[Iterator[tuple[str, bytes]]]:
+        """For each text its ids and bytes, span by span. The pieces of many texts are coded together."""
         part, size = [], 0
         for t in texts:
             part.append(next(self.spans(t)) if len(t) <= SPAN_CHARS else t)
@@ -271,21 +277,20 @@ class PieceCoder:
                 part, size = [], 0
         yield from self._together(part)
 
-    def _together(self, part: list[list[str] | str]) -> Iterator[Iterator[list[tuple[str, int, bytes]]]]:
+    def _together(self, part: list[list[str] | str]) -> Iterator[Iterator[tuple[str, bytes]]]:
         self.learn(set().union(*(x for x in part if isinstance(x, list))))
         for x in part:
             yield map(self.code, [x] if isinstance(x, list) else self.spans(x))
 
 
-def digest(spans: Iterator[list[tuple[str, int, bytes]]]) -> tuple[int, str, str]:
-    """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes) of a text's codes."""
+def digest(spans: Iterator[tuple[str, bytes]]) -> tuple[int, str, str]:
+    """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes) of a text's spans."""
     ids, plain, n = hashlib.sha256(), hashlib.sha256(), 0
-    for codes in spans:
-        if codes:
-            some, counts, parts = zip(*codes, strict=True)
-            ids.update((("," if n else "") + ",".join(some)).encode())
-            plain.update(b"".join(parts))
-            n += sum(counts)
+    for some, data in spans:
+        if some:
+            ids.update((("," if n else "") + some).encode())
+            plain.update(data)
+            n += some.count(",") + 1
     return n, ids.hexdigest(), plain.hexdigest()
 
 
@@ -305,7 +310,7 @@ def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         with PieceCoder(path, pattern) as coder:
             for texts in batches:
-                rows = [[int(i) for codes in spans for c in codes for i in c[0].split(",")] for spans in coder.texts([x or "" for x in texts])]
+                rows = [[int(i) for ids, _ in spans if ids for i in ids.split(",")] for spans in coder.texts([x or "" for x in texts])]
                 yield pd.Series(rows)
 
     return run

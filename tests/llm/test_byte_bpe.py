@@ -54,7 +54,7 @@ def test_long_pieces_of_varied_letters(library, alphabet):
     with B.PieceCoder(PATH, public_tokenizers.PATTERN) as coder:
         coder.learn(pieces)
         for p in pieces:
-            assert coder.known[p][0] == ",".join(map(str, library.encode_ordinary(p)))
+            assert coder.known[p] == ",".join(map(str, library.encode_ordinary(p)))
 
 
 def test_long_pieces_of_joined_words(library):
@@ -64,7 +64,7 @@ def test_long_pieces_of_joined_words(library):
     with B.PieceCoder(PATH, public_tokenizers.PATTERN) as coder:
         coder.learn(pieces)
         for p in pieces:
-            assert coder.known[p][0] == ",".join(map(str, library.encode_ordinary(p)))
+            assert coder.known[p] == ",".join(map(str, library.encode_ordinary(p)))
 
 
 def test_one_very_long_piece(library):
