@@ -1,9 +1,10 @@
 """Connected components over edge tables, by alternating large-star and small-star rounds.
 
 Every round is two grouped minima and joins, so no node's neighbours ever meet in
-one task: minima are combined before the shuffle, and the joins' larger side, whose
-keys may be hot, is split by adaptive execution, since the other side has one row a
-key. Each round's edges are checkpointed in the shared folder.
+one task: minima are combined before the shuffle. Minima of up to BROADCAST_BYTES are
+broadcast to the edges, which stay where they are; beyond, the joins' larger side, whose
+keys may be hot, is split by adaptive execution, since the other side has one row a key.
+Each round's edges are checkpointed in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ from pyspark.sql import functions as F
 from assayframe.session import cut
 
 MAX_ROUNDS = 100
+#: Bytes of all edges' nodes, each counted with NODE_BYTES for a row's own, up to which a round's minima are broadcast.
+BROADCAST_BYTES = 16_000_000
+NODE_BYTES = 24
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     """Neighbours above a node go to the least of its neighbourhood."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.where("b > a").join(F.broadcast(least) if small else least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     """A node and its neighbours below go to the least of these. a > b throughout."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(F.broadcast(least) if small else least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -38,9 +42,11 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current, seen = cut(current), None
     for _ in range(max_rounds):
-        mark = current.agg(F.count("*").alias("n"), F.sum((F.xxhash64("a", "b") % (1 << 40))).alias("h")).first()
+        size = sum(F.octet_length(F.col(c).cast("string")) + NODE_BYTES for c in ("a", "b"))
+        mark = current.agg(F.count("*").alias("n"), F.sum((F.xxhash64("a", "b") % (1 << 40))).alias("h"), F.sum(size).alias("bytes")).first()
         if mark["n"] == 0 or (mark["n"], mark["h"]) == seen:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = (mark["n"], mark["h"])
-        current = cut(_small_star(_large_star(current).distinct()).distinct())
+        small = mark["bytes"] <= BROADCAST_BYTES
+        current = cut(_small_star(_large_star(current, small).distinct(), small).distinct())
     raise RuntimeError(f"components have not settled in {max_rounds} rounds")

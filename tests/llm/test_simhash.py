@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from assayframe.llm import components as C
 from assayframe.llm import simhash as S
 from assayframe.llm.components import components
 
@@ -99,7 +101,9 @@ def test_forest_is_small_even_where_all_pairs_link():
     assert len(left) == len(a) - 1 == len(right)
 
 
-def test_components_of_a_chain_a_star_loops_and_nulls(spark):
+@pytest.mark.parametrize("size", [16_000_000, 0])
+def test_components_of_a_chain_a_star_loops_and_nulls(spark, monkeypatch, size):
+    monkeypatch.setattr(C, "BROADCAST_BYTES", size)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, k) for k in range(1001, 1300)] + [(7, 7), (None, 3), (3, None), (1, 0)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{k: 1000 for k in range(1001, 1300)}}
