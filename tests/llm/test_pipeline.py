@@ -36,7 +36,9 @@ def test_stages_keep_the_columns_of_documents(spark, small, stages):
 def test_language_keeps_clean_documents(stages):
     before, after = ({r["doc_id"]: r["text"] for r in rows} for rows in stages[:2])
     assert all(after[i] == before[i] for i in after)
-    assert all(len(before[i]) < 120 for i in before.keys() - after.keys())
+    # What goes says too little to tell: some words, or one word over and over.
+    assert all(len(set(before[i].split())) < 20 for i in before.keys() - after.keys())
+    assert len(after) >= 0.97 * len(before)
 
 
 def test_near_duplicates(stages):
