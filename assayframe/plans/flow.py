@@ -134,3 +134,47 @@ def scored_dimensions(spark: SparkSession, d: str) -> DataFrame:
     scores = F.array(entry("d1", i % 3), entry(" d1 ", F.when(i % 2 == 0, "1").otherwise("two")), entry(" ", F.lit(2)), entry("d2", F.lit(None)))
     rows = table(spark, d, "events").select(F.lit("a").alias("arm"), i.alias("case_id"), F.col("user_id").alias("family_id"), F.lit("j").alias("judge_model"), F.lit(0).alias("judge_pass"), F.lit("original").alias("standard"), i.alias("ingest_seq"), scores.alias("scores"))
     return I.dimension_scores(rows).select(F.col("case_id").alias("event_id"), "dimension", "score")
+
+
+@query("""WITH t AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' </Answer-Fence>' WHEN 1 THEN ' answer-fence-x ANSWER-FENCE' ELSE '' END AS text FROM benchmark), n AS (SELECT *, substr(sha256('judge:' || text), 1, 10) AS nonce FROM t)
+SELECT item_id, '<answer-fence-' || nonce || '>' || chr(10) || regexp_replace(text, '(?i)answer-fence', 'answer fence', 'g') || chr(10) || '</answer-fence-' || nonce || '>' AS sealed FROM n""")
+def sealed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers between marks that they can't forge."""
+    from assayframe.functions import hashing as H
+
+    i = F.col("item_id")
+    said = F.concat(F.col("text"), F.when(i % 3 == 0, " </Answer-Fence>").when(i % 3 == 1, " answer-fence-x ANSWER-FENCE").otherwise(""))
+    return table(spark, d, "benchmark").select("item_id", H.sealed(said, "judge").alias("sealed"))
+
+
+@query("SELECT 'broken ' || event_id || ' {' AS line FROM events WHERE event_id % 10 = 3")
+def unparsed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a file of records that are no JSON objects."""
+    path, i = scratch(spark, "lines"), F.col("event_id")
+    good = F.to_json(F.struct(F.lit("a").alias("arm"), i.cast("string").alias("case_id"), F.lit(1).alias("odd")))
+    table(spark, d, "events").select(F.when(i % 10 == 3, F.concat(F.lit("broken "), i.cast("string"), F.lit(" {"))).otherwise(good).alias("value")).write.text(path)
+    return I.unparsed(spark, path, I.RESULTS).select(F.col(I.CORRUPT).alias("line"))
+
+
+@query("SELECT DISTINCT event_type AS kind FROM events UNION SELECT 'no_refusals'")
+def unknown_check_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds in a suite's checks that no check is registered for."""
+    from assayframe.functions import checks as K
+
+    kinds = table(spark, d, "events").select(F.col("event_type").alias("kind")).distinct()
+    asked = kinds.union(kinds.limit(1).select(F.explode(F.array(*map(F.lit, (*K.ANSWER_CHECKS, "no_refusals"))))))
+    return K.unknown_kinds(asked)
+
+
+_NAMES_SQL = "a AS (SELECT event_type AS arm, min(event_id) AS first FROM events GROUP BY 1 UNION ALL SELECT 'Before', 1000000)"
+
+
+@query(f"""WITH {_NAMES_SQL} SELECT r.requested, (SELECT arm FROM a ORDER BY arm IS DISTINCT FROM r.requested, CASE lower(arm) WHEN 'base' THEN 0 WHEN 'baseline' THEN 1 WHEN 'before' THEN 2 ELSE 3 END, first LIMIT 1) AS baseline,
+ (SELECT CASE WHEN count(*) FILTER (arm = r.requested) > 0 THEN r.requested WHEN count(*) FILTER (contains(lower(arm), lower(r.requested))) = 1 THEN min(arm) FILTER (contains(lower(arm), lower(r.requested))) END FROM a) AS resolved FROM (SELECT unnest(['view', 'cli', 'zzz', 'BEF']) AS requested) r""")
+def arm_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Which arm a name picks as the baseline, and which it means; a decision over the few names of a run."""
+    from assayframe.operators import arms as M
+
+    found = table(spark, d, "events").groupBy(F.col("event_type").alias("arm")).agg(F.min("event_id").alias("first")).orderBy("first")
+    names = [r["arm"] for r in found.collect()] + ["Before"]
+    return spark.createDataFrame([(n, M.pick_baseline(names, n), M.resolve(n, names)[0]) for n in ("view", "cli", "zzz", "BEF")], "requested string, baseline string, resolved string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayframe.operators import graph as G
 from assayframe.operators import validate as R
 from assayframe.plans.registry import query
+from assayframe.sources import suites as U
 from assayframe.sources.adapters import table
 
 CASES_SQL = """SELECT conv_id * 1000 + turn AS case_id, conv_id AS group_id, CASE WHEN turn = 0 AND conv_id % 7 <> 0 THEN 'original' WHEN turn % 3 = 0 THEN 'paraphrase' WHEN turn % 3 = 1 THEN 'pressure' ELSE 'correction' END AS variant,
@@ -122,3 +123,64 @@ def dimension_coverage(spark: SparkSession, d: str) -> DataFrame:
     reach = F.col("dimension") <= 9
     status = F.when(~reach, "unreachable").when(F.col("selected") == 0, "not selected").when(F.col("scored") == 0, "never scored").when(F.col("scored") < F.col("selected"), "partly scored").otherwise("scored")
     return full.select("dimension", reach.alias("reachable"), status.alias("status"), "selected", "scored")
+
+
+_GIVEN = ("title", "situation", "domain", "provenance", "held_out_rationale")
+_FAMILIES_SQL = """SELECT 'f' || (s_suppkey - s_suppkey % 40 // 39) AS family_id, CASE s_suppkey % 6 WHEN 0 THEN 'standard' WHEN 1 THEN 'negative_control' WHEN 2 THEN 'far_transfer' WHEN 3 THEN 'odd' WHEN 4 THEN 'multi_episode' END AS kind, s_name AS title,
+  CASE WHEN s_suppkey % 9 > 0 THEN 'scene' ELSE ' ' END AS situation, CASE WHEN s_suppkey % 8 > 0 THEN 'home' END AS domain, 'authored' AS provenance, CASE WHEN s_suppkey % 10 > 0 THEN 'why' ELSE '' END AS held_out_rationale, CASE WHEN s_suppkey % 4 > 0 THEN ['p1'] ELSE []::VARCHAR[] END AS principles_in_play FROM supplier"""
+_FAMILY_RULES = {
+    "known_kind": "kind IN ('standard', 'principle_conflict', 'negative_control', 'far_transfer', 'multi_episode')", **{f"{c}_given": f"trim({c}) <> ''" for c in _GIVEN},
+    "control_without_principles": "kind <> 'negative_control' OR len(principles_in_play) = 0",
+}
+
+
+def _broken_sql(source: str, key: str, rules: dict[str, str], detail: str = "''") -> str:
+    return " UNION ALL ".join(f"SELECT {key} AS entity_id, '{r}' AS rule, {detail} AS detail FROM {source} WHERE NOT coalesce({c}, false)" for r, c in rules.items())
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("s_suppkey")
+    kind = F.when(i % 6 == 0, "standard").when(i % 6 == 1, "negative_control").when(i % 6 == 2, "far_transfer").when(i % 6 == 3, "odd").when(i % 6 == 4, "multi_episode")
+    return table(spark, d, "supplier").select(
+        F.concat(F.lit("f"), (i - F.floor(i % 40 / 39)).cast("string")).alias("family_id"), kind.alias("kind"), F.col("s_name").alias("title"), F.when(i % 9 > 0, "scene").otherwise(" ").alias("situation"), F.when(i % 8 > 0, "home").alias("domain"),
+        F.lit("authored").alias("provenance"), F.when(i % 10 > 0, "why").otherwise("").alias("held_out_rationale"), F.when(i % 4 > 0, F.array(F.lit("p1"))).otherwise(F.array().cast("array<string>")).alias("principles_in_play"),
+    )
+
+
+@query(f"WITH f AS ({_FAMILIES_SQL}) {_broken_sql('f', 'family_id', _FAMILY_RULES)} UNION ALL SELECT family_id, 'unique_id', count(*)::VARCHAR FROM f GROUP BY family_id HAVING count(*) > 1")
+def family_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Families that a suite can't be saved with."""
+    return U.family_violations(_families(spark, d))
+
+
+_VARIED = ("original", "paraphrase", "pressure", "correction", "odd")
+_SUITE_SQL = """SELECT 'c' || p_partkey AS case_id, 'f' || p_partkey % 37 AS family_id, CASE p_size % 5 WHEN 0 THEN 'notice' WHEN 1 THEN 'guess' ELSE 'decide' END AS task, ['original', 'paraphrase', 'pressure', 'correction', 'odd'][(p_partkey % 5) + 1] AS variant,
+  CASE p_partkey % 7 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['a', ' '] WHEN 2 THEN NULL ELSE ['a turn'] END AS turns, CASE WHEN p_partkey % 5 > 0 OR p_partkey % 11 = 0 THEN CASE p_partkey % 4 WHEN 0 THEN 1 ELSE 0 END END AS expected, CASE WHEN p_partkey % 6 = 0 THEN 'c' || (p_partkey + 1) WHEN p_partkey % 6 = 1 THEN 'none' END AS context_answer_from,
+  ['d1', 'd2', 'd3', 'd4', 'd5', 'd6'][:(p_size % 6) + 1] AS dims FROM part"""
+_SUITE_RULES = {
+    "known_task": "task IN ('notice', 'duties_conflicts', 'boundaries', 'information_seeking', 'critique', 'decide', 'predict', 'diagnose')", "known_variant": "variant IN ('original', 'paraphrase', 'irrelevant_change', 'relevant_change', 'pressure', 'correction')",
+    "turns_filled": "turns IS NULL OR len(list_filter(turns, lambda t: trim(t) = '')) = 0", "expectation_if_variant": "(expected IS NOT NULL) = (variant <> 'original')", "expectation_fits": "expected IS NULL OR (expected = 1) = (variant IN ('relevant_change', 'correction'))",
+    "continuation_supported": "variant NOT IN ('pressure', 'correction') OR coalesce(len(turns), 0) > 0 OR context_answer_from IS NOT NULL", "three_to_five_dimensions": "len(dims) BETWEEN 3 AND 5", "all_anchored": "len(list_filter(dims, lambda x: x = 'd4')) = 0",
+}
+
+
+@query(
+    f"WITH c AS ({_SUITE_SQL}), f AS ({_FAMILIES_SQL}) {_broken_sql('c', 'case_id', _SUITE_RULES)} UNION ALL SELECT case_id, 'family_exists', family_id FROM c WHERE family_id NOT IN (SELECT family_id FROM f) "
+    "UNION ALL SELECT case_id, 'context_exists', context_answer_from FROM c WHERE context_answer_from IS NOT NULL AND context_answer_from NOT IN (SELECT case_id FROM c) "
+    "UNION ALL SELECT case_id, 'has_original', variant FROM c ANTI JOIN (SELECT DISTINCT family_id, task FROM c WHERE variant = 'original') o USING (family_id, task) WHERE variant <> 'original'"
+)
+def case_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Cases that a suite can't be saved with."""
+    i, size, none = F.col("p_partkey"), F.col("p_size"), F.array().cast("array<string>")
+    turns = F.when(i % 7 == 0, none).when(i % 7 == 1, F.array(F.lit("a"), F.lit(" "))).when(i % 7 != 2, F.array(F.lit("a turn")))
+    expected = F.when((i % 5 > 0) | (i % 11 == 0), F.struct(F.lit("w").alias("what_changed"), (i % 4 == 0).alias("should_change"), F.lit("").alias("expected_direction"), F.lit("j").alias("justification")))
+    dims = F.slice(F.array(*(F.lit(f"d{k}") for k in range(1, 7))), 1, (size % 6 + 1).cast("int"))
+    anchors = F.transform(dims, lambda x: F.struct(x.alias("dimension"), F.lit("0").alias("score_0"), F.when(x == "d4", " ").otherwise("1").alias("score_1"), F.lit("2").alias("score_2")))
+    some = F.array(F.lit("x"))
+    cases = table(spark, d, "part").select(
+        F.concat(F.lit("c"), i.cast("string")).alias("case_id"), F.concat(F.lit("f"), (i % 37).cast("string")).alias("family_id"), F.when(size % 5 == 0, "notice").when(size % 5 == 1, "guess").otherwise("decide").alias("task"),
+        F.get(F.array(*map(F.lit, _VARIED)), (i % 5).cast("int")).alias("variant"), turns.alias("turns"),
+        F.struct(dims.alias("dimensions"), some.alias("must_notice"), none.alias("must_not_infer"), some.alias("acceptable_outputs"), none.alias("unacceptable_reasoning"), anchors.alias("anchors"), none.alias("unscorable_if")).alias("rubric"),
+        expected.alias("change_expectation"), F.when(i % 6 == 0, F.concat(F.lit("c"), (i + 1).cast("string"))).when(i % 6 == 1, "none").alias("context_answer_from"),
+    )
+    return U.case_violations(cases, _families(spark, d))

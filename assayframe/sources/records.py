@@ -28,9 +28,9 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def unparsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The lines that the schema can't read."""
-    # What Spark keeps of a corrupt line is only there together with a field of the record.
-    return spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path).where(F.col(CORRUPT).isNotNull()).select(CORRUPT, "case_id" if "case_id" in schema else "arm").select(CORRUPT)
+    """The lines that the schema can't read, blank ones left out."""
+    read = F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    return spark.read.text(path).where(F.trim("value") != "").select(read.alias("r")).where(F.col("r")[CORRUPT].isNotNull()).select(F.col("r")[CORRUPT].alias(CORRUPT))
 
 
 def write_records(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> int:
