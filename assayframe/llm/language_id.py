@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.expressions import small_batches
+from assayframe.llm.expressions import give_back, small_batches
 
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 65_536
@@ -133,6 +133,7 @@ def classifier(model: dict[str, bytes]):
         compressors = _compressors(packed)
         for texts in batches:
             yield pd.DataFrame([classify(t, compressors) for t in texts], columns=["lang_pred", "score", "bytes"])
+        give_back()
 
     return guess
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayframe.llm.components import components
-from assayframe.llm.expressions import small_batches
+from assayframe.llm.expressions import give_back, small_batches
 from assayframe.session import cut
 
 SHINGLE_WORDS = 3
@@ -58,9 +58,11 @@ SIMILARITY = 0.8
 LEAST = 8
 #: Cells of so few texts are compared many at once, all their links being kept.
 FEW = 4
-#: Shingle hashes of a tile in the exact comparison, and columns of its incidence matrix at once.
+#: Shingle hashes of a tile in the exact comparison, and cells of its incidence matrices at once (4 bytes each).
 TILE_SHINGLES = 100_000
-COLUMNS = 8_192
+CELLS = 2_000_000
+#: Rows of a tile that are compared with the other tile at once.
+STRIP = 256
 #: Up to so many texts in groups of candidates their keys are broadcast, else joined by a shuffle.
 BROADCAST_MEMBERS = 300_000
 
@@ -217,6 +219,7 @@ def _wide(words: int):
                 "n": np.array([n for n, _, _ in rows], dtype=np.int32), "f1": np.array([f[0] for _, f, _ in rows], dtype=np.int64),
                 "f2": np.array([f[1] for _, f, _ in rows], dtype=np.int64), "low": [low for _, _, low in rows],
             })
+        give_back()
 
     return run
 
@@ -232,6 +235,7 @@ def _hashes(words: int):
                 part = pdf.iloc[at : at + 200]
                 h = [np.sort(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingle_set(t, words)), dtype=np.uint64)).view(np.int64) for t in part["text"]]
                 yield pd.DataFrame({"key": part["key"], "cell": part["cell"], "h": h})
+        give_back()
 
     return run
 
@@ -281,6 +285,10 @@ def _apart(left: Sequence[np.ndarray], right: Sequence[np.ndarray], similarity:
     return (bits <= np.maximum(radius_of(left[2])[..., :, None], radius_of(right[2])[..., None, :])) & (n >= similarity * m - 1e-6) & (m >= similarity * n - 1e-6)
 
 
+def _apart_in_strips(left: Sequence[np.ndarray], right: Sequence[np.ndarray], similarity: float) -> np.ndarray:
+    return np.concatenate([_apart([x[i : i + STRIP] for x in left], right, similarity) for i in range(0, len(left[0]), STRIP)])
+
+
 def _compare_wide(similarity: float):
     """Candidates among the texts of two tiles, as the links of a forest over their first 64 bits."""
 
@@ -306,9 +314,10 @@ def _compare_wide(similarity: float):
                 radius = max(radius_of(left[2]).max(), radius_of(right[2]).max())
                 if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
                     continue
-                found = _linked(left[0].view(np.int64), right[0].view(np.int64), _apart(left, right, similarity), bool(r.same))
+                found = _linked(left[0].view(np.int64), right[0].view(np.int64), _apart_in_strips(left, right, similarity), bool(r.same))
                 if len(found):
                     yield found
+        give_back()
 
     return run
 
@@ -322,17 +331,28 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     at = [np.searchsorted(both, s) for s in sides]
     kept = [(k < len(both)) & (both[np.minimum(k, max(0, len(both) - 1))] == s) if len(both) else np.zeros(len(s), bool) for k, s in zip(at, sides, strict=True)]
     at, rows = [k[m] for k, m in zip(at, kept, strict=True)], [r[m] for r, m in zip(rows, kept, strict=True)]
-    for c in range(0, len(both), COLUMNS):
+    columns = max(1, CELLS // max(1, len(left), len(right)))
+    for c in range(0, len(both), columns):
         parts = []
         for k, r, t in zip(at, rows, (left, right), strict=True):
-            here = (k >= c) & (k < c + COLUMNS)
-            m = np.zeros((len(t), min(COLUMNS, len(both) - c)), dtype=np.float32)
+            here = (k >= c) & (k < c + columns)
+            m = np.zeros((len(t), min(columns, len(both) - c)), dtype=np.float32)
             m[r[here], k[here] - c] = 1
             parts.append(m)
         out += parts[0] @ parts[1].T
     return out
 
 
+def alike(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of left and right, sets of hashes, are as similar as asked for."""
+    sizes = [np.array([len(h) for h in t], dtype=np.float64) for t in (left, right)]
+    out = []
+    for i in range(0, len(left), STRIP):
+        shared = shared_counts(left[i : i + STRIP], right)
+        out.append(shared >= similarity * (sizes[0][i : i + STRIP, None] + sizes[1][None, :] - shared) - 1e-4)
+    return np.concatenate(out)
+
+
 def _verify(similarity: float):
     """Links between texts of two tiles that are as similar as asked for, as those of a forest."""
 
@@ -340,11 +360,10 @@ def _verify(similarity: float):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 left, right = ([np.asarray(h, dtype=np.int64) for h in t] for t in (r.l_h, r.r_h))
-                shared = shared_counts(left, right)
-                union = np.array([len(h) for h in left])[:, None] + np.array([len(h) for h in right])[None, :] - shared
-                found = _linked(np.asarray(r.l_key, dtype=object), np.asarray(r.r_key, dtype=object), shared >= similarity * union - 1e-4, bool(r.same))
+                found = _linked(np.asarray(r.l_key, dtype=object), np.asarray(r.r_key, dtype=object), alike(left, right, similarity), bool(r.same))
                 if len(found):
                     yield found
+        give_back()
 
     return run
 

@@ -165,8 +165,11 @@ def test_one_of_each_group_stays(spark, monkeypatch):
 def test_shared_counts(monkeypatch):
     rng = np.random.default_rng(3)
     a, b = ([np.unique(rng.integers(0, 300, size=rng.integers(0, 80))) for _ in range(n)] for n in (7, 5))
-    monkeypatch.setattr(S, "COLUMNS", 16)
+    monkeypatch.setattr(S, "CELLS", 100)
     assert np.array_equal(S.shared_counts(a, b), [[len(np.intersect1d(x, y)) for y in b] for x in a])
+    monkeypatch.setattr(S, "STRIP", 3)
+    for similarity in (0.05, 0.2):
+        assert np.array_equal(S.alike(a, b, similarity), [[len(np.intersect1d(x, y)) >= similarity * len(np.union1d(x, y)) - 1e-4 for y in b] for x in a])
 
 
 def test_large_group_of_near_copies(spark):
