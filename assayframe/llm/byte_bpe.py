@@ -34,9 +34,9 @@ from assayframe.llm.expressions import give_back, small_batches
 
 #: Bytes of pieces that a task remembers, about, once over for those met lately; what a piece takes beside its ids and bytes;
 #: characters of pieces that go into one query, and what a query may take.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 44_000_000
 PIECE_BYTES = 320
-QUERY_CHARS = 640_000
+QUERY_CHARS = 400_000
 QUERY_MB = 300
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000

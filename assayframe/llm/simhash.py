@@ -396,7 +396,9 @@ def near_copies(df: DataFrame, text: str = "text", words: int = COPY_WORDS, simi
     members = cut(grouped.join(F.broadcast(several) if several.count() <= BROADCAST_MEMBERS else several, "cell"))
     texts = keyed.join(F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members, "key").groupBy("key", "cell").agg(F.first("text").alias("text"))
     hashed = cut(texts.mapInPandas(_hashes(words), "key string, cell long, h array<long>"))
-    totals = hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"), F.count("*").alias("texts"))
+    totals = cut(hashed.groupBy("cell").agg(F.sum(F.size("h")).alias("total"), F.count("*").alias("texts")))
+    # Joined without a shuffle where groups are few, the texts of a large group are dealt into tiles from where they are.
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_MEMBERS else totals
     parts = F.ceil(F.greatest(F.col("total") / TILE_SHINGLES, F.col("texts") / TILE)).cast("int")
     exact = _tiles(hashed.join(totals, "cell"), ["cell"], parts, ["key", "h"])
     found = components(_tile_pairs(exact, ["cell"], (0,)).mapInPandas(_verify(similarity), "a string, b string"))
