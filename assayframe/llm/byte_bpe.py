@@ -34,9 +34,9 @@ from assayframe.llm.expressions import give_back, small_batches
 
 #: Bytes of pieces that a task remembers, about, once over for those met lately; what a piece takes beside its ids and bytes;
 #: characters of pieces that go into one query, and what a query may take.
-CACHE_BYTES = 44_000_000
+CACHE_BYTES = 64_000_000
 PIECE_BYTES = 320
-QUERY_CHARS = 400_000
+QUERY_CHARS = 640_000
 QUERY_MB = 300
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000
@@ -147,7 +147,7 @@ def read_vocabulary(path: str) -> Vocabulary:
 class PieceCoder:
     """Encodes and decodes pieces in a DuckDB database of its own, which a task opens and closes."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, cache_bytes: int | None = None, query_chars: int | None = None) -> None:
         import duckdb
         import regex
 
@@ -159,7 +159,7 @@ class PieceCoder:
         self.known: dict[str, str] = {}
         self.plain: dict[str, bytes] = {}
         self.before: tuple[dict[str, str], dict[str, bytes]] = {}, {}
-        self.held = 0
+        self.held, self.cache_bytes, self.query_chars = 0, cache_bytes or CACHE_BYTES, query_chars or QUERY_CHARS
         # No folder for spilling: an executor's own disk takes no files.
         config = {"threads": 1, "memory_limit": f"{QUERY_MB}MB", "temp_directory": "", "preserve_insertion_order": False, "allocator_background_threads": False}
         self.db = duckdb.connect(":memory:", config=config)
@@ -219,7 +219,7 @@ class PieceCoder:
     def learn(self, pieces: set[str]) -> None:
         """Codes pieces not known yet, in queries of a bounded size."""
         new = [p for p in pieces if p not in self.known]
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self.before, self.known, self.plain, self.held, new = (self.known, self.plain), {}, {}, 0, list(pieces)
         rest = []
         for p in new:
@@ -238,7 +238,7 @@ class PieceCoder:
             for p in some:
                 part.append(p)
                 size += 8 + len(p)
-                if size >= QUERY_CHARS:
+                if size >= self.query_chars:
                     self._code(part, some is long)
                     part, size = [], 0
             if part:
@@ -294,10 +294,10 @@ def digest(spans: Iterator[tuple[str, bytes]]) -> tuple[int, str, str]:
     return n, ids.hexdigest(), plain.hexdigest()
 
 
-def _digests(path: str, pattern: str):
+def _digests(path: str, pattern: str, cache_bytes: int | None, query_chars: int | None):
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        with PieceCoder(path, pattern) as coder:
+        with PieceCoder(path, pattern, cache_bytes, query_chars) as coder:
             for texts in batches:
                 rows = [digest(spans) for spans in coder.texts([x or "" for x in texts])]
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -339,7 +339,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     return df.withColumn(out, _decoder(ranks_path, pattern)(F.col(ids)))
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256."""
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_bytes: int | None = None, query_chars: int | None = None) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256. cache_bytes, query_chars: what a task may hold, by default CACHE_BYTES and QUERY_CHARS."""
     names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "_coded")]
-    return small_batches(df).withColumn("_coded", _digests(ranks_path, pattern)(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_coded.*")
+    return small_batches(df).withColumn("_coded", _digests(ranks_path, pattern, cache_bytes, query_chars)(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_coded.*")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from assayframe.llm import byte_bpe, decontamination, language_id, sanitisation, simhash
 from assayframe.llm.queries import RANKS, table
 
+#: What a task of the last stage may hold: less than alone, since executors have grown by the stages before.
+CODER_CACHE, CODER_QUERY = 44_000_000, 400_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough margin; the labels themselves stay as they are."""
@@ -33,4 +36,4 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids' digests of every document, and those of what they decode to."""
-    return byte_bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
+    return byte_bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, cache_bytes=CODER_CACHE, query_chars=CODER_QUERY).drop("text")
