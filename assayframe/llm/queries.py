@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import byte_bpe, decontamination, impact_search, language_id, sanitisation, simhash, token_counts, url_filters, virtual_slots, warc
+from assayframe.llm import (
+    byte_bpe, conversation_repair, decontamination, hard_negatives, impact_search, language_id, maxent, sanitisation, simhash, sql, token_counts, url_filters, virtual_slots, warc,
+)
 from assayframe.session import cut, scratch
 
 #: The URL rules as (host, path, action).
@@ -90,9 +92,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(WORD_BPE)).drop("text")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = maxent.is_training(F.col("doc_id"))
+    scored = maxent.score(docs, maxent.learn(docs.where(training)))
+    return scored.select("doc_id", (~training).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one, so that some rows stand among others' nearest."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 50 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_decontamination, op3_pii, op4_sharding, op5_byte_bpe, op6_exact_top_k, op7_language_id, op8_simhash, op9_warc, op10_token_counts)
+    for f in (op1_url_filters, op2_decontamination, op3_pii, op4_sharding, op5_byte_bpe, op6_exact_top_k, op7_language_id, op8_simhash, op9_warc, op10_token_counts, op11_lm_scoring, op12_hard_negatives, op13_conversation_repair)
 }
 
 
@@ -171,6 +190,8 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind
 """
 
 ORACLE_SQL = {
+    "op12_hard_negatives": sql.HARD_NEGATIVES,
+    "op13_conversation_repair": sql.CONVERSATION_REPAIR,
     "op3_pii": _PII_SQL,
     "op1_url_filters": f"""
 WITH RECURSIVE tags AS (SELECT url, {_attribute_sql("regexp_extract(html, '(?i)<base\\b[^>]*>')", "href")} AS base, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
