@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions import text as X
+from assayframe.functions.code import defines_function
 
 
 class Answer:
@@ -307,13 +308,39 @@ def numeric_answer(answer: Answer, params: Mapping[str, Any]) -> Column:
 _JSON_TYPES = {"string": "STRING", "number": "BIGINT|DOUBLE|DECIMAL|INT|FLOAT|TINYINT|SMALLINT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
 
 
+_JSON_PART = r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\z)|[{}]|[^"{}]++'
+
+
+def balanced(text: Column) -> Column:
+    """The first balanced object of a text, from its first brace to the one that closes it, or null. Braces within strings don't count, nor do quotes that are escaped."""
+    start = F.instr(text, "{")
+    rest = F.substr(text, start, F.length(text))
+
+    def further(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        moved = F.struct(depth.alias("depth"), (acc["size"] + F.length(part)).alias("size"), ((part == "}") & (depth == 0)).alias("closed"))
+        return F.when(acc["closed"], acc).otherwise(moved)
+
+    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed"))
+    read = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PART), F.lit(0)), first, further)
+    return F.when(start > 0, F.when(read["closed"], F.substr(rest, F.lit(1), read["size"])))
+
+
+def strict_json(text: Column) -> Column:
+    """The one JSON value that a whole text is, as a variant, or null. Parsers stop behind a first value, so it is read as the only field of an object that must end where the text does."""
+    whole = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    parsed = F.when(balanced(whole) == whole, F.try_parse_json(whole))
+    alone = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>")) == F.array(F.lit("v"))
+    return F.when(alone, F.try_variant_get(parsed, "$.v", "variant"))
+
+
 @verifier("json_object")
 def json_object(answer: Answer, params: Mapping[str, Any]) -> Column:
-    """A JSON object with the keys, types, values and word limits asked for."""
+    """The whole answer, or else its first balanced object if text around it is allowed, is a JSON object with the keys, types, values and word limits asked for."""
     body = unfenced(answer)
-    whole = F.try_parse_json(body)
+    whole = strict_json(body)
     if params.get("allow_surrounding_text"):
-        whole = F.coalesce(whole, F.try_parse_json(F.regexp_extract(body, r"(?s)\{.*\}", 0)))
+        whole = F.coalesce(whole, strict_json(balanced(body)))
     names = F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>"))
     required = list(params.get("required_keys") or [])
     out = F.schema_of_variant(whole).startswith("OBJECT")
@@ -332,10 +359,9 @@ def json_object(answer: Answer, params: Mapping[str, Any]) -> Column:
 
 @verifier("python_function")
 def python_function(answer: Answer, params: Mapping[str, Any]) -> Column:
-    """A static check only: the answer's code defines the entry point and returns or yields. Answers' code is never run."""
-    code = F.coalesce(F.nullif(F.regexp_extract(answer.text, r"(?s)```(?:python|py)?\s*\n(.*?)```", 1), F.lit("")), answer.text)
-    name = re.escape(str(params["entry_point"]))
-    return code.rlike(rf"(?m)^(?:async )?def {name}\s*\(") & code.rlike(r"(?m)^\s+(?:return|yield)\b")
+    """A static check only: the answer's code parses, and defines the entry point with room for the cases' arguments and a value to return. Answers' code is never run."""
+    counts = sorted({len(c["args"] if isinstance(c, Mapping) else c[0]) for c in params.get("cases") or []})
+    return defines_function(answer.text, str(params["entry_point"]), counts)
 
 
 @verifier("all_of")

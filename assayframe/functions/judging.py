@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import collapse_ends, normalise
+from assayframe.functions.text import collapse_ends, normalise_all
+from assayframe.functions.text import normalise_unicode as normalise
 
 MIN_QUOTE_CHARS, MIN_QUOTE_WORDS = 12, 3
 MIN_FRAGMENT_CHARS, MIN_FRAGMENT_WORDS = 8, 2
@@ -53,25 +54,41 @@ def unscorable_verdict(raw: Column) -> Column:
     )
 
 
-def rubric_item(returned: Column, allowed: Column) -> Column:
-    """The item of `allowed` (an array) that a returned entry means: equal, by its number from 1, or the only one that holds or is held; else null."""
-    key = normalise(returned)
-    equal = F.try_element_at(F.filter(allowed, lambda a: normalise(a) == key), F.lit(-1))
+def _meant(key: Column, allowed: Column, normal: Column) -> Column:
+    """The item that a normalised entry means; normal: the items' normal forms."""
+    equal = F.try_element_at(F.filter(allowed, lambda _, i: F.get(normal, i) == key), F.lit(-1))
     by_number = F.get(allowed, key.try_cast("int") - 1)
-    held = F.filter(allowed, lambda a: (normalise(a) != "") & (F.contains(key, normalise(a)) | F.contains(normalise(a), key)))
+    held = F.filter(allowed, lambda _, i: (F.get(normal, i) != "") & (F.contains(key, F.get(normal, i)) | F.contains(F.get(normal, i), key)))
     return F.when(key != "", F.coalesce(equal, F.when(key.rlike("^[0-9]+$"), by_number), F.when(F.size(held) == 1, held[0])))
 
 
+def _over(body, **values: Column) -> Column:
+    """body of named values, each worked out once and outside any lambda, where Python has no place."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body)[0]
+
+
+def rubric_item(returned: Column, allowed: Column) -> Column:
+    """The item of `allowed` (an array) that a returned entry means: equal, by its number from 1, or the only one that holds or is held; else null."""
+    return _over(lambda s: _meant(s["key"], s["allowed"], s["normal"]), key=normalise(returned), allowed=allowed, normal=normalise_all(allowed))
+
+
 def rubric_flags(returned: Column, allowed: Column) -> Column:
     """struct(items, dropped): the items that the entries of an array mean, in order and once each, and the entries that mean none."""
-    pairs = F.transform(F.filter(returned, lambda r: normalise(r) != ""), lambda r: F.struct(rubric_item(r, allowed).alias("item"), r.alias("entry")))
-    items = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["item"].isNotNull()), lambda p: p["item"]))
-    return F.struct(items.alias("items"), F.transform(F.filter(pairs, lambda p: p["item"].isNull()), lambda p: p["entry"]).alias("dropped"))
+
+    def read(s: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(s["returned"].alias("entry"), s["keys"].alias("key")), lambda p: p["key"] != "")
+        told = F.transform(pairs, lambda p: F.struct(_meant(p["key"], s["allowed"], s["normal"]).alias("item"), p["entry"].alias("entry")))
+        items = F.array_distinct(F.transform(F.filter(told, lambda p: p["item"].isNotNull()), lambda p: p["item"]))
+        return F.struct(items.alias("items"), F.transform(F.filter(told, lambda p: p["item"].isNull()), lambda p: p["entry"]).alias("dropped"))
+
+    return _over(read, returned=returned, keys=normalise_all(returned), allowed=allowed, normal=normalise_all(allowed))
 
 
 def score_of(raw: Column) -> Column:
-    """0, 1 or 2 from a raw score as text, else null; fractions are cut."""
-    value = F.trim(raw.cast("string")).try_cast("double").cast("int")
+    """0, 1 or 2 from a raw score as text, else null; fractions are cut. What is no number, or none that a score could be, is null."""
+    text = F.trim(raw.cast("string"))
+    # A suffix for the number's type is no part of a number.
+    value = F.when(~text.rlike("[dDfF]$"), text).try_cast("double").try_cast("int")
     return F.when(value.isin(0, 1, 2), value)
 
 

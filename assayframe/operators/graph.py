@@ -59,15 +59,36 @@ def closure(wanted: DataFrame, cases: DataFrame) -> DataFrame:
 def replayed(cases: DataFrame, text: str = "text") -> DataFrame:
     """case_id and texts: the texts of all that a case continues, the first first, and then its own. Cases on or behind a cycle have their own alone.
 
-    One round a level: each joins the ancestors reached last with their parents.
+    Pointer doubling with arrays: each round puts what the ancestor reached has gathered before what a case has, so a chain of n takes log2(n) rounds.
     """
-    known = cut(cases.select("case_id", "parent_id", F.col(text).alias("text")))
-    parents = known.select(F.col("case_id").alias("up"), F.col("parent_id").alias("next"), F.col("text").alias("before"))
-    found = known.select("case_id", F.lit(0).alias("back"), "text")
+    known = cut(cases.select("case_id", "parent_id", F.array(text).alias("texts")))
     sure = levels(known).where("level > 0").select("case_id")
-    step, back = cut(known.join(sure, "case_id").select("case_id", F.col("parent_id").alias("up"))), 1
-    while not step.isEmpty():
-        reached = cut(step.join(parents, "up").select("case_id", F.lit(-back).alias("back"), F.col("before").alias("text"), F.col("next").alias("up")))
-        found = found.unionByName(reached.drop("up"))
-        step, back = reached.where("up is not null").select("case_id", "up"), back + 1
-    return found.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("back", "text"))), lambda s: s["text"]).alias("texts"))
+    sound = levels(known).where("level >= 0").select("case_id")
+    roots = known.join(sure, "case_id", "left_anti").select("case_id", "texts", F.lit(None).cast(known.schema["parent_id"].dataType).alias("up"))
+    state = cut(known.join(sure, "case_id").select("case_id", "texts", F.col("parent_id").alias("up")).union(roots))
+    while not state.where("up is not null").isEmpty():
+        above = state.join(sound, "case_id").select(F.col("case_id").alias("c"), F.col("up").alias("up2"), F.col("texts").alias("before"))
+        joined = state.join(above, F.col("up") == F.col("c"), "left")
+        state = cut(joined.select("case_id", F.concat(F.coalesce("before", F.array().cast("array<string>")), "texts").alias("texts"), F.col("up2").alias("up")))
+    return state.select("case_id", "texts")
+
+
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """node, root: every node of the pairs with the least node that it is joined to, itself included.
+
+    Each node holds a parent. In a round a node and its parent take the least grandparent among the node's neighbours, so trees hook onto
+    lower ones, and every node moves up to its grandparent: trees halve in depth while they merge, so rounds grow as the logarithm of the nodes.
+    Minima are combined before each shuffle.
+    """
+    ends = pairs.select(F.col(a).alias("node"), F.col(b).alias("other"))
+    edges = cut(ends.union(ends.select("other", "node")).where("node is not null and other is not null").distinct())
+    state = cut(edges.select("node").distinct().withColumn("up", F.col("node")))
+    while True:
+        parents = state.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        raised = cut(state.join(parents, "up").select("node", "up", "top"))
+        seen = edges.join(raised.select(F.col("node").alias("other"), F.col("top").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        offers = raised.join(seen, "node").select(F.inline(F.array(*(F.struct(F.col(n).alias("node"), F.col(v).alias("up")) for n, v in (("node", "near"), ("up", "near"), ("node", "top"))))))
+        moved = cut(offers.groupBy("node").agg(F.min("up").alias("up")))
+        if moved.exceptAll(state.select("node", "up")).isEmpty():
+            return moved.select("node", F.col("up").alias("root"))
+        state = moved

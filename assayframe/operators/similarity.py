@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,68 +11,125 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions.text import jaccard, token_set
+from assayframe.operators.graph import components
 from assayframe.session import cut
 
-#: Tokens of all texts of a corpus up to which it is sent to the cases.
-SMALL_CORPUS = 2_000_000
-_TOKEN = re.compile("[a-z0-9]+")
+#: Tokens of the texts of a block, and blocks at least.
+BLOCK_TOKENS = 400_000
 
 LEXICAL_THRESHOLD, LEXICAL_FLOOR = 0.45, 0.35
 EMBEDDING_THRESHOLD, EMBEDDING_FLOOR = 0.85, 0.55
 
 
-def best_jaccard(cases: DataFrame, corpus: DataFrame, case_id: str, corpus_id: str, text: str = "text") -> DataFrame:
+_BLOCK = "block int, kind int, ids array<long>, words array<string>, ends array<int>, codes array<int>, case_id string, t array<string>, best_id long, similarity double"
+_FOUND = "case_id string, t array<string>, best_id long, similarity double"
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's texts as one block: their ids in order, the distinct tokens with the rarest first, and each text's tokens as numbers."""
+    rows = [pdf for pdf in batches if len(pdf)]
+    if not rows:
+        return
+    pdf = pd.concat(rows).sort_values("best_id")
+    sizes = pdf["t"].map(len).to_numpy()
+    codes, words = pd.factorize(np.concatenate(pdf["t"].to_list()))
+    order = np.argsort(np.bincount(codes), kind="stable")
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order))
+    yield pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "least": [int(sizes.min())], "most": [int(sizes.max())], "ids": [pdf["best_id"].to_numpy(np.int64)], "words": [list(words[order])], "ends": [np.cumsum(sizes).astype(np.int32)], "codes": [place[codes]]})
+
+
+class Block:
+    """Texts of similar size, and the postings of their tokens."""
+
+    def __init__(self, ids, words, ends, codes) -> None:
+        self.ids, self.ends, codes = (np.asarray(x) for x in (ids, ends, codes))
+        self.places = {w: k for k, w in enumerate(words)}
+        self.sizes = np.diff(self.ends, prepend=0)
+        text = np.repeat(np.arange(len(self.ids)), self.sizes)
+        order = np.argsort(codes, kind="stable")
+        self.postings, self.starts = text[order], np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(self.places)))))
+
+    def best(self, tokens: list[str], so_far: float) -> tuple[int, float, int]:
+        """(id, similarity, postings read) of the text most like a case, if it may be as like as `so_far`; -1 if none shares a token or can be.
+
+        Postings are read from the rarest token on. Texts not met yet share at most the tokens left, which bounds their similarity;
+        once that is below the best of those met, only they are counted on.
+        """
+        own = sorted(self.places[t] for t in tokens if t in self.places)
+        n, least = len(tokens), int(self.sizes.min())
+        both, read, met = np.zeros(len(self.ids), dtype=np.int64), 0, None
+        found = so_far
+        for k, code in enumerate(own):
+            left = len(own) - k
+            if left / (n + max(least, left) - left) < found:
+                met = np.flatnonzero(both) if met is None else met
+                # What those met share at most: what they have, and all tokens left.
+                met = met[(both[met] + left) / np.maximum(n + self.sizes[met] - both[met] - left, 1) >= found]
+                if not len(met):
+                    break
+            here = self.postings[self.starts[code] : self.starts[code + 1]]
+            if met is not None:
+                here = here[np.isin(here, met)] if len(here) < 16 * len(met) else met[np.isin(met, here)]
+            both[here] += 1
+            read += len(here)
+            if len(here):
+                found = max(found, float((both[here] / (n + self.sizes[here] - both[here])).max()))
+        s = both / (n + self.sizes - both)
+        at = int(np.argmax(s)) if len(s) else -1
+        return (int(self.ids[at]), float(s[at]), read) if at >= 0 and both[at] else (-1, 0.0, read)
+
+
+def _visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each case's best in the block that comes before it in a sorted partition."""
+    number, block = None, None
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.kind == 0:
+                number, block = r.block, Block(r.ids, r.words, r.ends, r.codes)
+            elif number == r.block:
+                best, s, _ = block.best(list(r.t), r.similarity)
+                out.append((r.case_id, r.t, best, s) if best >= 0 and (s > r.similarity or s == r.similarity and (r.best_id < 0 or best < r.best_id)) else (r.case_id, r.t, r.best_id, r.similarity))
+        yield pd.DataFrame(out, columns=["case_id", "t", "best_id", "similarity"])
+
+
+def best_jaccard(cases: DataFrame, corpus: DataFrame, case_id: str, corpus_id: str, text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """case_id, best_id, similarity: the corpus text most like each case, the first of equals; -1 and 0 without a shared token.
 
-    A corpus of up to SMALL_CORPUS tokens is sent to the cases, which are scored where they are, without a shuffle;
-    beyond that tokens meet over an inverted index.
+    The corpus lies in blocks of texts of similar size. A case goes first to the block of its own size, and then to those whose
+    sizes allow a text as like as the best found there. A block is sent once and cases stream past it, so that a task holds one block.
     """
-    right = corpus.select(F.col(corpus_id).cast("long").alias("best_id"), token_set(F.col(text)).alias("t")).where(F.size("t") > 0)
-    tokens = right.agg(F.sum(F.size("t"))).first()[0] or 0
-    if tokens <= SMALL_CORPUS:
-        held = right.orderBy("best_id").collect()
-        found = F.struct(F.col("_s.best_id"), F.col("_s.similarity"))
-        scored = cases.select(F.col(case_id).alias("case_id"), _scorer([(r["best_id"], r["t"]) for r in held])(F.lower(F.col(text))).alias("_s"))
-        return scored.select("case_id", found["best_id"].alias("best_id"), found["similarity"].alias("similarity"))
-    left = cases.select(F.col(case_id).alias("case_id"), token_set(F.col(text)).alias("t")).withColumn("na", F.size("t"))
-    a = left.select("case_id", "na", F.explode("t").alias("token"))
-    b = right.select("best_id", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    shared = a.join(b, "token").groupBy("case_id", "best_id").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    scored = shared.select("case_id", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("s"), "best_id")
-    best = scored.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b"))
+    kind = cases.schema[case_id].dataType.simpleString()
+    right = cut(corpus.select(F.col(corpus_id).cast("long").alias("best_id"), token_set(F.col(text)).alias("t")).where(F.size("t") > 0).groupBy("best_id").agg(F.max("t").alias("t")))
+    n = max(1, math.ceil((right.agg(F.sum(F.size("t"))).first()[0] or 0) / block_tokens))
+    dealt = right.withColumn("n", F.size("t")).repartitionByRange(n, "n", "best_id").drop("n").withColumn("block", F.spark_partition_id())
+    blocks = cut(dealt.mapInPandas(_packed, "block int, least int, most int, ids array<long>, words array<string>, ends array<int>, codes array<int>"))
+    # A row a block.
+    spans = [(r["block"], r["least"], r["most"]) for r in blocks.select("block", "least", "most").orderBy("least", "block").collect()]
+    left = cases.select(F.col(case_id).cast("string").alias("case_id"), token_set(F.col(text)).alias("t"))
+    if not spans:
+        return left.select(F.col("case_id").cast(kind).alias("case_id"), F.lit(-1).cast("long").alias("best_id"), F.lit(0.0).alias("similarity"))
+    sizes = F.array(*(F.struct(F.lit(b).alias("block"), F.lit(low).alias("low"), F.lit(high).alias("high")) for b, low, high in spans))
+    bound = lambda s: F.least(F.size("t"), s["high"]) / F.greatest(F.size("t"), s["low"])
+    nearest = F.array_max(F.transform(sizes, lambda s: F.struct(bound(s).alias("bound"), (-s["block"]).alias("order"))))
+    start = left.withColumns({"home": (-nearest["order"]).cast("int"), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0)})
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+
+    def visit(rows: DataFrame) -> DataFrame:
+        both = blocks.drop("least", "most").withColumns({"kind": F.lit(0), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0)}).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        return both.select(*names).repartition(n, "block").sortWithinPartitions("block", "kind").mapInPandas(_visited, _FOUND)
+
+    first = cut(visit(start.where(F.size("t") > 0).withColumnRenamed("home", "block")))
+    home = (-nearest["order"]).cast("int")
+    others = first.withColumn("s", F.explode(F.filter(sizes, lambda s: (s["block"] != home) & (bound(s) >= F.col("similarity"))))).withColumn("block", F.col("s.block")).drop("s")
+    found = first.select("case_id", "best_id", "similarity").union(visit(others).select("case_id", "best_id", "similarity")) if n > 1 else first.select("case_id", "best_id", "similarity")
+    best = found.groupBy("case_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("best_id")).alias("order"))).alias("b"))
     return left.select("case_id").join(best, "case_id", "left").select(
-        "case_id", F.coalesce(-F.col("b.order"), F.lit(-1)).cast("long").alias("best_id"), F.coalesce("b.s", F.lit(0.0)).alias("similarity")
+        F.col("case_id").cast(kind).alias("case_id"), F.coalesce(F.when(F.col("b.s") > 0, -F.col("b.order")), F.lit(-1)).cast("long").alias("best_id"), F.coalesce("b.s", F.lit(0.0)).alias("similarity")
     )
 
 
-def _scorer(corpus: list[tuple[int, list[str]]]):
-    """The best of a small corpus, ordered by id, for each text: shared tokens are counted over the corpus' postings."""
-    ids = np.array([i for i, _ in corpus], dtype=np.int64)
-    sizes = np.array([len(t) for _, t in corpus], dtype=np.int64)
-    lists: dict[str, list[int]] = {}
-    for k, (_, t) in enumerate(corpus):
-        for token in t:
-            lists.setdefault(token, []).append(k)
-    postings = {t: np.array(x, dtype=np.int32) for t, x in lists.items()}
-
-    @F.pandas_udf("best_id long, similarity double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            found = set(_TOKEN.findall(text or ""))
-            shared = [p for t in found if (p := postings.get(t)) is not None]
-            if not shared:
-                out.append((-1, 0.0))
-                continue
-            both = np.bincount(np.concatenate(shared), minlength=len(ids))
-            s = both / (len(found) + sizes - both)
-            k = int(np.argmax(s))
-            out.append((int(ids[k]), float(s[k])))
-        return pd.DataFrame(out, columns=["best_id", "similarity"])
-
-    return run
-
-
 def similar_pairs(df: DataFrame, key: str, text: str, above: float) -> DataFrame:
     """later, earlier, similarity: pairs of texts whose token sets' Jaccard similarity is over a threshold above 0, by key.
 
@@ -95,24 +151,48 @@ def similar_pairs(df: DataFrame, key: str, text: str, above: float) -> DataFrame
     return scored.where(F.col("similarity") > above)
 
 
-def refused(pairs: DataFrame, later: str = "later", earlier: str = "earlier") -> DataFrame:
+#: Pairs of a component up to which one task settles it in a single pass.
+PASS_PAIRS = 1_000_000
+
+
+def _passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The refused of whole components, in a partition sorted by component, later and earlier; the refused of one component are held."""
+    root, key, gone, out = None, None, set(), []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if r.root != root:
+                root, gone, key = r.root, set(), None
+            if r.later != key and r.earlier not in gone:
+                key = r.later
+                gone.add(key)
+                out.append(key)
+        yield pd.DataFrame({"later": pd.Series(out, dtype=pdf["later"].dtype)})
+        out = []
+
+
+def refused(pairs: DataFrame, later: str = "later", earlier: str = "earlier", pass_pairs: int = PASS_PAIRS) -> DataFrame:
     """later: the texts that a greedy pass in the order of keys refuses, each being too like an earlier one that it has accepted.
 
-    A text is refused if one of its earlier neighbours is accepted and accepted if all are refused; each round settles
-    those whose earlier neighbours are settled, so the rounds are as many as the longest chain of pairs.
+    Components of the pairs don't bear on each other. Those of up to `pass_pairs` pairs are settled in one ordered pass, spread over tasks by component.
+    Larger ones take a round in which texts whose earlier neighbours are all accepted are so too, and all like them refused; what is left of
+    them falls into smaller components.
     """
-    open_pairs = cut(pairs.select(F.col(later).alias("later"), F.col(earlier).alias("earlier")).distinct())
-    out = None
+    open_pairs = cut(pairs.select(F.col(later).alias("later"), F.col(earlier).alias("earlier")).where("later is not null and earlier is not null").distinct())
+    out = open_pairs.select("later").limit(0)
     while not open_pairs.isEmpty():
-        waiting = open_pairs.select(F.col("later").alias("earlier")).distinct()
+        rooted = cut(open_pairs.join(components(open_pairs, "later", "earlier").select(F.col("node").alias("later"), "root"), "later"))
+        large = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > pass_pairs).select("root")
+        small = rooted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root", "later", "earlier")
+        out = out.union(cut(small.select("root", "later", "earlier").mapInPandas(_passed, f"later {open_pairs.schema['later'].dataType.simpleString()}")))
+        rest = cut(rooted.join(large, "root").select("later", "earlier"))
         # Earlier texts that wait for none are accepted, and all that are like them refused.
-        sure = open_pairs.join(waiting, "earlier", "left_anti")
+        sure = rest.join(rest.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
         gone = cut(sure.select("later").distinct())
-        out = gone if out is None else out.union(gone)
+        out = out.union(gone)
         # Pairs of refused texts, on either side, bind no one any more.
-        rest = open_pairs.join(gone, "later", "left_anti")
-        open_pairs = cut(rest.join(gone.select(F.col("later").alias("earlier")), "earlier", "left_anti"))
-    return out if out is not None else open_pairs.select("later")
+        left = rest.join(gone, "later", "left_anti")
+        open_pairs = cut(left.join(gone.select(F.col("later").alias("earlier")), "earlier", "left_anti"))
+    return out
 
 
 def calibrated(similarity: str, floor: float = LEXICAL_FLOOR, sigmas: float = 3.0) -> Column:
@@ -131,43 +211,126 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm))
 
 
-#: Numbers in a block of vectors that a task compares at once.
+#: Numbers in a block of vectors that a task compares at once, pivots at most, and what rounding may add to an angle.
 BLOCK_VALUES = 262_144
+PIVOTS = 128
+SLACK = 1e-6
+
+_VECTORS = "block int, kind int, pivot int, least double, most double, ids array<long>, m binary"
+_BEST = "case_id long, v array<double>, best_id long, s double"
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
+
 
+def _nearest(pivots: np.ndarray):
+    """id, v, pivot, angle: each vector with the pivot nearest to it."""
 
-def _blocks(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
-    """block, ids, m: about as many unit vectors a block as BLOCK_VALUES allows, one after the other."""
-    n = max(1, math.ceil(df.count() * width / BLOCK_VALUES))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")
-    rows = df.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v"), block).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    return rows.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("m"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                angles = _angles(np.stack(pdf["v"].to_numpy()), pivots)
+                at = angles.argmin(axis=1)
+                yield pdf.assign(pivot=at.astype(np.int32), angle=angles[np.arange(len(at)), at])
+
+    return run
 
 
-def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ringed(rows: int):
+    """A sorted partition's vectors cut into blocks of one pivot, each within a ring of angles around it."""
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        m = np.stack(pdf["v"].to_numpy())
+        return pd.DataFrame({"block": [0], "kind": [0], "pivot": [int(pdf["pivot"].iloc[0])], "least": [pdf["angle"].min()], "most": [pdf["angle"].max()], "ids": [pdf["id"].to_numpy(np.int64)], "m": [m.tobytes()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            for _, part in pdf.groupby("pivot", sort=False):
+                if held and held[0]["pivot"].iloc[0] != part["pivot"].iloc[0]:
+                    yield block(pd.concat(held))
+                    held = []
+                held.append(part)
+                while sum(map(len, held)) >= rows:
+                    whole = pd.concat(held)
+                    yield block(whole[:rows])
+                    held = [whole[rows:]] if len(whole) > rows else []
+        if held:
+            yield block(pd.concat(held))
+
+    return run
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each case's best in the block that comes before it in a sorted partition, if it is better than what is known."""
+    number = None
     for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            cases, corpus = np.asarray(r.case_ids, dtype=np.int64), np.asarray(r.ids, dtype=np.int64)
-            order = np.argsort(corpus, kind="stable")
-            a, b = (np.asarray(m, dtype=np.float64).reshape(len(i), -1) for m, i in ((r.case_m, cases), (r.m, corpus)))
-            s = np.maximum(np.round(a @ b[order].T, 9), 0.0)
-            s[cases[:, None] == corpus[order][None, :]] = -1.0
+        cases = pdf[pdf["kind"] == 1]
+        found = []
+        for r in pdf[pdf["kind"] == 0].itertuples(index=False):
+            found.append((r.block, np.asarray(r.ids, dtype=np.int64), np.frombuffer(r.m, np.float64).reshape(len(r.ids), -1)))
+        blocks = {b: (ids, m) for b, ids, m in ([number] if number else []) + found}
+        number = found[-1] if found else number
+        for b, part in cases.groupby("block"):
+            ids, m = blocks[b]
+            own = part["case_id"].to_numpy(np.int64)
+            s = np.maximum(np.round(np.stack(part["v"].to_numpy()) @ m.T, 9), 0.0)
+            s[own[:, None] == ids[None, :]] = -1.0
             k = s.argmax(axis=1)
-            top = s[np.arange(len(cases)), k]
-            yield pd.DataFrame({"case_id": cases, "best_id": corpus[order][k], "s": top})[top >= 0]
+            top = s[np.arange(len(k)), k]
+            best, known = part["best_id"].to_numpy(np.int64), part["s"].to_numpy()
+            better = (top > known) | (top == known) & (top >= 0) & ((best < 0) | (ids[k] < best))
+            yield pd.DataFrame({"case_id": own, "v": part["v"].to_numpy(), "best_id": np.where(better, ids[k], best), "s": np.where(better, top, known)})
 
 
-def best_cosine(cases: DataFrame, corpus: DataFrame, key: str, vector: str) -> DataFrame:
+def best_cosine(cases: DataFrame, corpus: DataFrame, key: str, vector: str, pivots: int = PIVOTS, block_rows: int | None = None, told: dict | None = None) -> DataFrame:
     """key, best_id, similarity: the corpus vector of the largest cosine, at least 0, the first of equals; never that of the case's own key.
 
-    The cases are a stated query set. Both sides are cut into blocks of a bounded size, each block of cases is sent to
-    each of the corpus by an equi-join on the block, and of each pair of blocks only every case's best goes on.
-    Vectors are of one width, none null or zero.
+    A pivot index, exact by proof: the corpus is grouped round pivots (a sample of at most `pivots` of its vectors), and each group cut into
+    blocks by the angle to the pivot. By the triangle inequality no vector of a block is nearer to a case than the case's angle to the
+    pivot lies outside the block's ring. A case goes first to the block that may be nearest, and then to those that may still hold one as near
+    as the best found there. A block is sent once, and cases stream past it. Vectors are of one width, none null or zero; keys are distinct.
+    told: gets how many (case, block) there are, and how many are visited.
     """
-    width = corpus.select(F.max(F.size(vector))).first()[0] or 1
-    right = _blocks(corpus, key, vector, width)
-    numbers = right.select("block").distinct().agg(F.sort_array(F.collect_list("block")).alias("all"))
-    left = _blocks(cases, key, vector, width).select(F.col("ids").alias("case_ids"), F.col("m").alias("case_m"))
-    sent = left.join(F.broadcast(numbers), F.lit(True)).withColumn("block", F.explode("all")).drop("all")
-    scored = sent.join(right, "block").mapInPandas(_best, "case_id long, best_id long, s double")
-    best = scored.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b"))
+    rows = cut(corpus.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v")))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
+    left = cases.select(F.col(key).cast("long").alias("case_id"), unit(F.col(vector)).alias("v"))
+    if not sample:
+        return left.where("false").select("case_id", F.lit(0).cast("long").alias("best_id"), F.lit(0.0).alias("similarity"))
+    points = np.unique(np.array([r["v"] for r in sample]), axis=0)
+    size = block_rows or max(1, BLOCK_VALUES // points.shape[1])
+    near = rows.mapInPandas(_nearest(points), "id long, v array<double>, pivot int, angle double")
+    ringed = near.repartitionByRange("pivot", "angle", "id").sortWithinPartitions("pivot", "angle", "id").mapInPandas(_ringed(size), _VECTORS)
+    # Block numbers by place, fixed by the checkpoint.
+    marked = cut(ringed.withColumn("mark", F.monotonically_increasing_id()))
+    spans = marked.select("mark", "pivot", "least", "most").orderBy("mark").collect()
+    numbers = F.create_map(*(F.lit(x) for k, r in enumerate(spans) for x in (r["mark"], k)))
+    blocks = marked.withColumn("block", numbers[F.col("mark")]).drop("mark")
+    at, low, high = (np.array([r[c] for r in spans]) for c in ("pivot", "least", "most"))
+
+    @F.pandas_udf("array<double>")
+    def bounds(vectors: pd.Series) -> pd.Series:
+        """The least angle to anything in each block."""
+        angles = _angles(np.stack(vectors.to_numpy()), points)[:, at] if len(vectors) else np.empty((0, len(at)))
+        return pd.Series(list(np.maximum(np.maximum(low - angles, angles - high), 0.0)))
+
+    def visit(sent: DataFrame) -> DataFrame:
+        both = blocks.withColumns({"case_id": F.lit(0).cast("long"), "v": F.lit(None).cast("array<double>"), "best_id": F.lit(-1).cast("long"), "s": F.lit(-1.0)}).unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        # A partition for every block, or as many as the session deals out.
+        n = min(len(spans), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
+        return both.repartition(n, "block").sortWithinPartitions("block", "kind").select("block", "kind", "ids", "m", "case_id", "v", "best_id", "s").mapInPandas(_compared, _BEST)
+
+    fresh = left.withColumns({"best_id": F.lit(-1).cast("long"), "s": F.lit(-1.0), "bound": bounds("v")})
+    home = F.array_min(F.transform("bound", lambda x, i: F.struct(x.alias("bound"), i.alias("block"))))["block"]
+    first = cut(visit(fresh.withColumn("block", home).drop("bound")))
+    reach = F.acos(F.greatest(F.least("s", F.lit(1.0)), F.lit(0.0))) + SLACK
+    known = first.withColumn("bound", bounds("v"))
+    others = known.withColumn("block", F.explode(F.filter(F.transform("bound", lambda x, i: F.when((x <= reach) & (i != home), i)), lambda i: i.isNotNull()))).drop("bound")
+    others = cut(others)
+    if told is not None:
+        told |= {"pairs": left.count() * len(spans), "visited": left.count() + others.count()}
+    found = first.union(visit(others)) if len(spans) > 1 else first
+    best = found.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b")).where("b.s >= 0")
     return best.select("case_id", (-F.col("b.order")).alias("best_id"), F.col("b.s").alias("similarity"))

@@ -176,3 +176,44 @@ def test_words_and_lines(spark):
     assert value(spark, X.lines(F.col("t")), t="a\r\n\n b ") == ["a", "b"]
     assert value(spark, X.key_part(F.col("t")), t="The Old-Mill!") == "old mill"
     assert value(spark, X.normalise_unicode(F.col("t")), t="ﬁne  “x”") == 'fine "x"'
+
+
+JSON = [
+    ('{"a":1}', True, True), ('{"a":1} and more', False, True), ('{"a":1}}', False, True), ('{"a":1}{"b":2}', False, True), ('say {"a":"}{"} so', False, True), ('{"a":"\\\\"}', True, True),
+    ('{"a":"\\"}"}', True, True), ('{"a":{"b":[1,{"c":2}]}}', True, True), ('{"a":1', False, False), ('[{"a":1}]', False, False), ("1", False, False), ("", False, False), ('{"a":1,}', False, False),
+    ('1, "w": {"a":1}', False, True), ('1}, {"a":2', False, False), ('```json\n{"a":1}\n```', True, True), (' {"a": "x\ty"}'.replace("\t", "t"), True, True), ('{not} then {"a":1}', False, False),
+]
+
+
+@pytest.mark.parametrize("answer,whole,within", JSON)
+def test_json_objects(spark, answer, whole, within):
+    df = spark.createDataFrame([(answer,)], "t string")
+    got = df.select(K.verify("json_object", F.col("t"), {}), K.verify("json_object", F.col("t"), {"allow_surrounding_text": True})).first()
+    assert tuple(got) == (whole, within)
+
+
+CODE = [
+    ("def area(a):\n    return a * 2", True), ("def area(a):\n    return (", False), ("s = 'def area(a): return 1'", False), ("def area(a):\n    pass", False), ("def area(a):\n    ...\n    return", False),
+    ("def area(a):\n    raise NotImplementedError\n    return a", False), ("def area():\n    return 1", False), ("def area(a, b=1, *c):\n    if a:\n        return 1\n    return 2", True), ("def area(a, b):\n    return 1", False),
+    ("def outer():\n    def area(a):\n        return 1", False), ("Sure:\n```python\nimport math\n```\nand\n```py\ndef area(a):\n    for i in a:\n        yield i\n```", True), ("def area(a):\n    def inner():\n        return 1\n    inner()", False),
+    ("def area(a):\n    while True:\n        try:\n            return a\n        finally:\n            pass", True), ("", False), ("area", False), ("def area(a, *, k):\n    return 1", False), ("def area(a):\n    return 1\ndef area(a):\n    pass", False),
+]
+
+
+@pytest.mark.parametrize("answer,passes", CODE)
+def test_code_is_read_as_a_tree(answer, passes):
+    from assayframe.functions.code import check
+
+    assert check(answer, "area", [1]) is passes
+
+
+def test_scores_that_are_no_small_numbers(spark):
+    rows = ["2", "1.9", " 0 ", "1e10", "nan", "inf", "-inf", "99999999999", "1e400", "2d", "", None, "x", "-0.5", "3"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string")
+    assert [r[0] for r in df.orderBy("i").select(J.score_of(F.col("r"))).collect()] == [2, 1, 0, None, None, None, None, None, None, None, None, None, None, 0, None]
+
+
+def test_quotes_and_items_meet_in_compatibility_forms(spark):
+    df = spark.createDataFrame([("Die Straße bleibt heute gesperrt.", "DIE STRASSE bleibt heute", ["ﬁrst rule", "ｓｅｃｏｎｄ"], ["First rule", "second", "?"])], "a string, q string, allowed array<string>, said array<string>")
+    got = df.select(J.verify_quote(F.col("a"), F.col("q")), J.rubric_item(F.lit("SECOND"), F.col("allowed")), J.rubric_flags(F.col("said"), F.col("allowed"))).first()
+    assert got[0] and got[1] == "ｓｅｃｏｎｄ" and list(got[2]["items"]) == ["ﬁrst rule", "ｓｅｃｏｎｄ"] and list(got[2]["dropped"]) == ["?"]

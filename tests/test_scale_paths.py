@@ -25,16 +25,78 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_best_jaccard_either_way(spark, monkeypatch, small):
-    monkeypatch.setattr(S, "SMALL_CORPUS", small)
-    cases, corpus = texts(80, 1) + [(900, None), (901, "É ??")], texts(30, 2) + [(500, None)]
-    got = {r["case_id"]: (r["best_id"], r["similarity"]) for r in S.best_jaccard(spark.createDataFrame(cases, "id long, text string"), spark.createDataFrame(corpus, "id long, text string"), "id", "id").collect()}
+@pytest.mark.parametrize("tokens", [400_000, 25])
+def test_best_jaccard_in_one_block_and_many(spark, tokens):
+    cases, corpus = texts(80, 1) + [(900, None), (901, "É ??"), ((1 << 60) + 1, "w1 w2")], texts(30, 2) + [(500, None)]
+    got = {r["case_id"]: (r["best_id"], r["similarity"]) for r in S.best_jaccard(*(spark.createDataFrame(x, "id long, text string") for x in (cases, corpus)), "id", "id", block_tokens=tokens).collect()}
+    assert len(got) == len(cases)
     for i, t in cases:
         s, order = max(((jaccard(set((t or "").split()) - {"É", "??"}, set((u or "").split())), -j) for j, u in corpus))
         assert got[i] == ((-order, pytest.approx(s)) if s > 0 else (-1, 0.0))
 
 
+def test_a_common_word_pairs_few_texts(spark):
+    """Rows as by brute force with a word that all texts hold, of whose postings few are read."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["common", *(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(3, 9)))])) for i in range(3000)]
+    cases, corpus = rows[:400], [(i, t) for i, t in rows[200:]]
+    sets = {i: frozenset(t.split()) for i, t in corpus}
+    got = {r["case_id"]: (r["best_id"], r["similarity"]) for r in S.best_jaccard(*(spark.createDataFrame(x, "id long, text string") for x in (cases, corpus)), "id", "id", block_tokens=3000).collect()}
+    for i, t in cases:
+        own = frozenset(t.split())
+        s, order = max((jaccard(own, u), -j) for j, u in sets.items())
+        assert got[i] == (-order, pytest.approx(s))
+    held = [(i, list(u)) for i, u in sets.items()]
+    codes, words = S.pd.factorize(S.np.concatenate([u for _, u in held]))
+    rank = S.np.argsort(S.np.argsort(S.np.bincount(codes), kind="stable"))
+    block = S.Block([i for i, _ in held], list(S.pd.Series(words)[S.np.argsort(S.np.bincount(codes), kind="stable")]), S.np.cumsum([len(u) for _, u in held]), rank[codes])
+    i, t = corpus[-1]
+    best, s, read = block.best(t.split(), 0.0)
+    assert (best, s) == (i, 1.0) and read < len(corpus) / 4
+
+
+def test_greedy_passes_over_a_long_chain_and_over_rounds(spark):
+    chain = spark.range(1, 10_001).select(F.col("id").alias("later"), (F.col("id") - 1).alias("earlier"))
+    assert sorted(r["later"] for r in S.refused(chain).collect()) == list(range(1, 10_001, 2))
+    rng = random.Random(2)
+    pairs = {(max(p), min(p)) for p in (rng.sample(range(60), 2) for _ in range(90))}
+    gone: set = set()
+    for i in range(60):
+        if any((i, j) in pairs and j not in gone for j in range(i)):
+            gone.add(i)
+    df = spark.createDataFrame(sorted(pairs), "later long, earlier long")
+    for most in (1_000_000, 5):
+        assert {r["later"] for r in S.refused(df, pass_pairs=most).collect()} == gone
+
+
+def test_components_of_a_long_path_and_of_stars(spark):
+    path = spark.range(1, 3000).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    star = spark.range(1, 500).select((F.col("id") + 5000).alias("a"), F.lit(5000).cast("long").alias("b"))
+    got = G.components(path.union(star), "a", "b").groupBy("root").count().collect()
+    assert {r["root"]: r["count"] for r in got} == {0: 3000, 5000: 500}
+
+
+def test_replay_of_a_thousand_levels(spark):
+    cases = spark.range(1, 1001).select(F.col("id").alias("case_id"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_id"), F.col("id").cast("string").alias("text"))
+    got = {r["case_id"]: list(r["texts"]) for r in G.replayed(cases).collect()}
+    assert got[1000] == [str(k) for k in range(1, 1001)] and got[1] == ["1"] and len(got[37]) == 37
+
+
+def test_cosines_by_pivots_skip_most_blocks(spark):
+    rng = S.np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    m = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))
+    m[5] = m[6]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+    told: dict = {}
+    got = {r["case_id"]: (r["best_id"], r["similarity"]) for r in S.best_cosine(rows.where("id < 200"), rows, "id", "v", pivots=64, block_rows=64, told=told).collect()}
+    u = m / S.np.linalg.norm(m, axis=1, keepdims=True)
+    s = S.np.maximum(S.np.round(u[:200] @ u.T, 9), 0)
+    s[S.np.arange(200), S.np.arange(200)] = -1
+    assert {i: b for i, (b, _) in got.items()} == dict(enumerate(s.argmax(axis=1)))
+    assert told["visited"] < told["pairs"] / 4
+
+
 @pytest.mark.parametrize("above", [0.2, 0.4, 0.75])
 def test_similar_pairs_as_by_all_pairs(spark, above):
     rows = texts()
