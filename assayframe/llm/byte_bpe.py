@@ -10,7 +10,7 @@ them to bytes by the vocabulary. Texts are then put together from pieces.
 
 The merge table has a row for every way in which a vocabulary entry is made of two
 others, so that a pair merges exactly if its bytes are an entry; a piece that is itself
-an entry is encoded as that.
+an entry is one token from the start, and decoded like any other.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows
 get the same result each; other columns stay, a column with the name of a result is
@@ -203,9 +203,12 @@ class PieceCoder:
 
     def _code(self, pieces: list[str], long: bool) -> None:
         data = [p.encode() for p in pieces]
-        size = np.fromiter(map(len, data), np.int64, len(data))
+        # A piece that is an entry itself starts as that one token, others as their bytes.
+        entry = np.fromiter((self.ranks.get(b, -1) for b in data), np.int32, len(data))
+        size = np.where(entry < 0, np.fromiter(map(len, data), np.int64, len(data)), 1)
         word = np.repeat(np.arange(len(data), dtype=np.int32), size)
-        tok = self.single[np.frombuffer(b"".join(data), np.uint8)]
+        tok = np.repeat(entry, size)
+        tok[tok < 0] = self.single[np.frombuffer(b"".join(b for b, i in zip(data, entry, strict=True) if i < 0), np.uint8)]
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         if long:
             coded = self._fixpoint(pd.DataFrame({"word": word, "pos": pos.astype(np.int32), "tok": tok}))
@@ -225,8 +228,6 @@ class PieceCoder:
         for p in new:
             if (ids := self.before[0].get(p)) is not None:
                 self.known[p], self.plain[p] = ids, self.before[1][p]
-            elif (i := self.ranks.get(b := p.encode())) is not None:  # a piece that is an entry itself is encoded as that
-                self.known[p], self.plain[p] = str(i), b
             else:
                 rest.append(p)
         self.held += PIECE_BYTES * (len(new) - len(rest))
@@ -305,6 +306,30 @@ def _digests(path: str, pattern: str, cache_bytes: int | None, query_chars: int
     return run
 
 
+def _coded(path: str, pattern: str, cache_bytes: int | None, query_chars: int | None):
+    """The digests, and the ids themselves."""
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with PieceCoder(path, pattern, cache_bytes, query_chars) as coder:
+            for texts in batches:
+                rows = []
+                for spans in coder.texts([x or "" for x in texts]):
+                    kept: list[np.ndarray] = []
+
+                    def noted(spans=spans, kept=kept):
+                        for some, data in spans:
+                            if some:
+                                kept.append(np.array(some.split(","), dtype=np.int32))
+                            yield some, data
+
+                    row = digest(noted())
+                    rows.append((*row, np.concatenate(kept) if kept else np.empty(0, np.int32)))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    return run
+
+
 def _encoder(path: str, pattern: str):
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -339,7 +364,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     return df.withColumn(out, _decoder(ranks_path, pattern)(F.col(ids)))
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_bytes: int | None = None, query_chars: int | None = None) -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256. cache_bytes, query_chars: what a task may hold, by default CACHE_BYTES and QUERY_CHARS."""
-    names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "_coded")]
-    return small_batches(df).withColumn("_coded", _digests(ranks_path, pattern, cache_bytes, query_chars)(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_coded.*")
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", cache_bytes: int | None = None, query_chars: int | None = None, ids: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256, and the ids themselves if asked for. cache_bytes, query_chars: what a task may hold, by default CACHE_BYTES and QUERY_CHARS."""
+    names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "_coded", *(["ids"] if ids else []))]
+    return small_batches(df).withColumn("_coded", (_coded if ids else _digests)(ranks_path, pattern, cache_bytes, query_chars)(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_coded.*")

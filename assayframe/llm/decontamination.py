@@ -141,7 +141,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     share = F.coalesce(*(F.when(F.col("class") == k, F.lit(c.share)) for k, c in enumerate(CLASSES)))
     line = F.struct(F.col("r.matched").alias("matched"), F.col("r.words").alias("words"), (F.col("shift") + F.col("r.start")).alias("start"))
     found = checked.where(F.col("r.matched") >= share * F.col("r.words")).groupBy("doc_id", "key", "item").agg(F.min("item_id").alias("item_id"), F.max(line).alias("r"))
-    best = F.max(F.struct((F.col("r.matched") / F.col("r.words")).alias("share"), F.col("r.words"), (-F.coalesce("item_id", F.lit(0))).alias("order"), "item_id", "r"))
+    # The largest share, of these the most words, of these the least id, whatever its type.
+    best = F.min(F.struct((-F.col("r.matched") / F.col("r.words")).alias("share"), (-F.col("r.words")).alias("words"), "item_id", "r"))
     return found.groupBy("doc_id", "key").agg(best.alias("b"), F.count("*").alias("n_items")).select(
         "doc_id", "key", F.col("b.item_id").alias("item_id"), F.col("b.r.matched").alias("matched"), F.col("b.r.words").alias("words"), F.col("b.r.start").alias("start"), "n_items"
     )

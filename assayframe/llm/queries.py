@@ -55,7 +55,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = virtual_slots.save_map(virtual_slots.place(slots, SHARDS), path)
     second = virtual_slots.save_map(virtual_slots.rebalance(first, slots, SHARDS + 1), path)
     after = second.select("virtual_slot", F.col("shard").alias("next_shard"), F.col("map_version").alias("next_version"))
-    placed = virtual_slots.assign(rows, virtual_slots.load_map(spark.read.parquet(path), 1)).join(F.broadcast(after), "virtual_slot")
+    placed = virtual_slots.assign(rows, virtual_slots.load_map(spark.read.parquet(path), 1), slots=slots).join(F.broadcast(after), "virtual_slot")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version", "next_shard", "next_version")
 
 
@@ -126,11 +126,18 @@ _RULE_CASES = " ".join(
 )
 _HOST = "coalesce(translate(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
-_NODE = "CASE WHEN regexp_matches({0}, '^[^:/?#]+://') THEN regexp_replace(lower(regexp_extract({0}, '^([^:/?#]+://[^/?#]*)', 1)) || regexp_extract({0}, '^[^:/?#]+://[^/?#]*([^#]*)', 1), '/+$', '') END"
+_NODE = "CASE WHEN regexp_matches({0}, '^[^:/?#]+://') THEN lower(regexp_extract({0}, '^([^:/?#]+://[^/?#]*)', 1)) || regexp_replace(regexp_extract({0}, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract({0}, '^[^?#]*(\\?[^#]*)', 1) END"
+_TAG, _EACH, _REFERENCE = (p.replace("'", "''") for p in (url_filters.TAG, url_filters.ATTRIBUTE, url_filters.REFERENCE))
 
 
 def _attribute_sql(tag: str, name: str) -> str:
-    return f"""replace(nullif(regexp_extract({tag}, '(?i)\\b{name}\\s*=\\s*["'']?([^"''\\s>]+)', 1), ''), '&amp;', '&')"""
+    own = f"list_filter(regexp_extract_all({tag}, '{_EACH}'), lambda a: regexp_matches(a, '(?i)^{name}\\s*='))[1]"
+    bare = f"regexp_replace({own}, '(?s)^[^=]*=\\s*', '')"
+    value = f"""CASE WHEN regexp_matches({bare}, '^["'']') THEN substr({bare}, 2, length({bare}) - 2) ELSE {bare} END"""
+    code = "CASE WHEN regexp_matches(r, '^&#[xX]') THEN ('0x' || regexp_extract(r, '^&#[xX]([0-9a-fA-F]+)', 1))::BIGINT ELSE try_cast(regexp_extract(r, '^&#([0-9]+)', 1) AS BIGINT) END"
+    named = " ".join(f"WHEN '&{n};' THEN '{c.replace(chr(39), chr(39) * 2)}'" for n, c in url_filters.REFERENCES.items())
+    decoded = f"CASE r {named} ELSE CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(({code})::INT) ELSE r END END"
+    return f"(SELECT nullif(trim(array_to_string(list_transform(regexp_split_to_array(v, '{_REFERENCE}'), lambda g, i: g || coalesce(list_transform(regexp_extract_all(v, '{_REFERENCE}'), lambda r: {decoded})[i], '')), '')), '') FROM (SELECT {value} AS v))"
 
 
 def _resolved_sql(target: str, page: str) -> str:
@@ -194,9 +201,11 @@ ORACLE_SQL = {
     "op13_conversation_repair": sql.CONVERSATION_REPAIR,
     "op3_pii": _PII_SQL,
     "op1_url_filters": f"""
-WITH RECURSIVE tags AS (SELECT url, {_attribute_sql("regexp_extract(html, '(?i)<base\\b[^>]*>')", "href")} AS base, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages),
-wanted AS (SELECT url, coalesce({_resolved_sql("base", "url")}, url) AS page, coalesce({_attribute_sql("tag", "href")}, {_attribute_sql("tag", "url")}) AS target
-           FROM tags WHERE regexp_matches(tag, '(?i)rel\\s*=\\s*["'']?canonical\\b|http-equiv\\s*=\\s*["'']?refresh\\b')),
+WITH RECURSIVE tags AS (SELECT url, list_filter(t, lambda x: regexp_matches(x, '(?i)^<base\\b'))[1] AS base_tag, unnest(list_filter(t, lambda x: regexp_matches(x, '(?i)canonical|http-equiv'))) AS tag
+    FROM (SELECT url, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '{_TAG}') AS t FROM pages)),
+told AS (SELECT url, tag, {_attribute_sql("base_tag", "href")} AS base, {_attribute_sql("tag", "rel")} AS rel, {_attribute_sql("tag", "href")} AS href, {_attribute_sql("tag", "http-equiv")} AS equiv, {_attribute_sql("tag", "content")} AS content FROM tags),
+wanted AS (SELECT url, coalesce({_resolved_sql("base", "url")}, url) AS page, CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower(rel), '\\s+'), 'canonical') THEN href
+           WHEN regexp_matches(tag, '(?i)^<meta') AND lower(equiv) = 'refresh' THEN nullif(regexp_extract(content, '(?i)\\burl\\s*=\\s*["'']?([^\\s"''>]+)', 1), '') END AS target FROM told),
 whole AS (SELECT url AS a_url, {_resolved_sql("target", "page")} AS b_url FROM wanted),
 edges AS (SELECT a_url, b_url, {_NODE.format("a_url")} AS a, {_NODE.format("b_url")} AS b FROM whole),
 named AS (SELECT a AS node, a_url AS u FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, b_url FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),

@@ -35,5 +35,6 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids' digests of every document, and those of what they decode to."""
-    return byte_bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, cache_bytes=CODER_CACHE, query_chars=CODER_QUERY).drop("text")
+    """Every document's ids, their digest, and that of what they decode to."""
+    coded = byte_bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, cache_bytes=CODER_CACHE, query_chars=CODER_QUERY, ids=True)
+    return coded.drop("text")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.components import components
+from assayframe.llm.expressions import rewritten
 from assayframe.session import cut
 
 #: Beyond this number, rules are joined as a table instead of being part of the expression.
@@ -38,10 +39,11 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The URL as a node of the alias graph: scheme and host in lower case, no fragment, no slash at the end."""
+    """The URL as a node of the alias graph: scheme and host in lower case, no fragment, no slash at the path's end."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     head = F.regexp_extract(bare, r"^([^:/?#]+://[^/?#]*)", 1)
-    return F.when(head != "", F.regexp_replace(F.concat(F.translate(head, UPPER, LOWER), F.substring(bare, F.length(head) + 1, F.length(bare))), "/+$", ""))
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^:/?#]+://[^/?#]*([^?]*)", 1), "/+$", "")
+    return F.when(head != "", F.concat(F.translate(head, UPPER, LOWER), path, F.regexp_extract(bare, r"(?s)^[^?]*(\?.*)$", 1)))
 
 
 def inline_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -95,27 +97,47 @@ def resolved(target: Column, page: Column) -> Column:
     )
 
 
+# The named character references that XML has too.
+REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(REFERENCES) + ");"
+TAG = r"""(?i)<(?:link|meta|base)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+ATTRIBUTE = r"""[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+
+
+def _referred(reference: Column) -> Column:
+    """The character that a reference stands for; itself where there is none."""
+    named = F.coalesce(*(F.when(reference == f"&{name};", F.lit(c)) for name, c in REFERENCES.items()))
+    digits = F.regexp_extract(reference, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).when(reference.startswith("&#"), digits).try_cast("long")
+    fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.coalesce(named, F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), reference)
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value without white space, null if there is none."""
-    value = F.nullif(F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
-    return F.replace(value, F.lit("&amp;"), F.lit("&"))
+    """An attribute's value, references decoded, null if there is none. Values are read as units, so names within them don't count."""
+    own = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    bare = F.regexp_replace(own, r"(?s)^[^=]*=\s*", "")
+    value = F.when(bare.rlike("^[\"']"), F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+    return F.nullif(F.trim(F.when(F.instr(value, "&") > 0, rewritten(value, REFERENCE, _referred)).otherwise(value)), F.lit(""))
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """a_url, b_url: URLs that a page equates by a canonical link or a redirect (meta refresh).
+    """a_url, b_url: URLs that a page equates by a canonical link or a redirect (meta refresh), outside comments.
 
     Relative targets are resolved against the page, or its base element if there is one.
     """
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
     may = F.col(html).rlike(r"(?i)canonical|http-equiv")
-    base = _attribute(F.regexp_extract(F.col(html), r"(?i)<base\b[^>]*>", 0), "href")
-    return (
-        pages.where(may)
-        .select(F.col(url).alias("_url"), base.alias("base"), F.explode(wanted).alias("tag"))
-        .select("_url", F.coalesce(resolved(F.col("base"), F.col("_url")), F.col("_url")).alias("page"), F.coalesce(_attribute(F.col("tag"), "href"), _attribute(F.col("tag"), "url")).alias("target"))
-        .select(F.col("_url").alias("a_url"), resolved(F.col("target"), F.col("page")).alias("b_url"))
-    )
+    body = F.when(F.instr(html, "<!--") > 0, F.regexp_replace(html, COMMENT, "")).otherwise(F.col(html))
+    tags = pages.where(may).select(F.col(url).alias("_url"), F.regexp_extract_all(body, F.lit(TAG), F.lit(0)).alias("tags"))
+    base = F.get(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b")), F.lit(0))
+    found = tags.select("_url", base.alias("base"), F.explode(F.filter("tags", lambda t: t.rlike(r"(?i)canonical|http-equiv"))).alias("tag"))
+    read = found.select("_url", _attribute(F.col("base"), "href").alias("base"), "tag", *(_attribute(F.col("tag"), n).alias(k) for n, k in (("rel", "rel"), ("href", "href"), ("http-equiv", "equiv"), ("content", "content"))))
+    canonical = F.col("tag").rlike("(?i)^<link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    refresh = F.col("tag").rlike("(?i)^<meta") & (F.lower("equiv") == "refresh")
+    target = F.when(canonical, F.col("href")).when(refresh, F.nullif(F.regexp_extract("content", r"(?i)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1), F.lit("")))
+    whole = read.select("_url", F.coalesce(resolved(F.col("base"), F.col("_url")), F.col("_url")).alias("page"), target.alias("target")).where("target is not null")
+    return whole.select(F.col("_url").alias("a_url"), resolved(F.col("target"), F.col("page")).alias("b_url"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, url: str = "url", html: str | None = "html", edges: DataFrame | None = None) -> DataFrame:

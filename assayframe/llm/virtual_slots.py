@@ -115,9 +115,9 @@ def describe(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_slots:
     return measured.withColumn("virtual_slot", virtual_slot(F.col(doc_id), F.col("text_crc32"), n_slots))
 
 
-def assign(records: DataFrame, slot_map: DataFrame, order: str = "doc_id") -> DataFrame:
-    """records (as of describe) with law, shard, slot, grown_shard and map_version."""
-    rows = slot_bytes(records).select("virtual_slot", "n_rows")
+def assign(records: DataFrame, slot_map: DataFrame, order: str = "doc_id", slots: DataFrame | None = None) -> DataFrame:
+    """records (as of describe) with law, shard, slot, grown_shard and map_version. slots: as of slot_bytes, if the records have been counted already."""
+    rows = (slot_bytes(records) if slots is None else slots).select("virtual_slot", "n_rows")
     # Both windows below go over the map, of n_slots rows at most.
     starts = slot_map.join(rows, "virtual_slot").withColumn(
         "start", F.coalesce(F.sum("n_rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

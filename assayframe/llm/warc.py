@@ -170,7 +170,7 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def page_id_of(metadata: Column) -> Column:
-    return F.nullif(F.regexp_extract(metadata["fields"], r"(?m)^page-id: (\d*)", 1), F.lit("")).try_cast("long")
+    return F.nullif(F.regexp_extract(metadata["fields"], r"(?m)^page-id: (-?\d+)", 1), F.lit("")).try_cast("long")
 
 
 def captures_of(assembled: DataFrame, salts: int = SALTS) -> DataFrame:

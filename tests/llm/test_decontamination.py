@@ -109,3 +109,10 @@ def test_filter_keeps_clean_rows_repeats_nulls_and_columns(spark, monkeypatch):
         assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(2, "clean", "b"), (2, "clean", "b"), (3, None, None)]))
     assert D.decontaminate(docs, bench.limit(0)).count() == 6
     assert D.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_ids_of_items_may_be_text(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    items = spark.createDataFrame([("it-2", item), ("it-1", item + " x"), ("it-3", "a b c d e f g")], "item_id string, text string")
+    found = D.overlaps(spark.createDataFrame([(1, f"so {item} x"), (2, "none of it")], "doc_id long, text string"), items).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_items"]) for r in found] == [(1, "it-1", 2)]

@@ -71,6 +71,7 @@ def test_encoding_and_run(spark, small, stages):
     for i, t in texts.items():
         ids = library.encode_ordinary(t)
         assert (rows[i]["n_tokens"], rows[i]["ids_sha256"], rows[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert rows[i]["ids"] == ids and library.decode_bytes(rows[i]["ids"]) == t.encode()
     assert sorted(map(tuple, P.run(spark, small).collect())) == sorted(map(tuple, stages[5]))
 
 

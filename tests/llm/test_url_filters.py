@@ -105,3 +105,38 @@ def test_query_and_sql_agree_on_pages_with_links(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert difference(op1_url_filters(spark, str(tmp_path)), con, ORACLE_SQL["op1_url_filters"]) == ""
+
+
+LINKS = [
+    ('<link rel="shortlink canonical" href="http://b.org/es/1">', True),  # any of the relations
+    ('<link title="a > b" rel=canonical href="http://b.org/es/1">', True),  # a sign within a value ends no tag
+    ('<link rel="canonical" data-x="href=http://c.org/" href="http://b.org/es/1">', True),
+    ('<link rel="canonical" href="http://b.org&#47;es&#x2F;1">', True),  # references by number
+    ("<meta content='3;URL=\"http://b.org/es/1\"' http-equiv=Refresh>", True),
+    ('<!-- <link rel="canonical" href="http://b.org/es/1"> -->', False),
+    ('<!-- <link rel="canonical" href="http://b.org/es/1">', False),  # a comment that never ends
+    ('<link rel="canonicals" href="http://b.org/es/1">', False),
+    ('<link rel="alternate" title="rel=canonical" href="http://b.org/es/1">', False),
+    ('<meta name="canonical" content="url=http://b.org/es/1">', False),
+]
+
+
+def test_links_are_read_as_browsers_do(spark):
+    rows = spark.createDataFrame([(i, f"http://h{i}.info/", h) for i, (h, _) in enumerate(LINKS)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in U.judge(rows, URL_RULES).collect()}
+    assert got == {i: "block" if linked else "allow" for i, (_, linked) in enumerate(LINKS)}
+
+
+def test_links_as_the_sql_reads_them(spark):
+    import duckdb
+    from compare import difference
+
+    from assayframe.llm import queries
+
+    data = [(i, f"http://h{i}.info/p?q=/", h) for i, (h, _) in enumerate(LINKS)] + [(90, "http://x.info/", link("http://h1.info/p/?q=/")), (91, "http://y.info/", link("http://h1.info/p?q=")), (92, None, None)]
+    rows = spark.createDataFrame(data, "page_id long, url string, html string")
+    judged = U.judge(rows, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    con = duckdb.connect()
+    con.register("pages", rows.toPandas())
+    assert difference(judged, con, queries.oracle_sql()["op1_url_filters"]) == ""
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()}[91] == "allow"  # another query string, another URL

@@ -75,3 +75,10 @@ def test_many_files_empty_tables_and_extra_columns(spark, tmp_path, monkeypatch)
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == expected(rows)
     W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert W.captures_of(W.assemble(W.read_records(spark, str(tmp_path / "e")))).count() == 0
+
+
+def test_ids_below_zero(spark, tmp_path):
+    body = "x" * 1200
+    rows = [(-5, "http://a.org/", body), (-3, "http://b.org/", body), (-1, "http://c.org/", "short")]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in round_trip(spark, rows, tmp_path / "w")}
+    assert got == {-5: ("revisit", -3), -3: ("response", None), -1: ("response", None)}
