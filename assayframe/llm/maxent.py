@@ -313,8 +313,8 @@ def _contexts_of(kind: int, block: int, layout: Layout) -> np.ndarray:
     return member_rows(label, one)
 
 
-def _gradient(weights):
-    """Observed counts and observed less expected ones of the feature rows that a block touches."""
+def _gradient(weights, first: bool):
+    """Observed less expected counts of the feature rows that a block touches, and the observed ones in the first update."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, w = Layout(), weights.value
@@ -331,9 +331,8 @@ def _gradient(weights):
                 if not len(met):
                     continue
                 expected = np.exp(_log_softmax(w[kind], rows)) * counts.sum(axis=1, keepdims=True)
-                own, observed = _by_row(rows, counts)
-                _, less = _by_row(rows, counts - expected)
-                payload = own.astype(np.int32).tobytes() + observed.astype(np.float32).tobytes() + less.astype(np.float32).tobytes()
+                own, less = _by_row(rows, counts - expected)
+                payload = own.astype(np.int32).tobytes() + less.astype(np.float32).tobytes() + (_by_row(rows, counts)[1].astype(np.float32).tobytes() if first else b"")
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([payload], pa.binary())], ["kind", "block", "payload"])
         give_back()
 
@@ -360,18 +359,20 @@ def fit(events: DataFrame, updates: int = UPDATES, words: int = HOT, left: list
     weights[0][_hashed(ROWS, 0), np.flatnonzero(filled == 0)] = NEVER
     for label, n in enumerate(filled):
         weights[1][_hashed(MEMBER_ROWS, 4, label), n:] = NEVER
-    for _ in range(updates):
+    observed = [np.zeros((rows, width), dtype=np.float32) for rows, width, _ in shapes]
+    for k in range(updates):
         sent = sc.broadcast(weights)
-        sums = [np.zeros((2, rows, width)) for rows, width, _ in shapes]
+        less = [np.zeros((rows, width), dtype=np.float32) for rows, width, _ in shapes]
         # As many rows as blocks, each of a size that the parameters set.
-        for r in events.mapInArrow(_gradient(sent), _EVENTS).toLocalIterator(prefetchPartitions=True):
+        for r in events.mapInArrow(_gradient(sent, k == 0), _EVENTS).toLocalIterator(prefetchPartitions=True):
             n, width = r["block"], shapes[r["kind"]][1]
             at = np.frombuffer(r["payload"], np.int32, n)
-            sums[r["kind"]][:, at] += np.frombuffer(r["payload"], np.float32, 2 * n * width, 4 * n).reshape(2, n, width)
+            for into, place in ((less, 0), (observed, 1))[: 1 + (k == 0)]:
+                into[r["kind"]][at] += np.frombuffer(r["payload"], np.float32, n * width, 4 * n * (1 + place * width)).reshape(n, width)
         sent.destroy()
         if left is not None:
-            left.append(float(np.abs(sums[0][1]).sum() / max(1.0, sums[0][0].sum())))
-        weights = [update(w, s[0], s[1], f).astype(np.float32) for w, s, (_, _, f) in zip(weights, sums, shapes, strict=True)]
+            left.append(float(np.abs(less[0]).sum() / max(1.0, observed[0].sum())))
+        weights = [update(w, o, g, f).astype(np.float32) for w, o, g, (_, _, f) in zip(weights, observed, less, shapes, strict=True)]
     return weights
 
 
@@ -382,17 +383,33 @@ class Model:
         self.counts, self.vocabulary, self.tokens, self.distinct, self.tails, self.weights = counts, vocabulary, tokens, distinct, tails, weights
 
 
+def _most_frequent(counts: DataFrame, held: int) -> list[tuple[bytes, int]]:
+    """The words of HELD_BYTES at most whose counts are above a line that `held` words pass at most: no task sorts or sends more than those."""
+    words = counts.where(F.length("word").between(1, HELD_BYTES)).withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
+    line, total = None, 0
+    # Eight rows for each doubling of the counts.
+    for r in words.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        total += r["words"]
+        if total > held:
+            break
+        line = r["step"]
+    if line is None:
+        return []
+    top = words.where(F.col("step") >= line).select("word", "n").toArrow()
+    return list(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
+
+
 def learn(training: DataFrame, held: int = HELD, updates: int = UPDATES) -> Model:
     """The model of the texts of `training` (a column `text`)."""
     spark = training.sparkSession
     counts = cut(token_counts(training))
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    # Bounded: `held` words of HELD_BYTES at most.
-    top = counts.where(F.length("word").between(1, HELD_BYTES)).orderBy(F.desc("n"), "word").limit(held).collect()
     ends = counts.where(F.length("word") == 0).first()
-    ranked = sorted([(END, ends["n"] if ends else 0), *((bytes(r["word"]), r["n"]) for r in top)], key=lambda x: (-x[1], x[0]))
-    if (END, ranked[-1][1]) in ranked[HOT:]:
-        ranked.insert(HOT - 1, ranked.pop(ranked.index((END, ends["n"] if ends else 0))))
+    end = (END, ends["n"] if ends else 0)
+    ranked = sorted([end, *_most_frequent(counts, held)], key=lambda x: (-x[1], x[0]))
+    if ranked.index(end) >= HOT:
+        ranked.remove(end)
+        ranked.insert(HOT - 1, end)
     vocabulary = Vocabulary([w for w, _ in ranked], [n for _, n in ranked])
     tails = np.zeros((2, TAILS))
     for r in counts.groupBy((F.crc32(F.expr(f"substring(word, -{ENDING})")) % TAILS).cast("int").alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():

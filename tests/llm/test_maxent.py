@@ -47,8 +47,8 @@ def test_counts_and_base_score_as_by_brute_force(spark):
 
 
 def test_words_that_tasks_do_not_hold_meet_their_counts_in_the_join(spark):
-    rows = [(k, " ".join(f"w{(k * j) % 1500}" for j in range(60))) for k in range(150)]
-    few, many = (scored(spark, rows, range(100), held=held, updates=2)[1] for held in (M.HOT + 10, 4000))
+    rows = [(k, " ".join([f"w{(k * 50 + j) % 600}" for j in range(50)] + [f"r{(k * 8 + j) % 900}" for j in range(8)])) for k in range(120)]
+    few, many = (scored(spark, rows, range(100), held=held, updates=2)[1] for held in (700, 4000))
     results = [sorted((r["doc_id"], r["n_known"], round(r["base_score"], 8), round(r["score"], 5)) for r in got) for got in (few, many)]
     assert results[0] == results[1]
 
