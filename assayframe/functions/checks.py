@@ -276,7 +276,9 @@ def one_of(answer: Answer, params: Mapping[str, Any]) -> Column:
     return token.isin(*options) if params.get("case_sensitive") else F.lower(token).isin(*(o.lower() for o in options))
 
 
+# What counts as a number, and the phrases that announce an answer.
 _NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+_ANNOUNCED = r"final answer|the answer is|answer\s*[:=]|answer is"
 
 
 def final_number(answer: Column) -> Column:
@@ -291,7 +293,7 @@ def final_number(answer: Column) -> Column:
 
     on_last = numbers(last(X.lines(clean)))
     boxes = F.filter(F.regexp_extract_all(clean, F.lit(r"\\boxed\s*\{([^}]*)\}"), F.lit(1)), lambda b: b.rlike(_NUMBER))
-    marker = r"(?is)^.*(?:final answer|the answer is|answer\s*[:=]|answer is)"
+    marker = f"(?is)^.*(?:{_ANNOUNCED})"
     after = F.when(clean.rlike(marker), F.regexp_replace(clean, marker, ""))
     found = F.coalesce(
         F.when(F.size(on_last) == 1, on_last[0]), F.get(numbers(last(boxes)), F.lit(0)), F.get(numbers(after), F.lit(0)), last(on_last), last(numbers(clean))

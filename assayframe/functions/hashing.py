@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_hash(content: Column, length: int = 12) -> Column:
@@ -15,6 +16,69 @@ def record_hash(length: int = 12, **fields: Column) -> Column:
     return content_hash(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(fields.items()))), {"ignoreNullFields": "false"}), length)
 
 
+# The short escapes of JSON's strings.
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def _quoted(text: Column) -> Column:
+    """A string of JSON: short escapes where there are some, other control characters as \\u00xx, all else as it is."""
+    out = text
+    for raw, escaped in (*_ESCAPES, *((chr(k), f"\\u{k:04x}") for k in range(32) if chr(k) not in "\b\f\n\r\t")):
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    odd = text.rlike("[\"\\\\\\x00-\\x1f]")
+    return F.concat(F.lit('"'), F.when(odd, out).otherwise(text), F.lit('"'))
+
+
+def _real(value: Column) -> Column:
+    """A double in the fewest digits, plain from 0.0001 up to 1e16, else with an exponent of two digits at least."""
+    text = value.cast("double").cast("string")
+    sign, digits = F.when(text.startswith("-"), "-").otherwise(""), F.regexp_extract(text, r"^-?(\d+)\.(\d+)E(-?\d+)$", 1)
+    fraction, exponent = F.regexp_extract(text, r"\.(\d+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    fraction = F.when(fraction == "0", "").otherwise(fraction)
+    large = F.concat(sign, digits, F.rpad(fraction, exponent, "0"), F.lit(".0"))
+    split = F.concat(sign, digits, F.substr(fraction, F.lit(1), exponent), F.lit("."), F.substr(fraction, exponent + 1, F.length(fraction)))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits, fraction)
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"))
+    other = F.concat(sign, digits, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("e"), power)
+    moved = F.when(exponent.between(0, 15) & (F.length(fraction) <= exponent), large).when(exponent.between(0, 15), split).when(exponent.between(-4, -1), small).otherwise(other)
+    return F.when(exponent.isNull(), F.when(text == "Infinity", "Infinity").when(text == "-Infinity", "-Infinity").otherwise(text)).otherwise(moved)
+
+
+def canonical_json(value: Column, kind: T.DataType, compact: bool = False) -> Column:
+    """A value of any type as JSON with sorted keys at every depth: fields of structs and entries of maps by name, lists in their order, nulls kept.
+
+    Driven by the schema, all in built-in expressions. compact: no space behind commas and colons.
+    """
+    comma, colon = (",", ":") if compact else (", ", ": ")
+
+    def of(v: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            fields = sorted(t.fields, key=lambda f: f.name)
+            parts = [F.concat(_quoted(F.lit(f.name)), F.lit(colon), of(v.getField(f.name), f.dataType)) for f in fields]
+            text = F.concat(F.lit("{"), F.concat_ws(comma, *parts) if parts else F.lit(""), F.lit("}"))
+        elif isinstance(t, T.MapType):
+            entries = F.transform(F.array_sort(F.map_keys(v)), lambda k: F.concat(_quoted(k.cast("string")), F.lit(colon), of(F.element_at(v, k), t.valueType)))
+            text = F.concat(F.lit("{"), F.array_join(entries, comma), F.lit("}"))
+        elif isinstance(t, T.ArrayType):
+            text = F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: of(x, t.elementType)), comma), F.lit("]"))
+        elif isinstance(t, T.BooleanType):
+            text = v.cast("string")
+        elif isinstance(t, T.IntegralType):
+            text = v.cast("string")
+        elif isinstance(t, T.DoubleType | T.FloatType):
+            text = _real(v)
+        else:
+            text = _quoted(v.cast("string"))
+        return F.when(v.isNotNull(), text).otherwise("null")
+
+    return of(value, kind)
+
+
+def nested_hash(value: Column, kind: T.DataType, length: int = 12) -> Column:
+    """content_hash of a nested value, whatever the order in which its fields and entries come."""
+    return content_hash(canonical_json(value, kind), length)
+
+
 def case_seed(case_id: Column, base_seed: int | Column) -> Column:
     """A seed of 32 bits for each case."""
     base = base_seed if isinstance(base_seed, Column) else F.lit(base_seed)

@@ -137,6 +137,7 @@ def technical_failure(answer_error: Column, answer: Column, call_error: Column,
     case's dimensions it failed on. A case that it found unscorable is a technical failure only if the answer was cut off.
     """
     said = unscorable == "unscorable"
+    # The wordings of failures.
     return (
         F.when(F.coalesce(answer_error, F.lit("")) != "", F.concat(F.lit("no answer was produced: "), answer_error))
         .when(F.trim(F.coalesce(answer, F.lit(""))) == "", "empty answer")

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from assayframe.operators import authoring as W
 from assayframe.operators import validate as R
 from assayframe.plans.registry import query
-from assayframe.plans.texts import _KEPT, LEXICAL, NORMAL, _term
+from assayframe.plans.texts import LEXICAL, NORMAL, _term, sentences_sql
 from assayframe.sources.adapters import table
 
 CUES = ("than", "sch")
 _KIND_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'negative_control' ELSE 'standard' END"
 _UNCUED = "NOT (" + " OR ".join(_term(t, True) for t in CUES) + ")"
-_SENTENCES = f"len(list_filter(regexp_extract_all({_KEPT}, '[^.!?]+(?:[.!?]+[\"'')\\]]*|$)'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]')))"
 OVERLAP = 0.5
 
 
@@ -23,13 +22,13 @@ def _violations_sql(source: str, key: str, rules: dict[str, str], more: str = ""
 
 
 _FAMILY_RULES = {
-    "uncued": _UNCUED, "three_to_eight_sentences": f"provenance <> 'authored' OR {_SENTENCES} BETWEEN 3 AND 8", "says_why_it_is_hard": "provenance <> 'authored' OR trim(coalesce(notes, '')) <> ''",
+    "uncued": _UNCUED, "three_to_eight_sentences": f"provenance <> 'authored' OR sentences BETWEEN 3 AND 8", "says_why_it_is_hard": "provenance <> 'authored' OR trim(coalesce(notes, '')) <> ''",
     "principles_in_play": "kind = 'negative_control' OR doc_id % 5 <> 0",
 }
 
 
 @query(
-    f"WITH f AS (SELECT doc_id, text, {NORMAL} AS s, {_KIND_SQL} AS kind, CASE WHEN doc_id % 2 = 0 THEN 'authored' ELSE 'external' END AS provenance, CASE doc_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'hard' END AS notes FROM documents), {LEXICAL} "
+    f"WITH f AS (SELECT doc_id, text, {NORMAL} AS s, {_KIND_SQL} AS kind, CASE WHEN doc_id % 2 = 0 THEN 'authored' ELSE 'external' END AS provenance, CASE doc_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'hard' END AS notes, sentences FROM documents JOIN ({sentences_sql('documents', 'doc_id')}) USING (doc_id)), {LEXICAL} "
     + _violations_sql("f", "doc_id", _FAMILY_RULES)
     + f" UNION ALL SELECT case_id::VARCHAR, 'apart_from_training', best_id::VARCHAR FROM r WHERE similarity >= {OVERLAP}"
 )

@@ -115,8 +115,8 @@ def divergence_note(summary: Mapping[str, float | None] | None, rival_cases: int
     return told
 
 
-def full_report(title: str, tables: Mapping[str, Sequence[Row]], limit: int = 60) -> str:
-    """All sections in their order, whatever tables there are; a table of more rows than the limit says how many it leaves out."""
+def full_report(title: str, tables: Mapping[str, Sequence[Row]], limit: int = 60, totals: Mapping[str, int] | None = None) -> str:
+    """All sections in their order, whatever tables there are; a table of more rows than the limit says how many it leaves out. totals: rows of the tables that aren't given whole."""
     out = [f"# {title}", ""]
     for heading, first, names in SECTIONS:
         out += [f"## {heading}", "", first, ""]
@@ -124,20 +124,23 @@ def full_report(title: str, tables: Mapping[str, Sequence[Row]], limit: int = 60
             rows = tables.get(name) or []
             out += [f"### {name.replace('_', ' ')}", ""]
             out += table(rows[:limit], rows[0].__fields__) if rows else ["No rows."]
-            out += ([f"{len(rows) - limit} more rows."] if len(rows) > limit else []) + [""]
+            n = max(len(rows), (totals or {}).get(name, 0))
+            out += ([f"{n - limit} more rows."] if n > limit else []) + [""]
     return "\n".join(out).rstrip() + "\n"
 
 
 def run_report(spark: SparkSession, sf_dir: str, title: str = "Run", limit: int = 60) -> str:
-    """The report over the tables of a run, with the first rows of each query up to the limit."""
+    """The report over the tables of a run, with the first rows of each query up to the limit, and how many there are beyond."""
     from assayframe.plans import catalogue
 
-    known, tables = catalogue.queries(), {}
+    known, tables, totals = catalogue.queries(), {}, {}
     for _, _, names in SECTIONS:
         for name in names:
             df = known[name](spark, sf_dir)
-            tables[name] = df.orderBy(*(c for c, kind in df.dtypes if kind != "map")).limit(limit).collect()
-    return full_report(title, tables, limit)
+            tables[name] = df.orderBy(*(c for c, kind in df.dtypes if kind != "map")).limit(limit + 1).collect()
+            if len(tables[name]) > limit:
+                totals[name] = df.count()
+    return full_report(title, tables, limit, totals)
 
 
 def save_report(spark: SparkSession, text: str, path: str) -> None:

@@ -26,9 +26,23 @@ def _term(term: str, stemmed: bool = False) -> str:
     return f"regexp_matches(s, '(^|[^\\p{{L}}\\p{{N}}_]){term}{end}([^\\p{{L}}\\p{{N}}_]|$)')"
 
 
-#: Sentences in SQL: full stops that end none become another character before the text is cut.
-_KEPT = "regexp_replace(replace(regexp_replace(text, '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '...', chr(1) || chr(1) || chr(1)), '(?i)(^|[^a-z])(" + "|".join(a.replace(".", "\\.") for a in sorted(X.ABBREVIATIONS, key=len, reverse=True)) + ")\\.', '\\1\\2' || chr(1), 'g')"
+_SHORT = "|".join(a for a in X.ABBREVIATIONS if "." not in a)
+_RUN = "[.!?]+[\"'')\\]]*"
 
+
+def sentences_sql(source: str, key: str) -> str:
+    """A select of key and sentences: pieces between runs of end marks are counted that hold a letter or digit, pieces joined by a run that ends nothing counting once.
+
+    A run ends nothing if it is the point of a decimal (of points that follow each other in a row of single digits every second is one), or is an ellipsis, or stands behind an abbreviation.
+    """
+    return f"""SELECT {key}, len(list_distinct(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN regexp_matches(g[i], '[\\p{{L}}\\p{{N}}]') THEN len(list_filter(ends[:i - 1], lambda e: e)) END))) AS sentences FROM (
+    SELECT {key}, g, list_transform(range(1, len(r) + 1), lambda i: NOT (point[i] AND (i - list_max(list_filter(range(1, i + 1), lambda j: NOT (j > 1 AND length(g[j]) = 1 AND coalesce(point[j - 1], false))))) % 2 = 0
+        OR ends_with(rtrim(r[i], '"'')]'), '...') OR starts_with(r[i], '.') AND regexp_matches(g[i], '(?i)(^|[^a-z])({_SHORT})$'))) AS ends FROM (
+      SELECT {key}, g, r, list_transform(range(1, len(r) + 1), lambda i: r[i] = '.' AND regexp_matches(g[i], '[0-9]$') AND regexp_matches(g[i + 1], '^[0-9]')) AS point FROM (
+        SELECT {key}, regexp_split_to_array(t, '{_RUN}') AS g, regexp_extract_all(t, '{_RUN}') AS r FROM (SELECT {key}, regexp_replace(text, '(?i)(^|[^a-z])([ei])\\.([eg])\\.', '\\1\\2\\3 ', 'g') AS t FROM {source}))))"""
+
+
+_LISTED = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in names)
 CHECKS = (
     ("forbidden_terms", {"terms": FORBIDDEN}),
     ("must_mention_all", {"terms": MENTIONED}),
@@ -129,20 +143,27 @@ def numbered_list(spark: SparkSession, d: str) -> DataFrame:
 _JSON = {"required_keys": ["k", "note"], "types": {"k": "number", "note": "string"}, "enums": {"note": ["a", "b c d", "yes"]}, "max_words": {"note": 2}}
 
 
+_ANSWERS = (
+    '{"k": 1, "note": "a"}', '{"k": true, "note": "a"}', '{"k": 2.5, "note": "b c d"}', "no {json", '{"k": 1, "note": "a"} and more', '{"k": 1, "note": "a"}}', '{"k": 1, "note": "a"}{"b": 2}', 'So: {"k": 3, "note": "} b {"} it is',
+    '[{"k": 1}]', '1, "w": {"k": 1}', '{"k": 1, "note": "yes \\" }"} end',
+)
+
+
 @query(
-    """WITH j AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": 1, "note": "a"}' WHEN 2 THEN '{"k": true, "note": "a"}' WHEN 3 THEN '{"k": 2.5, "note": "b c d"}' WHEN 4 THEN '```json' || chr(10) || '{"k": ' || event_id || ', "note": "yes"}' || chr(10) || '```' ELSE 'no {json' END AS t FROM events),
-u AS (SELECT event_id, regexp_replace(regexp_replace(t, '^```json\\n', ''), '\\n```$', '') AS t FROM j), v AS (SELECT event_id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM u)
-SELECT event_id, coalesce(json_type(j) = 'OBJECT', false) AS is_object, coalesce(json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'k') AND list_contains(json_keys(j), 'note') AND json_type(j, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(j, '$.note') = 'VARCHAR'
-   AND j->>'$.note' IN ('a', 'b c d', 'yes') AND len(string_split(j->>'$.note', ' ')) <= 2, false) AS fits FROM v"""
+    f"""WITH j AS (SELECT event_id, CASE event_id % 13 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || '{{"k": ' || event_id || ', "note": "yes"}}' || chr(10) || '```' ELSE [{_LISTED(_ANSWERS)}][(event_id % 13) - 1] END AS t FROM events),
+u AS (SELECT event_id, regexp_replace(regexp_replace(t, '^```json\\n', ''), '\\n```$', '') AS t FROM j),
+p AS (SELECT *, list_filter(list_transform(range(instr(t, '{{'), length(t) + 1), lambda i: CASE WHEN i > 0 AND t[i] = '}}' THEN substr(t, instr(t, '{{'), i - instr(t, '{{') + 1) END), lambda x: x IS NOT NULL AND json_valid(x))[1] AS part FROM u),
+v AS (SELECT event_id, CASE WHEN json_valid(t) THEN t::JSON END AS j, CASE WHEN json_valid(t) THEN t::JSON ELSE part::JSON END AS w FROM p)
+SELECT event_id, coalesce(json_type(j) = 'OBJECT', false) AS is_object, coalesce(json_type(w) = 'OBJECT', false) AS within, coalesce(json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'k') AND list_contains(json_keys(j), 'note') AND json_type(j, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+   AND json_type(j, '$.note') = 'VARCHAR' AND j->>'$.note' IN ('a', 'b c d', 'yes') AND len(string_split(j->>'$.note', ' ')) <= 2, false) AS fits FROM v"""
 )
 def json_object_check(spark: SparkSession, d: str) -> DataFrame:
-    """Answers that should be JSON objects, and whether they have the keys, types, values and lengths asked for."""
-    i = F.col("event_id") % 6
-    said = (
-        F.when(i == 0, F.col("props")).when(i == 1, '{"k": 1, "note": "a"}').when(i == 2, '{"k": true, "note": "a"}').when(i == 3, '{"k": 2.5, "note": "b c d"}')
-        .when(i == 4, F.concat(F.lit('```json\n{"k": '), F.col("event_id").cast("string"), F.lit(', "note": "yes"}\n```'))).otherwise("no {json")
-    )
-    return table(spark, d, "events").select("event_id", K.verify("json_object", said, {}).alias("is_object"), K.verify("json_object", said, _JSON).alias("fits"))
+    """Answers that should be JSON objects: whether they are, hold one, and have the keys, types, values and lengths asked for."""
+    i = F.col("event_id") % 13
+    fenced = F.concat(F.lit('```json\n{"k": '), F.col("event_id").cast("string"), F.lit(', "note": "yes"}\n```'))
+    said = F.when(i == 0, F.col("props")).when(i == 1, fenced).otherwise(F.get(F.array(*map(F.lit, _ANSWERS)), (i - 2).cast("int")))
+    cells = {"is_object": {}, "within": {"allow_surrounding_text": True}, "fits": _JSON}
+    return table(spark, d, "events").select("event_id", *(K.verify("json_object", said, p).alias(n) for n, p in cells.items()))
 
 
 _NUM = "'-?[0-9][0-9,]*(?:\\.[0-9]+)?'"
@@ -171,7 +192,7 @@ def numeric_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.coalesce(F.abs(number - F.round("value", 2)) < 1e-6, F.lit(False)).alias("passed"), F.round(number, 2).alias("number"))
 
 
-@query(f"SELECT doc_id, len(list_filter(regexp_extract_all({_KEPT}, '[^.!?]+(?:[.!?]+[\"'')\\]]*|$)'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]')))::INT AS sentences FROM documents")
+@query(f"SELECT doc_id, sentences::INT AS sentences FROM ({sentences_sql('documents', 'doc_id')})")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
@@ -191,8 +212,21 @@ def quote_verify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", J.verify_quote(F.col("text"), quote).alias("verified"))
 
 
+_WIDE = ("abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")
+
+
+@query(f"""WITH q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Die Straße im Süden ist heute gesperrt' WHEN 1 THEN 'the ﬁrst ofﬁce is closed today' ELSE substr(text, 1, 60) END AS a, item_id % 4 AS k, substr(text, 1, 60) AS text FROM benchmark),
+n AS (SELECT item_id, k, {NORMAL} AS s FROM q)
+SELECT item_id, CASE k WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN length(trim(substr(s, 1, 40))) >= 12 AND len(list_filter(string_split(trim(substr(s, 1, 40)), ' '), lambda w: w <> '')) >= 3 ELSE false END AS verified FROM n""")
+def folded_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotations in other forms of the same letters: ss for ß, letters for ligatures, full-width ones; and some that aren't there."""
+    k, text = F.col("item_id") % 4, F.substring("text", 1, 60)
+    answer = F.when(k == 0, "Die Straße im Süden ist heute gesperrt").when(k == 1, "the ﬁrst ofﬁce is closed today").otherwise(text)
+    quote = F.when(k == 0, "DIE STRASSE IM SÜDEN").when(k == 1, "the first office").when(k == 2, F.translate(F.lower(F.substring("text", 1, 40)), *_WIDE)).otherwise("words that no item ever says")
+    return table(spark, d, "benchmark").select("item_id", J.verify_quote(answer, quote).alias("verified"))
+
+
 _RAW = ("No.", "N/A.", "0", "cut off by the limit", "yes", "hm", "none of these apply", None, "  Unscorable! ", "-", "never", "the answer is empty", "'na'")
-_LISTED = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in names)
 #: unscorable_verdict in SQL, of a column raw.
 UNSCORABLE_SQL = f"""CASE WHEN raw IS NULL OR k IN ({_LISTED(J.NEGATIVES)}) THEN 'scorable' WHEN k IN ({_LISTED(J.AFFIRMATIVES)}) THEN 'unscorable' WHEN regexp_matches(k, '^(?:no|none|not|never|nothing|n/?a)\\b') THEN 'scorable'
  WHEN len(list_filter(string_split(k, ' '), lambda w: w <> '')) >= 2 THEN 'unscorable' ELSE 'unrecognised' END"""
@@ -232,7 +266,8 @@ def rubric_flag_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(read["items"], ",").alias("items"), F.size(read["dropped"]).cast("long").alias("dropped"))
 
 
-_CODE = ("```python\ndef area(a, b):\n    return a * b\n```", "def area(a):\n    print(a)", "def volume(a):\n    return a", "area = 3")
+_CODE = ("```python\ndef area(a, b):\n    return a * b\n```", "def area(a):\n    print(a)", "def volume(a):\n    return a", "area = 3", "def area(a):\n    return (", "s = 'def area(a): return 1'", "def area(a):\n    raise NotImplementedError\n    return a",
+         "Look:\n```\nx = 1\n```\nthen\n```py\ndef area(a, *b):\n    if a:\n        return a\n    return b\n```")
 _MORE = {
     "exact_words": ("exact_words", {"count": 300}, "w = 300"), "exact_sentences": ("exact_sentences", {"count": 7}, "sentences = 7"), "one_of": ("one_of", {"options": ["Yes", "no"]}, "lower(tok) IN ('yes', 'no')"),
     "all_of": ("all_of", {"checks": [{"kind": "min_words", "params": {"count": 20}}, {"kind": "forbidden_letter", "params": {"letter": "ß"}}]}, "w >= 20 AND NOT contains(lower(t), 'ß')"),
@@ -241,13 +276,12 @@ _MORE = {
 
 @query(
     f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '"Yes."' WHEN 1 THEN ' no! ' ELSE text END AS text FROM documents), n AS (SELECT doc_id, text AS t, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS w,
-  len(list_filter(regexp_extract_all({{KEPT}}, '[^.!?]+(?:[.!?]+[\"'')\\]]*|$)'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]'))) AS sentences,
-  trim(regexp_replace(trim(regexp_replace(trim(text), '^["''`‘’“”]+|["''`‘’“”]+$', '', 'g')), '[.,!?;:…]+$', '')) AS tok FROM d) SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, _, sql) in _MORE.items())}, doc_id % 4 = 0 AS python_function FROM n""".replace("{KEPT}", _KEPT)
+  trim(regexp_replace(trim(regexp_replace(trim(text), '^["''`‘’“”]+|["''`‘’“”]+$', '', 'g')), '[.,!?;:…]+$', '')) AS tok, e.sentences FROM d JOIN (__SENT__) e USING (doc_id)) SELECT doc_id, {', '.join(f'{sql} AS {name}' for name, (_, _, sql) in _MORE.items())}, doc_id % 8 IN (0, 7) AS python_function FROM n""".replace("__SENT__", sentences_sql("d", "doc_id"))
 )
 def more_verifiers(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id") % 4
     said = table(spark, d, "documents").select("doc_id", F.when(i == 0, '"Yes."').when(i == 1, " no! ").otherwise(F.col("text")).alias("text"))
-    code = K.verify("python_function", F.get(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 4).cast("int")), {"entry_point": "area"})
+    code = K.verify("python_function", F.get(F.array(*map(F.lit, _CODE)), (F.col("doc_id") % 8).cast("int")), {"entry_point": "area"})
     return K.verify_all(said, {name: (kind, p) for name, (kind, p, _) in _MORE.items()}).withColumn("python_function", code)
 
 
@@ -261,7 +295,7 @@ def allowed_terms(spark: SparkSession, d: str) -> DataFrame:
 # Entries of a grader: whether the dimension is there and applies, the raw score, the quotation, and what it rests on.
 _ANSWER = "An answer about something else, which keeps the promise that was made."
 _QUOTES = ("", "a quotation that is not there at all", "keeps the promise that", "too short", "keeps the ... that was made", "  ", "KEEPS the promise   that")
-_SCORES = ("2", "7", "0", "1.9", "x", " 1 ")
+_SCORES = ("2", "7", "0", "1.9", "x", " 1 ", "1e10", "nan", "-inf", "99999999999", "1e0")
 
 
 def _verified_sql(q: str, h: str) -> str:
@@ -270,7 +304,7 @@ def _verified_sql(q: str, h: str) -> str:
   AND instr({h}, f[1]) > 0 AND (len(f) < 2 OR instr(substr({h}, instr({h}, f[1]) + length(f[1])), f[2]) > 0) FROM (SELECT f, array_to_string(f, ' ') AS c FROM (SELECT list_filter(list_transform(string_split({q}, '...'), lambda x: trim(x)), lambda x: x <> '') AS f)))"""
 
 
-_SCORE_SQL = "CASE WHEN trunc(try_cast(trim(raw) AS DOUBLE))::INT IN (0, 1, 2) THEN trunc(try_cast(trim(raw) AS DOUBLE))::INT END"
+_SCORE_SQL = "CASE WHEN try_cast(trunc(try_cast(trim(raw) AS DOUBLE)) AS INT) IN (0, 1, 2) THEN try_cast(trunc(try_cast(trim(raw) AS DOUBLE)) AS INT) END"
 
 
 @query(

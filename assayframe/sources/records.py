@@ -112,19 +112,23 @@ def as_json(df: DataFrame, column: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias(column))
 
 
-def record_stage(spark: SparkSession, path: str, run_id: str, stage: str, payload: dict, at: str) -> None:
-    """Adds what a stage of a run says to the stored record; a later entry of the stage takes its place."""
-    import json
+def merge_record(record: dict, stage: str, payload: dict) -> dict:
+    """A run's record with one stage set; other stages stay."""
+    return {**record, "stages": {**record.get("stages", {}), stage: payload}}
 
-    spark.createDataFrame([(run_id, stage, at, json.dumps(payload, sort_keys=True))], "run_id string, stage string, at string, payload string").coalesce(1).write.mode("append").json(path)
 
+def save_done(rows: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Stores rows as a bucketed table, so that later joins on the key at as many partitions leave them where they are."""
+    writer = rows.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
-def run_record(spark: SparkSession, path: str) -> DataFrame:
-    """run_id, stage, at, payload: the latest entry of each stage of each run."""
-    rows = read_records(spark, path, "run_id string, stage string, at string, payload string")
-    return rows.groupBy("run_id", "stage").agg(F.max(F.struct("at", "payload")).alias("r")).select("run_id", "stage", "r.*")
 
+def pending(items: DataFrame, done: str, key: str, buckets: int) -> DataFrame:
+    """The items that a resumed stage has yet to do. Only they are shuffled, to the buckets of what is done, which isn't moved."""
+    keys = items.sparkSession.table(done).select(key)
+    return items.repartition(buckets, key).join(keys.hint("merge"), key, "left_anti")
 
-def merge_record(record: dict, stage: str, payload: dict) -> dict:
-    """A run's record with one stage set; other stages stay."""
-    return {**record, "stages": {**record.get("stages", {}), stage: payload}}
+
+def resumed(done: DataFrame, new: DataFrame) -> DataFrame:
+    """What a resumed stage writes: the rows done before, all kept, and the new ones."""
+    return done.unionByName(new, allowMissingColumns=True)

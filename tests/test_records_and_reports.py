@@ -1,12 +1,18 @@
 """Answer files, run records and reports."""
 
+import hashlib
 import json
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from assayframe.functions import hashing as H
 from assayframe.plans import report as R
 from assayframe.sources import records as I
+from assayframe.sources import run_records as RR
 
 
 def test_answers_need_their_keys(spark, tmp_path):
@@ -31,10 +37,66 @@ def test_rows_as_json_keep_nulls(spark):
 
 def test_run_record_keeps_the_latest_of_each_stage(spark, tmp_path):
     path = str(tmp_path / "record")
-    assert I.run_record(spark, path).count() == 0
+    assert RR.run_record(spark, path).count() == 0
     for at, stage, n in (("2024-01-01", "answer", 1), ("2024-01-02", "judge", 2), ("2024-01-03", "answer", 3)):
-        I.record_stage(spark, path, "r", stage, {"n": n}, at)
-    assert {r["stage"]: json.loads(r["payload"])["n"] for r in I.run_record(spark, path).collect()} == {"answer": 3, "judge": 2}
+        RR.record_stage(spark, path, "r", stage, {"n": n}, at)
+    assert {r["stage"]: json.loads(r["payload"])["n"] for r in RR.run_record(spark, path).collect()} == {"answer": 3, "judge": 2}
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_writers_at_once_lose_nothing_and_the_later_write_wins(spark, tmp_path, monkeypatch, local):
+    path, begin = str(tmp_path / "record"), RR.Store.__init__
+
+    def opened(self, *args):
+        begin(self, *args)
+        self.local = local
+
+    monkeypatch.setattr(RR.Store, "__init__", opened)
+    if local:
+        with ThreadPoolExecutor(6) as pool:
+            list(pool.map(lambda k: RR.record_stage(spark, path, "r", f"s{k % 8}", {"n": k}, "same"), range(24)))
+    else:
+        for k in range(24):
+            RR.record_stage(spark, path, "r", f"s{k % 8}", {"n": k}, "same")
+    store = RR.Store(spark, path, "r")
+    number, record = store.latest()
+    assert number == 24 and len(record["stages"]) == 8 and len(store.numbers()) <= RR.KEEP + 6
+    assert not store.claim(24, {"lost": True}) and store.latest()[1] == record
+    RR.record_stage(spark, path, "r", "s0", {"n": "A"}, "earlier by its clock")
+    RR.record_stage(spark, path, "q", "s0", {"n": 1}, "x")
+    rows = {(r["run_id"], r["stage"]): (r["at"], r["payload"]) for r in RR.run_record(spark, path).collect()}
+    assert rows["r", "s0"] == ("earlier by its clock", '{"n": "A"}') and len(rows) == 9
+
+
+def test_resuming_moves_nothing_that_is_done(spark, tmp_path):
+    done = spark.range(0, 500, 2).select(F.col("id").alias("key"), F.lit("old").alias("note"))
+    I.save_done(done, "resumed_stage", "key", 4, str(tmp_path / "done"))
+    items = spark.range(300).withColumnRenamed("id", "key")
+    with_plans = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    open_items = I.pending(items, "resumed_stage", "key", 4)
+    plan = open_items._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan") :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in scan.split("\n", 1)[0]
+    assert plan.index("Exchange hashpartitioning") < plan.index("FileScan")  # on the items' side alone
+    rows = I.resumed(spark.table("resumed_stage"), open_items.withColumn("note", F.lit("new"))).collect()
+    assert sorted((r["key"], r["note"]) for r in rows) == sorted([(k, "old") for k in range(0, 500, 2)] + [(k, "new") for k in range(1, 300, 2)])
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == with_plans
+    spark.sql("DROP TABLE resumed_stage")
+
+
+def test_canonical_json_as_by_sorted_keys(spark):
+    rows = [
+        {"z": 'q"\\\n\x1fü\u2028\\u001f', "a": {"y": [{"q": 1, "b": 1.5}, {"q": None, "b": 1e7}, None], "c": True, "B": {"z": ["x"], "A": None, "é": []}}, "m": {"k2": {"k": 5, "a": None}, "k1": None}, "e": []},
+        {"z": None, "a": None, "m": {}, "e": [3, None, 1]},
+        {"z": "", "a": {"y": [{"q": -7, "b": b} for b in (1e16, 12345678.25, 1.25e-5, 0.00012, -3e21, 0.0, 1e-10, 123456789012.0)], "c": False, "B": {}}, "m": None, "e": None},
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r struct<z:string,a:struct<y:array<struct<q:int,b:double>>,c:boolean,B:map<string,array<string>>>,m:map<string,struct<k:bigint,a:string>>,e:array<int>>")
+    got = [r[0] for r in df.orderBy("i").select(H.canonical_json(F.col("r"), df.schema["r"].dataType)).collect()]
+    assert got == [json.dumps(r, sort_keys=True, ensure_ascii=False) for r in rows]
+    hashes = [r[0] for r in df.orderBy("i").select(H.nested_hash(F.col("r"), df.schema["r"].dataType)).collect()]
+    assert hashes == [hashlib.sha256(g.encode()).hexdigest()[:12] for g in got]
+    moved = df.select("i", F.struct("r.m", "r.e", "r.a", "r.z").alias("r"))
+    assert [r[0] for r in moved.orderBy("i").select(H.nested_hash(F.col("r"), moved.schema["r"].dataType)).collect()] == hashes
 
 
 def test_sections_are_all_there_in_order():
@@ -47,6 +109,7 @@ def test_sections_are_all_there_in_order():
 def test_report_over_tables(spark, small, tmp_path):
     text = R.run_report(spark, small, limit=5)
     assert text.count("\n## ") == 14 and "| arm | dimension |" in text
+    assert re.search(r"\n[1-9][0-9]* more rows\.\n", text)  # tables beyond the limit say so
     R.save_report(spark, text, str(tmp_path / "report"))
     assert "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()).startswith("# Run")
 
