@@ -10,8 +10,10 @@ level's bound for each component not met yet. The search stops when these bounds
 that so few vectors can still be among the k best that rescoring them exactly reads
 fewer components than the postings left, which is never so while all are possible;
 where the bounds never part them, all segments are processed and the sums are the scores.
-Each pair of a query block and a vector block gives its own k best, and a ranking cut
-to k a query joins the blocks.
+Blocks hold vectors near the same pivot, of a bounded sample. The least and the greatest value of
+each component in a block bound every score in it. A query goes first to the block of the greatest
+bound, and then only to blocks whose bound reaches the k-th score found there. A block is sent
+once for each of the two, and its queries stream past it; a ranking cut to k a query joins what they give.
 
 Defined results: vectors null, empty, or holding null or non-finite components take no
 part, neither as queries nor as candidates; vectors are compared with those of equal
@@ -36,6 +38,9 @@ SCALE = 1024
 #: Components of a block's vectors together: 4 MB in each of the index's three arrays.
 BLOCK_VALUES = 524_288
 QUERY_BLOCK = 256
+#: Vectors sampled as pivots at most, and blocks whose ranges are kept in one row.
+PIVOTS = 64
+RANGE_BLOCKS = 512
 LEVELS = 32
 
 INDEX = "block int, width int, ids binary, matrix binary, places binary, sorted binary"
@@ -66,11 +71,41 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def build_index(vectors: DataFrame, block: int | None = None) -> DataFrame:
+def _near(pivots: np.ndarray):
+    """The pivot nearest to each vector by direction; vectors of another width have none."""
+
+    @F.pandas_udf("int")
+    def run(vectors: pd.Series) -> pd.Series:
+        out = np.full(len(vectors), -1, dtype=np.int32)
+        fit = np.flatnonzero(vectors.map(len).to_numpy() == pivots.shape[1])
+        if len(fit):
+            out[fit] = (np.stack(vectors.iloc[fit].to_numpy()).astype(np.float64) @ pivots.T).argmax(axis=1)
+        return pd.Series(out)
+
+    return run
+
+
+def _tour(points: np.ndarray) -> np.ndarray:
+    """Pivots in such an order that each is followed by the nearest of those left, so that neighbours come into one block."""
+    order, left = [0], set(range(1, len(points)))
+    while left:
+        order.append(max(left, key=lambda j: (float(points[order[-1]] @ points[j]), -j)))
+        left.remove(order[-1])
+    return points[order]
+
+
+def build_index(vectors: DataFrame, block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """The index of vectors (as of quantised), stored by a checkpoint; blocks count from 0. block: vectors of a block, by default as BLOCK_VALUES allows."""
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n = max(1, math.ceil(size["n"] / (block or max(1, BLOCK_VALUES // (size["width"] or 1)))))
-    return cut(vectors.repartition(n).withColumn("block", F.spark_partition_id()).mapInPandas(_index, INDEX))
+    sample = vectors.where(F.size("v") == (size["width"] or 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect() if n > 1 else []
+    dealt = vectors.repartition(n)
+    if sample:
+        points = np.array([r["v"] for r in sample], dtype=np.float64)
+        points = _tour(points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300))
+        # Ranges of (pivot, place by hash): about as many vectors in each.
+        dealt = vectors.withColumn("pivot", _near(points)("v")).repartitionByRange(n, "pivot", F.xxhash64("vec_id", "v")).drop("pivot")
+    return cut(dealt.withColumn("block", F.spark_partition_id()).mapInPandas(_index, INDEX))
 
 
 def search(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, places: np.ndarray, values: np.ndarray, k: int, own: int, levels: int = LEVELS, room: tuple[np.ndarray, np.ndarray] | None = None, told: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -144,34 +179,93 @@ def _plain(q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, lo: int,
     return ids[may[best]], scores[best]
 
 
-def _search(k: int):
+def _visited(k: int):
+    """The k best of a block for each query that comes behind it in a sorted partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = None
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False):
+                if r.kind == 0:
+                    ids = np.frombuffer(r.ids, np.int64)
+                    shape = (r.width, len(ids))
+                    places = np.frombuffer(r.places, np.int64).reshape(shape)
+                    here = (r.block, r.width, ids, np.frombuffer(r.matrix, np.int64).reshape(len(ids), r.width), places, np.frombuffer(r.sorted, np.float64).reshape(shape), (np.empty(places.size, np.int64), np.empty(places.size)))
+                elif here is not None and here[:2] == (r.block, r.width):
+                    got, scores = search(np.asarray(r.v, dtype=np.int64), *here[2:6], k, int(r.query_id), room=here[6])
+                    found.append(pd.DataFrame({"query_id": int(r.query_id), "vec_id": got, "score": scores}))
+            yield pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+
+    return run
+
+
+def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """group, block, width, low, high: the ends of each component's values in a block."""
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            values = np.frombuffer(r.sorted, np.float64).reshape(r.width, -1)
+            yield pd.DataFrame([(r.block // RANGE_BLOCKS, r.block, r.width, values[:, 0], values[:, -1])], columns=["group", "block", "width", "low", "high"])
+
+
+def _bounds(first: bool):
+    """Of each group of blocks, the block of the greatest bound for a query, or all other blocks whose bound reaches its line."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for r in pdf.itertuples(index=False):
-                ids = np.frombuffer(r.ids, np.int64)
-                matrix = np.frombuffer(r.matrix, np.int64).reshape(len(ids), r.width)
-                places = np.frombuffer(r.places, np.int64).reshape(r.width, len(ids))
-                values = np.frombuffer(r.sorted, np.float64).reshape(r.width, len(ids))
-                found, room = [], (np.empty(places.size, np.int64), np.empty(places.size))
+                low, high = np.stack(r.low), np.stack(r.high)
                 for q in r.queries:
-                    own = int(q["vec_id"])
-                    got, scores = search(np.asarray(q["v"], dtype=np.int64), ids, matrix, places, values, k, own, room=room)
-                    found.append(pd.DataFrame({"query_id": own, "vec_id": got, "score": scores}))
-                yield pd.concat(found)
+                    v = np.asarray(q["v"], dtype=np.float64)
+                    bound = high @ np.maximum(v, 0) + low @ np.minimum(v, 0)
+                    if first:
+                        at = int(bound.argmax())
+                        out.append((q["vec_id"], q["v"], r.blocks[at], r.width, bound[at]))
+                    else:
+                        # Bounds are sums of doubles: a hair more than they come out.
+                        reach = bound + np.abs(bound) * 1e-12 >= q["line"]
+                        out += [(q["vec_id"], q["v"], b, r.width, 0.0) for b, ok in zip(r.blocks, reach, strict=True) if ok and b != q["home"]]
+            yield pd.DataFrame(out, columns=["query_id", "v", "block", "width", "bound"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best of vectors for each row of queries (both as of quantised)."""
+_SENT = "query_id long, v array<long>, block int, width int, bound double"
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None = None, query_block: int = QUERY_BLOCK, told: dict | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best of vectors for each row of queries (both as of quantised). told: gets how many (query, block) there are, and how many are visited."""
     index = build_index(vectors, block)
-    last = index.agg(F.max("block")).first()[0]
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    ranges = index.select("block", "width", "sorted").mapInPandas(_ranges, "group int, block int, width int, low array<double>, high array<double>")
+    ranges = cut(ranges.groupBy("group", "width").agg(*(F.collect_list(c).alias(c + "s" * (c == "block")) for c in ("block", "low", "high"))))
+    last = ranges.agg(F.max("group")).first()[0] or 0
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumns({"home": F.lit(-1), "line": F.lit(0.0)})
     parts = max(1, math.ceil(queries.count() / query_block))
-    # Queries are dealt evenly too; each block of them is sent to each block of vectors by an equi-join.
-    dealt = queries.repartition(parts).groupBy(F.spark_partition_id().alias("part"), F.size("v").alias("width")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    sent = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
-    found = index.join(sent, ["block", "width"]).mapInPandas(_search(k), FOUND)
+
+    def sent(rows: DataFrame, first: bool) -> DataFrame:
+        """Rows of queries for blocks: chunks of queries meet groups of ranges, a few numbers for each block."""
+        dealt = rows.repartition(parts).groupBy(F.spark_partition_id().alias("part"), F.size("v").alias("width")).agg(F.collect_list(F.struct("vec_id", "v", "home", "line")).alias("queries"))
+        pairs = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(ranges, ["group", "width"])
+        return pairs.mapInPandas(_bounds(first), _SENT)
+
+    def visit(rows: DataFrame) -> DataFrame:
+        both = index.withColumn("kind", F.lit(0)).unionByName(rows.select("block", "width", "query_id", "v").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        n = max(1, index.rdd.getNumPartitions())
+        filled = both.withColumn("query_id", F.coalesce("query_id", F.lit(0)))
+        return filled.repartition(n, "block").sortWithinPartitions("block", "width", "kind").mapInPandas(_visited(k), FOUND)
+
+    best = F.max(F.struct("bound", (-F.col("block")).alias("order"))).alias("b")
+    nearest = sent(queries, True)
+    home = cut(nearest.groupBy("query_id").agg(best, F.first("v").alias("v")).select("query_id", "v", (-F.col("b.order")).alias("block"), F.size("v").alias("width")))
+    first = cut(visit(home))
+    # The k-th score found at home; without so many, any score may matter.
+    ranked = first.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n"))
+    lines = home.join(ranked, "query_id", "left").select(F.col("query_id").alias("vec_id"), "v", F.col("block").alias("home"), F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("line"))
+    others = cut(sent(lines, False))
+    if told is not None:
+        told |= {"pairs": home.count() * index.count(), "visited": home.count() + others.count()}
+    found = first.union(visit(others))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -75,3 +75,14 @@ def test_stops_before_the_last_level_and_rescores_few():
             order = [i for i in np.lexsort((np.arange(n), -s)) if i != q][:10]
             assert np.array_equal(got, order) and np.array_equal(scores, s[order])
             assert told["done"] < told["levels"] and told["rescored"] < n // 3
+
+
+def test_blocks_are_skipped_by_their_bounds(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] * 4 + 0.2 * rng.normal(size=16)], "x") for i in range(1200)]
+    v = I.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"))
+    told: dict = {}
+    got = sorted(map(tuple, I.top_k(v, v.where(I.is_query(F.col("vec_id"), 50)), block=60, told=told).collect()))
+    assert got == brute([r[:2] for r in rows], 10, 50)
+    assert told["visited"] < told["pairs"] / 2
