@@ -138,16 +138,16 @@ def unknown_kinds(checks: DataFrame, kind: str = "kind") -> DataFrame:
 
 # --- verifiers of single instructions -------------------------------------------------
 
-_QUOTES = "[\"'`\u2018\u2019\u201c\u201d]+"
-_TRAIL = "[.,!?;:\u2026]+"
+_QUOTES = "\"'`\u2018\u2019\u201c\u201d"
+_TRAIL = ".,!?;:\u2026"
 _MARKS = "[!-/:-@\\[-`{-~\u2014\u2013\u2018\u2019\u201c\u201d\u2026]"
 verifier = lambda kind: register(kind, VERIFIERS)
 
 
 def bare_token(answer: Answer, trailing: bool = True) -> Column:
     """An answer without white space, quotes and, if allowed, punctuation around it."""
-    out = X.collapse_ends(F.regexp_replace(answer.of(X.collapse_ends), f"^{_QUOTES}|{_QUOTES}$", ""))
-    return X.collapse_ends(F.regexp_replace(out, f"{_TRAIL}$", "")) if trailing else out
+    out = X.collapse_ends(F.btrim(answer.of(X.collapse_ends), F.lit(_QUOTES)))
+    return X.collapse_ends(F.rtrim(out, F.lit(_TRAIL))) if trailing else out
 
 
 def unfenced(answer: Answer) -> Column:
@@ -166,7 +166,7 @@ for _kind, _op in (("max_words", "__le__"), ("min_words", "__ge__"), ("exact_wor
 
 @verifier("exact_sentences")
 def exact_sentences(answer: Answer, params: Mapping[str, Any]) -> Column:
-    return F.size(answer.of(X.sentences)) == int(params["count"])
+    return answer.of(X.count_sentences) == int(params["count"])
 
 
 @verifier("all_lowercase")
@@ -267,7 +267,7 @@ def single_word(answer: Answer, params: Mapping[str, Any]) -> Column:
     raw = bare_token(answer, trailing=False)
     if params.get("allow_trailing_punctuation", True):
         return (raw != "") & bare_token(answer).rlike(r"^\S+$")
-    return (raw != "") & raw.rlike(r"^\S+$") & ~raw.rlike(f"{_TRAIL}$")
+    return (raw != "") & raw.rlike(r"^\S+$") & (F.rtrim(raw, F.lit(_TRAIL)) == raw)
 
 
 @verifier("one_of")

@@ -50,7 +50,7 @@ def family_rules(families: DataFrame, cue_terms: Sequence[str]) -> DataFrame:
     families: family_id, kind, provenance, situation, notes, principles_in_play.
     """
     authored, control = F.col("provenance") == "authored", F.col("kind") == CONTROL
-    sentences = F.size(X.sentences(F.col("situation"))).between(MIN_SENTENCES, MAX_SENTENCES)
+    sentences = X.count_sentences(F.col("situation")).between(MIN_SENTENCES, MAX_SENTENCES)
     rules = {
         "uncued": uncued(F.col("situation"), cue_terms),
         "three_to_eight_sentences": ~authored | sentences,

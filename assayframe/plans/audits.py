@@ -14,6 +14,7 @@ from assayframe.plans.scores import DOD_SQL, GAPS_SQL, LF_SQL, _dimension_pairs,
 from assayframe.plans.scores import PAIRS_SQL
 from assayframe.plans.texts import LEXICAL
 from assayframe.plans.verdicts import CAPABILITY_SQL, capability
+from assayframe.session import cut
 from assayframe.sources import adapters as V
 from assayframe.sources.adapters import table, with_views
 
@@ -55,7 +56,8 @@ FROM res LEFT JOIN u ON u.arm = res.arm LEFT JOIN t ON t.arm = res.arm LEFT JOIN
 )
 def integrity_details(spark: SparkSession, d: str) -> DataFrame:
     """What each arm lost, counted, with the first eight cases of each loss."""
-    r = results(spark, d)
+    # Read once: the counts and the three lists go by it.
+    r = cut(results(spark, d))
     lost, long = F.col("technical") | F.col("unscorable"), F.col("len") > LONG_ANSWER
     counts = r.groupBy("arm").agg(
         F.count("*").alias("results"), F.count_if(~lost).alias("graded"), F.count_if("unscorable").alias("unscorable_n"), F.count_if("technical").alias("technical_n"), F.count_if(~lost & (F.col("scored") == 0)).alias("no_scores"),
@@ -234,18 +236,17 @@ SELECT arm, case_id, zero_dimensions, lead_dimension, other_zeros, also_failed_b
 def worst_cases(spark: SparkSession, d: str) -> DataFrame:
     """Results with zeros, the commonest pattern first, each arm having its share of the places; how many of the family and which arms fail too."""
     p = V.primary_scores(spark, d)
-    rows = p.where("score = 0").select("arm", "case_id", "family_id", "dimension")
+    rows = cut(p.where("score = 0").select("arm", "case_id", "family_id", "dimension"))
     counts = rows.groupBy("arm", "dimension").agg(F.count("*").alias("zc"))  # as many as arms times dimensions
     lead = F.max(F.struct("zc", "dimension"))
-    z = rows.join(F.broadcast(counts), ["arm", "dimension"]).groupBy("arm", "case_id").agg(F.first("family_id").alias("family_id"), F.sort_array(F.collect_list("dimension")).alias("dims"), F.count("*").alias("zeros"), lead.alias("lead"))
+    z = cut(rows.join(F.broadcast(counts), ["arm", "dimension"]).groupBy("arm", "case_id").agg(F.first("family_id").alias("family_id"), F.sort_array(F.collect_list("dimension")).alias("dims"), F.count("*").alias("zeros"), lead.alias("lead")))
     siblings = z.groupBy("arm", "family_id").agg((F.count("*") - 1).alias("other_zeros"))
     arms = z.groupBy("case_id").agg(F.sort_array(F.collect_set("arm")).alias("arms"))
     e = z.join(siblings, ["arm", "family_id"]).join(arms, "case_id").select(
         "arm", "case_id", F.array_join("dims", ",").alias("zero_dimensions"), "zeros", F.col("lead.dimension").alias("lead_dimension"), F.col("lead.zc").alias("lead_count"), "other_zeros", F.array_join(F.array_remove("arms", F.col("arm")), ",").alias("also_failed_by")
     )
     order = [F.desc("lead_count"), F.col("lead_dimension"), F.desc("zeros"), F.desc("other_zeros"), F.col("arm"), F.col("case_id")]
-    best = A.quota_top_k(e, "arm", order, 12)
-    n = e.count()
+    best, n = A.quota_top_k(cut(e), "arm", order, 12), z.count()
     return best.select("arm", "case_id", "zero_dimensions", "lead_dimension", "other_zeros", "also_failed_by", "rank", F.lit(n - min(n, 12)).cast("long").alias("omitted"))
 
 

@@ -36,10 +36,10 @@ def sentences_sql(source: str, key: str) -> str:
     A run ends nothing if it is the point of a decimal (of points that follow each other in a row of single digits every second is one), or is an ellipsis, or stands behind an abbreviation.
     """
     return f"""SELECT {key}, len(list_distinct(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN regexp_matches(g[i], '[\\p{{L}}\\p{{N}}]') THEN len(list_filter(ends[:i - 1], lambda e: e)) END))) AS sentences FROM (
-    SELECT {key}, g, list_transform(range(1, len(r) + 1), lambda i: NOT (point[i] AND (i - list_max(list_filter(range(1, i + 1), lambda j: NOT (j > 1 AND length(g[j]) = 1 AND coalesce(point[j - 1], false))))) % 2 = 0
-        OR ends_with(rtrim(r[i], '"'')]'), '...') OR starts_with(r[i], '.') AND regexp_matches(g[i], '(?i)(^|[^a-z])({_SHORT})$'))) AS ends FROM (
+    SELECT {key}, g, list_transform(range(1, len(r) + 1), lambda i: NOT (point[i] AND (i - list_max(list_filter(range(1, i + 1), lambda j: NOT (j > 1 AND length(g[j]) = 1 AND coalesce(point[j - 1], false))))) % 2 = 0)
+        AND replace(CASE WHEN regexp_matches(g[i], '(?i)(^|[^a-z])({_SHORT})$') AND r[i][1] = '.' THEN substr(rtrim(r[i], '"'')]'), 2) ELSE rtrim(r[i], '"'')]') END, '...', '') <> '') AS ends FROM (
       SELECT {key}, g, r, list_transform(range(1, len(r) + 1), lambda i: r[i] = '.' AND regexp_matches(g[i], '[0-9]$') AND regexp_matches(g[i + 1], '^[0-9]')) AS point FROM (
-        SELECT {key}, regexp_split_to_array(t, '{_RUN}') AS g, regexp_extract_all(t, '{_RUN}') AS r FROM (SELECT {key}, regexp_replace(text, '(?i)(^|[^a-z])([ei])\\.([eg])\\.', '\\1\\2\\3 ', 'g') AS t FROM {source}))))"""
+        SELECT {key}, regexp_split_to_array(t, '{_RUN}') AS g, regexp_extract_all(t, '{_RUN}') AS r FROM (SELECT {key}, regexp_replace(regexp_replace(text, '(?i)(^|[^a-z])e\\.g\\.', '\\1eg ', 'g'), '(?i)(^|[^a-z])i\\.e\\.', '\\1ie ', 'g') AS t FROM {source}))))"""
 
 
 _LISTED = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in names)
@@ -194,7 +194,7 @@ def numeric_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, sentences::INT AS sentences FROM ({sentences_sql('documents', 'doc_id')})")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+    return table(spark, d, "documents").select("doc_id", X.count_sentences(F.col("text")).alias("sentences"))
 
 
 _QUOTE = "substr(text, 11, 40) || ' ... ' || substr(text, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 61 END, 30)"

@@ -83,3 +83,27 @@ def test_records(spark, tmp_path):
 
 def test_run_record_keeps_other_stages():
     assert I.merge_record({"run": 1, "stages": {"a": {"n": 1}}}, "b", {"n": 2}) == {"run": 1, "stages": {"a": {"n": 1}, "b": {"n": 2}}}
+
+
+def test_headline_prefers_solid_slices(spark):
+    from assayframe.operators import summary as Y
+
+    rows = [("a", "group", "x", 9, 3, -0.2, 1, 5), ("a", "dimension", "7", 2, 1, -0.9, 0, 2), ("a", "measures", "m", 8, 2, 0.3, 4, 0), ("b", "group", "x", 1, 1, -0.5, 0, 1), ("c", "group", "x", 9, 3, 0.0005, 1, 1)]
+    slices = spark.createDataFrame(rows, "arm string, slice_kind string, slice_name string, n long, families long, delta double, better long, worse long")
+    got = {r["arm"]: (r["slices"], r["regressed"], r["improved"], r["worst_slice_name"], r["worst_delta"], r["solid"]) for r in Y.headline(slices).collect()}
+    assert got == {"a": (3, 2, 1, "x", -0.2, True), "b": (1, 1, 0, "x", -0.5, False), "c": (1, 0, 0, None, None, False)}
+
+
+def test_counters_hold_every_key_of_a_vocabulary(spark):
+    from assayframe.operators import summary as Y
+
+    families = spark.createDataFrame([(1, "standard", "home", "public: x"), (2, "odd", None, None)], "family_id long, kind string, domain string, provenance string")
+    cases = spark.createDataFrame([(10, 1, "advise", "original", "", False, ["d1"], 2), (11, 9, "advise", "original", "m", True, None, None)], "case_id long, family_id long, task string, variant string, measure string, is_continuation boolean, dimensions array<string>, checks int")
+    vocabulary = {"families_by_kind": ("standard", "negative_control"), "dimension_coverage": ("d1", "d2")}
+    got = {(r["counter"], r["key"]): r["n"] for r in Y.suite_counters(families, cases, vocabulary).collect()}
+    assert got["families_by_kind", "negative_control"] == 0 and got["families_by_kind", "odd"] == 1 and got["dimensions_uncovered", ""] == 1
+    assert got["cases_by_family_kind", "?"] == 1 and got["families_without_cases", ""] == 1 and got["deterministic_checks", ""] == 2 and got["continuation_cases", ""] == 1
+    assert got["provenance", "public"] == got["provenance", "authored"] == 1 and got["cases_by_measure", "m"] == 1 and got["cases_by_domain", "?"] == 1
+    empty = {r["counter"]: r["n"] for r in Y.suite_counters(families.limit(0), cases.limit(0), vocabulary).where("key = '' or counter = 'dimension_coverage'").collect()}
+    assert empty["dimensions_uncovered"] == 2
+    assert tuple(Y.cases_per_family(families, cases).first()) == (0, 1, 0.5) and tuple(Y.cases_per_family(families.limit(0), cases).first()) == (0, 0, 0.0)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayframe.functions import stats
-from assayframe.functions.text import sentences
+from assayframe.functions.text import count_sentences, sentences
 from assayframe.operators import aggregates as A
 from assayframe.operators import authoring as W
 from assayframe.operators import graph as G
@@ -159,6 +159,11 @@ def test_sentences_around_decimals_and_abbreviations(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
     got = {r["i"]: r["n"] for r in df.select("i", F.size(sentences(F.col("t"))).alias("n")).collect()}
     assert [got[i] for i in range(len(said))] == list(said.values())
+    counted = {r["i"]: r["n"] for r in df.select("i", count_sentences(F.col("t")).alias("n")).collect()}
+    assert counted == got
+    more = {"a.... b": 2, "Wow!... so": 2, "(etc.) and etc.! x": 2, "1.2.3 and 10.20.30": 2, "x etc... y": 2, 'so..." he': 1, "ETC. Dr. Who?": 1, "i.e. E.G. x. y": 2}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(more)], "i int, t string")
+    assert {r["t"]: r["n"] for r in df.select("t", count_sentences(F.col("t")).alias("n")).collect()} == more
 
 
 def test_items_by_family_and_tag(spark):
