@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Names that mean the baseline.
@@ -89,3 +89,36 @@ def aligned(wanted: DataFrame, payloads: DataFrame, group: str = "group_id", lab
     spare = payloads.join(used, [group, order], "left_anti").withColumn("_k", F.row_number().over(nth)).select(group, "_k", F.col("payload").alias("_spare"))
     zipped = left_over.join(spare, [group, "_k"], "left").select(*keys, order, F.col("_spare").alias("payload"), F.lit("position").alias("matched_by"))
     return by_label.where("payload is not null").select(*keys, order, "payload", F.lit("label").alias("matched_by")).unionByName(zipped)
+
+
+def parsed_arms(text: Column) -> Column:
+    """parse_arms over a column: a map, or null where a part isn't `name=value` or a name repeats. Blank parts are left out."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    entries = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substr(p, F.instr(p, "=") + 1, F.length(p))).alias("value"), (F.instr(p, "=") > 0).alias("named")))
+    names = F.transform(entries, lambda e: e["key"])
+    good = F.forall(entries, lambda e: e["named"] & (e["key"] != "") & (e["value"] != "")) & (F.size(F.array_distinct(names)) == F.size(names))
+    return F.when(good, F.map_from_arrays(names, F.transform(entries, lambda e: e["value"])))
+
+
+def judge_pair_rows(gradings: DataFrame, by: Sequence[str], judge: str = "judge", later: Column | None = None) -> DataFrame:
+    """judge_pairs over a table: by, first, second: each grader of record with every later one that isn't of record there. later: which gradings are repeats."""
+    seen = gradings.groupBy(*by, judge).agg(F.bool_or(~later).alias("of_record"), F.bool_or(later).alias("repeats"))
+    first = seen.where("of_record").select(*by, F.col(judge).alias("first"))
+    second = seen.where("repeats and not of_record").select(*by, F.col(judge).alias("second"))
+    return first.join(second, list(by))
+
+
+def plan_violations(plan: DataFrame, reach: DataFrame, kinds: Sequence[str], dimensions: Sequence[str], control: str = "negative_control") -> DataFrame:
+    """rule, detail: what is wrong with a planned table (kind, task, n): unknown kinds, counts below 0, no control, dimensions out of reach. reach: task, dimension."""
+    unknown = plan.where(~F.col("kind").isin(*kinds)).select(F.lit("known_kind").alias("rule"), F.col("kind").alias("detail")).distinct()
+    negative = plan.where("n < 0").select(F.lit("count_not_negative").alias("rule"), F.concat_ws("/", "kind", "task").alias("detail"))
+    controls = plan.agg(F.coalesce(F.sum(F.when(F.col("kind") == control, F.col("n"))), F.lit(0)).alias("n")).where("n = 0").select(F.lit("has_control").alias("rule"), F.lit("").alias("detail"))
+    lost = planned_dimensions(plan, reach, dimensions).where("not reachable").select(F.lit("dimension_in_reach").alias("rule"), F.col("dimension").alias("detail"))
+    return unknown.union(negative).union(controls).union(lost)
+
+
+def planned_dimensions(plan: DataFrame, reach: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """dimension, reachable, cases: for every dimension of the vocabulary, whether a planned task scores it, and how many planned cases do."""
+    known = plan.sparkSession.createDataFrame([(d,) for d in dimensions], "dimension string")
+    cases = plan.where("n > 0").groupBy("task").agg(F.sum("n").alias("n")).join(reach.distinct(), "task").groupBy("dimension").agg(F.sum("n").alias("cases"))
+    return known.join(cases, "dimension", "left").select("dimension", F.col("cases").isNotNull().alias("reachable"), F.coalesce("cases", F.lit(0)).alias("cases"))

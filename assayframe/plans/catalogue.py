@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayframe.plans import audits, authoring, controls, flow, scores, suites, summaries, texts, verdicts  # noqa: F401  they register their queries
+from assayframe.plans import audits, authoring, controls, flow, run_files, scores, suites, summaries, texts, verdicts  # noqa: F401  they register their queries
 from assayframe.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -132,3 +132,13 @@ def pending(items: DataFrame, done: str, key: str, buckets: int) -> DataFrame:
 def resumed(done: DataFrame, new: DataFrame) -> DataFrame:
     """What a resumed stage writes: the rows done before, all kept, and the new ones."""
     return done.unionByName(new, allowMissingColumns=True)
+
+
+PAGE = "rows array<struct<row_idx:bigint,row:struct<id:string,text:string>>>"
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """row_idx, id, text of a public dataset kept as files of pages, a JSON object each. A page that can't be read as one gives no rows, and the others all theirs."""
+    pages = spark.read.text(path, wholetext=True)
+    rows = pages.select(F.explode(F.from_json("value", PAGE)["rows"]).alias("r"))
+    return rows.select("r.row_idx", "r.row.id", "r.row.text").where("row_idx is not null and text is not null")

@@ -56,3 +56,30 @@ def test_each_violation_stops_the_save(spark, tmp_path, change):
     with pytest.raises(S.InvalidSuite):
         S.save_suite(families, cases, str(tmp_path / "s"))
     assert not (tmp_path / "s").exists()
+
+
+def test_arms_of_a_column_as_of_text(spark):
+    from pyspark.sql import functions as F
+
+    specs = ["a=x, b=y,", "a", "a=", "=x", "a=x,a=y", "", "k=v=w", " n = 100 "]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(specs)], "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(A.parsed_arms(F.col("s"))).collect()]
+
+    def by_hand(text):
+        try:
+            return A.parse_arms(text)
+        except ValueError:
+            return None
+
+    assert got == [by_hand(s) for s in specs]
+
+
+def test_pages_that_are_broken_give_no_rows(spark, tmp_path):
+    import json
+
+    from assayframe.sources import records as I
+
+    whole = {"rows": [{"row_idx": 1, "row": {"id": "a", "text": "x"}}, {"row_idx": 2, "row": {"id": "b", "text": None}}]}
+    for name, text in (("1", json.dumps(whole)), ("2", json.dumps(whole)[:-5]), ("3", ""), ("4", "[1]"), ("5", json.dumps({"rows": None})), ("6", json.dumps(whole, indent=1).replace('"a"', '"c"'))):
+        (tmp_path / name).write_text(text)
+    assert sorted(map(tuple, I.read_pages(spark, str(tmp_path)).collect())) == [(1, "a", "x"), (1, "c", "x")]
