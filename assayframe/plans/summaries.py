@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.functions import hashing as H
+from assayframe.functions import labels as L
 from assayframe.operators import comparison as C
 from assayframe.operators import summary as S
 from assayframe.plans.registry import query
-from assayframe.plans.scores import MEANS_SQL, PAIRS_SQL, _change_sql, _dimension_pairs, _group_pairs
+from assayframe.plans.scores import MEANS_SQL, PAIRS_SQL, _change_sql, _dimension_pairs, _group_pairs, _with
 from assayframe.plans.suites import CASES_SQL, cases
 from assayframe.plans.verdicts import VERDICT_PAIRS_SQL
 from assayframe.session import scratch
 from assayframe.sources import adapters as V
 from assayframe.sources import records as I
+from assayframe.sources import suites as U
 from assayframe.sources.adapters import table, with_views
 
 KINDS = ("standard", "negative_control", "far_transfer", "multi_episode")
@@ -120,3 +122,50 @@ def nested_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     value = F.struct(F.col("o_orderpriority").alias("z"), F.create_map(F.concat(F.lit("k"), (i % 3).cast("string")), inner).alias("m"), F.array(F.col("o_custkey"), i % 7).alias("a"))
     rows = table(spark, d, "orders").select("o_orderkey", value.alias("v"))
     return rows.select("o_orderkey", H.nested_hash(F.col("v"), rows.schema["v"].dataType).alias("version"))
+
+
+@query(
+    _with(PAIRS_SQL, "dimension, kind", "primary_scores").replace("\nSELECT arm, dimension, kind, n,", "\n, ch AS (SELECT arm, dimension, kind, n,")
+    + """) SELECT arm, dimension, kind, printf('%+.2f', round(delta, 2)) AS change, CASE WHEN abs(delta) <= 0.001 THEN 'level' WHEN delta > 0 THEN 'better' ELSE 'worse' END AS direction,
+printf('%.0f %%', round(100 * (better / n::DOUBLE), 0)) || ' (' || better || '/' || n || ')' || CASE WHEN n < 5 THEN '†' ELSE '' END AS won, CASE WHEN sign_p IS NULL THEN 'n/a' WHEN sign_p < 0.001 THEN '<0.001' ELSE printf('%.3f', round(sign_p, 3)) END AS p,
+CASE WHEN abs(delta) <= 0.001 THEN 'none' WHEN (mean_after - 1) / delta < 0 THEN 'reversed' WHEN (mean_after - 1) / delta >= 1 THEN 'all' WHEN (mean_after - 1) / delta >= 0.5 THEN 'most' WHEN (mean_after - 1) / delta >= 0.2 THEN 'some' ELSE 'little' END AS share FROM ch"""
+)
+def labelled_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes as a report words them."""
+    c = C.change(_dimension_pairs(spark, d), ["dimension", "kind"])
+    return c.select(
+        "arm", "dimension", "kind", L.signed(F.col("delta")).alias("change"), L.direction(F.col("delta")).alias("direction"), L.rate(F.col("better"), F.col("n")).alias("won"), L.p_value(F.col("sign_p")).alias("p"),
+        L.share_of(F.col("mean_after") - 1, F.col("delta")).alias("share"),
+    )
+
+
+@query("WITH t AS (SELECT item_id, replace(trim(regexp_replace(text || ' | ' || item_id, '\\s+', ' ', 'g')), '|', '\\|') AS t FROM benchmark) SELECT item_id, CASE WHEN length(t) <= 80 THEN t ELSE left(t, 79) || '…' END AS cell FROM t")
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", L.cell(F.concat_ws(" | ", "text", F.col("item_id").cast("string"))).alias("cell"))
+
+
+@query("""SELECT 's' || s_suppkey || '.' || x AS case_id, 's' || s_suppkey AS family_id, ['original', 'pressure'][x + 1] AS variant, 3 AS dimensions, false AS stale FROM supplier, (SELECT unnest([0, 1]) AS x)""")
+def suite_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A suite that is valid, saved and loaded again with its version."""
+    s = table(spark, d, "supplier")
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    texts = lambda *x: F.array(*map(F.lit, x))
+    families = s.select(
+        name.alias("family_id"), F.lit("standard").alias("kind"), F.col("s_name").alias("title"), F.lit("scene").alias("situation"), F.lit("home").alias("domain"), F.lit("authored").alias("provenance"), F.lit("why").alias("held_out_rationale"),
+        texts("p").alias("principles_in_play"), F.lit(None).cast("string").alias("notes"),
+    )
+    anchors = F.array(*(F.struct(F.lit(k).alias("dimension"), F.lit("0").alias("score_0"), F.lit("1").alias("score_1"), F.lit("2").alias("score_2")) for k in "abc"))
+    none = F.array().cast("array<string>")
+    rubric = F.struct(
+        texts(*"abc").alias("dimensions"), texts("x").alias("must_notice"), none.alias("must_not_infer"), texts("y").alias("acceptable_outputs"), none.alias("unacceptable_reasoning"), none.alias("unscorable_if"), anchors.alias("anchors"),
+    )
+    first = F.col("x") == 0
+    expected = F.struct(F.lit("w").alias("what_changed"), F.lit(False).alias("should_change"), F.lit("").alias("expected_direction"), F.lit("j").alias("justification"))
+    rows = s.withColumn("x", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.concat(name, F.lit("."), F.col("x").cast("string")).alias("case_id"), name.alias("family_id"), F.lit("decide").alias("task"), F.when(first, "original").otherwise("pressure").alias("variant"), texts("t").alias("turns"), rubric.alias("rubric"),
+        F.when(~first, expected).alias("change_expectation"), F.when(~first, F.concat(name, F.lit(".0"))).alias("context_answer_from"),
+    )
+    path = scratch(spark, "suite")
+    U.save_suite(families, rows, path)
+    _, again, stale = U.load_suite(spark, path)
+    return again.select("case_id", "family_id", "variant", F.size("rubric.dimensions").alias("dimensions"), F.lit(stale).alias("stale"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.functions.hashing import content_hash
+from assayframe.functions.hashing import canonical_json, content_hash
 from assayframe.operators import validate as R
 
 FAMILIES = "family_id string, kind string, title string, situation string, domain string, provenance string, held_out_rationale string, principles_in_play array<string>, notes string"
@@ -54,7 +54,8 @@ def case_violations(cases: DataFrame, families: DataFrame) -> DataFrame:
 
 def version(cases: DataFrame) -> DataFrame:
     """One row: a hash over the cases' own hashes, combined by exclusive-or in four parts, so that cases of any number are never together in one task."""
-    own = cases.select(F.sha2(F.to_json(F.struct(*sorted(cases.columns))), 256).alias("h"))
+    # The order in which fields come, at any depth, doesn't count.
+    own = cases.select(F.sha2(canonical_json(F.struct(*cases.columns), cases.schema), 256).alias("h"))
     parts = [F.bit_xor(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("long")).cast("string") for k in range(4)]
     return own.agg(content_hash(F.concat_ws(",", F.count("*").cast("string"), *parts)).alias("version"))
 
