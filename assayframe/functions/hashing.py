@@ -16,17 +16,16 @@ def record_hash(length: int = 12, **fields: Column) -> Column:
     return content_hash(F.to_json(F.struct(*(c.alias(k) for k, c in sorted(fields.items()))), {"ignoreNullFields": "false"}), length)
 
 
-# The short escapes of JSON's strings.
-_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+#: Control characters that Spark's own JSON writes with capitals in their code.
+_CAPITAL = "[\\x0b\\x0e\\x0f\\x1a-\\x1f]"
 
 
 def _quoted(text: Column) -> Column:
-    """A string of JSON: short escapes where there are some, other control characters as \\u00xx, all else as it is."""
-    out = text
-    for raw, escaped in (*_ESCAPES, *((chr(k), f"\\u{k:04x}") for k in range(32) if chr(k) not in "\b\f\n\r\t")):
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    odd = text.rlike("[\"\\\\\\x00-\\x1f]")
-    return F.concat(F.lit('"'), F.when(odd, out).otherwise(text), F.lit('"'))
+    """A string of JSON: short escapes where there are some, other control characters by their codes in small letters, all else as it is."""
+    written = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    one = lambda c: F.when(c.rlike(_CAPITAL), F.concat(F.lit("\\u00"), F.lower(F.hex(c)))).otherwise(F.regexp_replace(F.to_json(F.array(c)), r'^\["|"\]$', ""))
+    spelled = F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), one), ""), F.lit('"'))
+    return F.when(text.rlike(_CAPITAL), spelled).otherwise(written(text))
 
 
 def _real(value: Column) -> Column:
