@@ -127,14 +127,25 @@ def _entity(found: Column) -> Column:
     return F.concat(found["kind"], F.lit(":"), F.lower(found["value"]))
 
 
-def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term, key, n: how many documents of that text (by its MD5) have the term near the entity. term is null in one row an entity and text."""
-    rows = docs.where(may_hold(F.col(text))).select(content_key(F.col(text)).alias("key"), findings(F.col(text)).alias("found"))
+def found_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """key (the text's MD5), found, n: the findings of the texts that have some, a row a text, and how many documents have it. Kept by a checkpoint."""
+    rows = docs.where(may_hold(F.col(text))).select(content_key(F.col(text)).alias("key"), findings(F.col(text)).alias("found")).where(F.size("found") > 0)
+    return cut(rows.groupBy("key").agg(F.first("found").alias("found"), F.count("*").alias("n")))
+
+
+def _near_terms(found: Column) -> Column:
+    """array of struct(entity, term): each entity with the terms near it, once each, and with null."""
     near = F.transform(
-        "found", lambda m: let(_entity(m), lambda e: F.concat(F.array(F.struct(e.alias("entity"), F.lit(None).cast("string").alias("term"))), F.transform(
+        found, lambda m: let(_entity(m), lambda e: F.concat(F.array(F.struct(e.alias("entity"), F.lit(None).cast("string").alias("term"))), F.transform(
             F.regexp_extract_all(F.lower(m["near"]), F.lit(TERM), F.lit(0)), lambda t: F.struct(e.alias("entity"), t.alias("term")))))
     )
-    return rows.select("key", F.inline(F.array_distinct(F.flatten(near)))).groupBy("entity", "term", "key").agg(F.count("*").alias("n"))
+    return F.array_distinct(F.flatten(near))
+
+
+def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """entity, term, key, n: how many documents of that text (by its MD5) have the term near the entity. term is null in one row an entity and text."""
+    rows = docs.where(may_hold(F.col(text))).select(content_key(F.col(text)).alias("key"), findings(F.col(text)).alias("found"))
+    return rows.select("key", F.inline(_near_terms(F.col("found")))).groupBy("entity", "term", "key").agg(F.count("*").alias("n"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame, text: str = "text", generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -156,9 +167,10 @@ def disclosures(docs: DataFrame, near: DataFrame, text: str = "text", generalise
     )
 
 
-def terms_by_text(docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """key, general, removed: the terms to generalise and to remove in each text that has some."""
-    near = cut(contexts(docs, text))
+def terms_by_text(docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS, found: DataFrame | None = None) -> DataFrame:
+    """key, general, removed: the terms to generalise and to remove in each text that has some. found: as of found_texts, if there already."""
+    near = contexts(docs, text) if found is None else found.select("key", "n", F.inline(_near_terms(F.col("found")))).select("entity", "term", "key", "n")
+    near = cut(near)
     told = disclosures(docs, near, text, generalise, min_texts)
     worst = near.where("term is not null").join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("d"))
     return worst.groupBy("key").agg(F.collect_set(F.when(F.col("d") < remove, F.col("term"))).alias("general"), F.collect_set(F.when(F.col("d") >= remove, F.col("term"))).alias("removed"))
@@ -178,6 +190,24 @@ def _with_terms(docs: DataFrame, text: str, **thresholds: float) -> DataFrame:
     return docs.where(may).join(right, same, "left").drop("_key").unionByName(docs.where(~may).withColumns({"_general": none, "_removed": none}))
 
 
+def _with_findings(docs: DataFrame, text: str, **thresholds: float) -> DataFrame:
+    """docs with findings, _general and _removed. Texts are looked through for findings once; after that they meet theirs by their MD5."""
+    found = found_texts(docs, text)
+    known = cut(found.drop("n").join(terms_by_text(docs, text, found=found, **thresholds), "key", "left").select(F.col("key").alias("_key"), F.col("found").alias("findings"), F.col("general").alias("_general"), F.col("removed").alias("_removed")))
+    of_findings = F.aggregate("findings", F.lit(ROW_BYTES).cast("long"), lambda n, m: n + F.octet_length(m["value"]) + F.octet_length(m["near"]) + ROW_BYTES)
+    of_terms = F.aggregate(F.concat("_general", "_removed"), F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + TERM_BYTES)
+    size = known.agg(F.sum(of_findings + F.coalesce(of_terms, F.lit(0)))).first()[0] or 0
+    none = F.array().cast(known.schema["findings"].dataType)
+    same = content_key(F.col(text)) == F.col("_key")
+    if size <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(known), same, "left")
+    else:
+        # Only texts that may have findings are shuffled.
+        may = may_hold(F.col(text))
+        joined = docs.where(may).join(known, same, "left").unionByName(docs.where(~may), allowMissingColumns=True)
+    return joined.drop("_key").withColumn("findings", F.coalesce("findings", none))
+
+
 def term_spans(text: Column, general: Column, removed: Column, base: Column) -> Column:
     """array of struct(kind, start, end) of the terms, but where they touch a base finding."""
 
@@ -193,7 +223,7 @@ def inspect(docs: DataFrame, text: str = "text", **thresholds: float) -> DataFra
     """docs with findings, base (spans of the base findings) and all_spans, arrays of struct(kind, start, end)."""
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("findings", "base", "all_spans")))
-    rows = _with_terms(kept, text, **thresholds).withColumn("findings", findings(F.col(text)))
+    rows = _with_findings(kept, text, **thresholds)
     rows = rows.withColumn("base", F.transform("findings", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))))
     terms = F.when(F.col("_general").isNotNull(), term_spans(F.col(text), F.col("_general"), F.col("_removed"), F.col("base")))
     return rows.withColumn("all_spans", F.concat("base", F.coalesce(terms, F.array().cast(span)))).drop("_general", "_removed")
