@@ -237,10 +237,24 @@ _SENT = "query_id long, v array<long>, block int, width int, bound double"
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None = None, query_block: int = QUERY_BLOCK, told: dict | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of vectors for each row of queries (both as of quantised). told: gets how many (query, block) there are, and how many are visited."""
     index = build_index(vectors, block)
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumns({"home": F.lit(-1), "line": F.lit(0.0)})
+
+    def visit(rows: DataFrame) -> DataFrame:
+        both = index.withColumn("kind", F.lit(0)).unionByName(rows.select("block", "width", "query_id", "v").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        n = max(1, index.rdd.getNumPartitions())
+        filled = both.withColumn("query_id", F.coalesce("query_id", F.lit(0)))
+        return filled.repartition(n, "block").sortWithinPartitions("block", "width", "kind").mapInPandas(_visited(k), FOUND)
+
+    def ranked_best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    blocks = index.agg(F.max("block")).first()[0] or 0
+    if not blocks:  # one block, which all queries visit
+        return ranked_best(visit(queries.select(F.col("vec_id").alias("query_id"), "v", F.lit(0).alias("block"), F.size("v").alias("width"))))
+    last = blocks // RANGE_BLOCKS
     ranges = index.select("block", "width", "sorted").mapInPandas(_ranges, "group int, block int, width int, low array<double>, high array<double>")
     ranges = cut(ranges.groupBy("group", "width").agg(*(F.collect_list(c).alias(c + "s" * (c == "block")) for c in ("block", "low", "high"))))
-    last = ranges.agg(F.max("group")).first()[0] or 0
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumns({"home": F.lit(-1), "line": F.lit(0.0)})
     parts = max(1, math.ceil(queries.count() / query_block))
 
     def sent(rows: DataFrame, first: bool) -> DataFrame:
@@ -249,12 +263,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None
         pairs = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(ranges, ["group", "width"])
         return pairs.mapInPandas(_bounds(first), _SENT)
 
-    def visit(rows: DataFrame) -> DataFrame:
-        both = index.withColumn("kind", F.lit(0)).unionByName(rows.select("block", "width", "query_id", "v").withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        n = max(1, index.rdd.getNumPartitions())
-        filled = both.withColumn("query_id", F.coalesce("query_id", F.lit(0)))
-        return filled.repartition(n, "block").sortWithinPartitions("block", "width", "kind").mapInPandas(_visited(k), FOUND)
-
     best = F.max(F.struct("bound", (-F.col("block")).alias("order"))).alias("b")
     nearest = sent(queries, True)
     home = cut(nearest.groupBy("query_id").agg(best, F.first("v").alias("v")).select("query_id", "v", (-F.col("b.order")).alias("block"), F.size("v").alias("width")))
@@ -265,9 +273,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int | None
     others = cut(sent(lines, False))
     if told is not None:
         told |= {"pairs": home.count() * index.count(), "visited": home.count() + others.count()}
-    found = first.union(visit(others))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked_best(first.union(visit(others)))
 
 
 def is_query(vec_id: Column, every: int = 100) -> Column:
