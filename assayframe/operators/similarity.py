@@ -105,24 +105,37 @@ def best_jaccard(cases: DataFrame, corpus: DataFrame, case_id: str, corpus_id: s
     n = max(1, math.ceil((right.agg(F.sum(F.size("t"))).first()[0] or 0) / block_tokens))
     dealt = right.withColumn("n", F.size("t")).repartitionByRange(n, "n", "best_id").drop("n").withColumn("block", F.spark_partition_id())
     blocks = cut(dealt.mapInPandas(_packed, "block int, least int, most int, ids array<long>, words array<string>, ends array<int>, codes array<int>"))
-    # A row a block.
-    spans = [(r["block"], r["least"], r["most"]) for r in blocks.select("block", "least", "most").orderBy("least", "block").collect()]
+    # A few numbers of each block go to the cases.
+    spans = blocks.select("block", "least", "most").orderBy("least", "block").toPandas()
+    numbers, low, high = (spans[c].to_numpy() for c in ("block", "least", "most"))
+
+    def bounds(sizes: pd.Series) -> dict[int, np.ndarray]:
+        """For each size of a case what a text of each block may be like it at most."""
+        return {n: np.minimum(n, high) / np.maximum(n, low) for n in set(sizes)}
+
+    @F.pandas_udf("int")
+    def nearest(sizes: pd.Series) -> pd.Series:
+        home = {n: int(numbers[x.argmax()]) for n, x in bounds(sizes).items()}
+        return sizes.map(home).astype("int32")
+
+    @F.pandas_udf("array<int>")
+    def within(sizes: pd.Series, least: pd.Series, home: pd.Series) -> pd.Series:
+        """The other blocks whose sizes allow a text as like."""
+        known = bounds(sizes)
+        return pd.Series([numbers[(known[n] >= s) & (numbers != h)] for n, s, h in zip(sizes, least, home, strict=True)])
+
     left = cases.select(F.col(case_id).cast("string").alias("case_id"), token_set(F.col(text)).alias("t"))
-    if not spans:
+    if not len(spans):
         return left.select(F.col("case_id").cast(kind).alias("case_id"), F.lit(-1).cast("long").alias("best_id"), F.lit(0.0).alias("similarity"))
-    sizes = F.array(*(F.struct(F.lit(b).alias("block"), F.lit(low).alias("low"), F.lit(high).alias("high")) for b, low, high in spans))
-    bound = lambda s: F.least(F.size("t"), s["high"]) / F.greatest(F.size("t"), s["low"])
-    nearest = F.array_max(F.transform(sizes, lambda s: F.struct(bound(s).alias("bound"), (-s["block"]).alias("order"))))
-    start = left.withColumns({"home": (-nearest["order"]).cast("int"), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0)})
+    start = left.where(F.size("t") > 0).withColumns({"block": nearest(F.size("t")), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0)})
     names = [c.split()[0] for c in _BLOCK.split(", ")]
 
     def visit(rows: DataFrame) -> DataFrame:
         both = blocks.drop("least", "most").withColumns({"kind": F.lit(0), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0)}).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         return both.select(*names).repartition(n, "block").sortWithinPartitions("block", "kind").mapInPandas(_visited, _FOUND)
 
-    first = cut(visit(start.where(F.size("t") > 0).withColumnRenamed("home", "block")))
-    home = (-nearest["order"]).cast("int")
-    others = first.withColumn("s", F.explode(F.filter(sizes, lambda s: (s["block"] != home) & (bound(s) >= F.col("similarity"))))).withColumn("block", F.col("s.block")).drop("s")
+    first = cut(visit(start))
+    others = first.withColumn("block", F.explode(within(F.size("t"), "similarity", nearest(F.size("t")))))
     found = first.select("case_id", "best_id", "similarity").union(visit(others).select("case_id", "best_id", "similarity")) if n > 1 else first.select("case_id", "best_id", "similarity")
     best = found.groupBy("case_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.col("best_id")).alias("order"))).alias("b"))
     return left.select("case_id").join(best, "case_id", "left").select(
@@ -216,7 +229,7 @@ BLOCK_VALUES = 262_144
 PIVOTS = 128
 SLACK = 1e-6
 
-_VECTORS = "block int, kind int, pivot int, least double, most double, ids array<long>, m binary"
+_VECTORS = "kind int, pivot int, least double, most double, ids array<long>, m binary"
 _BEST = "case_id long, v array<double>, best_id long, s double"
 
 
@@ -243,7 +256,7 @@ def _ringed(rows: int):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         m = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({"block": [0], "kind": [0], "pivot": [int(pdf["pivot"].iloc[0])], "least": [pdf["angle"].min()], "most": [pdf["angle"].max()], "ids": [pdf["id"].to_numpy(np.int64)], "m": [m.tobytes()]})
+        return pd.DataFrame({"kind": [0], "pivot": [int(pdf["pivot"].iloc[0])], "least": [pdf["angle"].min()], "most": [pdf["angle"].max()], "ids": [pdf["id"].to_numpy(np.int64)], "m": [m.tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -303,34 +316,39 @@ def best_cosine(cases: DataFrame, corpus: DataFrame, key: str, vector: str, pivo
     size = block_rows or max(1, BLOCK_VALUES // points.shape[1])
     near = rows.mapInPandas(_nearest(points), "id long, v array<double>, pivot int, angle double")
     ringed = near.repartitionByRange("pivot", "angle", "id").sortWithinPartitions("pivot", "angle", "id").mapInPandas(_ringed(size), _VECTORS)
-    # Block numbers by place, fixed by the checkpoint.
-    marked = cut(ringed.withColumn("mark", F.monotonically_increasing_id()))
-    spans = marked.select("mark", "pivot", "least", "most").orderBy("mark").collect()
-    numbers = F.create_map(*(F.lit(x) for k, r in enumerate(spans) for x in (r["mark"], k)))
-    blocks = marked.withColumn("block", numbers[F.col("mark")]).drop("mark")
-    at, low, high = (np.array([r[c] for r in spans]) for c in ("pivot", "least", "most"))
-
-    @F.pandas_udf("array<double>")
-    def bounds(vectors: pd.Series) -> pd.Series:
-        """The least angle to anything in each block."""
-        angles = _angles(np.stack(vectors.to_numpy()), points)[:, at] if len(vectors) else np.empty((0, len(at)))
-        return pd.Series(list(np.maximum(np.maximum(low - angles, angles - high), 0.0)))
+    # Blocks are named by their place, which the checkpoint fixes. A few numbers of each go to the cases.
+    blocks = cut(ringed.withColumn("block", F.monotonically_increasing_id()))
+    spans = blocks.select("block", "pivot", "least", "most").toPandas()
+    names, at, low, high = (spans[c].to_numpy() for c in ("block", "pivot", "least", "most"))
+
+    def bounds(vectors: pd.Series) -> Iterator[np.ndarray]:
+        """For each case the least angle to anything in each block, so many cases at once as make a matrix of BLOCK_VALUES."""
+        step = max(1, BLOCK_VALUES // len(names))
+        for k in range(0, len(vectors), step):
+            angles = _angles(np.stack(vectors.iloc[k : k + step].to_numpy()), points)[:, at]
+            yield from np.maximum(np.maximum(low - angles, angles - high), 0.0)
+
+    @F.pandas_udf("long")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series([names[x.argmin()] for x in bounds(vectors)], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def within(vectors: pd.Series, reach: pd.Series, home: pd.Series) -> pd.Series:
+        """The other blocks that may hold something as near."""
+        return pd.Series([names[(x <= r) & (names != h)] for x, r, h in zip(bounds(vectors), reach, home, strict=True)])
 
     def visit(sent: DataFrame) -> DataFrame:
         both = blocks.withColumns({"case_id": F.lit(0).cast("long"), "v": F.lit(None).cast("array<double>"), "best_id": F.lit(-1).cast("long"), "s": F.lit(-1.0)}).unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         # A partition for every block, or as many as the session deals out.
-        n = min(len(spans), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
+        n = min(len(names), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
         return both.repartition(n, "block").sortWithinPartitions("block", "kind").select("block", "kind", "ids", "m", "case_id", "v", "best_id", "s").mapInPandas(_compared, _BEST)
 
-    fresh = left.withColumns({"best_id": F.lit(-1).cast("long"), "s": F.lit(-1.0), "bound": bounds("v")})
-    home = F.array_min(F.transform("bound", lambda x, i: F.struct(x.alias("bound"), i.alias("block"))))["block"]
-    first = cut(visit(fresh.withColumn("block", home).drop("bound")))
+    fresh = left.withColumns({"best_id": F.lit(-1).cast("long"), "s": F.lit(-1.0), "block": nearest("v")})
+    first = cut(visit(fresh))
     reach = F.acos(F.greatest(F.least("s", F.lit(1.0)), F.lit(0.0))) + SLACK
-    known = first.withColumn("bound", bounds("v"))
-    others = known.withColumn("block", F.explode(F.filter(F.transform("bound", lambda x, i: F.when((x <= reach) & (i != home), i)), lambda i: i.isNotNull()))).drop("bound")
-    others = cut(others)
+    others = cut(first.withColumn("block", F.explode(within("v", reach, nearest("v")))))
     if told is not None:
-        told |= {"pairs": left.count() * len(spans), "visited": left.count() + others.count()}
-    found = first.union(visit(others)) if len(spans) > 1 else first
+        told |= {"pairs": left.count() * len(names), "visited": left.count() + others.count()}
+    found = first.union(visit(others)) if len(names) > 1 else first
     best = found.groupBy("case_id").agg(F.max(F.struct("s", (-F.col("best_id")).alias("order"))).alias("b")).where("b.s >= 0")
     return best.select("case_id", (-F.col("b.order")).alias("best_id"), F.col("b.s").alias("similarity"))
