@@ -16,6 +16,8 @@ from assayframe.session import cut
 
 #: Tokens of the texts of a block, and blocks at least.
 BLOCK_TOKENS = 400_000
+#: Postings a token, on average, up to which a case's are counted at once.
+SHORT_LISTS = 64
 
 LEXICAL_THRESHOLD, LEXICAL_FLOOR = 0.45, 0.35
 EMBEDDING_THRESHOLD, EMBEDDING_FLOOR = 0.85, 0.55
@@ -58,9 +60,15 @@ class Block:
         """
         own = sorted(self.places[t] for t in tokens if t in self.places)
         n, least = len(tokens), int(self.sizes.min())
+        lists = [self.postings[self.starts[c] : self.starts[c + 1]] for c in own]
+        if (total := sum(map(len, lists))) <= SHORT_LISTS * len(own):  # counted at once, sooner than their bounds are looked at
+            both = np.bincount(np.concatenate(lists), minlength=len(self.ids)) if own else np.zeros(len(self.ids), dtype=np.int64)
+            s = both / (n + self.sizes - both)
+            at = int(np.argmax(s))
+            return (int(self.ids[at]), float(s[at]), total) if both[at] else (-1, 0.0, total)
         both, read, met = np.zeros(len(self.ids), dtype=np.int64), 0, None
         found = so_far
-        for k, code in enumerate(own):
+        for k in range(len(own)):
             left = len(own) - k
             if left / (n + max(least, left) - left) < found:
                 met = np.flatnonzero(both) if met is None else met
@@ -68,7 +76,7 @@ class Block:
                 met = met[(both[met] + left) / np.maximum(n + self.sizes[met] - both[met] - left, 1) >= found]
                 if not len(met):
                     break
-            here = self.postings[self.starts[code] : self.starts[code + 1]]
+            here = lists[k]
             if met is not None:
                 here = here[np.isin(here, met)] if len(here) < 16 * len(met) else met[np.isin(met, here)]
             both[here] += 1
@@ -131,8 +139,12 @@ def best_jaccard(cases: DataFrame, corpus: DataFrame, case_id: str, corpus_id: s
     names = [c.split()[0] for c in _BLOCK.split(", ")]
 
     def visit(rows: DataFrame) -> DataFrame:
-        both = blocks.drop("least", "most").withColumns({"kind": F.lit(0), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0)}).unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        return both.select(*names).repartition(n, "block").sortWithinPartitions("block", "kind").mapInPandas(_visited, _FOUND)
+        # Few blocks are sent to several tasks, among which their cases are dealt.
+        salts = max(1, blocks.sparkSession.sparkContext.defaultParallelism // n)
+        spread = blocks.drop("least", "most").withColumns({"kind": F.lit(0), "best_id": F.lit(-1).cast("long"), "similarity": F.lit(0.0), "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
+        dealt = rows.withColumns({"kind": F.lit(1), "salt": F.pmod(F.xxhash64("case_id"), F.lit(salts)).cast("int")})
+        both = spread.unionByName(dealt, allowMissingColumns=True).repartitionByRange(n * salts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
+        return both.select(*names).mapInPandas(_visited, _FOUND)
 
     first = cut(visit(start))
     others = first.withColumn("block", F.explode(within(F.size("t"), "similarity", nearest(F.size("t")))))
