@@ -315,8 +315,6 @@ _JSON_PART = r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\z)|[{}]|[^"{}]++'
 
 def balanced(text: Column) -> Column:
     """The first balanced object of a text, from its first brace to the one that closes it, or null. Braces within strings don't count, nor do quotes that are escaped."""
-    start = F.instr(text, "{")
-    rest = F.substr(text, start, F.length(text))
 
     def further(acc: Column, part: Column) -> Column:
         depth = acc["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
@@ -324,39 +322,51 @@ def balanced(text: Column) -> Column:
         return F.when(acc["closed"], acc).otherwise(moved)
 
     first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed"))
-    read = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PART), F.lit(0)), first, further)
-    return F.when(start > 0, F.when(read["closed"], F.substr(rest, F.lit(1), read["size"])))
+
+    def closed(rest: Column) -> Column:
+        read = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PART), F.lit(0)), first, further)
+        return X.bound(read, lambda r: F.when(r["closed"], F.substr(rest, F.lit(1), r["size"])))
+
+    return X.bound(text, lambda t: F.when(F.contains(t, F.lit("{")), X.bound(F.substr(t, F.instr(t, "{"), F.length(t)), closed)))
 
 
 def strict_json(text: Column) -> Column:
     """The one JSON value that a whole text is, as a variant, or null. Parsers stop behind a first value, so it is read as the only field of an object that must end where the text does."""
+
+    def alone(parsed: Column) -> Column:
+        return F.when(F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>")) == F.array(F.lit("v")), F.try_variant_get(parsed, "$.v", "variant"))
+
     whole = F.concat(F.lit('{"v":'), text, F.lit("}"))
-    parsed = F.when(balanced(whole) == whole, F.try_parse_json(whole))
-    alone = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>")) == F.array(F.lit("v"))
-    return F.when(alone, F.try_variant_get(parsed, "$.v", "variant"))
+    return X.bound(whole, lambda w: X.bound(F.when(balanced(w) == w, F.try_parse_json(w)), alone))
 
 
 @verifier("json_object")
 def json_object(answer: Answer, params: Mapping[str, Any]) -> Column:
     """The whole answer, or else its first balanced object if text around it is allowed, is a JSON object with the keys, types, values and word limits asked for."""
-    body = unfenced(answer)
-    whole = strict_json(body)
-    if params.get("allow_surrounding_text"):
-        whole = F.coalesce(whole, strict_json(balanced(body)))
-    names = F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>"))
     required = list(params.get("required_keys") or [])
-    out = F.schema_of_variant(whole).startswith("OBJECT")
-    for k in required:
-        out = out & F.array_contains(names, k)
-    if params.get("exact_keys"):
-        out = out & (F.size(F.array_except(names, F.array(*map(F.lit, required)))) == 0)
-    for k, kind in (params.get("types") or {}).items():
-        out = out & F.coalesce(F.schema_of_variant(F.try_variant_get(whole, f"$['{k}']", "variant")).rlike(f"^(?:{_JSON_TYPES[kind]})"), F.lit(False))
-    for k, options in (params.get("enums") or {}).items():
-        out = out & F.coalesce(F.try_variant_get(whole, f"$['{k}']", "string").isin(*map(str, options)), F.lit(False))
-    for k, budget in (params.get("max_words") or {}).items():
-        out = out & (X.count_tokens(F.try_variant_get(whole, f"$['{k}']", "string")) <= int(budget))
-    return F.coalesce(out, F.lit(False))
+
+    def read(body: Column) -> Column:
+        return F.coalesce(strict_json(body), strict_json(balanced(body))) if params.get("allow_surrounding_text") else strict_json(body)
+
+    def keys(names: Column) -> Column:
+        out = F.lit(True)
+        for k in required:
+            out = out & F.array_contains(names, k)
+        return out & (F.size(F.array_except(names, F.array(*map(F.lit, required)))) == 0) if params.get("exact_keys") else out
+
+    def fits(whole: Column) -> Column:
+        out = F.schema_of_variant(whole).startswith("OBJECT")
+        if required or params.get("exact_keys"):
+            out = out & X.bound(F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>")), keys)
+        for k, kind in (params.get("types") or {}).items():
+            out = out & F.coalesce(F.schema_of_variant(F.try_variant_get(whole, f"$['{k}']", "variant")).rlike(f"^(?:{_JSON_TYPES[kind]})"), F.lit(False))
+        for k, options in (params.get("enums") or {}).items():
+            out = out & F.coalesce(F.try_variant_get(whole, f"$['{k}']", "string").isin(*map(str, options)), F.lit(False))
+        for k, budget in (params.get("max_words") or {}).items():
+            out = out & (X.count_tokens(F.try_variant_get(whole, f"$['{k}']", "string")) <= int(budget))
+        return F.coalesce(out, F.lit(False))
+
+    return X.bound(X.bound(unfenced(answer), read), fits)
 
 
 @verifier("python_function")
