@@ -291,14 +291,18 @@ def final_number(answer: Column) -> Column:
     def last(a: Column) -> Column:
         return F.try_element_at(a, F.lit(-1))
 
-    on_last = numbers(last(X.lines(clean)))
-    boxes = F.filter(F.regexp_extract_all(clean, F.lit(r"\\boxed\s*\{([^}]*)\}"), F.lit(1)), lambda b: b.rlike(_NUMBER))
     marker = f"(?is)^.*(?:{_ANNOUNCED})"
-    after = F.when(clean.rlike(marker), F.regexp_replace(clean, marker, ""))
-    found = F.coalesce(
-        F.when(F.size(on_last) == 1, on_last[0]), F.get(numbers(last(boxes)), F.lit(0)), F.get(numbers(after), F.lit(0)), last(on_last), last(numbers(clean))
-    )
-    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
+
+    def offered(text: Column) -> Column:
+        boxes = F.filter(F.regexp_extract_all(text, F.lit(r"\\boxed\s*\{([^}]*)\}"), F.lit(1)), lambda b: b.rlike(_NUMBER))
+        after = F.when(text.rlike(marker), F.regexp_replace(text, marker, ""))
+
+        def first_of(on_last: Column) -> Column:
+            return F.coalesce(F.when(F.size(on_last) == 1, on_last[0]), F.get(numbers(last(boxes)), F.lit(0)), F.get(numbers(after), F.lit(0)), last(on_last), last(numbers(text)))
+
+        return X.bound(numbers(last(X.lines(text))), first_of)
+
+    return F.replace(X.bound(clean, offered), F.lit(","), F.lit("")).try_cast("double")
 
 
 @verifier("numeric_answer")

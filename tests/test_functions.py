@@ -185,6 +185,13 @@ JSON = [
 ]
 
 
+def test_json_answers_are_scanned_once_for_each_reading(spark):
+    """Whatever is asked of the object, the plan scans the answer, its first object, and that object for trailing text."""
+    asked = {"allow_surrounding_text": True, "required_keys": ["a", "b"], "exact_keys": True, "types": {"a": "number", "b": "string"}, "enums": {"b": ["x"]}}
+    df = spark.range(1).select(K.verify("json_object", F.col("id").cast("string"), asked).alias("passed"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 3
+
+
 @pytest.mark.parametrize("answer,whole,within", JSON)
 def test_json_objects(spark, answer, whole, within):
     df = spark.createDataFrame([(answer,)], "t string")
