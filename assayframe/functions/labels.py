@@ -11,7 +11,9 @@ NONE = "n/a"
 
 
 def signed(value: Column, places: int = 2) -> Column:
-    return F.when(value.isNull(), NONE).otherwise(F.format_string(f"%+.{places}f", F.round(value.cast("double"), places)))
+    # The sign is the value's own, since rounding loses that of a small loss: -0.00, not +0.00.
+    size = F.format_string(f"%.{places}f", F.round(F.abs(value.cast("double")), places))
+    return F.when(value.isNull(), NONE).otherwise(F.concat(F.when(value < 0, "-").otherwise("+"), size))
 
 
 def percent(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions import checks as K
 from assayframe.functions import judging as J
+from assayframe.functions import labels as L
 from assayframe.functions import stats as S
 from assayframe.functions import text as X
 
@@ -133,6 +134,11 @@ def test_sign_test(spark):
     assert p(600, 500) == pytest.approx(2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
 
+def test_small_losses_keep_their_sign(spark):
+    rows = spark.createDataFrame([(0, -0.0027), (1, 0.0027), (2, 0.0), (3, None), (4, -0.126), (5, -0.004999)], "k int, v double")
+    assert [r["s"] for r in rows.orderBy("k").select(L.signed(F.col("v")).alias("s")).collect()] == ["-0.00", "+0.00", "+0.00", "n/a", "-0.13", "-0.00"]
+
+
 def test_fisher(spark):
     p = lambda a, b, c, d: value(spark, S.fisher_exact_p(*map(F.col, "abcd")), a=a, b=b, c=c, d=d)
     assert p(5, 5, 5, 5) == pytest.approx(1)
