@@ -40,8 +40,8 @@ QUERY_CHARS = 640_000
 QUERY_MB = 300
 #: Characters of a long text that are worked on at once; cuts lie between pieces.
 SPAN_CHARS = 1_000_000
-#: Characters of texts whose pieces are coded together.
-PART_CHARS = 2_000_000
+#: Characters of texts whose pieces are coded together, at most and as a multiple of those of a query.
+PART_CHARS, PART_QUERIES = 2_000_000, 3.125
 
 #: Bytes from which a piece counts as long.
 LONG_BYTES = 64
@@ -160,6 +160,7 @@ class PieceCoder:
         self.plain: dict[str, bytes] = {}
         self.before: tuple[dict[str, str], dict[str, bytes]] = {}, {}
         self.held, self.cache_bytes, self.query_chars = 0, cache_bytes or CACHE_BYTES, query_chars or QUERY_CHARS
+        self.part_chars = min(PART_CHARS, PART_QUERIES * self.query_chars)
         # No folder for spilling: an executor's own disk takes no files.
         config = {"threads": 1, "memory_limit": f"{QUERY_MB}MB", "temp_directory": "", "preserve_insertion_order": False, "allocator_background_threads": False}
         self.db = duckdb.connect(":memory:", config=config)
@@ -273,7 +274,7 @@ class PieceCoder:
         for t in texts:
             part.append(next(self.spans(t)) if len(t) <= SPAN_CHARS else t)
             size += min(len(t), SPAN_CHARS)
-            if size >= PART_CHARS:
+            if size >= self.part_chars:
                 yield from self._together(part)
                 part, size = [], 0
         yield from self._together(part)

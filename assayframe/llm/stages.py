@@ -10,7 +10,7 @@ from assayframe.llm import byte_bpe, decontamination, language_id, sanitisation,
 from assayframe.llm.queries import RANKS, table
 
 #: What a task of the last stage may hold: less than alone, since executors have grown by the stages before.
-CODER_CACHE, CODER_QUERY = 44_000_000, 400_000
+CODER_CACHE, CODER_QUERY = 16_000_000, 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

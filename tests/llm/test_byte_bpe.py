@@ -85,3 +85,21 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", "mine")], "text string, n_tokens string")
     assert B.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     assert B.round_trip(df, PATH, public_tokenizers.PATTERN).first()["n_tokens"] == 1
+
+
+def test_pieces_held_at_once_go_by_the_query(monkeypatch):
+    """What a task holds of its texts shrinks with the query that it is given, and the ids stay."""
+    import public_tokenizers
+
+    from assayframe.llm import byte_bpe
+    from assayframe.llm.queries import RANKS
+
+    held, learn = [], byte_bpe.PieceCoder.learn
+    monkeypatch.setattr(byte_bpe.PieceCoder, "learn", lambda self, pieces: (held.append(sum(map(len, pieces))), learn(self, pieces))[1])
+    texts = [f"word{k} other{7 * k} third{11 * k}" for k in range(400)]
+    found = []
+    for query_chars in (100_000, 400):
+        held.clear()
+        with byte_bpe.PieceCoder(public_tokenizers.path(RANKS), public_tokenizers.PATTERN, 20_000, query_chars) as coder:
+            found.append([byte_bpe.digest(spans) for spans in coder.texts(texts)])
+    assert max(held) < 2_000 and found[0] == found[1]
