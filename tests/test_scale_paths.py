@@ -177,3 +177,30 @@ def test_lists_are_cut_and_ordered(spark):
     assert {r["arm"]: list(r["ids"]) for r in A.first_rows(rows, ["arm"], ["k"], 3, "ids", F.col("k")).collect()} == {"a": [1, 2, 3], "b": [5]}
     terms = spark.createDataFrame([("a", t, i) for i, t in enumerate("zzyyxw")], "arm string, term string, seen int")
     assert [(r["term"], r["n"], r["rank"]) for r in A.top_by_count(terms, ["arm"], "term", "seen", 3).orderBy("rank").collect()] == [("z", 2, 1), ("y", 2, 2), ("x", 1, 3)]
+
+
+def test_tasks_of_a_block_grow_with_its_cases(spark, monkeypatch):
+    """A block's cases are dealt among more tasks the more tokens they have, so that none reads more than the bound asks for."""
+    from assayframe.operators import similarity as S
+
+    cases = spark.createDataFrame([(k, f"w{k % 50} w{k % 7} x{k} y{k}") for k in range(600)], "id long, text string")
+    corpus = spark.createDataFrame([(k, f"w{k} z{k}") for k in range(50)], "cid long, text string")
+    read = spark.sparkContext.accumulator(0)
+    visited = S._visited
+
+    def counted(batches):
+        seen = 0
+
+        def through():
+            nonlocal seen
+            for pdf in batches:
+                seen += int((pdf["kind"] == 1).sum())
+                yield pdf
+
+        yield from visited(through())
+        read.add(seen > 150)
+
+    want = {tuple(r) for r in S.best_jaccard(cases, corpus, "id", "cid").collect()}
+    monkeypatch.setattr(S, "_visited", counted)
+    got = {tuple(r) for r in S.best_jaccard(cases, corpus, "id", "cid", case_tokens=100).collect()}
+    assert got == want and len(got) == 600 and read.value == 0
