@@ -204,3 +204,13 @@ def test_tasks_of_a_block_grow_with_its_cases(spark, monkeypatch):
     monkeypatch.setattr(S, "_visited", counted)
     got = {tuple(r) for r in S.best_jaccard(cases, corpus, "id", "cid", case_tokens=100).collect()}
     assert got == want and len(got) == 600 and read.value == 0
+
+
+def test_a_rule_works_its_value_out_once(spark):
+    """What several comparisons of a rule need is in the plan once."""
+    from assayframe.operators import authoring as W
+
+    rows = spark.createDataFrame([(1, "authored", "standard", "One than. Two. Three.", "hard", ["p"]), (2, "authored", "standard", "One. Two. Three.", "hard", ["p"])], "family_id long, provenance string, kind string, situation string, notes string, principles_in_play array<string>")
+    found = W.family_rules(rows, ("than", "sch"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[.!?]+") <= 2 and {(r["entity_id"], r["rule"]) for r in found.collect()} == {("1", "uncued")}
