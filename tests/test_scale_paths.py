@@ -214,3 +214,27 @@ def test_a_rule_works_its_value_out_once(spark):
     found = W.family_rules(rows, ("than", "sch"))
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("[.!?]+") <= 2 and {(r["entity_id"], r["rule"]) for r in found.collect()} == {("1", "uncued")}
+
+
+def test_a_batch_of_cases_is_compared_a_bounded_part_at_a_time():
+    """However many cases a batch holds, their cosines with a whole block are never held together."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from assayframe.operators import similarity as S
+
+    rng, n, rows = np.random.default_rng(3), 4000, 3000
+    m, v = rng.normal(size=(rows, 4)), rng.normal(size=(n, 4))
+    batch = pd.DataFrame({"block": 1, "kind": [0] + [1] * n, "ids": [np.arange(rows)] + [None] * n, "m": [m.tobytes()] + [None] * n, "case_id": [0, *range(n)], "v": [None, *v], "best_id": -1, "s": -1.0})
+    tracemalloc.start()
+    found = pd.concat(S._compared(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    for k in range(0, n, 397):
+        s = np.maximum(np.round(v[k] @ m.T, 9), 0)
+        if k < rows:
+            s[k] = -1
+        assert found["best_id"].iloc[k] == s.argmax() and abs(found["s"].iloc[k] - s.max()) < 1e-8
