@@ -134,6 +134,20 @@ def test_sign_test(spark):
     assert p(600, 500) == pytest.approx(2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
 
+def test_exact_tests_beyond_the_tables_of_their_sql(spark):
+    """Counts of 60 times sf0.1, for which the SQL's tables of log factorials end too soon."""
+    log = lambda n: math.lgamma(n + 1)
+    b, w = 330_520, 333_253
+    want = 2 * sum(math.exp(log(b + w) - log(i) - log(b + w - i) - (b + w) * math.log(2)) for i in range(b + 1))
+    assert value(spark, S.sign_test_p(F.col("a"), F.col("b")), a=b, b=w) == pytest.approx(want, abs=1e-6) and 7e-4 < want < 9e-4
+    assert value(spark, S.fisher_exact_p(*map(F.col, "abcd")), a=104754, b=105659, c=104030, d=108516) == pytest.approx(4.7e-8, rel=0.05)
+
+
+def test_allowed_terms_of_one_length_go_in_the_order_given(spark):
+    for allowed, passed in ((["than the", "the than"], True), (["the than", "than the"], False)):
+        assert value(spark, K.ANSWER_CHECKS["forbidden_terms"](F.col("a"), {"terms": ["than"], "allowed_terms": allowed}), a="Tionnt than the thanou") is passed
+
+
 def test_small_losses_keep_their_sign(spark):
     rows = spark.createDataFrame([(0, -0.0027), (1, 0.0027), (2, 0.0), (3, None), (4, -0.126), (5, -0.004999)], "k int, v double")
     assert [r["s"] for r in rows.orderBy("k").select(L.signed(F.col("v")).alias("s")).collect()] == ["-0.00", "+0.00", "+0.00", "n/a", "-0.13", "-0.00"]
